@@ -1,0 +1,6 @@
+"""Worked queries, one per operator, with the SQL they must agree with."""
+
+from . import filters, links, scans, totals  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

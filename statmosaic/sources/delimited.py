@@ -160,6 +160,15 @@ def observation_dialects(
     return same_schema([f.select(*shape) for f in out])
 
 
+def read_with_rejects(spark: SparkSession, path: str, names: Sequence[str], sep: str = ";") -> DataFrame:
+    """Rows and, instead of failing, the raw text of ragged ones in ``rejected``."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "rejected"]])
+    return (
+        spark.read.schema(schema).option("sep", sep).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "rejected").option("columnPruning", "false").csv(path)
+    )
+
+
 def drop_header_record(df: DataFrame, order: str = "row_index") -> DataFrame:
     """Flat statistical rows whose first row is a header record."""
     return df.filter(F.col(order) > 0)

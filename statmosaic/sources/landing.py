@@ -30,13 +30,13 @@ def absolute(base: Column, href: Column) -> Column:
     return F.when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(root, href))
 
 
-def official_links(links: DataFrame, hosts: Sequence[str], path_pattern: str, schemes: Sequence[str] = ("https",)) -> DataFrame:
-    """Links on allowed hosts and schemes whose path names an edition (first group of the pattern)."""
+def official_links(links: DataFrame, host_pattern: str, path_pattern: str, schemes: Sequence[str] = ("https",)) -> DataFrame:
+    """Links on official hosts and schemes whose path names an edition (first group of the pattern)."""
     u = F.col("url")
     scheme = F.regexp_extract(u, r"^([a-z]+)://", 1)
     host = F.regexp_extract(u, r"^[a-z]+://([^/?#]+)", 1)
     path = F.regexp_extract(u, r"^[a-z]+://[^/?#]+([^?#]*)", 1)
-    return links.filter(scheme.isin(*schemes) & host.isin(*hosts) & path.rlike(path_pattern)).withColumn(
+    return links.filter(scheme.isin(*schemes) & host.rlike(host_pattern) & path.rlike(path_pattern)).withColumn(
         "edition", F.regexp_extract(path, path_pattern, 1)
     )
 
