@@ -1,6 +1,6 @@
 """Worked queries, one per operator, with the SQL they must agree with."""
 
-from . import filters, links, orders, panels, scans, setops, totals  # noqa: F401
+from . import filters, gates, links, orders, panels, scalars, scans, setops, totals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
