@@ -45,13 +45,12 @@ def points_in_shapes(
     return candidates.filter(near & hit).drop("cell", geometry)
 
 
-def nearest_within(
-    points: DataFrame, centers: DataFrame, keys: Sequence[str], point_id: str, lat: str, lon: str,
-    center_lat: str, center_lon: str, radius_km: float, k: int, salts: int = 16,
+def within_radius(
+    points: DataFrame, centers: DataFrame, lat: str, lon: str, center_lat: str, center_lon: str, radius_km: float, salts: int = 16
 ) -> DataFrame:
-    """The ``k`` nearest points within a radius of each centre, by distance then id.
+    """Points within a radius of each centre, with their distance.
 
-    Centres unfold to the cells their radius can reach; the top-k is cut inside each task first.
+    Centres unfold to the cells their radius can reach, so only near pairs are ever formed.
     """
     size = max(radius_km / 111.0, 0.05)
     reach_lat = F.lit(radius_km / 110.0)
@@ -64,7 +63,18 @@ def nearest_within(
     located = points.withColumn("cell", cell_of(F.col(lon), F.col(lat), size))
     pairs = salted_join(located, by_cell, ["cell"], "inner", salts).drop("cell")
     far = geo.haversine_km(F.col(lat), F.col(lon), F.col(center_lat), F.col(center_lon))
-    close = pairs.withColumn("distance_km", far).filter(F.col("distance_km") <= radius_km)
+    return pairs.withColumn("distance_km", far).filter(F.col("distance_km") <= radius_km)
+
+
+def nearest_within(
+    points: DataFrame, centers: DataFrame, keys: Sequence[str], point_id: str, lat: str, lon: str,
+    center_lat: str, center_lon: str, radius_km: float, k: int, salts: int = 16,
+) -> DataFrame:
+    """The ``k`` nearest points within a radius of each centre, by distance then id.
+
+    The top-k is cut inside each task before the shuffle.
+    """
+    close = within_radius(points, centers, lat, lon, center_lat, center_lon, radius_km, salts)
     return smallest_k(close, keys, [F.asc("distance_km"), F.asc(point_id)], k)
 
 

@@ -36,16 +36,16 @@ def f02(spark, d):
     return ranking.top_with_tail(g, ["state"], "code", [F.desc("n"), F.asc("code")], 10)
 
 
-STATION_SQL = """st AS (SELECT s_suppkey AS id, CAST(-26 AS DOUBLE) + (s_suppkey % 97) / CAST(64 AS DOUBLE) AS lat, CAST(-52 AS DOUBLE) + (s_suppkey % 89) / CAST(64 AS DOUBLE) AS lon FROM supplier),
+STATION_SQL = """st AS (SELECT s_suppkey AS id, s_nationkey, CAST(-26 AS DOUBLE) + (s_suppkey % 97) / CAST(64 AS DOUBLE) AS lat, CAST(-52 AS DOUBLE) + (s_suppkey % 89) / CAST(64 AS DOUBLE) AS lon FROM supplier),
 ce AS (SELECT n_name AS territory, CAST(-26 AS DOUBLE) + (n_nationkey % 5) * CAST(0.25 AS DOUBLE) AS clat, CAST(-52 AS DOUBLE) + (n_nationkey // 5) * CAST(0.25 AS DOUBLE) AS clon FROM nation),
-dist AS (SELECT territory, id, 2 * CAST(6371 AS DOUBLE) * asin(least(1.0, sqrt(power(sin(radians(lat - clat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * power(sin(radians(lon - clon) / 2), 2)))) AS km FROM st, ce)"""
+dist AS (SELECT territory, id, s_nationkey, 2 * CAST(6371 AS DOUBLE) * asin(least(1.0, sqrt(power(sin(radians(lat - clat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * power(sin(radians(lon - clon) / 2), 2)))) AS km FROM st, ce)"""
 
 
 def _stations(spark, d):
     """Suppliers as gauge stations on a lattice of degrees."""
     k = F.col("s_suppkey")
     return table(spark, d, "supplier").select(
-        k.alias("id"), (F.lit(-26.0) + k % 97 / 64.0).alias("lat"), (F.lit(-52.0) + k % 89 / 64.0).alias("lon"))
+        k.alias("id"), "s_nationkey", (F.lit(-26.0) + k % 97 / 64.0).alias("lat"), (F.lit(-52.0) + k % 89 / 64.0).alias("lon"))
 
 
 def _centers(spark, d):

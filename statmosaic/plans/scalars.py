@@ -182,11 +182,13 @@ def h32(spark, d):
         F.count_if(cells.within(F.col("p_retailprice"), dbl(F.col("p_size") + 900), 5.0, 0.02)).alias("close"))
 
 
-@query("h33_haversine", f"WITH {STATION_SQL} SELECT territory, CAST(round(min(km) * 100000) AS BIGINT) AS nearest_cm, CAST(round(max(km) * 100000) AS BIGINT) AS farthest_cm FROM dist WHERE id % 25 = CAST(substr(territory, 8) AS INT) GROUP BY 1")
+@query("h33_haversine", f"""
+WITH {STATION_SQL} SELECT n_name AS territory, CAST(round(min(km) * 100000) AS BIGINT) AS nearest_cm, CAST(round(max(km) * 100000) AS BIGINT) AS farthest_cm
+FROM dist JOIN nation ON n_name = territory AND n_nationkey = s_nationkey GROUP BY 1""")
 def h33(spark, d):
     # each station against the centre of its own territory
-    own = F.concat(F.lit("NATION_"), (F.col("id") % 25).cast("string"))
-    j = _stations(spark, d).withColumn("territory", own).join(_centers(spark, d), "territory")
+    own = territories(spark, d).select("n_nationkey", "territory").join(_centers(spark, d), "territory")
+    j = _stations(spark, d).join(own, F.col("s_nationkey") == F.col("n_nationkey"))
     km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
     return j.groupBy("territory").agg(F.round(F.min(km) * 100000).cast("bigint").alias("nearest_cm"), F.round(F.max(km) * 100000).cast("bigint").alias("farthest_cm"))
 

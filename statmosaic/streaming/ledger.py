@@ -71,3 +71,16 @@ def write_revisions(
 
     w = ledger.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def write_rows(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append-mode file sink; its own log makes each batch count once."""
+    w = rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Records that came later than the watermark allows, summed over the reported batches."""
+    return sum(
+        op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators
+    )
