@@ -82,6 +82,29 @@ def parse_number(
     return F.struct(value.alias("value"), error.alias("error"))
 
 
+def with_number(
+    df: DataFrame, raw: str, value: str, error: str, missing: Sequence[str], upper: Column, whole: Column,
+    type_: str = "decimal(18,2)",
+) -> DataFrame:
+    """:func:`parse_number` in stages, for long tables whose limit and wholeness vary by row.
+
+    Each stage reads the one before it, so the text is parsed once per row.
+    """
+    t, n = F.col("_t"), F.col("_n")
+    return (
+        df.withColumn("_t", F.nullif(F.trim(raw), F.lit("")))
+        .withColumn("_t", F.when(~t.isin(*missing), t))
+        .withColumn("_n", strict_number(t, type_=type_))
+        .withColumn(
+            error,
+            F.when(t.isNotNull() & n.isNull(), "not a number").when(n < 0, "negative").when(n > upper, "above limit")
+            .when(whole & (n != F.floor(n)), "not whole"),
+        )
+        .withColumn(value, F.when(F.col(error).isNull(), n))
+        .drop("_t", "_n")
+    )
+
+
 def money(c: Column) -> Column:
     """Cents-exact amount of a dotted decimal text."""
     return strict_number(c, type_="decimal(18,2)")

@@ -26,8 +26,9 @@ _ACCENTED, _BARE = _latin_folds()
 
 
 def unaccent(c: Column) -> Column:
-    """Drop combining marks and bare every precomposed Latin letter."""
-    return F.translate(F.regexp_replace(c, r"\p{M}+", ""), _ACCENTED, _BARE)
+    """Drop combining marks and bare every precomposed Latin letter; plain ASCII passes untouched."""
+    bare = F.translate(F.regexp_replace(c, r"\p{M}+", ""), _ACCENTED, _BARE)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(bare)
 
 
 def fold(c: Column) -> Column:

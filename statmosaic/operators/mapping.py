@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import parse_number
+from ..functions.cells import with_number
 from ..functions.text import fold
 
 
@@ -166,20 +166,17 @@ def mapped_measures(
 
     ``kinds`` gives (unit, kind) per public name with kind ``count``, ``money`` or ``percent``.
     """
-    cells = []
-    for name, field in mapping.items():
-        unit, kind = kinds[name]
-        if kind == "count":
-            got = parse_number(F.col(field), missing, whole=True)
-        elif kind == "percent":
-            got = parse_number(F.col(field), missing, upper=100.0)
-        else:
-            got = parse_number(F.col(field), missing, type_="decimal(18,2)")
-        cells.append(F.struct(
-            F.lit(name).alias("measure"), F.lit(unit).alias("unit"),
-            got["value"].cast("decimal(18,2)").alias("value"), got["error"].alias("error"),
-        ))
-    return df.select(*keys, F.explode(F.array(*cells)).alias("m")).select(*keys, "m.*")
+    unknown = {kinds[n][1] for n in mapping} - {"count", "money", "percent"}
+    if unknown:
+        raise ValueError(f"unknown kinds {sorted(unknown)}")
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("measure"), F.lit(kinds[name][0]).alias("unit"), F.lit(kinds[name][1]).alias("kind"),
+                 F.col(field).alias("raw"))
+        for name, field in mapping.items()
+    ])).alias("m")).select(*keys, "m.*")
+    limit = F.when(F.col("kind") == "percent", F.lit(100)).cast("decimal(18,2)")
+    return with_number(long, "raw", "value", "error", missing, limit, F.col("kind") == "count", "decimal(20,4)").select(
+        *keys, "measure", "unit", F.col("value").cast("decimal(18,2)").alias("value"), "error")
 
 
 def unavailable_rows(expected: DataFrame, title: str, reason: str) -> DataFrame:

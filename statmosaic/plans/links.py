@@ -128,7 +128,7 @@ def c11(spark, d):
 
 def _points(spark, d):
     """Parts placed on a plane by their own measures."""
-    return table(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_size") * 0.9).alias("x"), (F.col("p_retailprice") / 40.0).alias("y"))
+    return table(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_size") * 0.9 + 0.0003).alias("x"), (F.col("p_retailprice") / 40.0 + 0.001).alias("y"))
 
 
 def _shapes(spark, d):
@@ -140,7 +140,7 @@ def _shapes(spark, d):
     return t.select("territory", F.array(F.array(ring(outer), ring(hole))).alias("geometry"))
 
 
-SHAPE_SQL = """pts AS (SELECT p_partkey, p_brand, p_size * CAST(0.9 AS DOUBLE) AS x, p_retailprice / CAST(40.0 AS DOUBLE) AS y FROM part),
+SHAPE_SQL = """pts AS (SELECT p_partkey, p_brand, p_size * CAST(0.9 AS DOUBLE) + CAST(0.0003 AS DOUBLE) AS x, p_retailprice / CAST(40.0 AS DOUBLE) + CAST(0.001 AS DOUBLE) AS y FROM part),
 ctr AS (SELECT n_name AS territory, n_nationkey % 5 * CAST(10 AS DOUBLE) + 4 AS cx, (n_nationkey // 5) * CAST(10 AS DOUBLE) + 24 AS cy FROM nation)"""
 
 

@@ -14,12 +14,11 @@ from .registry import query
 
 
 @query("h01_fold", """
-SELECT lang, CAST(sum(length(upper(strip_accents(replace(text, 'ß', 'ss'))))) AS BIGINT) AS chars, count(DISTINCT trim(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '\\s+', ' ', 'g'))) AS distinct_keys,
- min(md5(trim(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '\\s+', ' ', 'g')))) AS first_hash FROM documents GROUP BY 1""")
+WITH k AS (SELECT lang, trim(regexp_replace(upper(strip_accents(replace(text, 'ß', 'ss'))), '\\s+', ' ', 'g')) AS k FROM documents)
+SELECT lang, CAST(sum(length(k)) AS BIGINT) AS chars, count(DISTINCT k) AS distinct_keys, min(md5(k)) AS first_hash FROM k GROUP BY 1""")
 def h01(spark, d):
-    k = text.fold(F.col("text"))
-    return table(spark, d, "documents").groupBy("lang").agg(
-        F.sum(F.length(F.upper(text.unaccent(F.col("text"))))).alias("chars"), F.count_distinct(k).alias("distinct_keys"), F.min(F.md5(k)).alias("first_hash"))
+    k = table(spark, d, "documents").select("lang", text.fold(F.col("text")).alias("k")).select("lang", F.length("k").alias("n"), F.md5("k").alias("h"))
+    return k.groupBy("lang").agg(F.sum("n").alias("chars"), F.count_distinct("h").alias("distinct_keys"), F.min("h").alias("first_hash"))
 
 
 @query("h02_header_key", """
