@@ -107,10 +107,15 @@ def bands(df: DataFrame, keys: Sequence[str], band: Column, split: str, parts: S
     return g.withColumn("total", total)
 
 
-def distribution(parts: DataFrame, totals: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Category values as a percentage of the *published* total, with whether the parts add up to it."""
+def distribution(
+    parts: DataFrame, totals: DataFrame, keys: Sequence[str], value: str = "value", bounded: bool = True
+) -> DataFrame:
+    """Category values as a percentage of the *published* total, with whether the parts add up to it.
+
+    ``parts`` has one row per category (else ``bounded=False``).
+    """
     t = totals.select(*keys, F.col(value).alias("total"))
-    summed = attach_group(parts, keys, F.sum(value).alias("_parts"))
+    summed = attach_group(parts, keys, {"_parts": F.sum(value)}, bounded)
     return (
         summed.join(t, list(keys), "left")
         .withColumn("percent", F.when(F.col("total") > 0, F.col(value) / F.col("total") * 100))

@@ -31,14 +31,18 @@ def suppress_primary(
     })
 
 
-def suppress_siblings(df: DataFrame, group: Sequence[str], values: Sequence[str], status: str, triggers: Column | None = None) -> DataFrame:
+def suppress_siblings(
+    df: DataFrame, group: Sequence[str], values: Sequence[str], status: str, triggers: Column | None = None,
+    bounded: bool = True,
+) -> DataFrame:
     """If one member of a group is suppressed, all of them are, with every value column.
 
-    ``triggers`` limits which members may start it (all by default).  The flag is
-    aggregated and joined back, so the size of a group does not matter.
+    ``triggers`` limits which members may start it (all by default).  ``df`` has one row
+    per published cell, so a group is as long as its classification; for anything else
+    pass ``bounded=False``.
     """
     start = (F.col(status) == "suppressed") & (triggers if triggers is not None else F.lit(True))
-    marked = attach_group(df, group, F.max(start).alias("_hit"))
+    marked = attach_group(df, group, {"_hit": F.max(start)}, bounded)
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return marked.withColumns({
         **{v: F.when(~hit, F.col(v)) for v in values},

@@ -70,10 +70,9 @@ def lookup(df: DataFrame, dictionary: DataFrame, code: str, width: int, label: s
     )
 
 
-def label_strict(df: DataFrame, labels: DataFrame, code: str) -> tuple[DataFrame, DataFrame]:
-    """(labelled rows, codes without a label): every code must be in the legend."""
-    known = labels.withColumnRenamed("code", code)
-    return df.join(known, code, "left"), df.select(code).distinct().join(known, code, "left_anti")
+def label_strict(df: DataFrame, labels: DataFrame, code: str) -> DataFrame:
+    """Legend join; every code must be in the legend (``mapping.unmapped`` lists those that are not)."""
+    return df.join(labels.withColumnRenamed("code", code), code, "left")
 
 
 def crosswalk(df: DataFrame, codes: DataFrame, short: str, full: str) -> DataFrame:
@@ -171,11 +170,12 @@ def one_membership(df: DataFrame, members: DataFrame, key: str, group: str) -> D
 
 
 def in_scope(df: DataFrame, scope: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(scope.select(*keys), list(keys), "left_semi")
+    """Rows whose key is in scope; the scope is reduced to its distinct keys before any shuffle."""
+    return df.join(scope.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def missing_from(keys_of: DataFrame, part: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return keys_of.select(*keys).distinct().join(part.select(*keys), list(keys), "left_anti")
+    return keys_of.select(*keys).distinct().join(part.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def points_in_cells(

@@ -11,21 +11,25 @@ from ..functions.cells import with_number
 from ..functions.text import fold
 
 
-def in_territory(df: DataFrame, crosswalk: DataFrame, code: str, state: str) -> DataFrame:
-    """Keep rows whose (source code, state) is in the crosswalk; never matched by name.
+def located(df: DataFrame, crosswalk: DataFrame, code: str, state: str) -> DataFrame:
+    """Rows whose code is in the crosswalk, with ``territory`` and whether the state agrees.
 
-    ``crosswalk`` has ``source_code, state_code, code``.  A homonym in another state drops out.
+    ``crosswalk`` has ``source_code, state_code, code``.  Matched by code, never by name.
+    One pass serves both the filter and its violations (``state_ok`` false).
     """
     x = crosswalk.select(
         F.col("source_code").alias("_c"), F.col("state_code").alias("_s"), F.col("code").alias("territory")
     )
-    return df.join(x, (F.col(code) == F.col("_c")) & (F.col(state) == F.col("_s")), "inner").drop("_c", "_s")
+    return (
+        df.join(x, F.col(code) == F.col("_c"), "inner")
+        .withColumn("state_ok", F.col(state).eqNullSafe(F.col("_s")))
+        .drop("_c", "_s")
+    )
 
 
-def state_mismatches(df: DataFrame, crosswalk: DataFrame, code: str, state: str) -> DataFrame:
-    """Rows whose code is known but whose state is not the code's own."""
-    x = crosswalk.select(F.col("source_code").alias("_c"), F.col("state_code").alias("_s"))
-    return df.join(x, F.col(code) == F.col("_c"), "inner").filter(F.col(state) != F.col("_s")).drop("_c", "_s")
+def in_territory(df: DataFrame, crosswalk: DataFrame, code: str, state: str) -> DataFrame:
+    """Keep rows whose (code, state) is in the crosswalk; a homonym in another state drops out."""
+    return located(df, crosswalk, code, state).filter("state_ok").drop("state_ok")
 
 
 def in_named_territory(df: DataFrame, territories: DataFrame, name: str, state: str) -> DataFrame:

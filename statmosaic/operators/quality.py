@@ -126,7 +126,7 @@ def continuous(df: DataFrame, keys: Sequence[str], month: str, gate: str = "cale
 
 def missing_months(df: DataFrame, territories: DataFrame, keys: Sequence[str], month: str, start: str, end: str, gate: str = "calendar") -> DataFrame:
     spine = territories.select(*keys, F.explode(month_list(start, end)).alias(month))
-    return violations(spine.join(df.select(*keys, month), [*keys, month], "left_anti"), gate, [*keys, month], "missing month")
+    return violations(spine.join(df.select(*keys, month).distinct(), [*keys, month], "left_anti"), gate, [*keys, month], "missing month")
 
 
 def volume_floor(df: DataFrame, floor: int, gate: str = "volume") -> DataFrame:
@@ -176,7 +176,7 @@ def yield_warnings(df: DataFrame, keys: Sequence[str], production: str, area: st
 
 def confirmed_scan(scanned: DataFrame, expected: DataFrame, key: str, gate: str = "empty") -> DataFrame:
     """A zero needs a scan that read something: an empty input, or an expected key without rows, fails."""
-    return violations(expected.select(key).join(scanned.select(key), key, "left_anti"), gate, [key], "absent from the scan")
+    return violations(expected.select(key).join(scanned.select(key).distinct(), key, "left_anti"), gate, [key], "absent from the scan")
 
 
 def schema_differences(actual: T.StructType, expected: T.StructType) -> list[str]:

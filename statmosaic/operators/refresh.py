@@ -69,7 +69,7 @@ def isolate_failures(results: DataFrame, group: str, together: Sequence[str] = (
 
 def new_periods(available: DataFrame, published_: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What is offered and not yet held; empty means the run is skipped."""
-    return available.select(*keys).distinct().join(published_.select(*keys), list(keys), "left_anti")
+    return available.select(*keys).distinct().join(published_.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def carry_forward(current: DataFrame, previous: DataFrame, keys: Sequence[str], unchanged: Sequence[str], carried: Sequence[str]) -> DataFrame:

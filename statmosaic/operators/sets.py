@@ -57,18 +57,19 @@ def cell_differences(expected: DataFrame, seen: DataFrame, keys: Sequence[str])
     return g.withColumn("problem", problem).filter(F.col("problem").isNotNull()).drop("wanted")
 
 
-def dedup(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(one row per key with identical copies folded, keys whose copies differ).
+def dedup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key with ``copies`` and ``conflict`` (its copies are not all identical).
 
+    Identical copies fold; a conflicting key keeps its smallest copy only to be reported
+    (``filter("NOT conflict")`` is the clean table, ``filter("conflict")`` the violations).
     Smallest and largest copy are compared, so a key with a third of all rows still
-    folds inside the tasks before the shuffle.
+    folds inside the tasks before the one shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
     g = df.groupBy(*keys).agg(
         F.min(F.struct(*rest)).alias("_lo"), F.max(F.struct(*rest)).alias("_hi"), F.count(F.lit(1)).alias("copies")
     )
-    same = F.col("_lo").eqNullSafe(F.col("_hi"))
-    return g.filter(same).select(*keys, "_lo.*"), g.filter(~same).select(*keys, "copies")
+    return g.select(*keys, "_lo.*", "copies", (~F.col("_lo").eqNullSafe(F.col("_hi"))).alias("conflict"))
 
 
 def same_keys(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import guarded_change
 from ..functions.periods import month_list, month_ordinal
-from ..session import lit_array
+from ..session import attach_group, lit_array
 
 
 def month_spine(
@@ -119,11 +119,10 @@ def between_periods(df: DataFrame, keys: Sequence[str], period: str, value: str,
     return g.withColumn("difference", F.when(F.lit(start < end), F.col("end_value") - F.col("start_value")))
 
 
-def group_share(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    from ..session import attach_group
-
+def group_share(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = True) -> DataFrame:
+    """Share of each category in its group; one row per category (else ``bounded=False``)."""
     return (
-        attach_group(df, keys, F.sum(value).alias("_total"))
+        attach_group(df, keys, {"_total": F.sum(value)}, bounded)
         .withColumn("share", F.when(F.col("_total") > 0, F.col(value) / F.col("_total") * 100))
         .drop("_total")
     )

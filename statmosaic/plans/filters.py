@@ -69,9 +69,8 @@ WITH {CODED_SQL} SELECT code AS territory, CAST(count(CASE WHEN state = r_name T
   CAST(count(CASE WHEN state <> r_name THEN 1 END) AS BIGINT) AS mismatched FROM coded GROUP BY 1""")
 def b03(spark, d):
     rows = _coded(spark, d).drop("territory")
-    kept = mapping.in_territory(rows, _walk(spark, d), "code", "state").select("territory", F.lit(1).alias("k"), F.lit(0).alias("m"))
-    off = mapping.state_mismatches(rows, _walk(spark, d), "code", "state").select(F.col("code").alias("territory"), F.lit(0).alias("k"), F.lit(1).alias("m"))
-    return kept.unionByName(off.select("territory", "k", "m")).groupBy("territory").agg(F.sum("k").alias("kept"), F.sum("m").alias("mismatched"))
+    return mapping.located(rows, _walk(spark, d), "code", "state").groupBy("territory").agg(
+        F.count_if("state_ok").alias("kept"), F.count_if(~F.col("state_ok")).alias("mismatched"))
 
 
 @query("b04_name_filter", f"""

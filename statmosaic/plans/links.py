@@ -43,9 +43,11 @@ SELECT p_type AS type, 'labelled' AS outcome, CASE p_type WHEN 'SMALL' THEN 'Peq
 UNION ALL SELECT DISTINCT p_type, 'no label', NULL, CAST(1 AS BIGINT) FROM part WHERE p_type NOT IN ('SMALL', 'LARGE', 'MEDIUM')""")
 def c03(spark, d):
     legend = param_table(spark, [("SMALL", "Pequeno"), ("LARGE", "Grande"), ("MEDIUM", "Médio")], "code string, label string")
-    rows, bad = joins.label_strict(table(spark, d, "part").select(F.col("p_type").alias("type")), legend, "type")
-    a = rows.groupBy("type", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit("labelled"))
-    return a.unionByName(bad.select("type", F.lit(None).cast("string").alias("label"), F.lit(1).cast("bigint").alias("n"), F.lit("no label").alias("outcome")))
+    rows = joins.label_strict(table(spark, d, "part").select(F.col("p_type").alias("type")), legend, "type")
+    g = rows.groupBy("type", "label").agg(F.count(F.lit(1)).alias("n"))
+    bad = mapping.unmapped(g, "type", "label")
+    return g.withColumn("outcome", F.lit("labelled")).unionByName(
+        bad.select("type", F.lit(None).cast("string").alias("label"), F.col("rows").alias("n"), F.lit("no label").alias("outcome")))
 
 
 @query("c04_code_crosswalk", """

@@ -45,12 +45,15 @@ def d04(spark, d):
 WITH {MOVES_SQL}, a AS (SELECT year, priority AS category, {FLOWS_SQL} FROM mov GROUP BY ALL)
 SELECT year, CAST(sum(admissions) AS BIGINT) AS admissions, CAST(sum(dismissals) AS BIGINT) AS dismissals, CAST(sum(balance) AS BIGINT) AS balance, TRUE AS conserved FROM a GROUP BY 1""")
 def d05(spark, d):
-    m = movements(spark, d)
     measures = ["admissions", "dismissals", "balance"]
-    parts = agg.ledger(m, ["year", "priority"]).groupBy("year").agg(*[F.sum(c).alias(c) for c in measures])
-    total = agg.ledger(m, ["year"]).select("year", *[F.col(c).alias(f"t_{c}") for c in measures])
-    same = (F.col("admissions") == F.col("t_admissions")) & (F.col("dismissals") == F.col("t_dismissals")) & (F.col("balance") == F.col("t_balance"))
-    return parts.join(total, "year").select("year", *measures, same.alias("conserved"))
+    rows = agg.breakdowns(movements(spark, d), ["year"], ["priority"])
+    total, parts = F.col("axis") == "total", F.col("axis") == "priority"
+    g = rows.groupBy("year").agg(
+        *[F.sum(F.when(parts, F.col(m))).alias(m) for m in measures], *[F.sum(F.when(total, F.col(m))).alias(f"t_{m}") for m in measures])
+    same = F.lit(True)
+    for m in measures:
+        same = same & (F.col(m) == F.col(f"t_{m}"))
+    return g.select("year", *measures, same.alias("conserved"))
 
 
 @query("d06_category_total", f"""
@@ -160,9 +163,8 @@ def d15(spark, d):
 SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(*) AS memberships FROM lineitem GROUP BY 1""")
 def d16(spark, d):
     li = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey")
-    one, _ = sets.dedup(li.withColumn("seen", F.lit(1)), ["l_returnflag", "l_orderkey"])
-    n = li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("memberships"))
-    return one.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("orders")).join(n, "l_returnflag")
+    one = sets.dedup(li.withColumn("seen", F.lit(1)), ["l_returnflag", "l_orderkey"])
+    return one.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("orders"), F.sum("copies").alias("memberships"))
 
 
 @query("d17_leader", f"""

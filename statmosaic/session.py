@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A parameter table longer than this is a data set: Spark then chooses the join.
@@ -80,7 +80,9 @@ def salted_join(
 
     The fact side is spread over ``salts`` sub-keys by its own content, and each
     row of the other side is repeated once per sub-key, so a key holding a third
-    of all facts lands on ``salts`` tasks.  Exact for inner, left and left_semi.
+    of all facts lands on ``salts`` tasks.  Exact for inner, left and left_semi.  The salt
+    is a hash of the row, so a repeated task makes the same split; wholly identical rows
+    share a salt and are left to the skew split of adaptive execution.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"salted_join cannot be exact for {how}")
@@ -94,10 +96,16 @@ def _is_map(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("map", "variant")
 
 
-def attach_group(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Put per-group aggregates on every row without pulling a group into one task.
+def attach_group(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], bounded: bool) -> DataFrame:
+    """Put per-group aggregates on every row.
 
-    Partial aggregation shrinks the group side before its shuffle; the join back is
-    chosen by Spark (broadcast when the measured size allows, else skew-split merge).
+    ``bounded=True`` is for panels, whose groups are as long as a classification or a
+    calendar: one shuffle and a window, and what produced ``df`` runs once.
+    ``bounded=False`` never brings a group together: the aggregate is reduced inside the
+    tasks first and joined back by broadcast or a skew-split merge, at the price of
+    computing ``df`` twice (pass a written table).
     """
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys), "left")
+    if bounded:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({name: a.over(w) for name, a in aggs.items()})
+    return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), list(keys), "left")
