@@ -29,7 +29,11 @@ def strict_number(c: Column, comma: bool = False, type_: str = "double") -> Colu
     t = F.trim(c)
     if comma:
         t = F.replace(t, F.lit(","), F.lit("."))
-    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast(type_))
+    n = t.try_cast(type_)
+    ok = t.rlike(NUMBER_PATTERN)
+    if type_ in ("double", "float"):
+        ok = ok & (F.abs(n) < F.lit(float("inf")))  # an overflowing text is not finite
+    return F.when(ok, n)
 
 
 def decode_symbol(raw: Column, dash: str = "zero", type_: str = "double") -> Column:
@@ -55,51 +59,34 @@ def decode_symbol(raw: Column, dash: str = "zero", type_: str = "double") -> Col
     return F.struct(value.alias("value"), status.alias("status"), F.when(t.isin(symbols), t).alias("raw"))
 
 
-def parse_number(
-    c: Column,
-    missing: Sequence[str] = ("",),
-    comma: bool = False,
-    upper: float | None = None,
-    whole: bool = False,
-    type_: str = "double",
-) -> Column:
-    """``struct(value, error)`` under one source's rules.
-
-    Texts in ``missing`` are absent, not errors.  Otherwise the number must be finite,
-    not negative, at most ``upper``, and whole when ``whole``.
-    """
-    t = F.trim(c)
-    absent = c.isNull() | t.isin(*missing)
-    number = strict_number(c, comma, type_)
-    error = F.when(~absent & number.isNull(), "not a number").when(~absent & (number < 0), "negative")
-    if upper is not None:
-        error = error.when(~absent & (number > upper), "above limit")
-    if whole:
-        error = error.when(~absent & (number != F.floor(number)), "not whole")
-    value = F.when(~absent & error.isNull(), number)
-    if whole:
-        value = value.cast("bigint")
-    return F.struct(value.alias("value"), error.alias("error"))
-
-
 def with_number(
-    df: DataFrame, raw: str, value: str, error: str, missing: Sequence[str], upper: Column, whole: Column,
-    type_: str = "decimal(18,2)",
+    df: DataFrame,
+    raw: str,
+    value: str = "value",
+    error: str = "error",
+    missing: Sequence[str] = (),
+    comma: bool = False,
+    upper: float | Column | None = None,
+    whole: bool | Column = False,
+    type_: str = "decimal(20,4)",
 ) -> DataFrame:
-    """:func:`parse_number` in stages, for long tables whose limit and wholeness vary by row.
+    """Number of a text column under one source's rules, with the reason it is refused.
 
-    Each stage reads the one before it, so the text is parsed once per row.
+    Blank texts and those in ``missing`` are absent, not errors.  Otherwise the number must
+    be finite, not negative, at most ``upper``, and whole when ``whole``; both limits may
+    vary by row.  Each stage reads the one before it, so a text is parsed once.
     """
     t, n = F.col("_t"), F.col("_n")
+    reason = F.when(t.isNotNull() & n.isNull(), "not a number").when(n < 0, "negative")
+    if upper is not None:
+        reason = reason.when(n > upper, "above limit")
+    if whole is not False:
+        reason = reason.when((n != F.floor(n)) if whole is True else (whole & (n != F.floor(n))), "not whole")
     return (
         df.withColumn("_t", F.nullif(F.trim(raw), F.lit("")))
-        .withColumn("_t", F.when(~t.isin(*missing), t))
-        .withColumn("_n", strict_number(t, type_=type_))
-        .withColumn(
-            error,
-            F.when(t.isNotNull() & n.isNull(), "not a number").when(n < 0, "negative").when(n > upper, "above limit")
-            .when(whole & (n != F.floor(n)), "not whole"),
-        )
+        .withColumn("_t", F.when(~t.isin(*missing), t) if missing else t)
+        .withColumn("_n", strict_number(t, comma, type_))
+        .withColumn(error, reason)
         .withColumn(value, F.when(F.col(error).isNull(), n))
         .drop("_t", "_n")
     )

@@ -164,7 +164,7 @@ def complement(df: DataFrame, whole: str, part: str, name: str) -> DataFrame:
 
 def mapped_measures(
     df: DataFrame, keys: Sequence[str], mapping: Mapping[str, str], kinds: Mapping[str, tuple[str, str]],
-    missing: Sequence[str] = ("", "-", "..", "...", "X"),
+    missing: Sequence[str] = ("-", "..", "...", "X"),
 ) -> DataFrame:
     """``{public name: source field}`` to long rows ``keys, measure, unit, value, error``.
 
@@ -179,7 +179,7 @@ def mapped_measures(
         for name, field in mapping.items()
     ])).alias("m")).select(*keys, "m.*")
     limit = F.when(F.col("kind") == "percent", F.lit(100)).cast("decimal(18,2)")
-    return with_number(long, "raw", "value", "error", missing, limit, F.col("kind") == "count", "decimal(20,4)").select(
+    return with_number(long, "raw", missing=missing, upper=limit, whole=F.col("kind") == "count").select(
         *keys, "measure", "unit", F.col("value").cast("decimal(18,2)").alias("value"), "error")
 
 

@@ -44,9 +44,8 @@ def b02(spark, d):
     comma = F.translate(x.cast("string"), ".", ",")
     n = F.col("l_linenumber")
     raw = F.when(n == 1, "ND").when(n == 2, F.concat(F.lit("x"), comma)).when(n == 3, F.concat(F.lit("-"), comma)).otherwise(comma)
-    got = cells.parse_number(raw, ["", "-", "ND"], comma=True, upper=45.0, whole=True)
-    return table(spark, d, "lineitem").select(got.alias("g")).groupBy(F.col("g.error").alias("error")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("g.value").alias("total"))
+    rows = cells.with_number(table(spark, d, "lineitem").select(raw.alias("raw")), "raw", missing=["-", "ND"], comma=True, upper=45.0, whole=True)
+    return rows.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("bigint").alias("total"))
 
 
 CODED_SQL = """coded AS (

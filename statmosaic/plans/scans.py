@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.cells import parse_number
+from ..functions.cells import strict_number
 from ..operators.aggregates import grand_total
 from ..operators.mapping import with_provenance
 from ..operators.quality import declared_total, export_matches
@@ -30,7 +30,7 @@ def a01(spark, d):
                  F.col("o_orderkey").cast("string").alias("Código do Pedido"), F.col("o_orderstatus").alias("Situação")),
         path, ["Prioridade", "Valor Total", "Código do Pedido", "Situação"])
     layout = Layout(("codigodopedido", "valortotal", "situacao", "prioridade"))
-    value = parse_number(F.col("valortotal"), comma=True, type_="decimal(18,2)")["value"]
+    value = strict_number(F.col("valortotal"), comma=True, type_="decimal(18,2)")
     return delimited.read_contract(spark, path, layout).groupBy("situacao").agg(
         F.count(F.lit(1)).alias("n"), dbl(F.sum(value)).alias("total"))
 
