@@ -15,8 +15,7 @@ from .quality import require
 def content_differences(candidate: DataFrame, previous: DataFrame, volatile: Sequence[str] = VOLATILE) -> DataFrame:
     """Row contents (without collection dates) that only one side has, as a multiset; empty = unchanged."""
     a = candidate.select(content_digest(candidate, volatile).alias("digest"), F.lit(1).alias("_d"))
-    cols = [c for c in candidate.columns if c in previous.columns]
-    b = previous.select(*cols).select(content_digest(previous.select(*cols), volatile).alias("digest"), F.lit(-1).alias("_d"))
+    b = previous.select(content_digest(previous, volatile).alias("digest"), F.lit(-1).alias("_d"))
     return a.unionByName(b).groupBy("digest").agg(F.sum("_d").alias("difference")).filter(F.col("difference") != 0)
 
 
