@@ -68,9 +68,13 @@ def check_header(header: Sequence[str], layout: Layout) -> list[str]:
 
 
 def read_contract(
-    spark: SparkSession, path: str | Sequence[str], layout: Layout, select: Sequence[str] | None = None
+    spark: SparkSession, path: str | Sequence[str], layout: Layout, select: Sequence[str] | None = None,
+    with_path: bool = False,
 ) -> DataFrame:
-    """All columns as text, named by their normal form, in contract (or ``select``) order."""
+    """All columns as text, named by their normal form, in contract (or ``select``) order.
+
+    ``with_path`` adds ``file_path``, from which publication and kind can be read.
+    """
     header = raw_header(spark, path, layout)
     names = check_header(header, layout)
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
@@ -84,7 +88,9 @@ def read_contract(
         .csv(path)
     )
     wanted = [header_key(c) for c in (select or layout.columns)]
-    return df.toDF(*names).select(*wanted)
+    at = dict(zip(names, header, strict=True))
+    extra = [F.col("_metadata.file_path").alias("file_path")] if with_path else []
+    return df.select(*[F.col(f"`{at[w]}`").alias(w) for w in wanted], *extra)
 
 
 def read_edition(
@@ -174,10 +180,9 @@ def drop_header_record(df: DataFrame, order: str = "row_index") -> DataFrame:
     return df.filter(F.col(order) > 0)
 
 
-def file_facts(df: DataFrame, pattern: str, names: Sequence[str]) -> DataFrame:
+def file_facts(df: DataFrame, pattern: str, names: Sequence[str], path: str = "_metadata.file_path") -> DataFrame:
     """Columns read from each row's file path through one pattern with named order."""
-    path = F.col("_metadata.file_path")
-    return df.select("*", *[F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(names)])
+    return df.select("*", *[F.regexp_extract(F.col(path), pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
 def columns_like(df: DataFrame, pattern: str) -> list[str]:
