@@ -3,6 +3,8 @@ of rings (outer first, then holes), a multi-polygon an array of polygons."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,20 +28,32 @@ def _edges(ring: Column) -> Column:
         a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
+def edges(multi: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """The same nesting with edges in place of vertices; prepare it once per shape, not per point."""
+    ring = lambda r: F.filter(_edges(r), keep) if keep else _edges(r)
+    return F.transform(multi, lambda p: F.transform(p, ring))
+
+
+def crossing_x(e: Column, y: Column) -> Column:
+    """Where an edge meets the horizontal line at ``y``."""
+    return F.coalesce(F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]), F.lit(0.0)) + e["ax"]
+
+
+def straddles(e: Column, y: Column) -> Column:
+    return (e["ay"] > y) != (e["by"] > y)
+
+
+def _odd(x: Column, y: Column, ring_edges: Column) -> Column:
     """Ray casting: an odd number of crossings is inside."""
-    crossings = F.filter(
-        _edges(ring),
-        lambda e: ((e["ay"] > y) != (e["by"] > y))
-        & (x < F.coalesce(F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]), F.lit(0.0)) + e["ax"]),
+    return F.aggregate(
+        ring_edges, F.lit(False), lambda inside, e: inside != (straddles(e, y) & (x < crossing_x(e, y)))
     )
-    return F.size(crossings) % 2 == 1
 
 
-def on_ring(x: Column, y: Column, ring: Column, eps: float = 1e-12) -> Column:
-    """Does the point lie on the boundary line?"""
+def _touches(x: Column, y: Column, ring_edges: Column, eps: float) -> Column:
+    """Does the point lie on one of the edges?"""
     return F.exists(
-        _edges(ring),
+        ring_edges,
         lambda e: (
             F.abs((e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])) <= F.lit(eps)
         )
@@ -48,18 +62,30 @@ def on_ring(x: Column, y: Column, ring: Column, eps: float = 1e-12) -> Column:
     )
 
 
-def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
-    holes = F.slice(polygon, F.lit(2), F.greatest(F.size(polygon) - 1, F.lit(0)))
-    return in_ring(x, y, polygon[0]) & ~F.exists(holes, lambda h: in_ring(x, y, h))
+def _holes(polygon: Column) -> Column:
+    return F.slice(polygon, F.lit(2), F.greatest(F.size(polygon) - 1, F.lit(0)))
+
+
+def in_edges(x: Column, y: Column, edged: Column) -> Column:
+    """Inside one polygon's outer ring and outside its holes, on prepared :func:`edges`."""
+    return F.exists(edged, lambda p: _odd(x, y, p[0]) & ~F.exists(_holes(p), lambda h: _odd(x, y, h)))
+
+
+def on_edges(x: Column, y: Column, edged: Column, eps: float = 1e-12) -> Column:
+    return F.exists(edged, lambda p: F.exists(p, lambda r: _touches(x, y, r, eps)))
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    return _odd(x, y, _edges(ring))
 
 
 def in_geometry(x: Column, y: Column, multi: Column) -> Column:
-    return F.exists(multi, lambda p: in_polygon(x, y, p))
+    return in_edges(x, y, edges(multi))
 
 
 def covers(x: Column, y: Column, multi: Column) -> Column:
     """Inside or on any boundary line."""
-    return in_geometry(x, y, multi) | F.exists(multi, lambda p: F.exists(p, lambda r: on_ring(x, y, r)))
+    return in_geometry(x, y, multi) | on_edges(x, y, edges(multi))
 
 
 def vertices(multi: Column) -> Column:
@@ -108,8 +134,7 @@ def ring_area(ring: Column) -> Column:
 
 
 def polygon_area(polygon: Column) -> Column:
-    holes = F.slice(polygon, F.lit(2), F.greatest(F.size(polygon) - 1, F.lit(0)))
-    return ring_area(polygon[0]) - F.aggregate(holes, F.lit(0.0), lambda acc, h: acc + ring_area(h))
+    return ring_area(polygon[0]) - F.aggregate(_holes(polygon), F.lit(0.0), lambda acc, h: acc + ring_area(h))
 
 
 def centroid(multi: Column) -> Column:

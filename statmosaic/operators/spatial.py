@@ -32,17 +32,44 @@ def shapes_by_cell(shapes: DataFrame, box: Column, size: float) -> DataFrame:
     )
 
 
+def _judged_cells(shapes: DataFrame, geometry: str, size: float) -> DataFrame:
+    """Shape cells, each judged once: dropped when outside, ``_whole`` when inside, else the edges that matter.
+
+    A cell that no edge's box touches lies wholly on one side, so its centre decides.  Where
+    the boundary runs, only edges level with the cell can be crossed by a ray from it.
+    """
+    prepared = shapes.withColumns({"_box": geo.bbox(F.col(geometry)), "_edges": geo.edges(F.col(geometry))}).drop(geometry)
+    lo_x, lo_y = F.col("cell.cx") * size, F.col("cell.cy") * size
+    slack = size * 1e-9  # cell bounds are products, cell numbers quotients: allow for their rounding
+    level = lambda e: (F.least(e["ay"], e["by"]) <= lo_y + size + slack) & (F.greatest(e["ay"], e["by"]) >= lo_y - slack)
+    beside = lambda e: (F.least(e["ax"], e["bx"]) <= lo_x + size + slack) & (F.greatest(e["ax"], e["bx"]) >= lo_x - slack)
+    near = F.transform("_edges", lambda p: F.transform(p, lambda r: F.filter(r, level)))
+    cells = shapes_by_cell(prepared, F.col("_box"), size).withColumn("_edges", near)
+    mixed = F.exists("_edges", lambda p: F.exists(p, lambda r: F.exists(r, beside)))
+    inside = geo.in_edges(lo_x + size / 2, lo_y + size / 2, F.col("_edges"))
+    return (
+        cells.withColumn("_mixed", mixed)
+        .withColumn("_whole", ~F.col("_mixed") & inside)
+        .filter(F.col("_mixed") | F.col("_whole"))
+        .withColumn("_edges", F.when(F.col("_mixed"), F.col("_edges")))
+        .drop("_mixed", "_box")
+    )
+
+
 def points_in_shapes(
     points: DataFrame, shapes: DataFrame, x: str, y: str, geometry: str, size: float, inclusive: bool = False, salts: int = 16
 ) -> DataFrame:
-    """Every (point, shape) pair with the point inside; ``inclusive`` also counts the boundary line."""
-    by_cell = shapes_by_cell(shapes, geo.bbox(F.col(geometry)), size)
+    """Every (point, shape) pair with the point inside; ``inclusive`` also counts the boundary line.
+
+    Points in cells wholly inside a shape need no further test.
+    """
     located = points.withColumn("cell", cell_of(F.col(x), F.col(y), size))
-    candidates = salted_join(located, by_cell, ["cell"], "inner", salts)
-    px, py, g = F.col(x), F.col(y), F.col(geometry)
-    near = geo.in_box(px, py, geo.bbox(g))
-    hit = geo.covers(px, py, g) if inclusive else geo.in_geometry(px, py, g)
-    return candidates.filter(near & hit).drop("cell", geometry)
+    candidates = salted_join(located, _judged_cells(shapes, geometry, size), ["cell"], "inner", salts)
+    px, py, e = F.col(x), F.col(y), F.col("_edges")
+    hit = geo.in_edges(px, py, e)
+    if inclusive:
+        hit = hit | geo.on_edges(px, py, e)
+    return candidates.filter(F.col("_whole") | hit).drop("cell", "_whole", "_edges")
 
 
 def within_radius(
@@ -87,15 +114,34 @@ def inside_then_nearest(inside: DataFrame, nearby: DataFrame, keys: Sequence[str
 
 
 def covered_cells(shapes: DataFrame, geometry: str, size: float) -> DataFrame:
-    """Equal-area grid cells whose centre a shape covers.
+    """Equal-area grid cells whose centre a (valid) shape covers.
 
-    A cell counts wholly or not at all: area error per shape is at most its perimeter times
-    the cell's diagonal.  Coordinates must be in a projected, equal-area unit.
+    Each row of cells is cut once by the shape's edges; between the first and second cut,
+    the third and fourth and so on, every centre is inside.  A cell counts wholly or not at
+    all: the area error per shape is at most its perimeter times the cell's diagonal.
+    Coordinates must be in a projected, equal-area unit.
     """
-    by_cell = shapes_by_cell(shapes, geo.bbox(F.col(geometry)), size)
-    cx = (F.col("cell.cx") + 0.5) * size
-    cy = (F.col("cell.cy") + 0.5) * size
-    return by_cell.filter(geo.in_geometry(cx, cy, F.col(geometry))).drop(geometry)
+    box = geo.bbox(F.col(geometry))
+    rows = (
+        shapes.withColumns({"_edges": F.flatten(F.flatten(geo.edges(F.col(geometry)))), "_cy": F.explode(F.sequence(
+            F.floor(box["min_y"] / size).cast("bigint"), F.floor(box["max_y"] / size).cast("bigint")))})
+        .drop(geometry)
+        .withColumn("_y", (F.col("_cy") + 0.5) * size)
+    )
+    cuts = F.array_sort(F.transform(F.filter("_edges", lambda e: geo.straddles(e, F.col("_y"))), lambda e: geo.crossing_x(e, F.col("_y"))))
+    spans = (
+        rows.withColumn("_cuts", cuts).drop("_edges", "_y").filter(F.size("_cuts") > 1)
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_cuts") - 2, F.lit(2))))
+        .withColumns({"_from": F.col("_cuts")[F.col("_i")], "_to": F.col("_cuts")[F.col("_i") + 1]}).drop("_cuts", "_i")
+    )
+    centre = (F.col("_cx") + 0.5) * size
+    return (
+        spans.withColumn("_cx", F.explode(F.sequence(
+            F.floor(F.col("_from") / size).cast("bigint"), F.floor(F.col("_to") / size).cast("bigint"))))
+        .filter((centre >= F.col("_from")) & (centre < F.col("_to")))
+        .withColumn("cell", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")))
+        .drop("_cx", "_cy", "_from", "_to")
+    )
 
 
 def clip_area(shape_cells: DataFrame, boundary_cells: DataFrame, shape: Sequence[str], boundary: Sequence[str], cell_area: float) -> DataFrame:

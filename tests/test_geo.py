@@ -119,3 +119,33 @@ def test_overlay_stays_within_its_stated_error(spark):
     perimeter = sum(math.dist(a, b) for a, b in zip(ring, ring[1:], strict=False))
     assert abs(got - exact) <= perimeter * size * math.sqrt(2)
     assert abs(got - exact) / exact < 0.005
+
+
+def star(r, cx, cy, n=12):
+    pts = []
+    for i in range(n):
+        d, a = r.uniform(0.5, 4.0), 2 * math.pi * i / n
+        pts.append([cx + d * math.cos(a), cy + d * math.sin(a)])
+    return [*pts, list(pts[0])]
+
+
+def test_random_shapes_equal_the_plain_test(spark, rows):
+    r = random.Random(11)
+    shapes = [(f"s{i}", [[star(r, r.uniform(0, 20), r.uniform(0, 20))]]) for i in range(15)] + [("m", MULTI)]
+    pts = [(i, r.uniform(-3, 24), r.uniform(-3, 24)) for i in range(600)] + [(1000 + i, float(i % 21), float(i // 21)) for i in range(441)]
+    sf = spark.createDataFrame(shapes, f"s string, g {GEOM}")
+    pf = spark.createDataFrame(pts, "i int, x double, y double")
+    for size in (0.7, 3.0, 50.0):
+        got = spatial.points_in_shapes(pf, sf, "x", "y", "g", size, salts=3)
+        assert rows(got, "i", "s") == sorted([(i, s) for i, x, y in pts for s, g in shapes if brute(x, y, g)], key=repr)
+    size = 0.35
+    got = spatial.covered_cells(sf, "g", size).select("s", "cell.cx", "cell.cy")
+    want = [(s, cx, cy) for s, g in shapes for cx in range(-15, 75) for cy in range(-15, 75) if brute((cx + 0.5) * size, (cy + 0.5) * size, g)]
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_inclusive_grid_join_keeps_boundary_points(spark, rows):
+    sf = spark.createDataFrame([("a", [[SQUARE, HOLE]])], f"s string, g {GEOM}")
+    pts = [(1, 0.0, 0.0), (2, 10.0, 5.0), (3, 4.0, 5.0), (4, 5.0, 5.0), (5, 5.0, 10.0), (6, 10.5, 5.0)]
+    got = spatial.points_in_shapes(spark.createDataFrame(pts, "i int, x double, y double"), sf, "x", "y", "g", 2.0, inclusive=True)
+    assert rows(got, "i") == [(1,), (2,), (3,), (5,)]
