@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import scale_units
 from ..operators import aggregates, joins, mapping, quality, ranking, sets, windows
+from ..session import attach_group
 
 
 def dim(name: str) -> Column:
@@ -133,9 +134,13 @@ def present(products_: DataFrame, reference: str) -> DataFrame:
 
 
 def ranked(products_: DataFrame, names: DataFrame, metric: str, reference: str, subtotals: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """Products by one metric in the reference year; totals and subtotals never compete, units never mix."""
-    rows = products_.filter((F.col("metric") == metric) & (F.col("period") == reference)).join(
-        present(products_, reference).filter("present_latest").select("territory", "product"), ["territory", "product"], "left_semi")
+    """Products by one metric in the reference year; totals and subtotals never compete, units never mix.
+
+    Only products present in that year count; a product's group is its metrics and years.
+    """
+    there = ((F.col("value") > 0) | (F.col("status") == "suppressed")) & (F.col("period") == reference)
+    rows = attach_group(products_, ["territory", "product"], {"_there": F.max(there)}, bounded=True).filter(
+        F.coalesce("_there", F.lit(False)) & (F.col("metric") == metric) & (F.col("period") == reference)).drop("_there")
     return ranking.rank_products(rows.join(names, "product"), ["territory", "unit"], "value", "name", mapping.rank_eligible(F.col("product"), subtotals), limit)
 
 

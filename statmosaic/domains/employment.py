@@ -90,9 +90,8 @@ def monthly(rows: DataFrame, territories: DataFrame, start: str, latest: str) ->
     led = rows.groupBy("territory", "month").agg(
         *aggregates.flow_counts(), *aggregates.mean_with_sample(F.col("salary"), F.col("weight"), F.col("wage_eligible")))
     spine = windows.month_spine(territories.select("territory"), start, latest)
-    dense = windows.densify(spine, led, ["territory", "month"], MEASURES, F.lit(True))
-    wage = led.select("territory", "month", F.col("mean").alias("admission_salary"), F.col("sample").alias("salary_sample"))
-    dense = dense.join(wage, ["territory", "month"], "left")
+    led = led.withColumnsRenamed({"mean": "admission_salary", "sample": "salary_sample"})
+    dense = windows.densify(spine, led, ["territory", "month"], MEASURES, F.lit(True), ["admission_salary", "salary_sample"])
     out = windows.complete_trailing(dense, ["territory"], "month", MEASURES)
     return windows.complete_year_to_date(out, ["territory"], "month", MEASURES)
 

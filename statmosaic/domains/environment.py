@@ -25,10 +25,9 @@ def land_cover(wide: DataFrame, legend: DataFrame, area: DataFrame) -> DataFrame
 
 def land_history(panel: DataFrame) -> DataFrame:
     """Overlapping groups per year; ``farming_without_plantation`` leaves planted forest out."""
-    g = aggregates.semantic_groups(panel, ["territory", "year"], "class", "path", "ha", GROUP_PREFIX, GROUP_CODES)
-    planted = panel.filter(F.col("path").startswith("3.") & (F.col("class") == 9)).groupBy("territory", "year").agg(F.sum("ha").alias("_p"))
-    return g.join(planted, ["territory", "year"], "left").withColumn(
-        "farming_without_plantation", F.col("farming") - F.coalesce("_p", F.lit(0.0))).drop("_p")
+    unplanted = F.col("path").startswith(GROUP_PREFIX["farming"]) & ~F.col("class").isin(*GROUP_CODES["plantation"])
+    return aggregates.semantic_groups(
+        panel, ["territory", "year"], "class", "path", "ha", GROUP_PREFIX, GROUP_CODES, {"farming_without_plantation": unplanted})
 
 
 def land_violations(panel: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import ratio
 from ..functions.periods import month_ordinal
 from ..operators import aggregates, disclosure, mapping, quality, windows
+from ..session import attach_group
 
 # fixed values: source fields of the monthly table
 REGISTRY = {
@@ -43,12 +44,16 @@ def kind_of(name: str) -> tuple[str, str]:
     return ("pessoas", "count") if name == "people" or name.endswith("People") else ("benefícios", "count")
 
 
-def latest_month(raw: DataFrame, fields: Mapping[str, str], earliest: str = REGIME_START) -> DataFrame:
-    """Latest month per territory in which every field of the block was published."""
+def _full(fields: Mapping[str, str]) -> Column:
     full = F.lit(True)
     for f in fields.values():
         full = full & F.col(f).isNotNull()
-    return raw.filter(full & (F.col("anomes_s") >= earliest)).groupBy("codigo_ibge").agg(F.max("anomes_s").alias("reference"))
+    return full
+
+
+def latest_month(raw: DataFrame, fields: Mapping[str, str], earliest: str = REGIME_START) -> DataFrame:
+    """Latest month per territory in which every field of the block was published."""
+    return raw.filter(_full(fields) & (F.col("anomes_s") >= earliest)).groupBy("codigo_ibge").agg(F.max("anomes_s").alias("reference"))
 
 
 def block(raw: DataFrame, fields: Mapping[str, str], months: int = 24, whole_rows: bool = False, earliest: str = REGIME_START) -> DataFrame:
@@ -58,12 +63,12 @@ def block(raw: DataFrame, fields: Mapping[str, str], months: int = 24, whole_row
     Primary suppression is already applied: ``territory, month, reference, measure, unit, value, status, error``.
     """
     age = month_ordinal(F.col("reference")) - month_ordinal(F.col("anomes_s"))
-    rows = raw.join(latest_month(raw, fields, earliest), "codigo_ibge").filter((age >= 0) & (age < months) & (F.col("anomes_s") >= earliest))
+    # a territory has one row per month, so its group is as long as the calendar
+    latest = F.max(F.when(_full(fields), F.col("anomes_s")))
+    dated = attach_group(raw.filter(F.col("anomes_s") >= earliest), ["codigo_ibge"], {"reference": latest}, bounded=True)
+    rows = dated.filter((age >= 0) & (age < months))
     if whole_rows:
-        full = F.lit(True)
-        for f in fields.values():
-            full = full & F.col(f).isNotNull()
-        rows = rows.withColumns({f: F.when(full, F.col(f)) for f in fields.values()})
+        rows = rows.withColumns({f: F.when(_full(fields), F.col(f)) for f in fields.values()})
     keyed = rows.select(F.col("codigo_ibge").alias("territory"), F.col("anomes_s").alias("month"), "reference", *fields.values())
     long = mapping.mapped_measures(keyed, ["territory", "month", "reference"], fields, {n: kind_of(n) for n in fields})
     return disclosure.suppress_primary(long.withColumn("status", F.lit("real")), "value", "unit", "status", PERSON_UNITS)

@@ -131,12 +131,13 @@ def class_panel(long: DataFrame, keys: Sequence[str], cls: str, path: str, perio
 
 def semantic_groups(
     panel: DataFrame, keys: Sequence[str], cls: str, path: str, value: str,
-    prefixes: Mapping[str, str], codes: Mapping[str, Sequence],
+    prefixes: Mapping[str, str], codes: Mapping[str, Sequence], conditions: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Overlapping groups of classes side by side: by path prefix or by code set."""
+    """Overlapping groups of classes side by side: by path prefix, by code set or by any condition."""
     zero = F.lit(0)
     cols = [F.sum(F.when(F.col(path).startswith(p), F.col(value)).otherwise(zero)).alias(n) for n, p in prefixes.items()]
     cols += [F.sum(F.when(F.col(cls).isin(*c), F.col(value)).otherwise(zero)).alias(n) for n, c in codes.items()]
+    cols += [F.sum(F.when(c, F.col(value)).otherwise(zero)).alias(n) for n, c in (conditions or {}).items()]
     return panel.groupBy(*keys).agg(*cols)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.documents import VOLATILE, content_digest
+from .aggregates import flow_counts
 from .joins import changed_rows
 from .quality import require
 
@@ -39,6 +40,28 @@ def revision_log(
     return changed_rows(previous, current, keys, fields).withColumn("detected_at", detected)
 
 
+def ledger_revisions(
+    moves: DataFrame, keys: Sequence[str], publication: str, cutoff: str, detected: Column
+) -> DataFrame:
+    """Revisions of a movement ledger since a publication, when the movements themselves are at hand.
+
+    Both states come out of one aggregation instead of two passes and a join.
+    """
+    early = F.col(publication) <= cutoff
+    s, w = F.col("sign"), F.col("weight")
+    g = moves.groupBy(*keys).agg(
+        *flow_counts(),
+        *[c.cast("bigint").alias(f"previous_{n}") for n, c in (
+            ("admissions", F.sum(F.when(early & (s == 1), w).otherwise(0))), ("dismissals", F.sum(F.when(early & (s == -1), w).otherwise(0))),
+            ("balance", F.sum(F.when(early, s * w).otherwise(0))))],
+        F.max(early).alias("_known"),
+    )
+    same = F.lit(True)
+    for n in ("admissions", "dismissals", "balance"):
+        same = same & (F.col(n) == F.col(f"previous_{n}"))
+    return g.filter(F.col("_known") & ~same).drop("_known").withColumn("detected_at", detected)
+
+
 def publish(
     df: DataFrame, root: str, version: str, gates: Callable[[DataFrame], Sequence[DataFrame]]
 ) -> str:

@@ -28,10 +28,14 @@ def month_spine(
 
 
 def densify(
-    spine: DataFrame, facts: DataFrame, keys: Sequence[str], measures: Sequence[str], fill_zero: Column | None = None
+    spine: DataFrame, facts: DataFrame, keys: Sequence[str], measures: Sequence[str], fill_zero: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Put facts on the spine; a gap becomes zero only where ``fill_zero`` holds, else null."""
-    j = spine.join(facts.select(*keys, *measures), list(keys), "left")
+    """Put facts on the spine; a gap becomes zero only where ``fill_zero`` holds, else null.
+
+    Columns in ``carry`` (means, flags) come along and are never filled.
+    """
+    j = spine.join(facts.select(*keys, *measures, *carry), list(keys), "left")
     if fill_zero is None:
         return j
     return j.withColumns({

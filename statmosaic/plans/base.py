@@ -15,6 +15,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.periods import year_month
 
@@ -24,8 +25,15 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A given table; its schema is read from the files once, not before every query."""
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def dec(c: Column | str, p: int = 18, s: int = 2) -> Column:
@@ -44,8 +52,17 @@ def territories(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def orders_by_territory(spark: SparkSession, d: str) -> DataFrame:
-    o, c, t = table(spark, d, "orders"), table(spark, d, "customer"), territories(spark, d)
+def in_months(df: DataFrame, ts: str, months: tuple[str, str] | None) -> DataFrame:
+    """Inclusive month window as a range on the stored timestamp, so that files can be skipped."""
+    if months is None:
+        return df
+    bound = lambda ym: F.to_timestamp_ntz(F.lit(f"{ym[:4]}-{ym[4:]}-01 00:00:00"))
+    last = int(months[1][:4]) * 12 + int(months[1][4:])
+    return df.filter((F.col(ts) >= bound(months[0])) & (F.col(ts) < bound(f"{last // 12:04}{last % 12 + 1:02}")))
+
+
+def orders_by_territory(spark: SparkSession, d: str, months: tuple[str, str] | None = None) -> DataFrame:
+    o, c, t = in_months(table(spark, d, "orders"), "o_orderdate", months), table(spark, d, "customer"), territories(spark, d)
     return (
         o.join(c, o.o_custkey == c.c_custkey).join(t, c.c_nationkey == t.n_nationkey)
         .select(
@@ -65,8 +82,8 @@ ORDERS_SQL = """ord AS (
   JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def movements(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+def movements(spark: SparkSession, d: str, months: tuple[str, str] | None = None) -> DataFrame:
+    li = in_months(table(spark, d, "lineitem"), "l_shipdate", months)
     exclusion = (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1)
     lines = li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", year_month(F.col("l_shipdate")).alias("month"),

@@ -38,10 +38,7 @@ WITH {MOVES_SQL}, cur AS (SELECT territory, month, {FLOWS_SQL} FROM mov GROUP BY
 SELECT cur.*, prev.admissions AS previous_admissions, prev.dismissals AS previous_dismissals, prev.balance AS previous_balance, '2000-07-31' AS detected_at
 FROM cur JOIN prev USING (territory, month) WHERE (cur.admissions, cur.dismissals, cur.balance) <> (prev.admissions, prev.dismissals, prev.balance)""")
 def l03(spark, d):
-    m = movements(spark, d)
-    keys = ["territory", "month"]
-    return refresh.revision_log(agg.ledger(m.filter("declared <= '200006'"), keys), agg.ledger(m, keys), keys,
-                                ["admissions", "dismissals", "balance"], F.lit("2000-07-31"))
+    return refresh.ledger_revisions(movements(spark, d), ["territory", "month"], "declared", "200006", F.lit("2000-07-31"))
 
 
 @query("l04_publish", f"WITH {YEARLY_SQL} SELECT territory, year, n FROM yr")
@@ -93,7 +90,7 @@ def l08(spark, d):
 @query("l09_as_of", f"""
 WITH {MOVES_SQL} SELECT territory, month, {FLOWS_SQL} FROM mov WHERE declared <= '199906' AND month BETWEEN '199707' AND '199906' GROUP BY ALL""")
 def l09(spark, d):
-    return agg.ledger(refresh.as_of(movements(spark, d), "declared", "199906", "month", "199906", 24), ["territory", "month"])
+    return agg.ledger(refresh.as_of(movements(spark, d, ("199707", "199906")), "declared", "199906", "month", "199906", 24), ["territory", "month"])
 
 
 EVENT_SQL = """ev AS (SELECT event_id, event_type AS territory, strftime(ts, '%Y-%m-%d') AS period, CASE WHEN event_type = 'signup' THEN -1 ELSE 1 END AS sign,
@@ -117,10 +114,10 @@ def m01(spark, d):
     root = scratch_path(spark, "m01")
     events = table(spark, d, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    q = live.write_updates(live.period_ledger(_marked(stream), "ts", DELAY, ["territory"], _day()), f"{root}/state", f"{root}/checkpoint")
-    q.awaitTermination()
-    updates = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/state")
-    return live.current_state(updates, ["territory", "period"])
+    keys = ["territory", "period"]
+    led = live.period_ledger(_marked(stream), "ts", DELAY, ["territory"], _day())
+    live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", keys).awaitTermination()
+    return live.current_state(live.read_updates(spark, f"{root}/state"), keys)
 
 
 @query("m02_stream_dedup", f"WITH {EVENT_SQL} SELECT territory, period, {FLOWS_SQL} FROM ev GROUP BY ALL")
@@ -146,5 +143,5 @@ def m03(spark, d):
         events.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
         led = live.period_ledger(_marked(stream), "ts", DELAY, ["territory"], _day())
-        live.write_revisions(led, f"{root}/state", f"{root}/log", f"{root}/checkpoint", ["territory", "period"]).awaitTermination()
+        live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory", "period"], f"{root}/log").awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/log").drop("batch")

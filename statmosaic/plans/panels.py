@@ -89,7 +89,7 @@ def e03(spark, d):
 
 @query("e06_last_calendar_months", f"WITH {ORDERS_SQL} SELECT month, count(*) AS n FROM ord WHERE month BETWEEN '199808' AND '200007' GROUP BY 1")
 def e06(spark, d):
-    return windows.last_calendar_months(orders_by_territory(spark, d), "month", F.lit("200007"), 24).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    return windows.last_calendar_months(orders_by_territory(spark, d, ("199808", "200007")), "month", F.lit("200007"), 24).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e06_last_published", f"""

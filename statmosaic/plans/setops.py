@@ -65,7 +65,7 @@ WITH {ORDERS_SQL}, g AS (SELECT territory, list_sort(list(DISTINCT month)) AS m
 SELECT territory, len(m) = 12 AS complete, len(m) AS months FROM g""")
 def g06(spark, d):
     wanted = F.array(*[F.lit(f"1998{m:02}") for m in range(1, 13)])
-    rows = orders_by_territory(spark, d).filter("year = '1998' AND priority IN ('1-URGENT', '2-HIGH') AND status_code = 'P'")
+    rows = orders_by_territory(spark, d, ("199801", "199812")).filter("priority IN ('1-URGENT', '2-HIGH') AND status_code = 'P'")
     g = rows.groupBy("territory").agg(F.array_sort(F.collect_set("month")).alias("m"))
     return g.select("territory", sets.same_keys(F.col("m"), wanted).alias("complete"), F.size("m").cast("bigint").alias("months"))
 

@@ -14,9 +14,9 @@ from .registry import query
 SECTION = {"AUTOMOBILE": "A", "BUILDING": "C", "FURNITURE": "F", "HOUSEHOLD": "G", "MACHINERY": "H"}
 
 
-def _movement_texts(spark, d):
+def _movement_texts(spark, d, months=None):
     """Lines as the text columns of the movement publication."""
-    m = movements(spark, d)
+    m = movements(spark, d, months)
     exc, late = F.col("kind") == "EXC", F.col("kind") == "FOR"
     pub = F.when(F.col("kind") == "MOV", F.col("month")).otherwise(F.col("declared"))
     return m.select(
@@ -28,11 +28,11 @@ def _movement_texts(spark, d):
         F.when(F.col("l_linenumber") == 6, "1").otherwise("0").alias("indtrabintermitente"))
 
 
-def _movements(spark, d):
+def _movements(spark, d, months=None):
     acts = param_table(spark, [(f"{i:07}", f"Activity {i}") for i in range(1, 7)], "code string, label string")
     jobs = param_table(spark, [(f"{i:06}", f"Job {i}") for i in range(1, 5)], "code string, label string")
     wages = param_table(spark, [(y, 200.0) for y in YEARS], "year string, minimum double")
-    typed = employment.movements(_movement_texts(spark, d), acts, jobs, wages)
+    typed = employment.movements(_movement_texts(spark, d, months), acts, jobs, wages)
     walk = territories(spark, d).select(F.col("code").alias("source_code"), F.col("state").alias("state_code"), F.col("territory").alias("code"))
     return mapping.in_territory(typed.filter("problem IS NULL"), walk, "source_code", "state_code")
 
@@ -56,7 +56,7 @@ WITH {MOVES_SQL}, base AS (SELECT territory, month, CASE WHEN priority = '5-LOW'
   CAST(sum(CASE WHEN sign = 1 THEN weight ELSE 0 END) AS BIGINT) AS admissions, CAST(sum(CASE WHEN sign = -1 THEN weight ELSE 0 END) AS BIGINT) AS dismissals
   FROM mov WHERE year = '1999' AND weight = 1 GROUP BY ALL),""" + MERGE_SQL.format(k="territory, month", c="occupation"))
 def employment_protected(spark, d):
-    return employment.protected_breakdown(_movements(spark, d).filter("year = '1999' AND weight = 1"), "occupation")
+    return employment.protected_breakdown(_movements(spark, d, ("199901", "199912")).filter("weight = 1"), "occupation")
 
 
 @query("education_network_series", """

@@ -38,7 +38,7 @@ def d03(spark, d):
 @query("d04_national_total", f"""
 WITH {MOVES_SQL} SELECT coalesce(state, 'Total') AS state, {FLOWS_SQL} FROM mov WHERE year = '2000' GROUP BY ROLLUP (state)""")
 def d04(spark, d):
-    return agg.grand_total(movements(spark, d).filter("year = '2000'"), "state", agg.flow_counts())
+    return agg.grand_total(movements(spark, d, ("200001", "200012")), "state", agg.flow_counts())
 
 
 @query("d05_dimension_totals", f"""
@@ -207,7 +207,7 @@ SELECT territory, CASE WHEN grouping(segment) = 1 THEN 'Total' ELSE segment END
  CASE WHEN count(CASE WHEN v > 0 THEN 1 END) >= 5 THEN CAST(sum(CASE WHEN v > 0 THEN v END) AS DOUBLE) / count(CASE WHEN v > 0 THEN 1 END) END AS mean
 FROM s GROUP BY GROUPING SETS ((territory), (territory, segment))""")
 def d22(spark, d):
-    s = movements(spark, d).filter("l_linestatus = 'F' AND year = '1995'").select(
+    s = movements(spark, d, ("199501", "199512")).filter("l_linestatus = 'F'").select(
         "territory", "segment", F.when(F.col("l_linenumber") > 2, F.col("salary")).otherwise(dec(F.lit(0))).alias("v"))
     return agg.stock_and_mean(s, "territory", "segment", "v")
 

@@ -8,9 +8,11 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A parameter table longer than this is a data set: Spark then chooses the join.
 PARAM_ROWS_MAX = 100_000
+INLINE_CELLS_MAX = 1_000
 
 _OWN_SCRATCH: dict[str, str] = {}
 
@@ -60,8 +62,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def param_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A driver-supplied mapping.  Its length is known, so the hint is size-checked."""
-    df = spark.createDataFrame(list(rows), schema)
+    """A driver-supplied mapping.  Its length is known, so the hint is size-checked.
+
+    Short tables become literal rows of the plan, which need no job of their own.
+    """
+    rows = list(rows)
+    fields = T.StructType.fromDDL(schema).fields
+    if rows and len(rows) * len(fields) <= INLINE_CELLS_MAX:
+        cells = {f"r{i}c{j}": v for i, row in enumerate(rows) for j, v in enumerate(row)}
+        marks = ", ".join("(" + ", ".join(f":r{i}c{j}" for j in range(len(fields))) + ")" for i in range(len(rows)))
+        literal = spark.sql(f"SELECT * FROM VALUES {marks}", args=cells)
+        df = literal.toDF(*[f.name for f in fields]).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    else:
+        df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= PARAM_ROWS_MAX else df
 
 

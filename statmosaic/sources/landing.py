@@ -43,8 +43,8 @@ def official_links(links: DataFrame, host_pattern: str, path_pattern: str, schem
 
 def newest_edition(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Link with the newest edition per key; equal editions resolve to the smallest address."""
-    newest = links.groupBy(*keys).agg(F.max("edition").alias("edition"))
-    return links.join(newest, [*keys, "edition"], "left_semi").groupBy(*keys, "edition").agg(F.min("url").alias("url"))
+    offered = links.groupBy(*keys, "edition").agg(F.min("url").alias("url"))
+    return offered.groupBy(*keys).agg(F.max("edition").alias("edition"), F.max_by("url", "edition").alias("url"))
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.aggregates import flow_counts
@@ -35,44 +36,60 @@ def period_ledger(stream: DataFrame, time: str, delay: str, keys: Sequence[str],
     return s.groupBy(*keys, period.alias("period")).agg(*flow_counts())
 
 
-def write_updates(ledger: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Update-mode sink: each batch's changed sums in its own folder."""
+FIELDS = ("admissions", "dismissals", "balance")
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
 
-    w = ledger.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
-    return (w.trigger(availableNow=True) if available_now else w).start()
+def current_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Latest sums per key among written batches."""
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*FIELDS), F.col("batch")).alias("_s")).select(*keys, "_s.*")
 
 
-def current_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Latest sums per key of all written batches."""
-    rest = ["admissions", "dismissals", "balance"]
-    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_s")).select(*keys, "_s.*")
+def state_before(spark: SparkSession, path: str, keys: Sequence[str], batch: int, schema: T.StructType, every: int) -> DataFrame:
+    """Sums as they stood before a batch: the last snapshot and the batches after it.
 
+    Which snapshot that is follows from the batch number alone, so nothing is listed and at
+    most ``every`` folders are read, however long the stream has run.
+    """
+    snapshot = (batch - 1) // every * every
+    paths = [f"{path}/snapshot={snapshot}"] if snapshot > 0 else []
+    paths += [f"{path}/b={i}" for i in range(snapshot + 1 if snapshot > 0 else 0, batch)]
+    return current_state(spark.read.schema(schema).parquet(*paths), keys)
 
-def write_revisions(
-    ledger: DataFrame, state_path: str, log_path: str, checkpoint: str, keys: Sequence[str], available_now: bool = True
+
+def write_ledger(
+    ledger: DataFrame, path: str, checkpoint: str, keys: Sequence[str], log_path: str | None = None, every: int = 100,
+    available_now: bool = True,
 ) -> StreamingQuery:
-    """Per batch: log sums that changed after they were first published, then write the sums."""
-    fields = ["admissions", "dismissals", "balance"]
+    """Update-mode sink: each batch's changed sums in its own folder, a snapshot every ``every`` batches.
+
+    With ``log_path``, sums that change after they were first published are logged with
+    their earlier values.  A replayed batch overwrites its own folders, so it counts once.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            if batch_id > 0:
-                earlier = spark.read.option("recursiveFileLookup", "true").parquet(state_path).filter(F.col("batch") < batch_id)
-                log = changed_rows(current_state(earlier, keys), batch, keys, fields)
-                log.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{log_path}/b={batch_id}")
-            batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{state_path}/b={batch_id}")
-        finally:
-            batch.unpersist()
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+        written = spark.read.schema(rows.schema).parquet(f"{path}/b={batch_id}")
+        if batch_id == 0:
+            return
+        if log_path is not None:
+            before = state_before(spark, path, keys, batch_id, rows.schema, every)
+            changed_rows(before, written, keys, FIELDS).write.mode("overwrite").parquet(f"{log_path}/b={batch_id}")
+        if batch_id % every == 0:
+            before = state_before(spark, path, keys, batch_id, rows.schema, every).withColumn("batch", F.lit(batch_id - 1).cast("bigint"))
+            state = current_state(before.unionByName(written), keys)
+            state.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
 
     w = ledger.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
+def read_updates(spark: SparkSession, path: str) -> DataFrame:
+    """Every written batch (snapshots repeat what they hold and are left out)."""
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/b=*")
+
+
 def write_rows(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append-mode file sink; its own log makes each batch count once."""
     w = rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)

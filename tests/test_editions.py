@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +99,8 @@ def test_stream_updates_late_and_retracted_months_and_logs_them(spark, tmp_path,
 
     def run():
         led = live.period_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "800 days", ["territory"], month())
-        live.write_revisions(led, state, log, cp, keys).awaitTermination()
-        return rows(live.current_state(spark.read.option("recursiveFileLookup", "true").parquet(state), keys))
+        live.write_ledger(led, state, cp, keys, log).awaitTermination()
+        return rows(live.current_state(live.read_updates(spark, state), keys))
 
     put(spark, src, [("1", "2024-01-05", "a", 1, 1), ("2", "2024-01-06", "a", -1, 1), ("3", "2024-02-01", "a", 1, 1)])
     assert run() == [("a", "202401", 1, 1, 0), ("a", "202402", 1, 0, 1)]
@@ -109,6 +111,24 @@ def test_stream_updates_late_and_retracted_months_and_logs_them(spark, tmp_path,
     assert rows(logged, "period", "previous_admissions", "admissions") == [("202402", 1, 2)]
 
 
+def test_snapshots_do_not_change_state_or_revisions(spark, tmp_path, rows):
+    src, keys = str(tmp_path / "in"), ["territory", "period"]
+    outs = {e: [str(tmp_path / f"{n}{e}") for n in ("state", "cp", "log")] for e in (2, 100)}
+    for i in range(5):
+        put(spark, src, [(f"{i}", "2024-01-05", "a", 1, 1), (f"{i}b", f"2024-0{i + 1}-05", "b", -1, 1)])
+        for every, (state, cp, log) in outs.items():
+            led = live.period_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "800 days", ["territory"], month())
+            live.write_ledger(led, state, cp, keys, log, every=every).awaitTermination()
+    got = {e: (rows(live.current_state(live.read_updates(spark, state), keys)), rows(spark.read.option("recursiveFileLookup", "true").parquet(log).drop("batch")))
+           for e, (state, _, log) in outs.items()}
+    assert got[2] == got[100]
+    assert ("a", "202401", 5, 0, 5) in got[2][0] and len(got[2][1]) == 4
+    schema = live.read_updates(spark, outs[2][0]).schema
+    for e in (2, 100):
+        last = max(int(n.split("=")[1]) for n in os.listdir(outs[e][0]) if n.startswith("b="))
+        assert rows(live.state_before(spark, outs[e][0], keys, last + 1, schema, e)) == got[2][0]
+
+
 def test_records_older_than_the_watermark_are_dropped_and_counted(spark, tmp_path, rows):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     put(spark, src, [("1", "2024-06-01", "a", 1, 1)])

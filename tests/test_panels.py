@@ -296,3 +296,13 @@ def test_wage_without_a_known_minimum_is_never_used(spark, rows):
     mins = param_table(spark, [("2024", 1412.0)], "year string, minimum double")
     got = mapping.wage_eligible(df, mins, "y", F.col("w"), F.lit(True), F.lit(False))
     assert rows(got, "y", "w", "wage_eligible") == [("2024", 100.0, False), ("2024", 1000.0, True), ("2031", 1000.0, False)]
+
+
+def test_parameter_tables_keep_rows_order_of_columns_and_types(spark, rows):
+    data = [("1995", 200.0, 1, None), ("1996", 300.5, 2, "x"), ("it's", -1.0, 3, "?")]
+    got = param_table(spark, data, "year string, minimum double, n bigint, note string")
+    assert got.schema.simpleString() == "struct<year:string,minimum:double,n:bigint,note:string>"
+    assert rows(got) == sorted(data, key=repr)
+    long = [(str(i), float(i)) for i in range(2000)]
+    assert rows(param_table(spark, long, "k string, v double")) == sorted(long, key=repr)
+    assert param_table(spark, [], "k string").count() == 0
