@@ -19,6 +19,7 @@ HEADLINE = [
     "e01_change", "e06_last_published", "e07_latest_complete", "e11_absorb_smallest", "f01_rank_products", "f03_nearest_k",
     "g04_expected_seen", "g05_dedup", "h01_fold", "i02_unique_keys", "i14_yield_warnings", "j02_sibling_suppression",
     "j04_merge_small", "j07_leak_scan", "k01_point_in_polygon", "k06_union_area", "l03_revision_log", "m01_stream_ledger",
+    "employment_monthly", "education_network_series", "agriculture_ranking", "social_income_bands", "environment_land_history",
 ]
 
 

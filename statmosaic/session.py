@@ -27,6 +27,8 @@ def build_session(app: str = "statmosaic", master: str | None = None, **conf: st
         # keep splitting hot keys even when that costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # the JVM does not compile methods above 8,000 bytes: wide rows then run faster uncombined
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.legacy.javaCharsets": "true",
         **conf,
     }
