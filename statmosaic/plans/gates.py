@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import aggregates as agg
-from ..operators import quality, sets, windows
+from ..operators import quality, sets
 from ..session import materialize, param_table, scratch_path
 from ..sources import delimited, landing
-from .base import FLOWS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
+from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, movements, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
 from ..operators import aggregates, joins, mapping, spatial
-from ..session import lit_array, param_table
-from .base import FLOWS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, SEGMENTS, YEARLY_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
+from ..session import param_table
+from .base import FLOWS_SQL, MOVES_SQL, ORDERS_SQL, YEARLY_SQL, dbl, movements, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, documents, geo, periods, present, text
 from ..operators import mapping, sets
-from ..session import lit_array
 from ..sources import delimited
 from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
 from .orders import STATION_SQL, _centers, _stations

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.periods import year_month
 from ..operators import sets
 from ..session import scratch_path
 from ..sources import delimited
-from .base import FLOWS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
+from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.periods import year_month
 from ..operators import aggregates as agg
 from ..operators import sets, windows
-from ..session import param_table
-from .base import FIRST_MONTH, FLOWS_SQL, LAST_MONTH, MONTHS_SQL, MOVES_SQL, ORDERS_SQL, YEARLY_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
+from .base import FIRST_MONTH, FLOWS_SQL, LAST_MONTH, MONTHS_SQL, MOVES_SQL, ORDERS_SQL, YEARLY_SQL, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 

@@ -13,14 +13,15 @@ LINK_PATTERN = r"""(?is)<a\s[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Anchors of whole pages: address (entities decoded) and visible label."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(F.col(html), F.lit(LINK_PATTERN), F.lit(1)).alias("href"),
-        F.regexp_extract_all(F.col(html), F.lit(LINK_PATTERN), F.lit(2)).alias("label"),
-    )
+    """Anchors of whole pages: address (entities decoded) and visible label.
+
+    A page is searched once for whole anchors; their parts are read from the short matches.
+    """
     keep = [c for c in pages.columns if c != html]
-    return pages.select(*keep, F.explode(found).alias("a")).select(
-        *keep, F.replace("a.href", F.lit("&amp;"), F.lit("&")).alias("href"), strip_markup(F.col("a.label")).alias("label")
+    anchors = pages.select(*keep, F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK_PATTERN), F.lit(0))).alias("_a"))
+    return anchors.select(
+        *keep, F.replace(F.regexp_extract("_a", LINK_PATTERN, 1), F.lit("&amp;"), F.lit("&")).alias("href"),
+        strip_markup(F.regexp_extract("_a", LINK_PATTERN, 2)).alias("label"),
     )
 
 

@@ -311,5 +311,5 @@ def test_environment_places(spark, rows):
     parts, union = environment.protected_areas(units, plane, 0.5)
     assert rows(parts, "unit", "area") == [("u", 9.0), ("v", 6.0)]
     assert rows(union, "union_area", "sum_of_parts", "share") == [(12.0, 15.0, 75.0)]
-    named = environment.listed_in(spark.createDataFrame([("Pitanga (PR) - Turvo (PR)",), ("Novoturvo (PR)",)], "m string"), "m", "TURVO", "PR")
+    named = environment.listed_in(spark.createDataFrame([("Serra (PR) - Lagoa (PR)",), ("Novalagoa (PR)",)], "m string"), "m", "LAGOA", "PR")
     assert sorted(r["listed"] for r in named.collect()) == [False, True]

@@ -90,12 +90,12 @@ def test_rejects_keep_the_raw_line(spark, tmp_path, rows):
 
 
 def test_observation_vintages(spark, rows):
-    terr = spark.createDataFrame([("4127965", "Turvo", "Paraná"), ("4200000", "Turvo", "Santa Catarina")], "code string, name string, state string")
-    annual = spark.createDataFrame([("f1", "2020-01-01 00:00:00", "1", "2", "TURVO", "PARANA"), ("f2", "x", "1", "2", "Turvo", "Bahia")],
+    terr = spark.createDataFrame([("4100009", "Lagoa", "Paraná"), ("4200000", "Lagoa", "Santa Catarina")], "code string, name string, state string")
+    annual = spark.createDataFrame([("f1", "2020-01-01 00:00:00", "1", "2", "LAGOA", "PARANA"), ("f2", "x", "1", "2", "Lagoa", "Bahia")],
                                    "foco_id string, data_pas string, lat string, lon string, municipio string, estado string")
     monthly = spark.createDataFrame([("m1", "2021-01-01 00:00:00", "1", "2", "4200000"), ("m2", "x", "1", "2", "999")],
                                     "id string, data_hora_gmt string, lat string, lon string, municipio_id string")
-    assert rows(delimited.observation_dialects(annual, monthly, terr), "id", "code") == [("f1", "4127965"), ("m1", "4200000")]
+    assert rows(delimited.observation_dialects(annual, monthly, terr), "id", "code") == [("f1", "4100009"), ("m1", "4200000")]
 
 
 def test_column_family(spark, rows):
@@ -112,7 +112,7 @@ def frame(spark, files):
 
 def test_workbook_with_merged_headers(spark, rows):
     book = workbook_bytes([("Título",), ("Código", "UF", "Total", "", "Indústria", ""), ("", "", "2023", "2024", "2023", "2024"),
-                           ("410940", "PR", "10", "11", "4", "5"), ("412796", "PR", "7", "8", "", "3")])
+                           ("410940", "PR", "10", "11", "4", "5"), ("410001", "PR", "7", "8", "", "3")])
     cells = archives.workbook_cells(frame(spark, {"r.xlsx": book})).cache()
     got = archives.bind_headers(cells, ["Código", "UF"], depth=2).filter("name RLIKE '^[0-9]{4}$'")
     assert rows(got, "row", "group", "name", "text") == [
@@ -164,14 +164,14 @@ def test_cube_cells_keep_symbols(spark, rows):
 
 
 def test_keyed_indicator_is_confirmed_by_its_parent(spark, rows):
-    docs = spark.createDataFrame([(json.dumps([{"id": i, "res": [{"localidade": "412796", "res": {"2019": "5.5", "2020": "6.5", "2021": "..."}}]}]),) for i in (47001, 6)], "body string")
+    docs = spark.createDataFrame([(json.dumps([{"id": i, "res": [{"localidade": "410001", "res": {"2019": "5.5", "2020": "6.5", "2021": "..."}}]}]),) for i in (47001, 6)], "body string")
     unit = {"id": "R$", "multiplicador": 1}
     tree = spark.createDataFrame([(json.dumps([
         {"id": 47000, "indicador": "Per capita", "unidade": unit, "children": [{"id": 47001, "indicador": "Série revisada", "unidade": unit}]},
         {"id": 5, "indicador": "Outro", "children": [{"id": 6, "indicador": "Série revisada", "unidade": unit}]}]),)], "body string")
     ok = nested.confirmed_by_parent(nested.keyed_series(docs), tree, "Per capita", "R$")
     v = ok.withColumn("v", strict_number(F.col("published"))).filter("v IS NOT NULL")
-    assert rows(nested.latest_published(v, F.col("v"))) == [(47001, "412796", "2020", 6.5)]
+    assert rows(nested.latest_published(v, F.col("v"))) == [(47001, "410001", "2020", 6.5)]
 
 
 def test_geojson_incomplete_responses_are_marked(spark):

@@ -52,10 +52,10 @@ def test_latest_year_is_bounded_by_non_digits(spark):
 
 
 def test_mentions_has_a_letter_boundary(spark):
-    m = lambda v: val(spark, text.mentions(F.lit(v), "TURVO", "PR"))
-    assert m("Pitanga (PR) - Turvo (PR)")
-    assert not m("Novoturvo (PR)")
-    assert not m("Turvo (SC)")
+    m = lambda v: val(spark, text.mentions(F.lit(v), "LAGOA", "PR"))
+    assert m("Serra (PR) - Lagoa (PR)")
+    assert not m("Novalagoa (PR)")
+    assert not m("Lagoa (SC)")
 
 
 def test_markup_and_url(spark):
