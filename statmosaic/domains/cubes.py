@@ -63,7 +63,7 @@ def history(census: DataFrame, estimates: DataFrame) -> DataFrame:
 # --- economy ------------------------------------------------------------------------------------
 
 
-def base_currency(cells: DataFrame, factors: DataFrame) -> DataFrame:
+def base_currency(cells: DataFrame, factors: Mapping[str, tuple[str, int]]) -> DataFrame:
     return scale_units(cells, factors)
 
 
@@ -118,7 +118,7 @@ def compared(series: DataFrame, territory: str, keys: Sequence[str] = ("indicato
 # --- agriculture --------------------------------------------------------------------------------
 
 
-def products(cells: DataFrame, classification: str, metrics: Mapping[str, str], factors: DataFrame) -> DataFrame:
+def products(cells: DataFrame, classification: str, metrics: Mapping[str, str], factors: Mapping[str, tuple[str, int]]) -> DataFrame:
     """Product metrics in base units with strict annual change.
 
     ``metrics`` maps variable to metric name.

@@ -79,11 +79,14 @@ def bed_violations(rows: DataFrame) -> DataFrame:
         "public within all": (F.col("sus") <= F.col("existing")) & (F.col("icu_sus") <= F.col("icu_existing"))})
 
 
-def bed_series(rows: DataFrame, raw: DataFrame, territories: DataFrame) -> DataFrame:
-    """Capacity per territory and every month seen in the whole file: absence there is a confirmed zero."""
-    months = raw.select(F.trim("COMP").alias("month")).distinct().groupBy().agg(F.collect_set("month").alias("months"))
-    spine = territories.select("territory").withColumn("_j", F.lit(1)).join(months.withColumn("_j", F.lit(1)), "_j").select(
-        "territory", F.explode("months").alias("month"))
+def months_in(raw: DataFrame) -> list[str]:
+    """Months a bed file reports on, read from the whole file; a calendar, so a short list."""
+    return sorted(r["month"] for r in raw.select(F.trim("COMP").alias("month")).distinct().collect())
+
+
+def bed_series(rows: DataFrame, months: Sequence[str], territories: DataFrame) -> DataFrame:
+    """Capacity per territory and every month of the whole file: absence there is a confirmed zero."""
+    spine = sets.expected_cells(territories.select("territory"), {"month": months})
     return aggregates.capacity(rows, spine, ["territory", "month"], ["existing", "sus", "icu_existing", "icu_sus"])
 
 

@@ -162,19 +162,17 @@ def resolve_unit(
     )
 
 
-def scale_units(df: DataFrame, factors: DataFrame, value: str = "value", unit: str = "unit") -> DataFrame:
-    """Bring scaled units to their base exactly once; ``factors(unit, base_unit, factor)``.
+def scale_units(df: DataFrame, factors: Mapping[str, tuple[str, int]], value: str = "value", unit: str = "unit") -> DataFrame:
+    """Bring scaled units to their base exactly once; ``factors`` maps unit to (base unit, factor).
 
     The published unit stays in ``original_unit``.
     """
-    f = factors.select(F.col("unit").alias(unit), "base_unit", "factor")
-    return (
-        df.join(f, unit, "left")
-        .withColumn("original_unit", F.col(unit))
-        .withColumn(value, F.col(value) * F.coalesce(F.col("factor"), F.lit(1)))
-        .withColumn(unit, F.coalesce(F.col("base_unit"), F.col(unit)))
-        .drop("base_unit", "factor")
-    )
+    base, factor = F.col("original_unit"), F.lit(1)
+    for name, (plain, times) in factors.items():
+        hit = F.col("original_unit") == name
+        base, factor = F.when(hit, F.lit(plain)).otherwise(base), F.when(hit, F.lit(times)).otherwise(factor)
+    scaled = df.withColumn("original_unit", F.col(unit))
+    return scaled.withColumns({value: F.col(value) * factor, unit: base})
 
 
 def derived_cell(value: Column, unit: str, formula: str, inputs: Mapping[str, Column], reason: str) -> Column:

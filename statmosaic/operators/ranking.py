@@ -66,9 +66,15 @@ def first_matching(df: DataFrame, predicate: Column, order: Sequence[Column], n:
     return df.filter(predicate).orderBy(*order).limit(n)
 
 
-def recent_years(df: DataFrame, year: Column, latest_year: Column, n: int = 2) -> DataFrame:
-    """Rows of the last ``n`` years, the newest year taken from the data."""
-    return df.filter(year > latest_year - n)
+def recent_years(df: DataFrame, year: str, n: int = 2) -> DataFrame:
+    """Rows of the last ``n`` years, the newest year taken from the data.
+
+    The years are reduced to their distinct values first; only those meet in one place.
+    """
+    years = df.select(year).distinct()
+    newest = F.max(F.col(year).cast("int")).over(Window.partitionBy())
+    recent = years.withColumn("_newest", newest).filter(F.col(year).cast("int") > F.col("_newest") - n).select(year)
+    return df.join(recent, year, "left_semi")
 
 
 def default_choice(df: DataFrame, keys: Sequence[str], label: str, *measures: str) -> DataFrame:

@@ -122,7 +122,7 @@ def b07(spark, d):
 SELECT CASE WHEN o_orderstatus = 'F' THEN 'R$' ELSE o_orderstatus END AS unit, CASE WHEN o_orderstatus = 'F' THEN 'Mil Reais' ELSE o_orderstatus END AS original_unit,
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderstatus = 'F' THEN 1000 ELSE 1 END) AS DOUBLE) AS total FROM orders GROUP BY 1, 2""")
 def b08(spark, d):
-    factors = param_table(spark, [("Mil Reais", "R$", 1000), ("Mil litros", "litros", 1000)], "unit string, base_unit string, factor int")
+    factors = {"Mil Reais": ("R$", 1000), "Mil litros": ("litros", 1000)}
     rows = table(spark, d, "orders").select(dec("o_totalprice").alias("value"), F.when(F.col("o_orderstatus") == "F", "Mil Reais").otherwise(F.col("o_orderstatus")).alias("unit"))
     return cells.scale_units(rows, factors).groupBy("unit", "original_unit").agg(dbl(F.sum("value")).alias("total"))
 

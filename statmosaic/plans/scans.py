@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import strict_number
 from ..operators.aggregates import grand_total
 from ..operators.mapping import with_provenance
-from ..operators.quality import declared_total, export_matches
+from ..operators.quality import declared_total, export_matches, key_text
 from ..session import materialize, param_table, scratch_path
 from ..sources import archives, delimited, landing, nested
 from ..sources.delimited import Layout
@@ -295,17 +295,17 @@ def a14(spark, d):
 
 @query("a15_tidy_export", f"""
 WITH {YEARLY_SQL}
-SELECT territory, year, CAST(price AS VARCHAR) AS value, 'orders' AS source_id, 'https://stats.example.org/orders' AS url, CAST(0 AS BIGINT) AS differences FROM yr""")
+SELECT territory, year, CAST(price AS VARCHAR) AS value, state AS source_id, 'https://stats.example.org/' || state AS url, CAST(0 AS BIGINT) AS differences FROM yr""")
 def a15(spark, d):
-    sources = param_table(spark, [("orders", "https://stats.example.org/orders")], "source_id string, url string")
+    sources = territories(spark, d).select(F.col("state").alias("source_id"), F.concat(F.lit("https://stats.example.org/"), "state").alias("url")).distinct()
     rows = with_provenance(yearly_prices(spark, d).select(
-        "territory", "year", F.col("price").cast("string").alias("value"), F.lit("orders").alias("source_id")), sources)
+        "territory", "year", F.col("price").cast("string").alias("value"), F.col("state").alias("source_id")), sources)
     cols = ["territory", "year", "value", "source_id", "url"]
     path = scratch_path(spark, "a15")
     landing.export_csv(rows, path, cols)
     back = delimited.read_contract(spark, path, Layout(tuple(c for c in cols))).toDF(*cols)
-    bad = export_matches(back, rows.select(*cols)).agg(F.count(F.lit(1)).alias("differences"), F.lit("orders").alias("source_id"))
-    return back.join(bad, "source_id")
+    bad = export_matches(back, rows.select(*cols)).groupBy("key").agg(F.count(F.lit(1)).alias("differences"))
+    return back.withColumn("key", key_text(cols)).join(bad, "key", "left").select(*cols, F.coalesce("differences", F.lit(0)).alias("differences"))
 
 
 @query("a16_snapshot", f"""

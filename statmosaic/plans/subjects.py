@@ -128,7 +128,7 @@ def _accounts(spark, d):
         cells.append(F.struct(F.lit(f"v{s}").alias("variable"), F.lit("Mil Reais").alias("unit"), dbl(s).alias("value")))
         cells.append(F.struct(F.lit(f"s{s}").alias("variable"), F.lit("%").alias("unit"), (dbl(s) / dbl(total) * 100).alias("value")))
     long = wide.select("territory", F.col("year").alias("period"), F.explode(F.array(*cells)).alias("c")).select("territory", "period", "c.*")
-    factors = param_table(spark, [("Mil Reais", "R$", 1000)], "unit string, base_unit string, factor int")
+    factors = {"Mil Reais": ("R$", 1000)}
     return cubes.base_currency(long, factors)
 
 
@@ -158,7 +158,7 @@ def agriculture_ranking(spark, d):
         territories(spark, d).select("n_nationkey", F.col("state").alias("territory")), F.col("s_nationkey") == F.col("n_nationkey"))
     cells = rows.groupBy("territory", "p_brand", "period").agg(dbl(F.sum("v")).alias("value")).select(
         "territory", F.lit("215").alias("variable"), "period", F.create_map(F.lit("81"), F.col("p_brand")).alias("dims"), F.lit("Mil Reais").alias("unit"), "value", F.lit("real").alias("status"))
-    factors = param_table(spark, [("Mil Reais", "R$", 1000)], "unit string, base_unit string, factor int")
+    factors = {"Mil Reais": ("R$", 1000)}
     names = param_table(spark, [(f"Brand#{i}", f"Brand#{i}") for i in range(1, 26)], "product string, name string")
     products = cubes.products(cells, "81", {"215": "value"}, factors)
     return cubes.ranked(products, names, "value", "2000", ["Brand#9"], 8).select("territory", "product", "value", "position")

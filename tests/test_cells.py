@@ -73,7 +73,7 @@ def test_currency_unit_holds_inside_its_years_only(spark):
 
 
 def test_units_are_scaled_once_and_the_published_unit_stays(spark, rows):
-    factors = spark.createDataFrame([("Mil Reais", "R$", 1000)], "unit string, base_unit string, factor int")
+    factors = {"Mil Reais": ("R$", 1000)}
     df = spark.createDataFrame([(1.5, "Mil Reais"), (2.0, "kg"), (None, "Mil Reais")], "value double, unit string")
     assert rows(cells.scale_units(df, factors), "value", "unit", "original_unit") == sorted(
         [(1500.0, "R$", "Mil Reais"), (2.0, "kg", "kg"), (None, "R$", "Mil Reais")], key=repr)

@@ -149,7 +149,8 @@ def test_beds_confirm_zero_only_for_months_in_the_file(spark, terr, rows):
                                 "CO_IBGE string, UF string, COMP string, CNES string, MOTIVO_DESABILITACAO string, LEITOS_EXISTENTES string, LEITOS_SUS string, UTI_TOTAL_EXIST string, UTI_TOTAL_SUS string")
     b = health.beds(raw, walk)
     assert rows(health.bed_violations(b), "gate", "key") == [("public within all", "4100001|202401|0000008")]
-    assert rows(health.bed_series(b, raw, terr), "territory", "month", "existing", "units", "zero_confirmed") == [
+    assert health.months_in(raw) == ["202401", "202402"]
+    assert rows(health.bed_series(b, health.months_in(raw), terr), "territory", "month", "existing", "units", "zero_confirmed") == [
         ("4100001", "202401", 15, 2, False), ("4100001", "202402", 0, 0, True), ("4100002", "202401", 0, 0, True), ("4100002", "202402", 0, 0, True)]
 
 
@@ -177,7 +178,7 @@ def test_economy_blocks(spark, rows):
     raw = cell(spark, *[("t", v, p, {}, "Mil Reais", x) for v, p, x in (
         ("37", "2019", 100.0), ("37", "2020", 110.0), ("37", "2022", 99.0), ("498", "2019", 90.0), ("543", "2019", 5.0), ("513", "2019", 60.0), ("517", "2019", 30.0), ("513", "2020", None), ("517", "2020", 1.0))],
         ("t", "516", "2019", {}, "%", 66.7), ("t", "520", "2019", {}, "%", 33.3))
-    f = param_table(spark, [("Mil Reais", "R$", 1000)], "unit string, base_unit string, factor int")
+    f = {"Mil Reais": ("R$", 1000)}
     c = cubes.base_currency(raw, f)
     got = [(r["period"], r["value"], None if r["change"] is None else round(r["change"], 6), r["annual"]) for r in cubes.product_series(c, "37").orderBy("period").collect()]
     assert got == [("2019", 100000.0, None, False), ("2020", 110000.0, 10.0, True), ("2022", 99000.0, -10.0, False)]
@@ -194,7 +195,7 @@ def test_agriculture_blocks(spark, rows):
     c = cell(spark, *[("t", v, p, {"81": k}, u, x) for v, p, k, u, x in (
         ("215", "2021", "1", "Mil Reais", 10.0), ("215", "2022", "1", "Mil Reais", 15.0), ("215", "2022", "2", "Mil Reais", None), ("215", "2022", "3", "Mil Reais", 0.0), ("215", "2022", "0", "Mil Reais", 99.0),
         ("214", "2021", "1", "kg", 5.0), ("214", "2022", "1", "t", 6.0))])
-    f = param_table(spark, [("Mil Reais", "R$", 1000)], "unit string, base_unit string, factor int")
+    f = {"Mil Reais": ("R$", 1000)}
     p = cubes.products(c, "81", {"215": "value", "214": "quantity"}, f)
     assert rows(p.filter("product = '1'"), "metric", "period", "value", "annual_change") == sorted([
         ("value", "2021", 10000.0, None), ("value", "2022", 15000.0, 50.0), ("quantity", "2021", 5.0, None), ("quantity", "2022", 6.0, None)], key=repr)

@@ -33,6 +33,9 @@ def test_query_equals_its_sql(spark, duck, name):
     columns = [c[0] for c in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == rows_of(columns, cur.fetchall())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # no all-pairs joins, no row-wise or grouped Python in any plan
+    assert not [n for n in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroups") if n in plan]
 
 
 def test_every_query_has_sql_and_the_entry_runs(spark):
