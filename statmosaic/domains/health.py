@@ -92,6 +92,5 @@ def bed_series(rows: DataFrame, months: Sequence[str], territories: DataFrame) -
 
 def mappable(units: DataFrame, boundaries: DataFrame, cell: float = 0.25) -> DataFrame:
     """Active units whose point lies inside their own territory's boundary (``territory, geometry``)."""
-    points = units.filter("active AND latitude IS NOT NULL").select("unit", F.col("territory").alias("own"), "latitude", "longitude")
-    hit = spatial.points_in_shapes(points, boundaries, "longitude", "latitude", "geometry", cell)
-    return hit.filter(F.col("own") == F.col("territory")).select("territory", "unit")
+    points = units.filter("active AND latitude IS NOT NULL").select("unit", "territory", "latitude", "longitude")
+    return spatial.points_in_shapes(points, boundaries, "longitude", "latitude", "geometry", cell, on=["territory"]).select("territory", "unit")

@@ -57,14 +57,16 @@ def _judged_cells(shapes: DataFrame, geometry: str, size: float) -> DataFrame:
 
 
 def points_in_shapes(
-    points: DataFrame, shapes: DataFrame, x: str, y: str, geometry: str, size: float, inclusive: bool = False, salts: int = 16
+    points: DataFrame, shapes: DataFrame, x: str, y: str, geometry: str, size: float, inclusive: bool = False, salts: int = 16,
+    on: Sequence[str] = (),
 ) -> DataFrame:
     """Every (point, shape) pair with the point inside; ``inclusive`` also counts the boundary line.
 
-    Points in cells wholly inside a shape need no further test.
+    Points in cells wholly inside a shape need no further test.  ``on`` names columns that
+    must agree as well, such as the point's own territory.
     """
     located = points.withColumn("cell", cell_of(F.col(x), F.col(y), size))
-    candidates = salted_join(located, _judged_cells(shapes, geometry, size), ["cell"], "inner", salts)
+    candidates = salted_join(located, _judged_cells(shapes, geometry, size), [*on, "cell"], "inner", salts)
     px, py, e = F.col(x), F.col(y), F.col("_edges")
     hit = geo.in_edges(px, py, e)
     if inclusive:

@@ -57,6 +57,27 @@ def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Landed files with size and time only; contents are not read."""
+    return (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    )
+
+
+def hash_new_files(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
+    """Inventory of the files whose size or time is not in the manifest; the others are not opened.
+
+    Only the names of those files pass through the driver, as in any file listing.
+    """
+    known = manifest.select("path", "size", "modified")
+    fresh = [r["path"] for r in listing(spark, path, glob).join(known, ["path", "size", "modified"], "left_anti").select("path").collect()]
+    if not fresh:
+        return manifest.select("path", "size", "modified", "sha256").limit(0)
+    return spark.read.format("binaryFile").load(fresh).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
 def changed_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose (path, size, hash) is not in the manifest; empty means: skip the run."""
     return current.join(manifest.select("path", "size", "sha256"), ["path", "size", "sha256"], "left_anti")

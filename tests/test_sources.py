@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -200,6 +201,11 @@ def test_inventory_lists_only_changed_files(spark, tmp_path, rows):
     before = landing.inventory(spark, str(tmp_path), "*.txt").collect()
     manifest = spark.createDataFrame(before)
     assert landing.changed_files(landing.inventory(spark, str(tmp_path), "*.txt"), manifest).isEmpty()
+    assert landing.hash_new_files(spark, str(tmp_path), manifest, "*.txt").isEmpty()
+    # a new time alone opens the file again, but equal content is no change
+    os.utime(tmp_path / "a.txt", (1, 1))
+    again = landing.hash_new_files(spark, str(tmp_path), manifest, "*.txt")
+    assert again.count() == 1 and landing.changed_files(again, manifest).isEmpty()
     (tmp_path / "b.txt").write_text("B")
     changed = landing.changed_files(landing.inventory(spark, str(tmp_path), "*.txt"), manifest)
     assert [r["path"].rsplit("/", 1)[1] for r in changed.collect()] == ["b.txt"]
