@@ -86,7 +86,7 @@ def comparable(local: DataFrame, peers: DataFrame, keys: Sequence[str], value: s
     ``keys`` are what makes two figures comparable (indicator, unit, method, period, base).
     Every peer row stays; ``comparable`` says whether it may be compared.
     """
-    own = local.select(*keys, F.col(value).alias("local_value"), F.lit(True).alias("_own")).dropDuplicates(list(keys))
+    own = local.groupBy(*keys).agg(F.max(value).alias("local_value")).withColumn("_own", F.lit(True))
     j = peers.join(own, list(keys), "left")
     return (
         j.withColumn("comparable", F.coalesce(F.col("_own"), F.lit(False)))

@@ -106,7 +106,9 @@ def latest_complete(
     if earliest is not None:
         ok = ok & (F.col(period) >= earliest)
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(F.col(period), *[F.col(c) for c in tie])
+    # every orderable column takes part, so equal periods resolve the same way in every run
+    others = [c for c in rest if c not in (period, *tie) and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    order = F.struct(F.col(period), *[F.col(c) for c in (*tie, *others)])
     return df.filter(ok).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 

@@ -42,6 +42,7 @@ def _reader(spark: SparkSession, layout: Layout):
         spark.read.option("sep", layout.sep)
         .option("encoding", layout.encoding)
         .option("nullValue", layout.null_value)
+        .option("escape", '"')  # a doubled quote is a quote
         .options(**layout.options)
     )
 

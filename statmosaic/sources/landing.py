@@ -84,9 +84,12 @@ def changed_files(current: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, columns: Sequence[str], sep: str = ";") -> None:
-    """Tidy export: exact columns in order, header in every file, empty text for null."""
-    df.select(*columns).write.option("header", "true").option("sep", sep).option("emptyValue", "").option(
-        "nullValue", "").csv(path)
+    """Tidy export: exact columns in order, header in every file, empty text for null, blanks kept."""
+    (
+        df.select(*columns).write.option("header", "true").option("sep", sep).option("escape", '"')
+        .option("emptyValue", "").option("nullValue", "")
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    )
 
 
 def write_snapshot(df: DataFrame, path: str, partition: Sequence[str] = (), fmt: str = "parquet") -> None:

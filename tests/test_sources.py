@@ -84,6 +84,13 @@ def test_adaptive_layout_refuses_a_mixture(spark, tmp_path, rows):
         delimited.read_adaptive(spark, {"wide": wide, "p": p}, "wide", ["id"], layouts, "active")
 
 
+def test_exports_come_back_as_they_were(spark, tmp_path, rows):
+    data = [(' lead "quoted"; semi ', "1"), ("plain", None), ('""', "ção")]
+    df = spark.createDataFrame(data, "name string, v string")
+    landing.export_csv(df, str(tmp_path / "x"), ["name", "v"])
+    assert rows(delimited.read_contract(spark, str(tmp_path / "x"), Layout(("name", "v")))) == sorted(data, key=repr)
+
+
 def test_rejects_keep_the_raw_line(spark, tmp_path, rows):
     p = put(tmp_path, "a.csv", "1;2\n3\n4;5;6\n")
     got = delimited.read_with_rejects(spark, p, ["a", "b"])
