@@ -37,6 +37,18 @@ def test_number_rules_per_source(spark, rows):
     assert whole["error"] == "not whole"
 
 
+@pytest.mark.parametrize("text", ["NaN", "inf", "-Infinity", "1d", "5f", "0x10", "1_000", "1,5", "", "1 2", "--1", "1e"])
+def test_malformed_numbers_are_refused_by_every_type(spark, text):
+    for kind in ("double", "decimal(18,2)"):
+        assert one(spark, cells.strict_number(F.col("r"), type_=kind), r=("string", text)) is None
+
+
+@pytest.mark.parametrize("text,value", [("+5", 5), (" .5 ", 0.5), ("5.", 5), ("2e2", 200), ("-0.25", -0.25)])
+def test_plain_numbers_are_read_by_every_type(spark, text, value):
+    for kind in ("double", "decimal(18,2)"):
+        assert float(one(spark, cells.strict_number(F.col("r"), type_=kind), r=("string", text))) == value
+
+
 def test_rounding_is_half_up_on_exact_decimals(spark):
     for text, expected in (("2.675", "2.68"), ("0.125", "0.13"), ("1.005", "1.01"), ("-2.675", "-2.68")):
         assert one(spark, cells.round2(F.lit(text))) == D(expected)
