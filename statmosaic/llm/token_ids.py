@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import functools
 import os
+import string
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
-REMEMBERED = 600_000
+REMEMBERED = 800_000
+JOINED = 200  # words of one call
+SIGNS = string.punctuation
 
 
 class WordIds:
@@ -23,21 +27,65 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: Sequence[str | None], end_id: int | None) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text, then ``end_id``; null reads as empty."""
-        cut = [(t or "").encode().split() for t in texts]
+        cut = []
+        for text in texts:
+            raw = (text or "").encode()
+            # the vocabulary folds case itself; folding first makes fewer words, but would make special strings
+            cut.append((raw if b"<|" in raw else raw.lower()).split())
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        unseen = list(set().union(*cut).difference(known))
-        if unseen:
-            found = self.tokenizer.encode_batch([w.decode() for w in unseen], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unseen, found, strict=True))
+            known[b""] = b""
+        self._learn(list(set().union(*cut).difference(known)))
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4") for ws in cut]
 
+    def _learn(self, unseen: list[bytes]) -> None:
+        """Remember the ids of new words; letters with signs behind them are two pre-tokens, looked up apart."""
+        known, parts, alone, letters = self.known, [], set(), set()
+        for word in unseen:
+            text = word.decode()
+            base = text.rstrip(SIGNS)
+            if base.isalpha() and (base.isascii() or unicodedata.normalize("NFC", base).lower().isalpha()):
+                head, tail = base.encode(), text[len(base):].encode()
+                parts.append((word, head, tail))
+                if head not in known:
+                    letters.add(head)
+                if tail and tail not in known:
+                    alone.add(tail)
+            else:
+                alone.add(word)
+        self._one_by_one(list(alone))
+        ordered = list(letters)
+        for k in range(0, len(ordered), JOINED):
+            self._joined(ordered[k : k + JOINED])
+        for word, head, tail in parts:
+            if tail:
+                known[word] = known[head] + known[tail]
+
+    def _one_by_one(self, unseen: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch([w.decode() for w in unseen], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unseen, found, strict=True))
+
+    def _joined(self, unseen: list[bytes]) -> None:
+        """Words of letters in one call: each one's last token is a word end, and has no other."""
+        ids = np.array(self.tokenizer.encode(b" ".join(unseen).decode(), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(unseen):  # a letter that case folding takes apart
+            self._one_by_one(unseen)
+            return
+        raw, begin = ids.tobytes(), 0
+        for word, end in zip(unseen, (4 * ends).tolist(), strict=True):
+            self.known[word] = raw[begin:end]
+            begin = end
+
 
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str) -> WordIds:
