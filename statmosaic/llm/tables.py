@@ -71,3 +71,17 @@ def same_row(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
 
 def ints(values: np.ndarray, kind=pa.int64()) -> pa.Array:
     return pa.array(values, type=kind)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what numbers of buckets are derived from."""
+    return int(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+
+
+def blobs(bucket: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Entries cut by bucket: the buckets that occur, and each one's entries as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else np.zeros(0, np.int64)
+    entries = entries[order]
+    return sorted_[edges], [e.tobytes() for e in np.split(entries, edges[1:])] if len(edges) else []
