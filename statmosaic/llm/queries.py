@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, line_dedup, packing, token_binary, token_counts
+from . import decontaminate, jaccard_join, line_dedup, packing, quality_model, substring_dedup, token_binary, token_counts
 from .tables import documents, table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,42 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""")
 def decontamination_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that verbatim windows of the benchmark cover."""
     return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_substring_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i : i + 34], ' ') AS w
+        FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+rep AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN rep USING (w)),
+l AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT l.r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM l ANTI JOIN gone USING (r, p) GROUP BY l.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""")
+def substring_dedup_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in passages of 35 words or more that are repeated anywhere leave every document."""
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_ngram_jaccard_join", rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i : array_to_string(ws[i : i + 2], ' '))) END AS s FROM d),
+cls AS (SELECT list_sort(s) AS s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY 1, 3),
+post AS (SELECT c, n, unnest(s) AS w FROM cls),
+links AS (SELECT a.c AS a, b.c AS b FROM post a JOIN post b ON a.w = b.w AND a.c <> b.c AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+          GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM cls UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a AS c, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN cls ON list_sort(sets.s) = cls.s LEFT JOIN comp USING (c)""")
+def ngram_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of nine tenths of their 3-word shingles connect."""
+    return jaccard_join.similar_groups(documents(spark, sf_dir))
+
+
+@query("op2_quality_classifier")
+def quality_classifier_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of every whole text, learnt from the labelled rows that are not held out."""
+    return quality_model.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
