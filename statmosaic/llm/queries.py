@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, jaccard_join, line_dedup, packing, quality_model, substring_dedup, token_binary, token_counts
+from . import decontaminate, jaccard_join, line_dedup, packing, perplexity, quality_model, substring_dedup, token_binary, token_counts
 from .tables import documents, table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,9 @@ def ngram_jaccard_join_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated quality of every whole text, learnt from the labelled rows that are not held out."""
     return quality_model.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op7_quality_rules")
+def quality_rules_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every whole text, and whether rules and perplexity bands keep it."""
+    return perplexity.quality_rules(documents(spark, sf_dir))
