@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, jaccard_join, line_dedup, packing, perplexity, quality_model, substring_dedup, token_binary, token_counts
+from . import decontaminate, jaccard_join, line_dedup, packing, perplexity, pii, quality_model, substring_dedup, token_binary, token_counts
 from .tables import documents, table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,9 @@ def quality_classifier_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_rules_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every whole text, and whether rules and perplexity bands keep it."""
     return perplexity.quality_rules(documents(spark, sf_dir))
+
+
+@query("op5_personal_data")
+def personal_data_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans and those the labelers add."""
+    return pii.personal_data(documents(spark, sf_dir))
