@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, salted_join
 from .components import components
 from .tables import blobs, map_batches, small_batches, steps, text_bytes
-from .words import U, WHITE, chained, mix, words
+from .words import U, WHITE, chained, mix, spread, words
 
 WIDTH = 3
 PERCENT = 90
@@ -141,9 +141,9 @@ def classes_and_chains(docs: DataFrame, width: int, percent: int, buckets: int)
             chain = np.flatnonzero(entries["cls"] != lead)
             if len(chain):
                 pairs = np.unique(np.stack([entries["cls"][chain], lead[chain]]), axis=1)
-                yield rows(pairs.shape[1], bucket=pa.array(_spread(pairs[0], buckets)), cls=pa.array(pairs[0]), other=pa.array(pairs[1]))
+                yield rows(pairs.shape[1], bucket=pa.array(spread(pairs[0], buckets)), cls=pa.array(pairs[0]), other=pa.array(pairs[1]))
             entries = entries[first]
-            bucket, data = blobs(_spread(entries["part"], buckets), entries)
+            bucket, data = blobs(spread(entries["part"], buckets), entries)
             yield rows(len(bucket), bucket=pa.array(bucket, pa.int64()), parts=pa.array(data, pa.binary()))
 
         for batch in batches:
@@ -151,7 +151,7 @@ def classes_and_chains(docs: DataFrame, width: int, percent: int, buckets: int)
                 sets = shingle_sets(part.column("text"), width)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 digests = [set_digest(s) if len(s) else None for s in sets]
-                yield rows(len(sets), bucket=pa.array(_spread(pc.fill_null(part.column("doc_id"), 0).to_numpy(), buckets)),
+                yield rows(len(sets), bucket=pa.array(spread(pc.fill_null(part.column("doc_id"), 0).to_numpy(), buckets)),
                            doc_id=part.column("doc_id"), n=pa.array(sizes), cls=pa.array(digests, pa.int64()))
                 new = []
                 for i, d in enumerate(digests):
@@ -183,10 +183,6 @@ def classes_and_chains(docs: DataFrame, width: int, percent: int, buckets: int)
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, n long, cls long, other long")
 
 
-def _spread(code: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(code.astype(U), 13) % U(buckets)).astype(np.int64)
-
-
 def _bloom(keys: DataFrame) -> np.ndarray:
     """Bitmap of ``BLOOM_BITS`` bits over hashed doc_ids: of fixed size, and it only ever lets too much pass."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).cast("int")
@@ -319,8 +315,11 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     lots = int((placed.agg(F.sum(F.col("n") * 8)).first()[0] or 0) // TILE_BYTES) + 1
     found = links(placed, class_sets(docs, members.select("doc_id"), width), percent, lots)
     joined = components(found, "links")
-    named = joined.select(F.col("node").alias("cls"), "label").join(classes, "cls").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    per_class = classes.join(joined, classes["cls"] == joined["node"], "left").join(named, "label", "left").select(
-        F.col("cls").alias("of"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = joined.select(F.col("node").alias("cls"), "label")
+    named = nodes.join(classes, "cls").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # a label may hold a third of all classes: its rows are spread by a salt
+    nodes = salted_join(nodes, named, ["label"]).select(F.col("cls").alias("node"), F.lit(True).alias("linked"), "component_id")
+    per_class = classes.join(nodes, classes["cls"] == nodes["node"], "left").select(
+        F.col("cls").alias("of"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return own.join(materialize(per_class, "class-components"), own["cls"] == F.col("of"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

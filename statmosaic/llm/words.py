@@ -31,6 +31,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+def spread(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 64-bit value."""
+    return (mix(np.ascontiguousarray(values).astype(U), 13) % U(buckets)).astype(np.int64)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, U)
     out[0] = 1
