@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .tables import blobs, map_batches, small_batches, steps, text_bytes
-from .words import U, covered, windows, words
+from .words import U, covered, spread, windows, words
 
 WIDTH = 35
 BUCKET_BYTES = 4 << 20
 HELD = 3_000_000  # probes that a task gathers before it sends them
 _ANCHOR = np.dtype([("hash", "<u4"), ("key", "<i8"), ("block", "<i4")])
+_START = np.dtype([("key", "<i8"), ("start", "<i4")])
 _PLACE = np.dtype([("hash", "<u8"), ("key", "<i8"), ("start", "<i4")])
 
 
@@ -159,23 +160,29 @@ def repeated_starts(joined: DataFrame, width: int, buckets: int) -> DataFrame:
         equal = places["hash"][1:] == places["hash"][:-1]
         twice = np.concatenate(([False], equal)) | np.concatenate((equal, [False])) if len(places) else np.zeros(0, bool)
         places = places[twice]
+        lot, data = blobs(spread(places["key"], buckets), places[["key", "start"]].astype(_START))
+        return pa.table({"lot": pa.array(lot, pa.int64()), "places": pa.array(data, pa.binary())})
+
+    def gather(group: pa.Table) -> pa.Table:
+        places = np.frombuffer(b"".join(group["places"].to_pylist()), _START)
         places = places[np.argsort(places["key"], kind="stable")]
         edges = np.flatnonzero(np.concatenate(([True], places["key"][1:] != places["key"][:-1]))) if len(places) else np.zeros(0, np.int64)
         parts = np.split(places["start"], edges[1:]) if len(edges) else []
-        return pa.table({"key": pa.array(places["key"][edges], pa.int64()), "starts": pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())})
+        return pa.table({"key": pa.array(places["key"][edges], pa.int64()), "starts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
     sent = joined.mapInArrow(extend, "bucket long, places binary")
-    found = sent.groupBy("bucket").applyInArrow(confirm, "key long, starts binary")
-    return found.groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    # a text's windows are confirmed in many buckets; they come back in one row for each pair of buckets, not for each text
+    found = sent.groupBy("bucket").applyInArrow(confirm, "lot long, places binary")
+    return found.groupBy("lot").applyInArrow(gather, "key long, starts binary")
 
 
-def _removed(n_words: int, starts: list[bytes] | None, copied: bool, width: int) -> np.ndarray | None:
+def _removed(n_words: int, starts: bytes | None, copied: bool, width: int) -> np.ndarray | None:
     """Words that repeated windows cover, or None."""
     if copied and n_words >= width:
         return np.ones(n_words, bool)
     if not starts:
         return None
-    return covered(np.frombuffer(b"".join(starts), "<i4"), width, n_words)
+    return covered(np.frombuffer(starts, "<i4"), width, n_words)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -187,8 +194,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     met = materialize(met, "met-blocks")
     starts = repeated_starts(texts.join(met, "key"), width, buckets)
     verdict = starts.withColumn("copied", F.lit(False)).unionByName(
-        copies.select("key", F.lit(None).cast("array<binary>").alias("starts"), F.lit(True).alias("copied")))
-    verdict = verdict.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.bool_or("copied").alias("copied"))
+        copies.select("key", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("copied")))
+    verdict = verdict.groupBy("key").agg(F.first("starts", ignorenulls=True).alias("starts"), F.bool_or("copied").alias("copied"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, kept = [], [], []
