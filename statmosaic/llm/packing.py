@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     name = ship(docs.sparkSession, vocabulary)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = word_ids(name).encode(batch.column("text").to_pylist(), end_id)
+        texts = word_ids(name).encode(batch.column("text"), end_id)
         row, start, length, crc, total = [], [], [], [], []
         for r, ids in enumerate(texts):
             raw = memoryview(ids.tobytes())

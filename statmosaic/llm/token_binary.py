@@ -101,7 +101,7 @@ def packed_matrices(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     groups = int(docs.count() // GROUP) + 1
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = word_ids(name).encode(batch.column("text").to_pylist(), end_id)
+        texts = word_ids(name).encode(batch.column("text"), end_id)
         row, start, raw, total = [], [], [], []
         for r, ids in enumerate(texts):
             if int(ids.max(initial=0)) > np.iinfo(kind).max:

@@ -10,9 +10,10 @@ import functools
 import os
 import string
 import unicodedata
-from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
@@ -30,31 +31,39 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: Sequence[str | None], end_id: int | None) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text, then ``end_id``; null reads as empty."""
-        cut = []
-        for text in texts:
-            raw = (text or "").encode()
-            # the vocabulary folds case itself; folding first makes fewer words, but would make special strings
-            cut.append((raw if b"<|" in raw else raw.lower()).split())
+        texts = pc.fill_null(texts, "")
+        # the vocabulary folds case itself; folding first makes fewer words, but would make special strings
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        flat = lists.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-            known[b""] = b""
-        self._learn(list(set().union(*cut).difference(known)))
-        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + end, "<u4") for ws in cut]
-
-    def _learn(self, unseen: list[bytes]) -> None:
+            known[""] = b""
+        self._learn([w for w in distinct if w not in known])
+        parts = [known[w] for w in distinct]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+        begin = np.cumsum(size) - size
+        word = flat.indices.to_numpy(zero_copy_only=False)
+        length = size[word]
+        upto = np.concatenate(([0], np.cumsum(length)))
+        ids = ids[np.arange(upto[-1]) + np.repeat(begin[word] - upto[:-1], length)]
+        ends = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        end = np.array([] if end_id is None else [end_id], "<u4")
+        return [np.concatenate((ids[a:b], end)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _learn(self, unseen: list[str]) -> None:
         """Remember the ids of new words; letters with signs behind them are two pre-tokens, looked up apart."""
         known, parts, alone, letters = self.known, [], set(), set()
         for word in unseen:
-            text = word.decode()
-            base = text.rstrip(SIGNS)
-            if base.isalpha() and (base.isascii() or unicodedata.normalize("NFC", base).lower().isalpha()):
-                head, tail = base.encode(), text[len(base):].encode()
+            head = word.rstrip(SIGNS)
+            if head.isalpha() and (head.isascii() or unicodedata.normalize("NFC", head).lower().isalpha()):
+                tail = word[len(head) :]
                 parts.append((word, head, tail))
                 if head not in known:
                     letters.add(head)
@@ -70,13 +79,13 @@ class WordIds:
             if tail:
                 known[word] = known[head] + known[tail]
 
-    def _one_by_one(self, unseen: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode() for w in unseen], add_special_tokens=False)
+    def _one_by_one(self, unseen: list[str]) -> None:
+        found = self.tokenizer.encode_batch(unseen, add_special_tokens=False)
         self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(unseen, found, strict=True))
 
-    def _joined(self, unseen: list[bytes]) -> None:
+    def _joined(self, unseen: list[str]) -> None:
         """Words of letters in one call: each one's last token is a word end, and has no other."""
-        ids = np.array(self.tokenizer.encode(b" ".join(unseen).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode(" ".join(unseen), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) != len(unseen):  # a letter that case folding takes apart
             self._one_by_one(unseen)
