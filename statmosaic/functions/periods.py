@@ -24,6 +24,11 @@ def month_ordinal(ym: Column) -> Column:
     return F.substring(bare, 1, 4).cast("int") * 12 + F.substring(bare, 5, 2).cast("int") - 1
 
 
+def is_month(ym: Column) -> Column:
+    """A readable month in either form; null where there is none."""
+    return ym.rlike(r"^[0-9]{4}-?(0[1-9]|1[0-2])$")
+
+
 def month_list(start: str, end: str) -> Column:
     """Inclusive array of ``YYYYMM`` months."""
     if end < start:

@@ -64,7 +64,9 @@ def is_year_month(c: Column) -> Column:
 
 def short_label(c: Column) -> Column:
     """Label without its dotted hierarchical number."""
-    return F.regexp_replace(c, r"^\d+(\.\d+)*\s*-\s*", "")
+    number = F.substring_index(c, "-", 1)
+    numbered = c.contains("-") & F.forall(F.split(F.rtrim(number), r"\."), lambda part: part.rlike("^[0-9]+$"))
+    return F.when(numbered, F.ltrim(F.substr(c, F.length(number) + 2))).otherwise(c)
 
 
 def ellipsis(c: Column, n: int = 22) -> Column:

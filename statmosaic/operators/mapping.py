@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import with_number
+from ..functions.periods import is_month
 from ..functions.text import fold
 
 
@@ -89,18 +90,21 @@ def movement_problem(
     """Why a movement record does not belong to its file, or null.
 
     On-time files hold only their own month; late files are flagged late; exclusion
-    files match the exclusion month.  The sign must agree with the movement type.
+    files match the exclusion month.  The sign must agree with the movement type.  A field that is
+    missing or unreadable breaks the rule that needs it.
     """
     admissions, dismissals = list(admissions), list(dismissals)
+    fails = lambda must_hold: ~F.coalesce(must_hold, F.lit(False))
     return (
-        F.when((kind == "EXC") & ((is_exclusion != "1") | (excluded != publication)), "wrong exclusion month")
-        .when((kind != "EXC") & (declared != publication), "wrong declaration month")
-        .when((kind == "MOV") & ((event_month != publication) | (late != "0")), "not on time")
-        .when((kind == "FOR") & (late != "1"), "not flagged late")
-        .when(~sign.isin(1, -1), "unknown sign")
-        .when(~move_type.isin(*admissions, *dismissals), "unknown movement type")
-        .when(((sign == 1) & ~move_type.isin(*admissions)) | ((sign == -1) & ~move_type.isin(*dismissals)),
-              "sign against movement type")
+        F.when(fails(kind.isin("MOV", "FOR", "EXC")), "unknown file kind")
+        .when(fails(is_month(publication) & is_month(event_month)), "unreadable month")
+        .when((kind == "EXC") & fails((is_exclusion == "1") & (excluded == publication)), "wrong exclusion month")
+        .when((kind != "EXC") & fails(declared == publication), "wrong declaration month")
+        .when((kind == "MOV") & fails((event_month == publication) & (late == "0")), "not on time")
+        .when((kind == "FOR") & fails(late == "1"), "not flagged late")
+        .when(fails(sign.isin(1, -1)), "unknown sign")
+        .when(fails(move_type.isin(*admissions, *dismissals)), "unknown movement type")
+        .when(fails(F.when(sign == 1, move_type.isin(*admissions)).otherwise(move_type.isin(*dismissals))), "sign against movement type")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import within
-from ..functions.periods import month_list, month_ordinal
+from ..functions.periods import is_month, month_list, month_ordinal
 
 VIOLATION = "gate string, key string, detail string"
 
@@ -94,11 +94,11 @@ def identity(
 def published_rate(
     df: DataFrame, keys: Sequence[str], num: str, den: str, rate: str, tolerance: float = 0.02, gate: str = "rate"
 ) -> DataFrame:
-    """Published percentage against its own parts; numerator within bounds."""
+    """Published percentage against its own parts; numerator within bounds; an absent part or rate is a violation."""
     n, d, r = F.col(num), F.col(den), F.col(rate)
     computed = F.when(d > 0, n / d * 100).otherwise(F.lit(0.0))
     problem = (
-        F.when(n > d, "numerator above universe").when(~r.between(0, 100), "rate out of bounds")
+        F.when(n.isNull() | d.isNull() | r.isNull(), "rate or part absent").when(n > d, "numerator above universe").when(~r.between(0, 100), "rate out of bounds")
         .when(F.abs(computed - r) > tolerance, "rate off its parts")
     )
     return violations(df.withColumn("_p", problem).filter(F.col("_p").isNotNull()), gate, keys, F.col("_p"))
@@ -115,13 +115,15 @@ def https_only(df: DataFrame, ids: Sequence[str], url: str, gate: str = "provena
 def continuous(df: DataFrame, keys: Sequence[str], month: str, gate: str = "calendar") -> DataFrame:
     """A monthly series has no gap between its first and last month.
 
-    Counts distinct months against the span they cover; no calendar has to be unfolded.
+    Counts distinct months against the span they cover; no calendar has to be unfolded.  A month that is
+    absent or no month is a violation of its own.
     """
+    ordinal = F.when(is_month(F.col(month)), month_ordinal(F.col(month)))
     g = df.groupBy(*keys).agg(
-        F.min(month).alias("_a"), F.max(month).alias("_b"), F.count_distinct(month).alias("_n")
-    )
-    span = month_ordinal(F.col("_b")) - month_ordinal(F.col("_a")) + 1
-    return violations(g.filter(span != F.col("_n")), gate, keys, F.concat_ws("/", F.col("_n").cast("string"), span.cast("string")))
+        (F.max(ordinal) - F.min(ordinal) + 1).alias("_s"), F.count_distinct(ordinal).alias("_n"), F.count_if(ordinal.isNull()).alias("_u"))
+    problem = F.when(F.col("_u") > 0, F.concat(F.col("_u").cast("string"), F.lit(" unreadable months"))).when(
+        F.col("_s") != F.col("_n"), F.concat_ws("/", F.col("_n").cast("string"), F.col("_s").cast("string")))
+    return violations(g.withColumn("_p", problem).filter(F.col("_p").isNotNull()), gate, keys, F.col("_p"))
 
 
 def missing_months(df: DataFrame, territories: DataFrame, keys: Sequence[str], month: str, start: str, end: str, gate: str = "calendar") -> DataFrame:
@@ -135,10 +137,17 @@ def volume_floor(df: DataFrame, floor: int, gate: str = "volume") -> DataFrame:
     return violations(n.filter(F.col("_n") < floor), gate, ["_n"], f"below {floor}")
 
 
-def declared_total(df: DataFrame, keys: Sequence[str], declared: str, gate: str = "truncation") -> DataFrame:
-    """Rows received per response against the total it declares."""
-    g = df.groupBy(*keys).agg(F.max(declared).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return violations(g.filter(F.col("_d") != F.col("_n")), gate, keys, F.concat_ws("/", F.col("_n").cast("string"), F.col("_d").cast("string")))
+def declared_total(df: DataFrame, keys: Sequence[str], declared: str, received: str | None = None, gate: str = "truncation") -> DataFrame:
+    """What each response declares against what it brought.
+
+    ``received`` names the response's own count; without it, rows are counted.  A response whose total
+    cannot be read is a violation, an empty one that declares nothing is not.
+    """
+    got = F.count(F.lit(1)) if received is None else F.max(received)
+    g = df.groupBy(*keys).agg(F.max(declared).alias("_d"), got.alias("_n"))
+    problem = F.when(F.col("_d").isNull(), "no readable total").when(
+        ~F.col("_d").eqNullSafe(F.col("_n")), F.concat_ws("/", F.coalesce(F.col("_n"), F.lit(0)).cast("string"), F.col("_d").cast("string")))
+    return violations(g.withColumn("_p", problem).filter(F.col("_p").isNotNull()), gate, keys, F.col("_p"))
 
 
 def all_or_nothing(
@@ -167,11 +176,11 @@ def yield_warnings(df: DataFrame, keys: Sequence[str], production: str, area: st
     """Warnings that never change data: yield far from production/area; more harvested than planted."""
     p, a, y = F.col(production), F.col(area), F.col(yield_)
     expected = F.when(a > 0, p * F.lit(factor) / a)
-    off = F.when(F.abs(y - expected) > F.greatest(F.lit(1.0), expected * 0.03), "yield off production/area")
-    out = violations(df.withColumn("_p", off).filter(F.col("_p").isNotNull()), "yield", keys, F.col("_p"))
+    warn = lambda gate, when, detail: F.when(when, F.struct(F.lit(gate).alias("gate"), F.lit(detail).alias("detail")))
+    found = [warn("yield", F.abs(y - expected) > F.greatest(F.lit(1.0), expected * 0.03), "yield off production/area")]
     if planted is not None:
-        out = out.unionByName(violations(df.filter(a > F.col(planted)), "area", keys, "harvested above planted"))
-    return out
+        found.append(warn("area", a > F.col(planted), "harvested above planted"))
+    return df.select(key_text(keys).alias("key"), F.explode(F.array_compact(F.array(*found))).alias("w")).select("w.gate", "key", "w.detail")
 
 
 def confirmed_scan(scanned: DataFrame, expected: DataFrame, key: str, gate: str = "empty") -> DataFrame:
@@ -213,6 +222,9 @@ def revalidate(df: DataFrame, keys: Sequence[str], value: str, status: str) -> D
 
 
 def last_is_latest(df: DataFrame, keys: Sequence[str], month: str, latest: str, gate: str = "latest") -> DataFrame:
-    """The declared latest month is the last one of the series."""
-    g = df.groupBy(*keys).agg(F.max(month).alias("_m"), F.max(latest).alias("_l"))
-    return violations(g.filter(F.col("_m") != F.col("_l")), gate, keys, F.concat_ws("/", "_m", "_l"))
+    """The declared latest month is the last one of the series; an unreadable one is a violation."""
+    ordinal = lambda c: F.when(is_month(F.col(c)), month_ordinal(F.col(c)))
+    text = lambda n: F.concat(F.lpad(F.floor(n / 12).cast("string"), 4, "0"), F.lpad((n % 12 + 1).cast("string"), 2, "0"))
+    g = df.groupBy(*keys).agg(F.max(ordinal(month)).alias("_m"), F.max(ordinal(latest)).alias("_l"))
+    bad = g.filter(~F.coalesce(F.col("_m") == F.col("_l"), F.lit(False)))
+    return violations(bad, gate, keys, F.concat_ws("/", text(F.col("_m")), text(F.col("_l"))))

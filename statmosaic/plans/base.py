@@ -117,6 +117,15 @@ MONTHS_SQL = """cal AS (
   (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS m))"""
 
 
+def damaged_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Response pages of customers: each seventh declares one more than it holds, each eleventh cannot be read."""
+    page = F.floor(F.col("c_custkey") / 200)
+    docs = table(spark, d, "customer").groupBy(page.alias("page")).agg(F.to_json(F.struct(
+        (F.count(F.lit(1)) + F.when(page % 7 == 3, 1).otherwise(0)).alias("numFound"),
+        F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))).alias("docs"))).alias("body"))
+    return docs.withColumn("body", F.when(F.col("page") % 11 == 5, F.lit("<html>busy</html>")).otherwise(F.col("body")))
+
+
 def yearly_prices(spark: SparkSession, d: str) -> DataFrame:
     return orders_by_territory(spark, d).groupBy("territory", "state", "year").agg(
         F.sum("price").alias("price"), F.count(F.lit(1)).alias("n"))

@@ -182,18 +182,27 @@ def b13(spark, d):
     ).groupBy("sector", "owner").agg(F.count(F.lit(1)).alias("n"))
 
 
+# records come damaged on purpose: a field is missing or unreadable where the order's number says so
 @query("b14_movement_rules", f"""
-WITH {MOVES_SQL} SELECT kind, CASE WHEN kind = 'EXC' AND l_linenumber <> 1 THEN 'wrong exclusion month'
-  WHEN kind = 'MOV' AND month <> declared THEN 'not on time' WHEN kind = 'FOR' AND l_linenumber > 5 THEN 'not flagged late'
-  WHEN l_linenumber = 7 THEN 'unknown movement type' WHEN (sign = 1) <> (l_linenumber NOT IN (2, 4)) THEN 'sign against movement type' END AS problem, count(*) AS n
-FROM mov GROUP BY 1, 2""")
+WITH {MOVES_SQL}, m AS (SELECT CASE l_orderkey % 97 WHEN 0 THEN NULL WHEN 1 THEN 'XXX' ELSE kind END AS kind, l_linenumber AS ln,
+  CASE WHEN l_orderkey % 97 = 2 THEN NULL WHEN l_orderkey % 97 = 3 THEN '202413' ELSE month END AS month, CASE WHEN l_orderkey % 97 = 4 THEN NULL ELSE declared END AS declared,
+  declared AS publication, CASE WHEN l_orderkey % 97 = 5 THEN NULL WHEN kind = 'MOV' THEN '0' WHEN l_linenumber <= 5 THEN '1' ELSE '0' END AS late,
+  CASE WHEN l_orderkey % 97 = 6 THEN NULL WHEN l_linenumber = 1 THEN '1' ELSE '0' END AS excluded, CASE WHEN l_orderkey % 97 = 7 THEN NULL ELSE sign END AS sign,
+  CASE WHEN l_orderkey % 97 = 8 THEN NULL ELSE l_linenumber END AS type FROM mov)
+SELECT kind, CASE WHEN kind IS NULL OR kind = 'XXX' THEN 'unknown file kind' WHEN month IS NULL OR month = '202413' THEN 'unreadable month'
+  WHEN kind = 'EXC' AND (excluded IS NULL OR excluded <> '1') THEN 'wrong exclusion month' WHEN kind <> 'EXC' AND declared IS NULL THEN 'wrong declaration month'
+  WHEN kind = 'MOV' AND (month <> publication OR late IS NULL) THEN 'not on time' WHEN kind = 'FOR' AND (late IS NULL OR late <> '1') THEN 'not flagged late'
+  WHEN sign IS NULL THEN 'unknown sign' WHEN type IS NULL OR type = 7 THEN 'unknown movement type' WHEN (sign = 1) <> (type NOT IN (2, 4)) THEN 'sign against movement type' END AS problem, count(*) AS n
+FROM m GROUP BY 1, 2""")
 def b14(spark, d):
-    ln = F.col("l_linenumber")
+    ln, lost = F.col("l_linenumber"), F.col("l_orderkey") % 97
+    gone = lambda k, c: F.when(lost == k, None).otherwise(c)
+    kind = F.when(lost == 1, "XXX").otherwise(gone(0, F.col("kind")))
     problem = mapping.movement_problem(
-        F.col("kind"), F.col("month"), F.col("declared"), F.col("declared"),
-        F.when(F.col("kind") == "MOV", "0").when(ln <= 5, "1").otherwise("0"), F.when(ln == 1, "1").otherwise("0"),
-        F.col("sign"), F.lpad(ln.cast("string"), 2, "0"), F.col("declared"), ["01", "03", "05", "06"], ["02", "04"])
-    return movements(spark, d).select("kind", problem.alias("problem")).groupBy("kind", "problem").agg(F.count(F.lit(1)).alias("n"))
+        kind, F.when(lost == 3, "202413").otherwise(gone(2, F.col("month"))), gone(4, F.col("declared")), F.col("declared"),
+        gone(5, F.when(F.col("kind") == "MOV", "0").when(ln <= 5, "1").otherwise("0")), gone(6, F.when(ln == 1, "1").otherwise("0")),
+        gone(7, F.col("sign")), gone(8, F.lpad(ln.cast("string"), 2, "0")), F.col("declared"), ["01", "03", "05", "06"], ["02", "04"])
+    return movements(spark, d).select(kind.alias("kind"), problem.alias("problem")).groupBy("kind", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("b15_wage_eligibility", f"""

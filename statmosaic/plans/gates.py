@@ -7,8 +7,8 @@ from pyspark.sql import types as T
 
 from ..operators import quality, sets
 from ..session import materialize, param_table, scratch_path
-from ..sources import delimited, landing
-from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, movements, orders_by_territory, table, territories, yearly_prices
+from ..sources import delimited, landing, nested
+from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, damaged_pages, dbl, movements, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 
@@ -77,12 +77,15 @@ def i07(spark, d):
 
 
 @query("i08_published_rate", f"""
-WITH {ORDERS_SQL}, g AS (SELECT territory, count(*) AS den, count(CASE WHEN status_code = 'F' THEN 1 END) AS num FROM ord GROUP BY 1),
-p AS (SELECT *, round(CAST(num AS DOUBLE) / den * 100) AS rate FROM g)
-SELECT 'rate' AS gate, territory AS key, 'rate off its parts' AS detail FROM p WHERE abs(CAST(num AS DOUBLE) / den * 100 - rate) > 0.2""")
+WITH {ORDERS_SQL}, g AS (SELECT territory, month, count(*) AS den, count(CASE WHEN status_code = 'F' THEN 1 END) AS num FROM ord GROUP BY ALL),
+p AS (SELECT territory, month, den, CASE WHEN substr(month, 5, 2) = '02' THEN NULL ELSE num END AS num, CASE WHEN substr(month, 5, 2) = '03' THEN NULL ELSE round(CAST(num AS DOUBLE) / den * 100) END AS rate FROM g)
+SELECT 'rate' AS gate, territory || '|' || month AS key, CASE WHEN num IS NULL OR rate IS NULL THEN 'rate or part absent' ELSE 'rate off its parts' END AS detail
+FROM p WHERE num IS NULL OR rate IS NULL OR abs(CAST(num AS DOUBLE) / den * 100 - rate) > 0.2""")
 def i08(spark, d):
-    g = orders_by_territory(spark, d).groupBy("territory").agg(F.count(F.lit(1)).alias("den"), F.count_if(F.col("status_code") == "F").alias("num"))
-    return quality.published_rate(g.withColumn("rate", F.round(F.col("num") / F.col("den") * 100)), ["territory"], "num", "den", "rate", 0.2)
+    of_year = F.substring("month", 5, 2)
+    g = orders_by_territory(spark, d).groupBy("territory", "month").agg(F.count(F.lit(1)).alias("den"), F.count_if(F.col("status_code") == "F").alias("num"))
+    published = g.withColumns({"rate": F.when(of_year != "03", F.round(F.col("num") / F.col("den") * 100)), "num": F.when(of_year != "02", F.col("num"))})
+    return quality.published_rate(published, ["territory", "month"], "num", "den", "rate", 0.2)
 
 
 @query("i09_references", """
@@ -94,20 +97,40 @@ def i09(spark, d):
 
 
 @query("i10_calendar", f"""
-WITH {ORDERS_SQL}, p AS (SELECT DISTINCT territory, month FROM ord WHERE priority = '1-URGENT'), g AS (SELECT territory, count(*) AS n, max(CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 5, 2) AS INT)) - min(CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 5, 2) AS INT)) + 1 AS span FROM p GROUP BY 1)
-SELECT 'calendar' AS gate, territory AS key, n || '/' || span AS detail FROM g WHERE n <> span
-UNION ALL SELECT 'missing', n_name || '|' || m, 'missing month' FROM nation, (SELECT unnest(['200001', '200002', '200003']) AS m) WHERE (n_name, m) NOT IN (SELECT (territory, month) FROM p)""")
+WITH {ORDERS_SQL}, p AS (SELECT territory, priority, CASE WHEN price > 499900 AND priority = '5-LOW' THEN '202413' WHEN price > 499900 AND priority = '2-HIGH' THEN NULL ELSE month END AS month FROM ord),
+o AS (SELECT territory, priority, CASE WHEN month <> '202413' THEN CAST(substr(month, 1, 4) AS INT) * 12 + CAST(substr(month, 5, 2) AS INT) END AS m FROM p),
+g AS (SELECT territory, priority, count(DISTINCT m) AS n, max(m) - min(m) + 1 AS span, count(CASE WHEN m IS NULL THEN 1 END) AS lost FROM o GROUP BY ALL)
+SELECT 'calendar' AS gate, territory || '|' || priority AS key, CASE WHEN lost > 0 THEN lost || ' unreadable months' ELSE n || '/' || span END AS detail FROM g WHERE n <> span OR lost > 0
+UNION ALL SELECT 'missing', n_name || '|' || m, 'missing month' FROM nation, (SELECT unnest(['200001', '200002', '200003']) AS m) WHERE (n_name, m) NOT IN (SELECT (territory, month) FROM ord WHERE priority = '1-URGENT')""")
 def i10(spark, d):
-    p = orders_by_territory(spark, d).filter("priority = '1-URGENT'").select("territory", "month")
-    gaps = quality.missing_months(p, territories(spark, d).select("territory"), ["territory"], "month", "200001", "200003", gate="missing")
-    return quality.continuous(p, ["territory"], "month").unionByName(gaps)
+    o = orders_by_territory(spark, d)
+    dear = F.col("price") > 499900
+    p = o.withColumn("month", F.when(dear & (F.col("priority") == "5-LOW"), "202413").when(dear & (F.col("priority") == "2-HIGH"), None).otherwise(F.col("month")))
+    urgent = o.filter("priority = '1-URGENT'")
+    gaps = quality.missing_months(urgent, territories(spark, d).select("territory"), ["territory"], "month", "200001", "200003", gate="missing")
+    return quality.continuous(p, ["territory", "priority"], "month").unionByName(gaps)
+
+
+@query("i10_latest", f"""
+WITH {ORDERS_SQL}, p AS (SELECT territory, priority, month, CASE WHEN priority = '5-LOW' THEN '2001-13' WHEN priority = '2-HIGH' THEN NULL ELSE '200108' END AS latest FROM ord),
+g AS (SELECT territory, priority, max(month) AS m, max(CASE WHEN latest <> '2001-13' THEN latest END) AS l FROM p GROUP BY ALL)
+SELECT 'latest' AS gate, territory || '|' || priority AS key, concat_ws('/', m, l) AS detail FROM g WHERE l IS NULL OR m <> l""")
+def i10_latest(spark, d):
+    p = orders_by_territory(spark, d).withColumn("latest", F.when(F.col("priority") == "5-LOW", "2001-13").when(F.col("priority") != "2-HIGH", "200108"))
+    return quality.last_is_latest(p, ["territory", "priority"], "month", "latest")
 
 
 @query("i11_volume_floor", """
-SELECT 'volume' AS gate, CAST(count(*) AS VARCHAR) AS key, 'below 1000000000' AS detail FROM orders HAVING count(*) < 1000000000""")
+WITH c AS (SELECT c_custkey, c_custkey // 200 AS page FROM customer)
+SELECT 'volume' AS gate, CAST(count(*) AS VARCHAR) AS key, 'below 1000000000' AS detail FROM orders HAVING count(*) < 1000000000
+UNION ALL SELECT 'truncation', CAST(page AS VARCHAR), CASE WHEN page % 11 = 5 THEN 'no readable total' ELSE count(*) || '/' || (count(*) + 1) END FROM c WHERE page % 11 = 5 OR page % 7 = 3 GROUP BY page
+UNION ALL SELECT 'truncation', '-2', 'no readable total' UNION ALL SELECT 'truncation', '-3', '0/4'""")
 def i11(spark, d):
     rows = table(spark, d, "orders")
-    return quality.volume_floor(rows, 1_000_000_000).unionByName(quality.volume_floor(rows, 1))
+    odd = param_table(spark, [(-1, '{"numFound":0,"docs":[]}'), (-2, '{"docs":[]}'), (-3, '{"numFound":4}')], "page bigint, body string")
+    pages = nested.paged_documents(damaged_pages(spark, d).unionByName(odd), "struct<id: bigint, segment: string>")
+    return quality.volume_floor(rows, 1_000_000_000).unionByName(quality.volume_floor(rows, 1)).unionByName(
+        quality.declared_total(pages, ["page"], "declared", "received"))
 
 
 @query("i12_all_or_nothing", f"""

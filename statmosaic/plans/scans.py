@@ -11,7 +11,7 @@ from ..operators.quality import declared_total, export_matches, key_text
 from ..session import materialize, param_table, scratch_path
 from ..sources import archives, delimited, landing, nested
 from ..sources.delimited import Layout
-from .base import ORDERS_SQL, YEARLY_SQL, YEARS, dbl, dec, orders_by_territory, packed_files, table, territories, yearly_prices
+from .base import ORDERS_SQL, YEARLY_SQL, YEARS, damaged_pages, dbl, dec, orders_by_territory, packed_files, table, territories, yearly_prices
 from .registry import query
 
 
@@ -195,6 +195,18 @@ def a09(spark, d):
         "territory", nested.dims_key(F.col("dims")).alias("dims"), "period", "status", "value")
 
 
+@query("a09_cube_violations", """
+SELECT 'cube' AS gate, n_name AS key, CASE n_nationkey % 4 WHEN 1 THEN 'unreadable response' WHEN 2 THEN '1 results of several categories' ELSE 'unreadable response' END AS detail
+FROM nation WHERE n_nationkey % 4 <> 0 AND n_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey)""")
+def a09_violations(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("response"), "n_nationkey")
+    two = '"categoria":{"1":"1-URGENT","9":"'
+    kind = F.col("n_nationkey") % 4
+    damaged = _cube_docs(spark, d).join(n, "response").withColumn("body", F.when(kind == 1, F.lit("<html>error</html>")).when(kind == 3, F.lit(None)).when(
+        kind == 2, F.regexp_replace("body", r'"categoria":\{"1":"', two)).otherwise(F.col("body")))
+    return nested.cube_violations(damaged, ["response"])
+
+
 @query("a10_header_record", """
 SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total FROM customer GROUP BY 1""")
 def a10(spark, d):
@@ -205,15 +217,15 @@ def a10(spark, d):
         F.count(F.lit(1)).alias("n"), dbl(F.sum(F.col("V").cast("decimal(18,2)"))).alias("total"))
 
 
+# pages come damaged on purpose: each seventh declares one more, each eleventh is no document at all
 @query("a11_paged_documents", """
-SELECT c_mktsegment AS segment, count(*) AS n, CAST(count(DISTINCT c_custkey // 200) AS BIGINT) AS pages, CAST(0 AS BIGINT) AS truncated
-FROM customer GROUP BY 1""")
+WITH c AS (SELECT c_custkey, c_mktsegment, c_custkey // 200 AS page FROM customer),
+good AS (SELECT * FROM c WHERE page % 11 <> 5)
+SELECT c_mktsegment AS segment, count(*) AS n, CAST(count(DISTINCT page) AS BIGINT) AS pages, CAST(count(CASE WHEN page % 7 = 3 THEN 1 END) AS BIGINT) AS truncated FROM good GROUP BY 1
+UNION ALL SELECT NULL, count(*), count(*), count(*) FROM (SELECT DISTINCT page FROM c WHERE page % 11 = 5) HAVING count(*) > 0""")
 def a11(spark, d):
-    docs = table(spark, d, "customer").groupBy(F.floor(F.col("c_custkey") / 200).alias("page")).agg(F.to_json(F.struct(
-        F.count(F.lit(1)).alias("numFound"),
-        F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))).alias("docs"))).alias("body"))
-    rows = nested.paged_documents(docs, "struct<id: bigint, segment: string>")
-    bad = declared_total(rows, ["page"], "declared").select(F.col("key").cast("bigint").alias("page"), F.lit(1).alias("bad"))
+    rows = nested.paged_documents(damaged_pages(spark, d), "struct<id: bigint, segment: string>")
+    bad = declared_total(rows, ["page"], "declared", "received").select(F.col("key").cast("bigint").alias("page"), F.lit(1).alias("bad"))
     return rows.join(bad, "page", "left").groupBy(F.col("doc.segment").alias("segment")).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("pages"), F.count("bad").alias("truncated"))
 
@@ -237,12 +249,27 @@ def _by_segment(points):
 
 @query("a12_geojson_features", FEATURE_SQL.replace("-60.0", "CAST(-60.0 AS DOUBLE)").replace("-30.0", "CAST(-30.0 AS DOUBLE)"))
 def a12(spark, d):
-    docs = _features(spark, d).groupBy(F.floor(F.col("c_custkey") / 500).alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct(
-        F.struct(F.col("kind").alias("type"), "coordinates").alias("geometry"), "properties")).alias("features"))).alias("body"))
-    f = nested.geojson_features(docs, "struct<code: string, segment: string>").filter("complete")
+    f = nested.geojson_features(_collections(spark, d), "struct<code: string, segment: string>").filter(F.col("geometry_type").isNotNull())
     return _by_segment(f.select(F.col("properties.segment").alias("segment"), nested.point_of(F.col("coordinates")).alias("p")))
 
 
+def _collections(spark, d):
+    """Pages of features; some say that they were cut, or declare more, and page -1 is an error."""
+    page = F.floor(F.col("c_custkey") / 500)
+    whole = _features(spark, d).groupBy(page.alias("page")).agg(F.to_json(F.struct(
+        (page % 5 == 2).alias("exceededTransferLimit"),
+        (F.count(F.lit(1)) + F.when(page % 7 == 3, 1).otherwise(0)).alias("numberMatched"),
+        F.collect_list(F.struct(F.struct(F.col("kind").alias("type"), "coordinates").alias("geometry"), "properties")).alias("features"))).alias("body"))
+    return whole.unionByName(param_table(spark, [(-1, '{"error":"busy"}')], "page bigint, body string"))
+
+
+@query("a12_incomplete_collections", """
+SELECT 'transfer' AS gate, CAST(page AS VARCHAR) AS key, 'incomplete collection' AS detail FROM (SELECT DISTINCT c_custkey // 500 AS page FROM customer) WHERE page % 5 = 2 OR page % 7 = 3
+UNION ALL SELECT 'transfer', '-1', 'incomplete collection'""")
+def a12_incomplete(spark, d):
+    return nested.feature_violations(nested.geojson_features(_collections(spark, d), "struct<code: string, segment: string>"), ["page"])
+
+
 @query("a13_page_links", """
 WITH links AS (
   SELECT page_id, url AS page_url, replace(unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1)), '&amp;', '&') AS href FROM pages),

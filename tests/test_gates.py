@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 from statmosaic.functions.cells import status_consistent
 from statmosaic.operators import quality as q
+from statmosaic.sources import nested
 from statmosaic.operators import sets
 
 
@@ -61,6 +62,37 @@ def test_published_rate(spark, rows):
         ("rate", "above", "numerator above universe"), ("rate", "off", "rate off its parts"), ("rate", "range", "rate out of bounds")]
 
 
+def test_published_rate_needs_all_its_parts(spark, rows):
+    df = frame(spark, [("n", None, 3, 1.0), ("d", 1, None, 1.0), ("r", 1, 3, None)], "k string, n int, d int, r double")
+    assert details(rows, q.published_rate(df, ["k"], "n", "d", "r")) == [("rate", k, "rate or part absent") for k in "dnr"]
+
+
+def test_unreadable_months_are_violations(spark, rows):
+    df = frame(spark, [("a", "202312"), ("a", "202413"), ("b", "202312"), ("b", None), ("c", "2023-12"), ("c", "2024-01")], "k string, m string")
+    assert details(rows, q.continuous(df, ["k"], "m")) == [("calendar", "a", "1 unreadable months"), ("calendar", "b", "1 unreadable months")]
+    late = df.withColumn("l", F.when(F.col("k") == "c", "202401").when(F.col("k") == "a", "x"))
+    assert rows(q.last_is_latest(late, ["k"], "m", "l"), "key") == [("a",), ("b",)]
+
+
+def test_pages_without_a_readable_total_are_violations(spark, rows):
+    bodies = [("ok", '{"numFound":2,"docs":[{"id":1},{"id":2}]}'), ("empty", '{"numFound":0,"docs":[]}'), ("html", "<html>busy</html>"), ("null", None),
+              ("untold", '{"docs":[{"id":1}]}'), ("short", '{"numFound":3,"docs":[{"id":1}]}'), ("none", '{"numFound":3}')]
+    pages = nested.paged_documents(frame(spark, bodies, "page string, body string"), "struct<id: bigint>")
+    assert details(rows, q.declared_total(pages, ["page"], "declared", "received")) == [
+        ("truncation", "html", "no readable total"), ("truncation", "none", "0/3"), ("truncation", "null", "no readable total"),
+        ("truncation", "short", "1/3"), ("truncation", "untold", "no readable total")]
+
+
+def test_cubes_that_cannot_be_read_are_violations(spark, rows):
+    result = '{"classificacoes":[{"id":"81","nome":"P","categoria":%s}],"series":[{"localidade":{"id":"1","nivel":{"id":"N6","nome":"M"},"nome":"A"},"serie":{"2019":"10"}}]}'
+    cube = '[{"id":"1","variavel":"v","unidade":"t","resultados":[%s]}]'
+    docs = frame(spark, [("ok", cube % (result % '{"1":"a"}')), ("two", cube % ",".join([result % '{"1":"a","2":"b"}', result % '{"3":"c"}'])),
+                         ("html", "<html>busy</html>"), ("null", None), ("hollow", "[{}]")], "r string, body string")
+    assert details(rows, nested.cube_violations(docs, ["r"])) == [
+        ("cube", "hollow", "unreadable response"), ("cube", "html", "unreadable response"), ("cube", "null", "unreadable response"), ("cube", "two", "1 results of several categories")]
+    assert rows(nested.cube_cells(docs).select("r", nested.dims_key(F.col("dims")))) == [("ok", "81=1"), ("two", "81=3")]
+
+
 def test_references_and_https(spark, rows):
     df = frame(spark, [("a", "s1", "https://x"), ("b", "s9", "http://x"), ("c", None, None)], "id string, s string, u string")
     src = frame(spark, [("s1",)], "s string")

@@ -291,6 +291,18 @@ def test_movement_rules(spark):
     assert got == [None, "not on time", "not flagged late", "wrong exclusion month", "sign against movement type", "unknown movement type", "unknown sign", "wrong declaration month"]
 
 
+@pytest.mark.parametrize("changed,why", [
+    ({"kind": None}, "unknown file kind"), ({"kind": "ABC"}, "unknown file kind"), ({"m": None}, "unreadable month"), ({"m": "202413"}, "unreadable month"),
+    ({"pub": None}, "unreadable month"), ({"dec": None}, "wrong declaration month"), ({"late": None}, "not on time"), ({"kind": "FOR", "late": None}, "not flagged late"),
+    ({"kind": "EXC", "isx": None, "exc": "202401"}, "wrong exclusion month"), ({"kind": "EXC", "isx": "1", "exc": None}, "wrong exclusion month"),
+    ({"sign": None}, "unknown sign"), ({"typ": None}, "unknown movement type")])
+def test_a_movement_record_with_a_missing_field_is_refused(spark, changed, why):
+    record = {"kind": "MOV", "m": "202401", "dec": "202401", "exc": None, "late": "0", "isx": None, "sign": 1, "typ": "10", "pub": "202401"}
+    df = spark.createDataFrame([tuple({**record, **changed}.values())], "kind string, m string, dec string, exc string, late string, isx string, sign int, typ string, pub string")
+    p = mapping.movement_problem(*[F.col(c) for c in record], ["10"], ["31"])
+    assert df.select(p.alias("p")).first()["p"] == why
+
+
 def test_wage_without_a_known_minimum_is_never_used(spark, rows):
     df = spark.createDataFrame([("2024", 1000.0), ("2024", 100.0), ("2031", 1000.0)], "y string, w double")
     mins = param_table(spark, [("2024", 1412.0)], "year string, minimum double")
