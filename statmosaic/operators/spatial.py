@@ -6,6 +6,7 @@ equi-join on the cell followed by the exact test.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -77,24 +78,40 @@ def points_in_shapes(
 def within_radius(
     points: DataFrame, centers: DataFrame, lat: str, lon: str, center_lat: str, center_lon: str, radius_km: float, salts: int = 16
 ) -> DataFrame:
-    """Points within a radius of each centre, with their distance.
+    """Points within a radius of each centre, with their distance, anywhere on the globe.
 
-    Centres unfold to the cells their radius can reach, so only near pairs are ever formed.
+    Centres unfold to the cells their radius can reach, so only near pairs are ever formed.  Cells
+    are bands of latitude cut by meridians; they close at 180 degrees and are fewer near the poles.
     """
-    size = max(radius_km / 111.0, 0.05)
-    reach_lat = F.lit(radius_km / 110.0)
-    reach_lon = reach_lat / F.greatest(F.cos(F.radians(F.abs(F.col(center_lat)) + reach_lat)), F.lit(0.01))
-    box = F.struct(
-        (F.col(center_lon) - reach_lon).alias("min_x"), (F.col(center_lat) - reach_lat).alias("min_y"),
-        (F.col(center_lon) + reach_lon).alias("max_x"), (F.col(center_lat) + reach_lat).alias("max_y"),
+    reach = math.degrees(radius_km / geo.EARTH_KM) * (1 + 1e-9)
+    size = max(reach, 0.05)
+    lat0, lon0 = F.col(center_lat), F.col(center_lon)
+    # a circle that holds a pole meets every meridian
+    ratio = F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(lat0))
+    wide = F.when((F.abs(lat0) + reach >= 90) | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+    first, last = F.greatest(lat0 - reach, F.lit(-90.0)), F.least(lat0 + reach, F.lit(90.0))
+    bands = centers.withColumns({"_wide": wide, "_cy": F.explode(F.sequence(F.floor(first / size).cast("bigint"), F.floor(last / size).cast("bigint")))})
+    many = _cells_around(F.col("_cy"), size)
+    turn = lambda lon: F.floor((lon + 180) / 360 * many).cast("bigint")
+    low, high = turn(lon0 - F.col("_wide")), turn(lon0 + F.col("_wide"))
+    by_cell = (
+        bands.withColumn("_cx", F.explode(F.sequence(low, F.least(high, low + many - 1))))
+        .withColumn("cell", F.struct(F.pmod(F.col("_cx"), many).alias("cx"), F.col("_cy").alias("cy"))).drop("_wide", "_cx", "_cy")
     )
-    by_cell = shapes_by_cell(centers, box, size)
-    located = points.withColumn("cell", cell_of(F.col(lon), F.col(lat), size))
-    pairs = salted_join(located, by_cell, ["cell"], "inner", salts).drop("cell")
+    band = F.floor(F.col(lat) / size).cast("bigint")
+    around = _cells_around(band, size)
+    cell = F.struct(F.pmod(F.floor((F.col(lon) + 180) / 360 * around).cast("bigint"), around).alias("cx"), band.alias("cy"))
+    pairs = salted_join(points.withColumn("cell", cell), by_cell, ["cell"], "inner", salts).drop("cell")
     far = geo.haversine_km(F.col(lat), F.col(lon), F.col(center_lat), F.col(center_lon))
     return pairs.withColumn("distance_km", far).filter(F.col("distance_km") <= radius_km)
 
 
+def _cells_around(band: Column, size: float) -> Column:
+    """Number of cells around the globe in a band of latitudes: fewer towards the poles, each at least ``size`` wide."""
+    highest = F.least(F.greatest(F.abs(band * size), F.abs((band + 1) * size)), F.lit(90.0))
+    return F.greatest(F.floor(F.cos(F.radians(highest)) * 360 / size).cast("bigint"), F.lit(1).cast("bigint"))
+
+
 def nearest_within(
     points: DataFrame, centers: DataFrame, keys: Sequence[str], point_id: str, lat: str, lon: str,
     center_lat: str, center_lon: str, radius_km: float, k: int, salts: int = 16,

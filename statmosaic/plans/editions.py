@@ -105,19 +105,27 @@ def _marked(df):
 
 def _day():
     return F.date_format(F.col("ts"), "yyyy-MM-dd")
-# longer than any delay in the data: nothing is dropped, so the end state must equal the batch result
-DELAY = "60 days"
 
 
-@query("m01_stream_ledger", f"WITH {EVENT_SQL} SELECT territory, period, {FLOWS_SQL} FROM ev GROUP BY ALL")
+DELAY = "60 days"  # of the deduplication: longer than any delay in the data, so the end state equals the batch result
+LATE = "2 days"
+
+
+@query("m01_stream_ledger", f"""
+WITH {EVENT_SQL}, b AS (SELECT ev.*, CAST(period AS DATE) AS day, CASE WHEN event_id % 10 = 3 THEN 2 ELSE 1 END AS batch FROM ev),
+mark AS (SELECT max(ts) - INTERVAL 2 DAY AS m FROM events WHERE event_id % 10 <> 3)
+SELECT territory, strftime(day, '%Y%m') AS period, {FLOWS_SQL} FROM b, mark WHERE batch = 1 OR day + INTERVAL 1 DAY > m GROUP BY ALL""")
 def m01(spark, d):
+    """Every tenth record comes in a second batch; those whose day the watermark has left are dropped."""
     root = scratch_path(spark, "m01")
     events = table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    keys = ["territory", "period"]
-    led = live.period_ledger(_marked(stream), "ts", DELAY, ["territory"], _day())
-    live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", keys).awaitTermination()
-    return live.current_state(live.read_updates(spark, f"{root}/state"), keys)
+    for part in ("event_id % 10 <> 3", "event_id % 10 = 3"):
+        events.filter(part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
+        led = live.daily_ledger(_marked(stream), "ts", LATE, ["territory"])
+        live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory"]).awaitTermination()
+    days = live.current_state(live.read_updates(spark, f"{root}/state"), ["territory", "day"])
+    return live.by_period(days, ["territory"], F.date_format("day", "yyyyMM"))
 
 
 @query("m02_stream_dedup", f"WITH {EVENT_SQL} SELECT territory, period, {FLOWS_SQL} FROM ev GROUP BY ALL")
@@ -133,7 +141,9 @@ def m02(spark, d):
 
 
 @query("m03_stream_revisions", f"""
-WITH {EVENT_SQL}, a AS (SELECT territory, period, {FLOWS_SQL} FROM ev WHERE value >= 2 GROUP BY ALL), b AS (SELECT territory, period, {FLOWS_SQL} FROM ev GROUP BY ALL)
+WITH {EVENT_SQL}, mark AS (SELECT max(ts) - INTERVAL 2 DAY AS m FROM events WHERE value >= 2),
+a AS (SELECT territory, period, {FLOWS_SQL} FROM ev WHERE value >= 2 GROUP BY ALL),
+b AS (SELECT territory, period, {FLOWS_SQL} FROM ev, mark WHERE value >= 2 OR CAST(period AS DATE) + INTERVAL 1 DAY > m GROUP BY ALL)
 SELECT b.*, a.admissions AS previous_admissions, a.dismissals AS previous_dismissals, a.balance AS previous_balance FROM a JOIN b USING (territory, period)
 WHERE (a.admissions, a.dismissals, a.balance) <> (b.admissions, b.dismissals, b.balance)""")
 def m03(spark, d):
@@ -142,6 +152,7 @@ def m03(spark, d):
     for part in ("value >= 2", "value < 2"):
         events.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
-        led = live.period_ledger(_marked(stream), "ts", DELAY, ["territory"], _day())
-        live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory", "period"], f"{root}/log").awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/log").drop("batch")
+        led = live.daily_ledger(_marked(stream), "ts", LATE, ["territory"])
+        live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory"], f"{root}/log").awaitTermination()
+    log = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/log").drop("batch")
+    return log.withColumn("period", F.date_format("day", "yyyy-MM-dd")).drop("day")

@@ -63,6 +63,21 @@ def k03(spark, d):
     return near.groupBy("territory").agg(F.count(F.lit(1)).alias("stations"), F.round(F.min("distance_km") * 1000).cast("bigint").alias("nearest_m"))
 
 
+@query("k03_radius_anywhere", """
+WITH st AS (SELECT s_suppkey AS id, CAST(-90 + s_suppkey * 37 % 181 AS DOUBLE) AS lat, CAST(-180 + s_suppkey * 53 % 361 AS DOUBLE) AS lon FROM supplier),
+ce AS (SELECT n_name AS territory, CAST(-90 + n_nationkey * 7.5 AS DOUBLE) AS clat, CAST(CASE n_nationkey % 3 WHEN 0 THEN 179.9 WHEN 1 THEN -179.5 ELSE n_nationkey * 14 - 170 END AS DOUBLE) AS clon FROM nation),
+dist AS (SELECT territory, id, 2 * CAST(6371 AS DOUBLE) * asin(least(1.0, sqrt(power(sin(radians(lat - clat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * power(sin(radians(lon - clon) / 2), 2)))) AS km FROM st, ce)
+SELECT territory, id, CAST(round(km) AS BIGINT) AS km FROM dist WHERE km <= 1500""")
+def k03_anywhere(spark, d):
+    """Stations and centres all over the globe, both poles and both sides of the date line included."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    stations = table(spark, d, "supplier").select(k.alias("id"), (F.lit(-90.0) + k * 37 % 181).alias("lat"), (F.lit(-180.0) + k * 53 % 361).alias("lon"))
+    lon = F.when(n % 3 == 0, F.lit(179.9)).when(n % 3 == 1, F.lit(-179.5)).otherwise(n * 14.0 - 170.0)
+    centers = territories(spark, d).select("territory", (F.lit(-90.0) + n * 7.5).alias("clat"), lon.alias("clon"))
+    near = spatial.within_radius(stations, centers, "lat", "lon", "clat", "clon", 1500.0)
+    return near.select("territory", "id", F.round("distance_km").cast("bigint").alias("km"))
+
+
 @query("k04_envelope_prefilter", f"""
 WITH {_own_sql(0)} SELECT territory, count(*) AS candidates FROM own WHERE abs(dx) <= 6.5 AND abs(dy) <= 6.5 GROUP BY 1""")
 def k04(spark, d):

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-# A parameter table longer than this is a data set: Spark then chooses the join.
-PARAM_ROWS_MAX = 100_000
-INLINE_CELLS_MAX = 1_000
+from pyspark.sql.pandas.types import to_arrow_type
 
 _OWN_SCRATCH: dict[str, str] = {}
 
@@ -41,10 +40,12 @@ def build_session(app: str = "statmosaic", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is named (tests)."""
+    """The cluster's shared folder; a private one only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = tempfile.mkdtemp(prefix="statmosaic-")
@@ -64,20 +65,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def param_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A driver-supplied mapping.  Its length is known, so the hint is size-checked.
-
-    Short tables become literal rows of the plan, which need no job of their own.
-    """
-    rows = list(rows)
+    """A driver-supplied mapping as a local relation, whose measured size tells Spark whether to broadcast it."""
     fields = T.StructType.fromDDL(schema).fields
-    if rows and len(rows) * len(fields) <= INLINE_CELLS_MAX:
-        cells = {f"r{i}c{j}": v for i, row in enumerate(rows) for j, v in enumerate(row)}
-        marks = ", ".join("(" + ", ".join(f":r{i}c{j}" for j in range(len(fields))) + ")" for i in range(len(rows)))
-        literal = spark.sql(f"SELECT * FROM VALUES {marks}", args=cells)
-        df = literal.toDF(*[f.name for f in fields]).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-    else:
-        df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= PARAM_ROWS_MAX else df
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+
+    def column(values: tuple, kind: T.DataType) -> pa.Array:
+        try:
+            return pa.array(values, type=to_arrow_type(kind))
+        except (pa.ArrowInvalid, pa.ArrowTypeError):  # another Python type: Spark casts it
+            return pa.array(values)
+
+    local = pa.Table.from_arrays([column(v, f.dataType) for v, f in zip(columns, fields, strict=True)], names=[f"c{i}" for i in range(len(fields))])
+    return spark.createDataFrame(local).select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
 def lit_array(values: Iterable) -> Column:
@@ -123,4 +122,10 @@ def attach_group(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column],
     if bounded:
         w = Window.partitionBy(*keys)
         return df.withColumns({name: a.over(w) for name, a in aggs.items()})
-    return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), list(keys), "left")
+    groups = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    for i, k in enumerate(keys):
+        groups = groups.withColumnRenamed(k, f"_group{i}")
+    same = F.lit(True)
+    for i, k in enumerate(keys):  # a null key is a group like any other
+        same = same & df[k].eqNullSafe(groups[f"_group{i}"])
+    return df.join(groups, same, "left").select(*[df[c] for c in df.columns], *aggs)

@@ -83,12 +83,12 @@ def workbook_cells(files: DataFrame) -> DataFrame:
 
 def archive_lines(
     files: DataFrame, suffix: str = ".csv", sep: str = ";", encoding: str = "utf-8-sig",
-    members: int | None = 1, member_cap: int = 400_000_000,
+    members: int | None = 1,
 ) -> DataFrame:
     """Delimited members of ZIP archives to lines of fields, each with its member's header.
 
-    An archive with another number of members than ``members``, or a member above the
-    cap, gives one row with ``error`` set instead of data.
+    Members are read as streams, so their size does not matter.  An archive with another number of
+    members than ``members`` gives one row with ``error`` set instead of data.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,8 +100,6 @@ def archive_lines(
                     problem = None
                     if members is not None and len(infos) != members:
                         problem = f"{len(infos)} members"
-                    elif any(i.file_size > member_cap for i in infos):
-                        problem = "member above cap"
                     if problem:
                         yield pd.DataFrame([(path, None, None, None, None, problem)], columns=names)
                         continue

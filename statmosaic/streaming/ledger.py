@@ -17,6 +17,9 @@ from ..operators.aggregates import flow_counts
 from ..operators.joins import changed_rows
 
 
+FIELDS = ("admissions", "dismissals", "balance")
+
+
 def as_instant(df: DataFrame, column: str) -> DataFrame:
     """Watermarks need a zoned timestamp."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
@@ -27,16 +30,16 @@ def once_per_id(stream: DataFrame, ids: Sequence[str], time: str, delay: str) ->
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(ids))
 
 
-def period_ledger(stream: DataFrame, time: str, delay: str, keys: Sequence[str], period: Column, watermarked: bool = False) -> DataFrame:
-    """Late and retracting records update the period they belong to.
+def daily_ledger(stream: DataFrame, time: str, delay: str, keys: Sequence[str], watermarked: bool = False) -> DataFrame:
+    """Signed sums per key and ``day`` of the event; late and retracting records update their own day.
 
-    ``period`` is a calendar key (month or day) computed from the event time.
+    The day is a window on event time, so the watermark holds: a record that comes later than ``delay`` after
+    the end of its day is dropped and counted, and days beyond it leave the state.  Longer periods are
+    folded from days on reading (:func:`by_period`).
     """
     s = stream if watermarked else stream.withWatermark(time, delay)
-    return s.groupBy(*keys, period.alias("period")).agg(*flow_counts())
-
-
-FIELDS = ("admissions", "dismissals", "balance")
+    sums = s.groupBy(*keys, F.window(time, "1 day").alias("_w")).agg(*flow_counts())
+    return sums.select(*keys, F.to_date("_w.start").alias("day"), *FIELDS)
 
 
 def current_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,6 +47,11 @@ def current_state(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*FIELDS), F.col("batch")).alias("_s")).select(*keys, "_s.*")
 
 
+def by_period(days: DataFrame, keys: Sequence[str], period: Column) -> DataFrame:
+    """Days folded to a longer period computed from ``day``."""
+    return days.groupBy(*keys, period.alias("period")).agg(*[F.sum(f).alias(f) for f in FIELDS])
+
+
 def state_before(spark: SparkSession, path: str, keys: Sequence[str], batch: int, schema: T.StructType, every: int) -> DataFrame:
     """Sums as they stood before a batch: the last snapshot and the batches after it.
 
@@ -58,13 +66,18 @@ def state_before(spark: SparkSession, path: str, keys: Sequence[str], batch: int
 
 def write_ledger(
     ledger: DataFrame, path: str, checkpoint: str, keys: Sequence[str], log_path: str | None = None, every: int = 100,
-    available_now: bool = True,
+    available_now: bool = True, period: Column | None = None,
 ) -> StreamingQuery:
     """Update-mode sink: each batch's changed sums in its own folder, a snapshot every ``every`` batches.
 
-    With ``log_path``, sums that change after they were first published are logged with
-    their earlier values.  A replayed batch overwrites its own folders, so it counts once.
+    With ``log_path``, sums of days (or of ``period``) that change after they were first published are
+    logged with their earlier values.  A replayed batch overwrites its own folders, so it counts once.
     """
+    day_keys = [*keys, "day"]
+    shown = day_keys if period is None else [*keys, "period"]
+
+    def folded(state: DataFrame) -> DataFrame:
+        return state if period is None else by_period(state, keys, period)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -74,11 +87,12 @@ def write_ledger(
         if batch_id == 0:
             return
         if log_path is not None:
-            before = state_before(spark, path, keys, batch_id, rows.schema, every)
-            changed_rows(before, written, keys, FIELDS).write.mode("overwrite").parquet(f"{log_path}/b={batch_id}")
+            before = state_before(spark, path, day_keys, batch_id, rows.schema, every)
+            after = current_state(before.withColumn("batch", F.lit(batch_id - 1).cast("bigint")).unionByName(written), day_keys)
+            changed_rows(folded(before), folded(after), shown, FIELDS).write.mode("overwrite").parquet(f"{log_path}/b={batch_id}")
         if batch_id % every == 0:
-            before = state_before(spark, path, keys, batch_id, rows.schema, every).withColumn("batch", F.lit(batch_id - 1).cast("bigint"))
-            state = current_state(before.unionByName(written), keys)
+            before = state_before(spark, path, day_keys, batch_id, rows.schema, every).withColumn("batch", F.lit(batch_id - 1).cast("bigint"))
+            state = current_state(before.unionByName(written), day_keys)
             state.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/snapshot={batch_id}")
 
     w = ledger.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
@@ -90,6 +104,12 @@ def read_updates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/b=*")
 
 
+def read_state(spark: SparkSession, path: str, keys: Sequence[str], batches: int, every: int = 100) -> DataFrame:
+    """Days as they stand after so many batches, from the last snapshot on."""
+    schema = spark.read.parquet(f"{path}/b=0").schema
+    return state_before(spark, path, [*keys, "day"], batches, schema, every)
+
+
 def write_rows(rows: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append-mode file sink; its own log makes each batch count once."""
     w = rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)

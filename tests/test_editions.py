@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 
 import pytest
@@ -89,18 +90,14 @@ def put(spark, path, data):
         "ts", F.to_timestamp("at")).drop("at").coalesce(1).write.mode("append").parquet(path)
 
 
-def month():
-    return F.date_format("ts", "yyyyMM")
-
-
 def test_stream_updates_late_and_retracted_months_and_logs_them(spark, tmp_path, rows):
     src, state, log, cp = (str(tmp_path / n) for n in ("in", "state", "log", "cp"))
-    keys = ["territory", "period"]
 
     def run():
-        led = live.period_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "800 days", ["territory"], month())
-        live.write_ledger(led, state, cp, keys, log).awaitTermination()
-        return rows(live.current_state(live.read_updates(spark, state), keys))
+        led = live.daily_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "800 days", ["territory"])
+        live.write_ledger(led, state, cp, ["territory"], log, period=F.date_format("day", "yyyyMM")).awaitTermination()
+        days = live.current_state(live.read_updates(spark, state), ["territory", "day"])
+        return rows(live.by_period(days, ["territory"], F.date_format("day", "yyyyMM")))
 
     put(spark, src, [("1", "2024-01-05", "a", 1, 1), ("2", "2024-01-06", "a", -1, 1), ("3", "2024-02-01", "a", 1, 1)])
     assert run() == [("a", "202401", 1, 1, 0), ("a", "202402", 1, 0, 1)]
@@ -112,21 +109,40 @@ def test_stream_updates_late_and_retracted_months_and_logs_them(spark, tmp_path,
 
 
 def test_snapshots_do_not_change_state_or_revisions(spark, tmp_path, rows):
-    src, keys = str(tmp_path / "in"), ["territory", "period"]
+    src, keys = str(tmp_path / "in"), ["territory", "day"]
     outs = {e: [str(tmp_path / f"{n}{e}") for n in ("state", "cp", "log")] for e in (2, 100)}
     for i in range(5):
         put(spark, src, [(f"{i}", "2024-01-05", "a", 1, 1), (f"{i}b", f"2024-0{i + 1}-05", "b", -1, 1)])
         for every, (state, cp, log) in outs.items():
-            led = live.period_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "800 days", ["territory"], month())
-            live.write_ledger(led, state, cp, keys, log, every=every).awaitTermination()
+            led = live.daily_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "800 days", ["territory"])
+            live.write_ledger(led, state, cp, ["territory"], log, every=every).awaitTermination()
     got = {e: (rows(live.current_state(live.read_updates(spark, state), keys)), rows(spark.read.option("recursiveFileLookup", "true").parquet(log).drop("batch")))
            for e, (state, _, log) in outs.items()}
     assert got[2] == got[100]
-    assert ("a", "202401", 5, 0, 5) in got[2][0] and len(got[2][1]) == 4
+    assert ("a", dt.date(2024, 1, 5), 5, 0, 5) in got[2][0] and len(got[2][1]) == 4
     schema = live.read_updates(spark, outs[2][0]).schema
     for e in (2, 100):
         last = max(int(n.split("=")[1]) for n in os.listdir(outs[e][0]) if n.startswith("b="))
         assert rows(live.state_before(spark, outs[e][0], keys, last + 1, schema, e)) == got[2][0]
+        assert rows(live.read_state(spark, outs[e][0], ["territory"], last + 1, e)) == got[2][0]
+
+
+def test_the_ledger_drops_what_is_too_late_and_lets_old_days_go(spark, tmp_path, rows):
+    src, state, cp = (str(tmp_path / n) for n in ("in", "state", "cp"))
+
+    def run(records):
+        put(spark, src, records)
+        q = live.write_ledger(live.daily_ledger(spark.readStream.schema(EVENT).parquet(src), "ts", "1 day", ["territory"]), state, cp, ["territory"])
+        q.awaitTermination()
+        return q
+
+    run([("1", "2020-03-01", "a", 1, 1), ("2", "2024-06-10", "a", 1, 1)])
+    q = run([("3", "2020-03-01", "a", 1, 1), ("4", "2024-06-10", "a", -1, 1), ("5", "2024-06-12", "a", 1, 1)])
+    assert live.dropped_rows(q) == 1
+    days = live.current_state(live.read_updates(spark, state), ["territory", "day"])
+    assert rows(days) == [("a", dt.date(2020, 3, 1), 1, 0, 1), ("a", dt.date(2024, 6, 10), 1, 1, 0), ("a", dt.date(2024, 6, 12), 1, 0, 1)]
+    # the day of 2020 has left the state, the latest days are in it
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
 
 
 def test_records_older_than_the_watermark_are_dropped_and_counted(spark, tmp_path, rows):

@@ -149,3 +149,19 @@ def test_inclusive_grid_join_keeps_boundary_points(spark, rows):
     pts = [(1, 0.0, 0.0), (2, 10.0, 5.0), (3, 4.0, 5.0), (4, 5.0, 5.0), (5, 5.0, 10.0), (6, 10.5, 5.0)]
     got = spatial.points_in_shapes(spark.createDataFrame(pts, "i int, x double, y double"), sf, "x", "y", "g", 2.0, inclusive=True)
     assert rows(got, "i") == [(1,), (2,), (3,), (5,)]
+
+
+def test_radius_search_is_whole_anywhere_on_the_globe(spark):
+    """Poles, the date line and wide circles against every pair."""
+    rng = random.Random(11)
+    spots = [(90.0, 0.0), (-90.0, 10.0), (89.95, 170.0), (89.95, -10.0), (0.0, 180.0), (0.0, -180.0), (45.0, 179.99), (45.0, -179.99), (-60.0, -180.0), (0.0, 0.0)]
+    points = [(i, *p) for i, p in enumerate(spots + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(300)] + [(rng.choice([-1, 1]) * rng.uniform(85, 90), rng.uniform(-180, 180)) for _ in range(60)])]
+    centers = [(i, *p) for i, p in enumerate(spots + [(rng.uniform(-90, 90), rng.choice([-1, 1]) * rng.uniform(170, 180)) for _ in range(20)])]
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    c = spark.createDataFrame(centers, "c long, clat double, clon double")
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
+    pairs = p.crossJoin(c).withColumn("km", km).collect()
+    for radius in (5.0, 50.0, 700.0, 5000.0, 12000.0):
+        want = sorted((r.c, r.id) for r in pairs if r.km <= radius)
+        got = sorted((r.c, r.id) for r in spatial.within_radius(p, c, "lat", "lon", "clat", "clon", radius).collect())
+        assert got == want, radius

@@ -318,3 +318,18 @@ def test_parameter_tables_keep_rows_order_of_columns_and_types(spark, rows):
     long = [(str(i), float(i)) for i in range(2000)]
     assert rows(param_table(spark, long, "k string, v double")) == sorted(long, key=repr)
     assert param_table(spark, [], "k string").count() == 0
+
+
+def test_group_aggregates_reach_null_groups_in_both_forms(spark, rows):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 2), (None, "x", 3), (None, None, 4), ("a", "x", 5)], "k string, j string, v int")
+    for bounded in (True, False):
+        got = attach_group(df, ["k", "j"], {"t": F.sum("v")}, bounded)
+        assert got.columns == ["k", "j", "v", "t"]
+        assert rows(got) == sorted([("a", None, 1, 3), ("a", None, 2, 3), (None, "x", 3, 3), (None, None, 4, 4), ("a", "x", 5, 5)], key=repr)
+
+
+def test_siblings_of_a_null_group_are_withheld_in_both_forms(spark, rows):
+    df = spark.createDataFrame([(None, "p", None, "suppressed"), (None, "q", 50.0, "real"), ("g", "p", 7.0, "real")], "g string, c string, value double, status string")
+    one = rows(disclosure.suppress_siblings(df, ["g"], ["value"], "status", bounded=True))
+    assert rows(disclosure.suppress_siblings(df, ["g"], ["value"], "status", bounded=False)) == one
+    assert ("q", None) in [(r[1], r[2]) for r in one]

@@ -151,11 +151,6 @@ def test_bad_archives_fail(spark, content, why):
         archives.named_rows(lines, ["x", "y"]).collect()
 
 
-def test_archive_member_cap(spark):
-    lines = archives.archive_lines(frame(spark, {"a": zipped(a_csv="x;y\r\n1;2\r\n")}), member_cap=3)
-    assert [r["error"] for r in lines.collect()] == ["member above cap"]
-
-
 CUBE = [{"id": "214", "variavel": "Produção", "unidade": "t", "resultados": [{
     "classificacoes": [{"id": "81", "nome": "Produto", "categoria": {"2713": "Soja"}}],
     "series": [{"localidade": {"id": "41", "nivel": {"id": "N3", "nome": "UF"}, "nome": "Paraná"},
