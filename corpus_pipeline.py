@@ -40,7 +40,8 @@ def similarity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of every group of similar documents the one with the least doc_id; a repeated row once; all without words."""
     groups = jaccard_join.similar_groups(docs)
     stay = materialize(groups.where("doc_id <=> component_id").select("doc_id").distinct(), "staying").toDF("_stays")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi").withColumn("_row", row_key())
+    # the ids grow with the corpus: a merge at every size, never a broadcast
+    kept = docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi").withColumn("_row", row_key())
     again = F.lag("_row").over(Window.partitionBy("doc_id").orderBy("_row"))
     return kept.withColumn("_again", again).where(~F.col("_again").eqNullSafe(F.col("_row"))).select(*docs.columns)
 

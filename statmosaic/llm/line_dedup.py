@@ -77,10 +77,10 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """The documents with ``kept_text``, ``n_lines`` and ``n_dropped`` beside their own columns."""
-    # the bitmaps are few rows beside the texts; Spark broadcasts them only if their measured size allows it
+    # the bitmaps grow with the corpus, so they meet the texts by a merge at every size and are never broadcast
     bitmaps = materialize(drop_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first), "line-bitmaps").toDF("_doc", "_row", "_drops")
     marked = docs.withColumn("_own_row", row_key())
-    joined = marked.join(bitmaps, marked["doc_id"].eqNullSafe(bitmaps["_doc"]) & (marked["_own_row"] == bitmaps["_row"]), "left")
+    joined = marked.join(bitmaps.hint("merge"), marked["doc_id"].eqNullSafe(bitmaps["_doc"]) & (marked["_own_row"] == bitmaps["_row"]), "left")
     lines = lines_of(F.col("text"))
     zero = F.lit(0).cast("bigint")
 
