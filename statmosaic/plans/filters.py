@@ -8,7 +8,7 @@ from ..functions import cells, text
 from ..operators import mapping, sets
 from ..session import param_table, scratch_path
 from ..sources import delimited
-from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
+from .base import MONTHS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, SEGMENTS, YEARLY_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 RAW_SQL = """CASE WHEN l_linenumber = 1 THEN '-' WHEN l_linenumber = 2 THEN 'X' WHEN l_linenumber = 3 THEN '..'
@@ -145,14 +145,15 @@ def b10(spark, d):
 
 
 @query("b11_unavailable_rows", f"""
-WITH {ORDERS_SQL}, seen AS (SELECT DISTINCT territory, month FROM ord WHERE priority = '1-URGENT' AND status_code = 'P'),
-t AS (SELECT DISTINCT n_name AS territory FROM nation), m AS (SELECT unnest(['199501','199502','199503','199504','199505','199506']) AS month)
-SELECT territory, month, 'Urgent orders' AS title, CAST(NULL AS DOUBLE) AS value, 'unavailable' AS status, 'not published' AS reason
-FROM t, m WHERE (territory, month) NOT IN (SELECT (territory, month) FROM seen)""")
+WITH {ORDERS_SQL}, seen AS (SELECT DISTINCT territory, month, segment FROM ord), {MONTHS_SQL},
+t AS (SELECT n_name AS territory, month, segment FROM nation, cal, (SELECT DISTINCT c_mktsegment AS segment FROM customer))
+SELECT territory, month, segment, 'Orders' AS title, CAST(NULL AS DOUBLE) AS value, 'unavailable' AS status, 'not published' AS reason
+FROM t ANTI JOIN seen USING (territory, month, segment)""")
 def b11(spark, d):
-    expected = sets.expected_cells(territories(spark, d).select("territory"), {"month": [f"19950{i}" for i in range(1, 7)]})
-    seen = orders_by_territory(spark, d).filter("priority = '1-URGENT' AND status_code = 'P'").select("territory", "month")
-    return mapping.unavailable_rows(expected.join(seen, ["territory", "month"], "left_anti"), "Urgent orders", "not published")
+    months = [f"{y}{m:02}" for y in YEARS for m in range(1, 13)]
+    expected = sets.expected_cells(territories(spark, d).select("territory"), {"month": months, "segment": SEGMENTS})
+    seen = orders_by_territory(spark, d).select("territory", "month", "segment")
+    return mapping.unavailable_rows(expected.join(seen, ["territory", "month", "segment"], "left_anti"), "Orders", "not published")
 
 
 @query("b12_presence", f"""

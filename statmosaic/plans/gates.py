@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..operators import quality, sets
 from ..session import materialize, param_table, scratch_path
 from ..sources import delimited, landing, nested
-from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, damaged_pages, dbl, movements, orders_by_territory, table, territories, yearly_prices
+from .base import MONTHS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, damaged_pages, dbl, movements, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 
@@ -17,13 +17,14 @@ def _count(v, *extra):
 
 
 @query("i01_cube_completeness", f"""
-WITH {ORDERS_SQL}, e AS (SELECT n_name AS territory, y AS year, p AS priority, 1 AS e FROM nation, (SELECT unnest({YEARS}) AS y), (SELECT unnest({PRIORITIES}) AS p)),
-s AS (SELECT territory, year, priority, count(*) AS k FROM ord WHERE price > 470000 GROUP BY ALL)
-SELECT 'complete' AS gate, CASE WHEN k IS NULL THEN 'missing' ELSE 'repeated' END AS detail, count(*) AS violations FROM e LEFT JOIN s USING (territory, year, priority) WHERE k IS NULL OR k > 1 GROUP BY 2""")
+WITH {ORDERS_SQL}, {MONTHS_SQL}, e AS (SELECT n_name AS territory, month, p AS priority, 1 AS e FROM nation, cal, (SELECT unnest({PRIORITIES}) AS p)),
+s AS (SELECT territory, month, priority, count(*) AS k FROM ord GROUP BY ALL)
+SELECT 'complete' AS gate, CASE WHEN k IS NULL THEN 'missing' ELSE 'repeated' END AS detail, count(*) AS violations FROM e LEFT JOIN s USING (territory, month, priority) WHERE k IS NULL OR k > 1 GROUP BY 2""")
 def i01(spark, d):
-    keys = ["territory", "year", "priority"]
-    expected = sets.expected_cells(territories(spark, d).select("territory"), {"year": YEARS, "priority": PRIORITIES})
-    diff = sets.cell_differences(expected, orders_by_territory(spark, d).filter("price > 470000").select(*keys), keys)
+    keys = ["territory", "month", "priority"]
+    months = [f"{y}{m:02}" for y in YEARS for m in range(1, 13)]
+    expected = sets.expected_cells(territories(spark, d).select("territory"), {"month": months, "priority": PRIORITIES})
+    diff = sets.cell_differences(expected, orders_by_territory(spark, d).select(*keys), keys)
     return _count(quality.complete_cells(diff, keys), "detail")
 
 
@@ -134,11 +135,11 @@ def i11(spark, d):
 
 
 @query("i12_all_or_nothing", f"""
-WITH {ORDERS_SQL}, g AS (SELECT territory, year, count(DISTINCT CASE WHEN price > 420000 THEN priority END) AS k FROM ord WHERE status_code = 'P' GROUP BY ALL)
-SELECT 'partial' AS gate, territory || '|' || year AS key, CASE WHEN k > 0 THEN 'partial opening' ELSE 'undocumented gap' END AS detail FROM g WHERE k BETWEEN 1 AND 4 OR (k = 0 AND year <> '2001')""")
+WITH {ORDERS_SQL}, g AS (SELECT territory, month, count(DISTINCT CASE WHEN price > 250000 THEN priority END) AS k FROM ord GROUP BY ALL)
+SELECT 'partial' AS gate, territory || '|' || month AS key, CASE WHEN k > 0 THEN 'partial opening' ELSE 'undocumented gap' END AS detail FROM g WHERE k BETWEEN 1 AND 4 OR (k = 0 AND month NOT IN ('199501', '200108'))""")
 def i12(spark, d):
-    o = orders_by_territory(spark, d).filter("status_code = 'P'").withColumn("value", F.when(F.col("price") > 420000, F.col("price")))
-    return quality.all_or_nothing(o, ["territory", "year"], "priority", "value", 5, ["2001"], "year")
+    o = orders_by_territory(spark, d).withColumn("value", F.when(F.col("price") > 250000, F.col("price")))
+    return quality.all_or_nothing(o, ["territory", "month"], "priority", "value", 5, ["199501", "200108"], "month")
 
 
 @query("i13_recompute", f"""

@@ -93,12 +93,12 @@ def e06(spark, d):
 
 
 @query("e06_last_published", f"""
-WITH {ORDERS_SQL}, p AS (SELECT DISTINCT territory, month FROM ord WHERE priority = '1-URGENT' AND status_code = 'P'),
-r AS (SELECT *, row_number() OVER (PARTITION BY territory ORDER BY month DESC) AS k FROM p)
-SELECT territory, month, count(*) AS n FROM ord JOIN r USING (territory, month) WHERE k <= 10 AND priority = '1-URGENT' AND status_code = 'P' GROUP BY ALL""")
+WITH {ORDERS_SQL}, p AS (SELECT DISTINCT territory, segment, priority, month FROM ord),
+r AS (SELECT *, row_number() OVER (PARTITION BY territory, segment, priority ORDER BY month DESC) AS k FROM p)
+SELECT territory, segment, priority, month, count(*) AS n FROM ord JOIN r USING (territory, segment, priority, month) WHERE k <= 10 GROUP BY ALL""")
 def e06_published(spark, d):
-    rows = orders_by_territory(spark, d).filter("priority = '1-URGENT' AND status_code = 'P'")
-    return windows.last_published(rows, ["territory"], "month", 10).groupBy("territory", "month").agg(F.count(F.lit(1)).alias("n"))
+    keys = ["territory", "segment", "priority"]
+    return windows.last_published(orders_by_territory(spark, d), keys, "month", 10).groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e07_latest_complete", """
@@ -149,12 +149,12 @@ SELECT {k}, CASE WHEN NOT bad THEN code END AS {c}, CASE WHEN NOT bad THEN admis
 FROM stat WHERE NOT bad OR code = 'other'"""
 
 
-@query("e11_absorb_smallest", f"WITH {MOVES_SQL}, base AS (SELECT territory, year, p_type, {FLOWS_SQL} FROM mov JOIN part ON l_partkey = p_partkey WHERE weight = 1 AND segment = 'BUILDING' GROUP BY ALL),"
-       + MERGE_SQL.format(k="territory, year", c="p_type"))
+@query("e11_absorb_smallest", f"WITH {MOVES_SQL}, base AS (SELECT territory, month, p_type, {FLOWS_SQL} FROM mov JOIN part ON l_partkey = p_partkey WHERE weight = 1 GROUP BY ALL),"
+       + MERGE_SQL.format(k="territory, month", c="p_type"))
 def e11(spark, d):
-    m = movements(spark, d).filter("weight = 1 AND segment = 'BUILDING'").join(
+    m = movements(spark, d).filter("weight = 1").join(
         table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return disclosure.merge_small(agg.ledger(m, ["territory", "year", "p_type"]), ["territory", "year"], "p_type")
+    return disclosure.merge_small(agg.ledger(m, ["territory", "month", "p_type"]), ["territory", "month"], "p_type")
 
 
 @query("e12_regime_break", f"""
@@ -165,6 +165,6 @@ def e12(spark, d):
 
 
 @query("e13_first_last_label", f"""
-WITH {ORDERS_SQL} SELECT territory, segment, CASE WHEN min(year) = max(year) THEN min(year) ELSE min(year) || '–' || max(year) END AS years FROM ord WHERE priority = '2-HIGH' GROUP BY ALL""")
+WITH {ORDERS_SQL} SELECT territory, segment, priority, CASE WHEN min(year) = max(year) THEN min(year) ELSE min(year) || '–' || max(year) END AS years FROM ord GROUP BY ALL""")
 def e13(spark, d):
-    return windows.first_last_label(orders_by_territory(spark, d).filter("priority = '2-HIGH'"), ["territory", "segment"], "year")
+    return windows.first_last_label(orders_by_territory(spark, d), ["territory", "segment", "priority"], "year")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sets
 from ..session import scratch_path
 from ..sources import delimited
-from .base import MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, orders_by_territory, table, territories, yearly_prices
+from .base import MONTHS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, dbl, orders_by_territory, table, territories, yearly_prices
 from .registry import query
 
 
@@ -60,13 +60,12 @@ def g05(spark, d):
 
 
 @query("g06_key_sets", f"""
-WITH {ORDERS_SQL}, g AS (SELECT territory, list_sort(list(DISTINCT month)) AS m FROM ord WHERE year = '1998' AND priority IN ('1-URGENT', '2-HIGH') AND status_code = 'P' GROUP BY 1)
-SELECT territory, len(m) = 12 AS complete, len(m) AS months FROM g""")
+WITH {ORDERS_SQL}, g AS (SELECT territory, priority, year, list_sort(list(DISTINCT month)) AS m FROM ord GROUP BY ALL)
+SELECT territory, priority, year, len(m) = 12 AS complete, len(m) AS months FROM g""")
 def g06(spark, d):
-    wanted = F.array(*[F.lit(f"1998{m:02}") for m in range(1, 13)])
-    rows = orders_by_territory(spark, d, ("199801", "199812")).filter("priority IN ('1-URGENT', '2-HIGH') AND status_code = 'P'")
-    g = rows.groupBy("territory").agg(F.array_sort(F.collect_set("month")).alias("m"))
-    return g.select("territory", sets.same_keys(F.col("m"), wanted).alias("complete"), F.size("m").cast("bigint").alias("months"))
+    wanted = F.array(*[F.concat(F.col("year"), F.lit(f"{m:02}")) for m in range(1, 13)])
+    g = orders_by_territory(spark, d).groupBy("territory", "priority", "year").agg(F.array_sort(F.collect_set("month")).alias("m"))
+    return g.select("territory", "priority", "year", sets.same_keys(F.col("m"), wanted).alias("complete"), F.size("m").cast("bigint").alias("months"))
 
 
 @query("g07_exclusive_lists", """
@@ -94,10 +93,11 @@ def g09(spark, d):
 
 
 @query("g10_assemble_blocks", f"""
-WITH {ORDERS_SQL}, g AS (SELECT territory || '/' || priority AS block, count(*) AS n FROM ord WHERE price > 470000 AND status_code = 'P' GROUP BY 1), e AS (SELECT n_name || '/' || p AS block FROM nation, (SELECT unnest({PRIORITIES}) AS p))
+WITH {ORDERS_SQL}, g AS (SELECT territory || '/' || priority || '/' || month AS block, count(*) AS n FROM ord GROUP BY 1), {MONTHS_SQL}, e AS (SELECT n_name || '/' || p || '/' || month AS block FROM nation, (SELECT unnest({PRIORITIES}) AS p), cal)
 SELECT block, n, CASE WHEN n IS NULL THEN 'unavailable' ELSE 'real' END AS status, CASE WHEN n IS NULL THEN 'no publication' END AS reason FROM e LEFT JOIN g USING (block)""")
 def g10(spark, d):
-    expected = sets.expected_cells(territories(spark, d).select("territory"), {"priority": PRIORITIES}).select(F.concat_ws("/", "territory", "priority").alias("block"))
-    got = orders_by_territory(spark, d).filter("price > 470000 AND status_code = 'P'").groupBy(F.concat_ws("/", "territory", "priority").alias("block")).agg(
+    expected = sets.expected_cells(territories(spark, d).select("territory"), {
+        "priority": PRIORITIES, "month": [f"{y}{m:02}" for y in YEARS for m in range(1, 13)]}).select(F.concat_ws("/", "territory", "priority", "month").alias("block"))
+    got = orders_by_territory(spark, d).groupBy(F.concat_ws("/", "territory", "priority", "month").alias("block")).agg(
         F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("real"))
     return sets.assemble(expected, got, "block", "no publication").select("block", "n", "status", "reason")

@@ -54,9 +54,9 @@ def employment_monthly(spark, d):
 @query("employment_protected_occupations", f"""
 WITH {MOVES_SQL}, base AS (SELECT territory, month, CASE WHEN priority = '5-LOW' THEN 'unknown' ELSE '00000' || substr(priority, 1, 1) END AS occupation,
   CAST(sum(CASE WHEN sign = 1 THEN weight ELSE 0 END) AS BIGINT) AS admissions, CAST(sum(CASE WHEN sign = -1 THEN weight ELSE 0 END) AS BIGINT) AS dismissals
-  FROM mov WHERE year = '1999' AND weight = 1 GROUP BY ALL),""" + MERGE_SQL.format(k="territory, month", c="occupation"))
+  FROM mov WHERE weight = 1 GROUP BY ALL),""" + MERGE_SQL.format(k="territory, month", c="occupation"))
 def employment_protected(spark, d):
-    return employment.protected_breakdown(_movements(spark, d, ("199901", "199912")).filter("weight = 1"), "occupation")
+    return employment.protected_breakdown(_movements(spark, d).filter("weight = 1"), "occupation")
 
 
 @query("education_network_series", """

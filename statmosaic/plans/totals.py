@@ -34,9 +34,9 @@ def d03(spark, d):
 
 
 @query("d04_national_total", f"""
-WITH {MOVES_SQL} SELECT coalesce(state, 'Total') AS state, {FLOWS_SQL} FROM mov WHERE year = '2000' GROUP BY ROLLUP (state)""")
+WITH {MOVES_SQL} SELECT coalesce(state, 'Total') AS state, {FLOWS_SQL} FROM mov GROUP BY ROLLUP (state)""")
 def d04(spark, d):
-    return agg.grand_total(movements(spark, d, ("200001", "200012")), "state", agg.flow_counts())
+    return agg.grand_total(movements(spark, d), "state", agg.flow_counts())
 
 
 @query("d05_dimension_totals", f"""
@@ -138,11 +138,11 @@ def d13(spark, d):
 
 
 @query("d14_covered_counts", f"""
-WITH {ORDERS_SQL}, {MONTHS_SQL}, t AS (SELECT n_name AS territory FROM nation), c AS (SELECT territory, month, count(*) AS k FROM ord WHERE priority = '1-URGENT' AND month < '200006' GROUP BY ALL),
+WITH {ORDERS_SQL}, {MONTHS_SQL}, t AS (SELECT n_name AS territory FROM nation), c AS (SELECT territory, month, count(*) AS k FROM ord GROUP BY ALL),
 m AS (SELECT t.territory, cal.month, cal.month < '200006' AND substr(cal.month, 5) <> '02' AS available, CASE WHEN cal.month < '200006' AND substr(cal.month, 5) <> '02' THEN coalesce(k, 0) END AS n FROM t CROSS JOIN cal LEFT JOIN c ON c.territory = t.territory AND c.month = cal.month)
 SELECT territory, substr(month, 1, 4) AS year, CAST(coalesce(sum(n), 0) AS BIGINT) AS count, CAST(count(CASE WHEN available THEN 1 END) AS BIGINT) AS coverage_months, FALSE AS complete FROM m GROUP BY ALL""")
 def d14(spark, d):
-    o = orders_by_territory(spark, d).filter("priority = '1-URGENT' AND month < '200006'")
+    o = orders_by_territory(spark, d)
     spine = windows.month_spine(territories(spark, d).select("territory"), FIRST_MONTH, LAST_MONTH)
     covered = orders_by_territory(spark, d).filter("month < '200006' AND substr(month, 5, 2) <> '02'").select("month")
     return agg.annual_coverage(agg.covered_counts(o, spine, covered, ["territory"], "month"), ["territory"], F.substring("month", 1, 4))
