@@ -71,13 +71,13 @@ def c06(spark, d):
 
 PATH_SQL = """paths AS (SELECT DISTINCT 'R' || r_regionkey AS path FROM region UNION
   SELECT 'R' || n_regionkey || '.N' || n_nationkey FROM nation UNION
-  SELECT 'R' || n_regionkey || '.N' || n_nationkey || '.' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000)"""
+  SELECT 'R' || n_regionkey || '.N' || n_nationkey || '.' || c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def _paths(spark, d):
     t = territories(spark, d)
     region, nation = F.concat(F.lit("R"), "r_regionkey"), F.concat(F.lit("R"), "r_regionkey", F.lit(".N"), "n_nationkey")
-    c = table(spark, d, "customer").filter("c_acctbal > 5000").join(t, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(t, F.col("c_nationkey") == F.col("n_nationkey"))
     return t.select(region.alias("path")).union(t.select(nation)).union(c.select(F.concat(nation, F.lit("."), "c_mktsegment"))).distinct()
 
 
