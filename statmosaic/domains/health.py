@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import strict_number, tri_flag
+from ..functions.periods import is_month
 from ..functions.text import is_year_month, join_nonblank, pad_code
 from ..operators import aggregates, joins, mapping, quality, sets, spatial
 
@@ -80,8 +81,10 @@ def bed_violations(rows: DataFrame) -> DataFrame:
 
 
 def months_in(raw: DataFrame) -> list[str]:
-    """Months a bed file reports on, read from the whole file; a calendar, so a short list."""
-    return sorted(r["month"] for r in raw.select(F.trim("COMP").alias("month")).distinct().collect())
+    """Months a bed file reports on, first to last as far as they can be read; the span is reduced in the job."""
+    month = F.when(is_month(F.trim("COMP")), F.trim("COMP"))
+    seen = raw.select(month.alias("month")).where("month IS NOT NULL").groupBy("month").count().groupBy().agg(F.array_sort(F.collect_set("month")).alias("m"))
+    return list(seen.first()["m"])
 
 
 def bed_series(rows: DataFrame, months: Sequence[str], territories: DataFrame) -> DataFrame:
