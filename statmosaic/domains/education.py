@@ -63,10 +63,13 @@ def series(typed: DataFrame) -> DataFrame:
 
     A measure with one school missing is missing as a whole.
     """
-    sums = [aggregates.null_sum(F.col(c)).alias(c) for c in (*ENROLMENTS, *STAFF)]
-    places = [F.count_if(F.col("location") == v).alias(f"schools_{v.lower()}") for v in LOCATIONS.values()]
-    return aggregates.with_total(
-        typed.filter("in_universe"), ["territory", "year"], "network", [F.count(F.lit(1)).alias("active_schools"), *sums, *places])
+    measures = (*ENROLMENTS, *STAFF)
+    places = [f"schools_{v.lower()}" for v in LOCATIONS.values()]
+    sums = [F.count(F.lit(1)).alias("active_schools")]
+    sums += [f(F.col(c)).alias(f"{n}{c}") for c in measures for n, f in (("_s_", F.sum), ("_k_", F.count))]
+    sums += [F.count_if(F.col("location") == v).alias(p) for v, p in zip(LOCATIONS.values(), places, strict=True)]
+    whole = [F.when(F.col(f"_k_{c}") == F.col("active_schools"), F.col(f"_s_{c}")).alias(c) for c in measures]
+    return aggregates.with_total(typed.filter("in_universe"), ["territory", "year"], "network", sums, [F.col("active_schools"), *whole, *map(F.col, places)])
 
 
 def stage_violations(series_: DataFrame) -> DataFrame:
@@ -82,7 +85,10 @@ def infrastructure(typed: DataFrame) -> DataFrame:
     """Share of schools with each resource among those that answered."""
     long = typed.filter("in_universe").unpivot(["territory", "year", "network"], list(RESOURCES), "resource", "has")
     keyed = ["territory", "year", "resource"]
-    return aggregates.with_total(long, keyed, "network", aggregates.known_share(F.col("has")))
+    yes, known = F.col("with_resource"), F.col("considered")
+    return aggregates.with_total(
+        long, keyed, "network", aggregates.known_share(F.col("has"))[:3],
+        [yes, known, F.col("missing"), F.when(known > 0, yes / known * 100).alias("percent")])
 
 
 def indicators(

@@ -74,17 +74,25 @@ def known_share(flag: Column) -> list[Column]:
     ]
 
 
-def with_total(df: DataFrame, keys: Sequence[str], category: str, aggs: Sequence[Column], label: str = "Total") -> DataFrame:
-    """Rows per category plus their total, in one aggregation."""
+def with_total(
+    df: DataFrame, keys: Sequence[str], category: str, sums: Sequence[Column], final: Sequence[Column] | None = None, label: str = "Total",
+) -> DataFrame:
+    """Rows per category plus their total.
+
+    ``sums`` are named sums and counts: they are taken per category first, so that only that small table is
+    expanded for the total.  ``final`` are named columns over them (by default the sums themselves).
+    """
+    small = df.groupBy(*keys, category).agg(*sums)
+    names = small.columns[len(keys) + 1 :]
     keyed = [F.col(k) for k in keys]
-    g = df.groupingSets([keyed, [*keyed, F.col(category)]], *keyed, F.col(category)).agg(
-        *aggs, F.grouping(category).alias("_g")
-    )
-    return g.withColumn(category, F.when(F.col("_g") == 1, F.lit(label)).otherwise(F.col(category))).drop("_g")
+    g = small.groupingSets([keyed, [*keyed, F.col(category)]], *keyed, F.col(category)).agg(
+        *[F.sum(n).alias(n) for n in names], F.grouping(category).alias("_g"))
+    named = F.when(F.col("_g") == 1, F.lit(label)).otherwise(F.col(category)).alias(category)
+    return g.select(*keys, named, *(final if final is not None else names))
 
 
-def grand_total(df: DataFrame, key: str, aggs: Sequence[Column], label: str = "Total") -> DataFrame:
-    return with_total(df, [], key, aggs, label)
+def grand_total(df: DataFrame, key: str, sums: Sequence[Column], label: str = "Total") -> DataFrame:
+    return with_total(df, [], key, sums, label=label)
 
 
 def conditional_counts(df: DataFrame, keys: Sequence[str], predicates: Mapping[str, Column]) -> DataFrame:
@@ -183,21 +191,21 @@ def leader(df: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFr
 def stock_and_mean(df: DataFrame, key: str, sector: str, value: str, minimum: int = 5) -> DataFrame:
     """Stock, positive-value sample, uncovered rest and mean per sector and in total."""
     v = F.col(value)
-    positive = v > 0
-    n = F.count_if(positive)
+    positive, n = v > 0, F.col("_n")
+    enough = n >= minimum
     return with_total(
         df, [key], sector,
+        [F.count(F.lit(1)).alias("stock"), F.count_if(positive).alias("_n"), F.sum(F.when(positive, v)).alias("_s")],
         [
-            F.count(F.lit(1)).alias("stock"),
-            F.when(n >= minimum, n).alias("sample"),
-            F.when(n >= minimum, F.count(F.lit(1)) - n).alias("missing_or_zero"),
-            F.when(n >= minimum, F.sum(F.when(positive, v)).cast("double") / n).alias("mean"),
+            F.col("stock"), F.when(enough, n).alias("sample"), F.when(enough, F.col("stock") - n).alias("missing_or_zero"),
+            F.when(enough, F.col("_s").cast("double") / n).alias("mean"),
         ],
     )
 
 
 def reference_range(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(period).alias("first"), F.max(period).alias("reference"))
+    """First and last period per key; rows are reduced to distinct periods by hash before texts are compared."""
+    return df.select(*keys, period).distinct().groupBy(*keys).agg(F.min(period).alias("first"), F.max(period).alias("reference"))
 
 
 def subset_share(df: DataFrame, keys: Sequence[str], value: str, subset: Column) -> DataFrame:

@@ -84,12 +84,14 @@ def comparable(local: DataFrame, peers: DataFrame, keys: Sequence[str], value: s
     """Peers beside the local figure: the peer's value shows only when every key agrees.
 
     ``keys`` are what makes two figures comparable (indicator, unit, method, period, base).
-    Every peer row stays; ``comparable`` says whether it may be compared.
+    Every peer row stays; ``comparable`` says whether it may be compared.  Several local figures under one
+    key are none: ``local_repeated`` reports them, and nothing is compared with them.
     """
-    own = local.groupBy(*keys).agg(F.max(value).alias("local_value")).withColumn("_own", F.lit(True))
-    j = peers.join(own, list(keys), "left")
+    own = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("_own"), F.max(value).alias("local_value"))
+    j = peers.join(own, list(keys), "left").withColumn("local_repeated", F.coalesce(F.col("_own") > 1, F.lit(False)))
     return (
-        j.withColumn("comparable", F.coalesce(F.col("_own"), F.lit(False)))
+        j.withColumn("local_value", F.when(~F.col("local_repeated"), F.col("local_value")))
+        .withColumn("comparable", F.coalesce(F.col("_own") == 1, F.lit(False)))
         .withColumn("peer_value", F.when(F.col("comparable"), F.col(value)))
         .drop("_own")
     )

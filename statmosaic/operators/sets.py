@@ -80,7 +80,7 @@ def same_keys(a: Column, b: Column) -> Column:
 def exclusive(lists: Mapping[str, DataFrame], item: str) -> DataFrame:
     """Items that appear in more than one list."""
     return (
-        tag_append(lists, "_list").groupBy(item).agg(F.min("_list").alias("first_list"), F.max("_list").alias("last_list"))
+        tag_append(lists, "_list").select(item, "_list").distinct().groupBy(item).agg(F.min("_list").alias("first_list"), F.max("_list").alias("last_list"))
         .filter(F.col("first_list") != F.col("last_list"))
     )
 

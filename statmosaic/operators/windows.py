@@ -113,8 +113,8 @@ def latest_complete(
 
 
 def latest_reference_rows(df: DataFrame, keys: Sequence[str], reference: str) -> DataFrame:
-    """All rows of the latest reference of each series."""
-    newest = df.groupBy(*keys).agg(F.max(reference).alias(reference))
+    """All rows of the latest reference of each series; references are reduced by hash before they are compared."""
+    newest = df.select(*keys, reference).distinct().groupBy(*keys).agg(F.max(reference).alias(reference))
     return df.join(newest, [*keys, reference], "left_semi")
 
 

@@ -59,14 +59,17 @@ def c04(spark, d):
 
 @query("c06_comparability", f"""
 WITH {YEARLY_SQL}, p AS (SELECT territory, state, year, CASE WHEN state = 'ASIA' THEN 'US$' ELSE 'R$' END AS unit, CAST(price AS DOUBLE) AS value FROM yr),
-l AS (SELECT year, unit, value FROM p WHERE territory = 'NATION_0')
-SELECT p.territory, p.year, p.unit, l.value AS local_value, l.value IS NOT NULL AS comparable, CASE WHEN l.value IS NOT NULL THEN p.value END AS peer_value
+l AS (SELECT year, unit, CASE WHEN year <> '1997' THEN value END AS value FROM p WHERE territory = 'NATION_0')
+SELECT p.territory, p.year, p.unit, l.value AS local_value, l.value IS NOT NULL AS comparable, CASE WHEN l.value IS NOT NULL THEN p.value END AS peer_value,
+  l.year IS NOT NULL AND l.value IS NULL AS local_repeated
 FROM p LEFT JOIN l ON p.year = l.year AND p.unit = l.unit WHERE territory <> 'NATION_0'""")
 def c06(spark, d):
     unit = F.when(F.col("state") == "ASIA", "US$").otherwise("R$")
     p = yearly_prices(spark, d).select("territory", "year", unit.alias("unit"), dbl("price").alias("value"))
-    return joins.comparable(p.filter("territory = 'NATION_0'"), p.filter("territory <> 'NATION_0'"), ["year", "unit"]).select(
-        "territory", "year", "unit", "local_value", "comparable", "peer_value")
+    own = p.filter("territory = 'NATION_0'")
+    twice = own.filter("year = '1997'").withColumn("value", F.col("value") + 1)  # two figures for one year are none
+    return joins.comparable(own.unionByName(twice), p.filter("territory <> 'NATION_0'"), ["year", "unit"]).select(
+        "territory", "year", "unit", "local_value", "comparable", "peer_value", "local_repeated")
 
 
 PATH_SQL = """paths AS (SELECT DISTINCT 'R' || r_regionkey AS path FROM region UNION

@@ -58,7 +58,8 @@ def d05(spark, d):
 WITH {ORDERS_SQL} SELECT territory, CASE WHEN grouping(segment) = 1 THEN 'Total' ELSE segment END AS segment, count(*) AS schools, CAST(sum(price) AS DOUBLE) AS total
 FROM ord GROUP BY GROUPING SETS ((territory), (territory, segment))""")
 def d06(spark, d):
-    return agg.with_total(orders_by_territory(spark, d), ["territory"], "segment", [F.count(F.lit(1)).alias("schools"), dbl(F.sum("price")).alias("total")])
+    sums = [F.count(F.lit(1)).alias("schools"), F.sum("price").alias("total")]
+    return agg.with_total(orders_by_territory(spark, d), ["territory"], "segment", sums, [F.col("schools"), dbl("total").alias("total")])
 
 
 @query("d07_null_sum", """
