@@ -80,12 +80,13 @@ def merge_small(
     staged = staged.withColumn("_open", F.when(~F.col("_small"), F.col("_any") & unsafe))
     joined = F.col("_small") | F.coalesce(F.min("_open").over(upto), F.lit(False))
     folded = (
-        staged.withColumn("_code", F.when(joined, F.lit("other")).otherwise(F.col(code)))
-        .groupBy(*keys, "_code")
+        # the fold is told by its flag, so a published category named "other" stays itself
+        staged.withColumns({"_fold": joined, "_code": F.when(joined, F.lit("other")).otherwise(F.col(code))})
+        .groupBy(*keys, "_fold", "_code")
         .agg(F.sum(inflow).alias(inflow), F.sum(outflow).alias(outflow))
     )
     group = Window.partitionBy(*keys)
-    is_other = F.col("_code") == "other"
+    is_other = F.col("_fold")
     small_other = is_other & (is_small(F.col(inflow), limit) | is_small(F.col(outflow), limit))
     checked = folded.withColumns({
         "_bad": F.max(small_other).over(group), "_agg": F.max(is_other).over(group),

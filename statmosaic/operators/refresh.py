@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,46 +42,61 @@ def revision_log(
 
 
 def ledger_revisions(
-    moves: DataFrame, keys: Sequence[str], publication: str, cutoff: str, detected: Column
+    moves: DataFrame, keys: Sequence[str], publication: str, cutoff: str, detected: Column,
+    wage: Column | None = None, eligible: Column | None = None, minimum: int = 5,
 ) -> DataFrame:
     """Revisions of a movement ledger since a publication, when the movements themselves are at hand.
 
-    Both states come out of one aggregation instead of two passes and a join.
+    Both states come out of one aggregation instead of two passes and a join.  With ``wage`` and
+    ``eligible`` the mean admission wage is compared as well, as far as its sample is large enough.
     """
     early = F.col(publication) <= cutoff
     s, w = F.col("sign"), F.col("weight")
-    g = moves.groupBy(*keys).agg(
+    fields = ["admissions", "dismissals", "balance"]
+    figures = [
         *flow_counts(),
         *[c.cast("bigint").alias(f"previous_{n}") for n, c in (
             ("admissions", F.sum(F.when(early & (s == 1), w).otherwise(0))), ("dismissals", F.sum(F.when(early & (s == -1), w).otherwise(0))),
             ("balance", F.sum(F.when(early, s * w).otherwise(0))))],
-        F.max(early).alias("_known"),
-    )
+    ]
+    if wage is not None:
+        fields.append("admission_wage")
+        for name, known in (("admission_wage", F.lit(True)), ("previous_admission_wage", early)):
+            counted = known & (s == 1) & (F.lit(True) if eligible is None else eligible)
+            n, total = F.sum(F.when(counted, w)), F.sum(F.when(counted, wage * w))
+            figures.append(F.when(n >= minimum, total.cast("double") / n.cast("double")).alias(name))
+    g = moves.groupBy(*keys).agg(*figures, F.max(early).alias("_known"))
     same = F.lit(True)
-    for n in ("admissions", "dismissals", "balance"):
-        same = same & (F.col(n) == F.col(f"previous_{n}"))
+    for n in fields:
+        same = same & F.col(n).eqNullSafe(F.col(f"previous_{n}"))
     return g.filter(F.col("_known") & ~same).drop("_known").withColumn("detected_at", detected)
 
 
+POINTER = "moved bigint, version string, path string"
+
+
 def publish(
     df: DataFrame, root: str, version: str, gates: Callable[[DataFrame], Sequence[DataFrame]]
 ) -> str:
     """Stage under a version, read back, run the gates, then move the pointer.
 
-    A failing gate leaves the pointer on the last good version.
+    A failing gate leaves the pointer on the last good version.  A move of the pointer adds a file and
+    takes none away, so a publication that breaks off leaves the version before it in place.
     """
     spark = df.sparkSession
     path = f"{root}/version={version}"
     df.write.mode("overwrite").parquet(path)
     require(*gates(spark.read.parquet(path)))
-    spark.createDataFrame([(version, path)], "version string, path string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    moved = time.time_ns()
+    pointer = spark.createDataFrame([(moved, version, path)], POINTER).coalesce(1)
+    pointer.write.json(f"{root}/pointers/{moved}")
     return path
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
-    """The version the pointer names."""
-    row = spark.read.schema("version string, path string").json(f"{root}/current").first()
-    return spark.read.parquet(row["path"])
+    """The version that the newest pointer names."""
+    pointers = spark.read.schema(POINTER).option("recursiveFileLookup", "true").json(f"{root}/pointers")
+    return spark.read.parquet(pointers.agg(F.max_by("path", "moved")).first()[0])
 
 
 def isolate_failures(results: DataFrame, group: str, together: Sequence[str] = ()) -> DataFrame:

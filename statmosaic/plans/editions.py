@@ -33,12 +33,17 @@ def l02(spark, d):
     return refresh.retain_dates(current, previous, F.lit("2024-06-01"), ["source_id", "sha256"])
 
 
+L03_SQL = FLOWS_SQL + """, CASE WHEN sum(CASE WHEN sign = 1 AND salary > 2000 THEN weight END) >= 5
+  THEN CAST(sum(CASE WHEN sign = 1 AND salary > 2000 THEN salary * weight END) AS DOUBLE) / CAST(sum(CASE WHEN sign = 1 AND salary > 2000 THEN weight END) AS DOUBLE) END AS admission_wage"""
+
+
 @query("l03_revision_log", f"""
-WITH {MOVES_SQL}, cur AS (SELECT territory, month, {FLOWS_SQL} FROM mov GROUP BY ALL), prev AS (SELECT territory, month, {FLOWS_SQL} FROM mov WHERE declared <= '200006' GROUP BY ALL)
-SELECT cur.*, prev.admissions AS previous_admissions, prev.dismissals AS previous_dismissals, prev.balance AS previous_balance, '2000-07-31' AS detected_at
-FROM cur JOIN prev USING (territory, month) WHERE (cur.admissions, cur.dismissals, cur.balance) <> (prev.admissions, prev.dismissals, prev.balance)""")
+WITH {MOVES_SQL}, cur AS (SELECT territory, month, {L03_SQL} FROM mov GROUP BY ALL), prev AS (SELECT territory, month, {L03_SQL} FROM mov WHERE declared <= '200006' GROUP BY ALL)
+SELECT cur.*, prev.admissions AS previous_admissions, prev.dismissals AS previous_dismissals, prev.balance AS previous_balance, prev.admission_wage AS previous_admission_wage, '2000-07-31' AS detected_at
+FROM cur JOIN prev USING (territory, month) WHERE (cur.admissions, cur.dismissals, cur.balance) <> (prev.admissions, prev.dismissals, prev.balance) OR cur.admission_wage IS DISTINCT FROM prev.admission_wage""")
 def l03(spark, d):
-    return refresh.ledger_revisions(movements(spark, d), ["territory", "month"], "declared", "200006", F.lit("2000-07-31"))
+    return refresh.ledger_revisions(
+        movements(spark, d), ["territory", "month"], "declared", "200006", F.lit("2000-07-31"), F.col("salary"), F.col("salary") > 2000)
 
 
 @query("l04_publish", f"WITH {YEARLY_SQL} SELECT territory, year, n FROM yr")

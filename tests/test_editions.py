@@ -42,6 +42,9 @@ def test_failed_publication_leaves_the_last_good_version(spark, tmp_path, rows):
     with pytest.raises(quality.GateFailure):
         refresh.publish(bad, root, "2", gates)
     assert rows(refresh.published(spark, root)) == [("a", 1)]
+    # a pointer that broke off before its commit names nothing
+    os.makedirs(f"{root}/pointers/99999999999999999999/_temporary/0")
+    assert rows(refresh.published(spark, root)) == [("a", 1)]
     refresh.publish(good.withColumn("n", F.lit(3)), root, "3", gates)
     assert rows(refresh.published(spark, root)) == [("a", 3)]
 

@@ -333,3 +333,9 @@ def test_siblings_of_a_null_group_are_withheld_in_both_forms(spark, rows):
     one = rows(disclosure.suppress_siblings(df, ["g"], ["value"], "status", bounded=True))
     assert rows(disclosure.suppress_siblings(df, ["g"], ["value"], "status", bounded=False)) == one
     assert ("q", None) in [(r[1], r[2]) for r in one]
+
+
+def test_a_published_category_named_other_is_not_the_fold(spark, rows):
+    df = spark.createDataFrame([("a", "other", 50, 0), ("a", "x", 2, 0), ("a", "y", 9, 0), ("a", "z", 60, 0)], "k string, c string, admissions long, dismissals long")
+    got = disclosure.merge_small(df, ["k"], "c")
+    assert rows(got, "c", "admissions") == [("other", 11), ("other", 50), ("z", 60)]
