@@ -164,8 +164,11 @@ def covered_cells(shapes: DataFrame, geometry: str, size: float) -> DataFrame:
 
 
 def clip_area(shape_cells: DataFrame, boundary_cells: DataFrame, shape: Sequence[str], boundary: Sequence[str], cell_area: float) -> DataFrame:
-    """Area of each shape inside each boundary; pairs without area (tangents) do not appear."""
-    j = shape_cells.select(*shape, "cell").join(boundary_cells.select(*boundary, "cell"), "cell", "inner")
+    """Area of each shape inside each boundary; pairs without area (tangents) do not appear.
+
+    Many shapes may cover one cell, so their side is spread by a salt.
+    """
+    j = salted_join(shape_cells.select(*shape, "cell"), boundary_cells.select(*boundary, "cell"), ["cell"])
     return j.groupBy(*boundary, *shape).agg((F.count(F.lit(1)) * cell_area).alias("area"))
 
 
@@ -183,4 +186,4 @@ def union_area(shape_cells: DataFrame, boundary_cells: DataFrame, boundary: Sequ
 
 def layers_present(shape_cells: DataFrame, boundary_cells: DataFrame, boundary: Sequence[str], layer: str) -> DataFrame:
     """Which layers touch a boundary at all."""
-    return boundary_cells.select(*boundary, "cell").join(shape_cells.select(layer, "cell"), "cell", "inner").select(*boundary, layer).distinct()
+    return boundary_cells.select(*boundary, "cell").join(shape_cells.select(layer, "cell").distinct(), "cell", "inner").select(*boundary, layer).distinct()

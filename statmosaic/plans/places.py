@@ -38,17 +38,24 @@ def _own_sql(shift):
 @query("k01_point_in_polygon", f"""
 WITH {_own_sql(0.25)} SELECT territory, CAST(count(CASE WHEN abs(dx) + abs(dy) < 6 AND NOT (abs(dx) < 1 AND abs(dy) < 1) THEN 1 END) AS BIGINT) AS inside, count(*) AS n FROM own GROUP BY 1""")
 def k01(spark, d):
-    j = _own_points(spark, d, 0.25).join(_own_shapes(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("territory").agg(
-        F.count_if(geo.in_geometry(F.col("x"), F.col("y"), F.col("geometry"))).alias("inside"), F.count(F.lit(1)).alias("n"))
+    return _inside_own(spark, d, 0.25, False, "inside")
+
+
+def _inside_own(spark, d, shift, inclusive, name):
+    """Points inside their own territory's shape, by cells of the shape; no geometry travels with a point."""
+    points = _own_points(spark, d, shift).withColumnRenamed("c_nationkey", "n_nationkey")
+    shapes = _own_shapes(spark, d)
+    hit = spatial.points_in_shapes(points, shapes.select("n_nationkey", "geometry"), "x", "y", "geometry", 1.0, inclusive=inclusive, on=["n_nationkey"])
+    inside = hit.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("_in"))
+    everyone = points.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return everyone.join(shapes.select("n_nationkey", "territory"), "n_nationkey").join(inside, "n_nationkey", "left").select(
+        "territory", F.coalesce("_in", F.lit(0)).alias(name), "n")
 
 
 @query("k02_cover_test", f"""
 WITH {_own_sql(0)} SELECT territory, CAST(count(CASE WHEN abs(dx) + abs(dy) <= 6 AND NOT (abs(dx) < 1 AND abs(dy) < 1) THEN 1 END) AS BIGINT) AS covered, count(*) AS n FROM own GROUP BY 1""")
 def k02(spark, d):
-    j = _own_points(spark, d, 0.0).join(_own_shapes(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("territory").agg(
-        F.count_if(geo.covers(F.col("x"), F.col("y"), F.col("geometry"))).alias("covered"), F.count(F.lit(1)).alias("n"))
+    return _inside_own(spark, d, 0.0, True, "covered")
 
 
 @query("k03_centroid_radius", f"""
@@ -81,9 +88,9 @@ def k03_anywhere(spark, d):
 @query("k04_envelope_prefilter", f"""
 WITH {_own_sql(0)} SELECT territory, count(*) AS candidates FROM own WHERE abs(dx) <= 6.5 AND abs(dy) <= 6.5 GROUP BY 1""")
 def k04(spark, d):
-    j = _own_points(spark, d, 0.0).join(_own_shapes(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
-    box = geo.pad_bbox(geo.bbox(F.col("geometry")), 0.5)
-    return j.filter(geo.in_box(F.col("x"), F.col("y"), box)).groupBy("territory").agg(F.count(F.lit(1)).alias("candidates"))
+    boxes = _own_shapes(spark, d).select("n_nationkey", "territory", geo.pad_bbox(geo.bbox(F.col("geometry")), 0.5).alias("box"))
+    j = _own_points(spark, d, 0.0).join(boxes, F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.filter(geo.in_box(F.col("x"), F.col("y"), F.col("box"))).groupBy("territory").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def _boundaries(spark, d):
