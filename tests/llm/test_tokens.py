@@ -101,6 +101,14 @@ def test_matrices_round_trip(spark, texts):
     assert {d: sorted(p) for d, p in found.items()} == {d: sorted(p) for d, p in want.items()}
 
 
+def test_written_matrices_read_back_as_rows_of_one_length(spark, tmp_path, texts):
+    packed = token_binary.packed_matrices(frame_of(spark, [(d, t, "en") for d, t in texts]), WORDS, 512)
+    token_binary.write_matrices(packed, f"{tmp_path}/ids")
+    back = spark.read.parquet(f"{tmp_path}/ids")
+    assert {len(r.ids) for r in back.collect()} == {1024}
+    assert got(token_binary.matrix_digest(back)) == got(token_binary.matrix_digest(packed))
+
+
 def test_empty_tables(nothing):
     assert token_counts.token_counts(nothing, BYTES).count() == 0
     assert packing.packed(nothing, WORDS).count() == 0
