@@ -29,6 +29,7 @@ from .words import NOT_WORD, U, Words, words
 
 WIDTH = 13
 BLOCK_BYTES = 32 << 20
+DEPTH = 27  # words to which suffixes are sorted: three packed keys, each of three ranks
 _PACK = 21  # bits of one word's rank in a packed key: a shard has fewer than 2**21 words
 
 
@@ -36,6 +37,8 @@ class TestSet:
     """Words of the benchmark items of one block and their windows."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None], width: int):
+        if not 1 <= width <= DEPTH:
+            raise ValueError(f"windows have 1 to {DEPTH} words")
         found = words(pa.array(texts, pa.string()), NOT_WORD, fold=True)
         self.width, self.ids, self.code = width, ids, found.code
         self.row, self.last = found.row, found.firsts()[found.row + 1]
@@ -60,9 +63,9 @@ class SuffixArray:
         self.word_at = np.full(self.size, -1, np.int64)
         self.word_at[at] = np.arange(n)
         key = (self.text[:-3] << U(2 * _PACK)) | (self.text[1:-2] << U(_PACK)) | self.text[2:-1]
-        for step in (3, 9, 27):
+        for step in (3, 9, DEPTH):
             self.order = np.argsort(key)
-            if step == 27:
+            if step == DEPTH:
                 break
             ranked = key[self.order]
             level = np.empty(self.size + 2 * step, U)

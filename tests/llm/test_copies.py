@@ -183,7 +183,7 @@ def items(awkward_rows):
     return [(1, passage), (10, passage.upper()), (2, "one"), (3, None), (4, "  !! "), (5, " ".join(by_id[8].split()[500:540])), (5, by_id[15][:90]), (None, by_id[16] or "a b c"), (7, "a b c a b c a b c a b c a")]
 
 
-@pytest.mark.parametrize("width", [13, 3])
+@pytest.mark.parametrize("width", [13, 3, 27])
 def test_contamination(spark, awkward, awkward_rows, items, width):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert got(decontaminate.contamination(awkward, bench, width)) == plain_contamination(awkward_rows, items, width)
@@ -193,6 +193,11 @@ def test_contamination(spark, awkward, awkward_rows, items, width):
     assert Counter((r.doc_id, len(ITEM_WORD.findall((r.text or "").translate(FOLD)))) for r in clean.collect()) == bad
 
 
+def test_windows_longer_than_the_sorted_depth_are_refused():
+    with pytest.raises(ValueError, match="1 to 27"):
+        decontaminate.TestSet(["1"], ["a b c"], 28)
+
+
 def test_contamination_in_blocks(spark, awkward, awkward_rows, items, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     bench = spark.createDataFrame(items, "item_id long, text string")
