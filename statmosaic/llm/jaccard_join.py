@@ -135,6 +135,8 @@ def classes_and_chains(docs: DataFrame, width: int, percent: int, buckets: int)
 
         def flush() -> Iterator[pa.RecordBatch]:
             entries = np.concatenate(held)
+            if not len(entries):  # null, empty and short texts only: equal sets are one class, and no others link
+                return
             entries = entries[np.lexsort((entries["cls"], entries["part"]))]
             first = np.concatenate(([True], entries["part"][1:] != entries["part"][:-1]))
             lead = entries["cls"][np.flatnonzero(first)][np.cumsum(first) - 1]

@@ -128,6 +128,25 @@ def test_similar_groups_in_tiles(spark, awkward_rows, monkeypatch):
     assert got(jaccard_join.similar_groups(frame_of(spark, rows, 6))) == plain_groups(rows, 3, 90)
 
 
+SHORT = [(1, None, "en"), (2, "", "en"), (3, " \n", "en"), (4, "one", "en"), (5, "One", "en"), (6, "a b c d e f g h i j", "en"), (7, "a b c d e f g h i J", "en"), (8, "a b c", "en"), (None, None, "en"), (None, "one", "en")]
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_tasks_of_short_texts_only(spark, percent, parts):
+    """No set has parts: a whole table of such texts, and one such row in a task of its own."""
+    assert got(jaccard_join.similar_groups(frame_of(spark, SHORT, parts), 3, percent)) == plain_groups(SHORT, 3, percent)
+    assert got(jaccard_join.similar_groups(frame_of(spark, SHORT[:1], 1), 3, percent)) == plain_groups(SHORT[:1], 3, percent)
+
+
+def test_tail_of_short_texts_after_a_flush(spark, awkward_rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HELD", 1)
+    monkeypatch.setattr("statmosaic.llm.tables.BATCH_ROWS", 1)
+    rows = [r for r in awkward_rows if r[0] in (8, 9, 15)] + [(d and d + 900, t, g) for d, t, g in SHORT]
+    in_order = frame_of(spark, rows, 1).sortWithinPartitions("doc_id")
+    assert got(jaccard_join.similar_groups(in_order)) == plain_groups(rows, 3, 90)
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_linked_sets_share_a_part(percent):
     """Sets at and above the threshold always meet, whatever lies in one of them only."""
