@@ -260,36 +260,42 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *verdict.values()], names=["doc_id", *verdict])
 
         return map_batches(docs.select("doc_id", "text"), once, f"doc_id long, {VERDICT}")
-    keyed = materialize(docs.select("doc_id", F.monotonically_increasing_id().alias("place"), "text"), "numbered-texts")
+    keyed = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place")), "numbered-texts")
+    return _verdicts(keyed, blocks).drop("_place")
+
+
+def _verdicts(keyed: DataFrame, blocks: list[TestSet]) -> DataFrame:
+    """doc_id, _place and the contract's columns of every row (doc_id, text, _place) of a written table."""
     marked = None
     for block in blocks:
-        test = share(block)
+        test = keyed.sparkSession.sparkContext.broadcast(block)
 
         def mark(batch: pa.RecordBatch, test=test) -> pa.RecordBatch:
             n_words, hits, names = _found(batch.column("text"), test.value)
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("place"), pa.array(n_words), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "place", "n_words", "hits", "items"])
+                [batch.column("doc_id"), batch.column("_place"), pa.array(n_words), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))],
+                names=["doc_id", "_place", "n_words", "hits", "items"])
 
-        part = map_batches(keyed, mark, "doc_id long, place long, n_words long, hits binary, items array<string>")
+        part = map_batches(keyed.select("doc_id", "text", "_place"), mark, "doc_id long, _place long, n_words long, hits binary, items array<string>")
         marked = part if marked is None else marked.unionByName(part)
     # a document has one row for each block
-    marked = marked.groupBy("doc_id", "place", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    marked = marked.groupBy("doc_id", "_place", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
 
     def judge(batches):
         for batch in batches:
             verdict = _judged(*(batch.column(c).to_pylist() for c in ("n_words", "hits", "items")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *verdict.values()], names=["doc_id", *verdict])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_place"), *verdict.values()], names=["doc_id", "_place", *verdict])
 
-    return marked.mapInArrow(judge, f"doc_id long, {VERDICT}")
+    return marked.mapInArrow(judge, f"doc_id long, _place long, {VERDICT}")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents, whole rows, less those that are contaminated."""
+    """The documents, whole rows, less those that are contaminated; every row is judged for itself."""
     blocks = list(_blocks(items, width))
     if len(blocks) > 1:
-        bad = contamination(docs, items, width).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        keyed = materialize(docs.withColumn("_place", F.monotonically_increasing_id()), "numbered-documents")
+        bad = _verdicts(keyed, blocks).where("contaminated").select("_place")
+        return keyed.join(bad, "_place", "left_anti").select(*docs.columns)
     test = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -226,6 +226,19 @@ def test_contamination_in_blocks(spark, awkward, awkward_rows, items, monkeypatc
     assert kept == sum(d not in bad_ids for d, _, _ in awkward_rows)
 
 
+@pytest.mark.parametrize("block_bytes", [32 << 20, 20])
+def test_rows_are_judged_for_themselves_whatever_the_blocks(spark, items, monkeypatch, block_bytes):
+    """Rows without doc_id, or with the doc_id of a contaminated row, stay when they are clean."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    passage = items[0][1]
+    rows = [(None, passage, "en"), (None, "nothing of it", "en"), (None, None, "en"), (1, passage, "en"), (1, "clean row of one id", "en"), (1, "clean row of one id", "en"), (2, "two more", "fr"), (3, passage, "en")]
+    frame = frame_of(spark, rows)
+    bench = spark.createDataFrame([(i, t) for i, t in items if i in (1, 10, 7)], "item_id long, text string")
+    clean = decontaminate.clean_documents(frame, bench)
+    assert clean.columns == frame.columns
+    assert got(clean.select("doc_id", "text", "lang")) == sorted((r for r in rows if r[1] != passage), key=repr)
+
+
 def test_long_documents_are_cut_with_an_overlap(spark, items, awkward_rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "_PACK", 10)
     rows = [r for r in awkward_rows if r[0] in (8, 9, 10, 13, 14)]
