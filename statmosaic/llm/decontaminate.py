@@ -5,8 +5,9 @@ three words packed into one key, then ranks of 9 and 27 words) and binary-search
 in them.  A range of the array is all occurrences of a window; matches are extended word by word to
 the longest verbatim match.  The corpus is never shuffled.
 
-The test set is broadcast in blocks of ``BLOCK_BYTES`` of text at most; a larger one takes more blocks,
-each a pass of its own, and the blocks' results are added up per document.
+The test set is reduced to distinct items and dealt by their hash to blocks of about ``BLOCK_BYTES`` of
+text.  The driver holds one block at a time: each is a pass of its own that writes its marks, and the
+blocks' results are added up per document.
 
 Defined cases: a null or empty text has no words; an item of fewer than ``width`` words is one window,
 one without words has none; a null item_id marks words but is no item; items of one id are one item;
@@ -176,35 +177,46 @@ def longest(found: Words, test: TestSet, at: np.ndarray, window: np.ndarray) ->
     return found_all[0], found_all[1], found_all[2]
 
 
-def _blocks(items: DataFrame, width: int):
-    """The benchmark in blocks of bounded bytes, each with its test set."""
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    many = int(size // BLOCK_BYTES) + 1
+def _dealt(items: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct items (item_id, text) and the number of blocks they take; written if those are several."""
+    given = items.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    many = int((given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BLOCK_BYTES) + 1
+    return (materialize(given, "benchmark-items") if many > 1 else given), many
+
+
+def _block(given: DataFrame, k: int, many: int, width: int) -> TestSet:
+    rows = given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k).orderBy("item_id", "text").collect()
+    return TestSet([r[0] for r in rows], [r[1] for r in rows], width)
+
+
+def _passes(docs: DataFrame, given: DataFrame, many: int, width: int, step, schema, name: str) -> DataFrame:
+    """Rows that ``step`` (batch, test set) gives for every block; of several, each is written before the next is read."""
+    out = None
     for k in range(many):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(many)) == k).select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").collect()
-        yield TestSet([r[0] for r in rows], [r[1] for r in rows], width)
+        shared = docs.sparkSession.sparkContext.broadcast(_block(given, k, many, width))
+        part = map_batches(docs, lambda batch, shared=shared: step(batch, shared.value), schema)
+        if many > 1:
+            part = materialize(part, f"{name}-{k}")
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, item_id, doc_word, item_word, length of every maximal verbatim match of ``width`` words or a whole item."""
     schema = "doc_id long, item_id string, doc_word long, item_word long, length long"
-    out = None
-    for test in _blocks(items, width):
-        shared = docs.sparkSession.sparkContext.broadcast(test)
-
-        def step(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            test, found = shared.value, words(batch.column("text"), NOT_WORD, fold=True)
-            here, there, size = longest(found, test, *occurrences(found, test))
-            row, item = found.row[here], test.row[there]
-            item_first = np.searchsorted(test.row, item)
-            return pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pa.array(row)), pa.array([test.ids[i] for i in item], pa.string()),
-                pa.array(here - found.firsts()[row]), pa.array(there - item_first), pa.array(size)],
-                names=["doc_id", "item_id", "doc_word", "item_word", "length"])
-
-        part = map_batches(docs.select("doc_id", "text"), step, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def step(batch: pa.RecordBatch, test: TestSet) -> pa.RecordBatch:
+        found = words(batch.column("text"), NOT_WORD, fold=True)
+        here, there, size = longest(found, test, *occurrences(found, test))
+        row, item = found.row[here], test.row[there]
+        item_first = np.searchsorted(test.row, item)
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id").take(pa.array(row)), pa.array([test.ids[i] for i in item], pa.string()),
+            pa.array(here - found.firsts()[row]), pa.array(there - item_first), pa.array(size)],
+            names=["doc_id", "item_id", "doc_word", "item_word", "length"])
+
+    return _passes(docs.select("doc_id", "text"), *_dealt(items), width, step, schema, "matches")
 
 
 def _found(texts: pa.Array, test: TestSet) -> tuple[np.ndarray, list[bytes], list[list[str]]]:
@@ -249,35 +261,29 @@ VERDICT = "n_words long, n_hit long, n_items long, items_sha256 string, contamin
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    blocks = list(_blocks(items, width))
-    share = docs.sparkSession.sparkContext.broadcast
-    if len(blocks) == 1:
-        test = share(blocks[0])
+    given, many = _dealt(items)
+    if many > 1:
+        keyed = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place")), "numbered-texts")
+        return _verdicts(keyed, given, many, width).drop("_place")
 
-        def once(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, hits, names = _found(batch.column("text"), test.value)
-            verdict = _judged(n_words.tolist(), [[h] for h in hits], names)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *verdict.values()], names=["doc_id", *verdict])
+    def once(batch: pa.RecordBatch, test: TestSet) -> pa.RecordBatch:
+        n_words, hits, names = _found(batch.column("text"), test)
+        verdict = _judged(n_words.tolist(), [[h] for h in hits], names)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *verdict.values()], names=["doc_id", *verdict])
 
-        return map_batches(docs.select("doc_id", "text"), once, f"doc_id long, {VERDICT}")
-    keyed = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_place")), "numbered-texts")
-    return _verdicts(keyed, blocks).drop("_place")
+    return _passes(docs.select("doc_id", "text"), given, 1, width, once, f"doc_id long, {VERDICT}", "verdicts")
 
 
-def _verdicts(keyed: DataFrame, blocks: list[TestSet]) -> DataFrame:
+def _verdicts(keyed: DataFrame, given: DataFrame, many: int, width: int) -> DataFrame:
     """doc_id, _place and the contract's columns of every row (doc_id, text, _place) of a written table."""
-    marked = None
-    for block in blocks:
-        test = keyed.sparkSession.sparkContext.broadcast(block)
-
-        def mark(batch: pa.RecordBatch, test=test) -> pa.RecordBatch:
-            n_words, hits, names = _found(batch.column("text"), test.value)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_place"), pa.array(n_words), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "_place", "n_words", "hits", "items"])
-
-        part = map_batches(keyed.select("doc_id", "text", "_place"), mark, "doc_id long, _place long, n_words long, hits binary, items array<string>")
-        marked = part if marked is None else marked.unionByName(part)
+    def mark(batch: pa.RecordBatch, test: TestSet) -> pa.RecordBatch:
+        n_words, hits, names = _found(batch.column("text"), test)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("_place"), pa.array(n_words), pa.array(hits, pa.binary()), pa.array(names, pa.list_(pa.string()))],
+            names=["doc_id", "_place", "n_words", "hits", "items"])
+
+    schema = "doc_id long, _place long, n_words long, hits binary, items array<string>"
+    marked = _passes(keyed.select("doc_id", "text", "_place"), given, many, width, mark, schema, "marks")
     # a document has one row for each block
     marked = marked.groupBy("doc_id", "_place", "n_words").agg(F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
 
@@ -291,16 +297,15 @@ def _verdicts(keyed: DataFrame, blocks: list[TestSet]) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, whole rows, less those that are contaminated; every row is judged for itself."""
-    blocks = list(_blocks(items, width))
-    if len(blocks) > 1:
+    given, many = _dealt(items)
+    if many > 1:
         keyed = materialize(docs.withColumn("_place", F.monotonically_increasing_id()), "numbered-documents")
-        bad = _verdicts(keyed, blocks).where("contaminated").select("_place")
+        bad = _verdicts(keyed, given, many, width).where("contaminated").select("_place")
         return keyed.join(bad, "_place", "left_anti").select(*docs.columns)
-    test = docs.sparkSession.sparkContext.broadcast(blocks[0])
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_words, hits, names = _found(batch.column("text"), test.value)
+    def step(batch: pa.RecordBatch, test: TestSet) -> pa.RecordBatch:
+        n_words, hits, names = _found(batch.column("text"), test)
         verdict = _judged(n_words.tolist(), [[h] for h in hits], names)["contaminated"]
         return batch.filter(pc.invert(verdict))
 
-    return map_batches(docs, step, docs.schema)
+    return _passes(docs, given, 1, width, step, docs.schema, "clean")

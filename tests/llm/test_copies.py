@@ -239,6 +239,28 @@ def test_rows_are_judged_for_themselves_whatever_the_blocks(spark, items, monkey
     assert got(clean.select("doc_id", "text", "lang")) == sorted((r for r in rows if r[1] != passage), key=repr)
 
 
+def test_blocks_are_read_one_at_a_time(spark, items, awkward, awkward_rows, monkeypatch):
+    """A text repeated very often is one item for each id, dealt over blocks; the first pass is written before the next block is read."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    order, whole = [], decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: order.append(name) or whole(df, name))
+    seen = decontaminate.TestSet.__init__
+
+    def init(self, ids, texts, width):
+        order.append(sum(len((t or "").encode()) for t in texts))
+        seen(self, ids, texts, width)
+
+    monkeypatch.setattr(decontaminate.TestSet, "__init__", init)
+    text = items[0][1]
+    many = [(1000 + i % 10, text) for i in range(100)]
+    bench = spark.createDataFrame(many, "item_id long, text string")
+    assert got(decontaminate.contamination(awkward, bench)) == plain_contamination(awkward_rows, many, 13)
+    sizes = [x for x in order if isinstance(x, int)]
+    assert sum(sizes) == 10 * len(text.encode()) and len(sizes) == sum(sizes) // 2000 + 1 and max(sizes) < sum(sizes)
+    at = [i for i, x in enumerate(order) if isinstance(x, int)]
+    assert all(order[i + 1].startswith("marks-") for i in at)
+
+
 def test_long_documents_are_cut_with_an_overlap(spark, items, awkward_rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "_PACK", 10)
     rows = [r for r in awkward_rows if r[0] in (8, 9, 10, 13, 14)]
