@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, jaccard_join, line_dedup, packing, perplexity, pii, quality_model, substring_dedup, token_binary, token_counts
+from . import decontaminate, filter_audit, grid_join, jaccard_join, line_dedup, packing, perplexity, pii, quality_model, substring_dedup, token_binary, token_counts, whitening
 from .tables import documents, table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,56 @@ def quality_rules_(spark: SparkSession, sf_dir: str) -> DataFrame:
 def personal_data_(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base spans and those the labelers add."""
     return pii.personal_data(documents(spark, sf_dir))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 32 leading components of their covariance, each scaled to variance one."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x : x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.label = b.label AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r AS a, r AS b FROM u UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT reach.a AS r, min(vec_id) AS c FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+deg AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(c, vec_id) AS kept
+FROM v LEFT JOIN comp USING (r) LEFT JOIN deg USING (r)""")
+def embedding_near_dedup_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label that cosines of 0.93 or more connect."""
+    return grid_join.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+m AS (SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+             + 4 * (100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 5 * length(w.text))::INT
+             + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first, false)::INT AS mask
+      FROM w LEFT JOIN firsts ON w.text = firsts.text LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || x.letter || y.letter || e.letter AS filter_order, [a.bit, b.bit, x.bit, y.bit, e.bit] AS bits
+      FROM f a, f b, f x, f y, f e WHERE a.bit | b.bit | x.bit | y.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before FROM o, range(1, 6) AS r(step)),
+t AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN mask & bit = 0 AND mask & before = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n * good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM t""")
+def filter_audit_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from every source, in every order in which they can be applied."""
+    return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
