@@ -169,8 +169,8 @@ def test_tiles_too_far_apart_do_not_meet(spark, monkeypatch):
 
 
 def plain_audit(rows, labels):
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     first = {}
     for d, t, _ in rows:
         if d is not None:
