@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.periods import year_month
+from ..session import scratch_path
+from ..sources.landing import listing
+from ..sources.opening import write_file
 
 FIRST_MONTH, LAST_MONTH = "199501", "200112"
 YEARS = [str(y) for y in range(1995, 2002)]
@@ -159,23 +162,26 @@ def workbook_bytes(rows: list[tuple], sheet: str = "T1") -> bytes:
     return buffer.getvalue()
 
 
-def archive_bytes(rows: list[tuple], member: str = "data.csv") -> bytes:
-    buffer = io.BytesIO()
+def archive_bytes(rows: list[tuple]) -> bytes:
+    """An archive with two delimited members, each with the header and half of the rows."""
+    header, *body = [";".join(str(v) for v in row) + "\r\n" for row in rows]
+    buffer, half = io.BytesIO(), len(body) // 2
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(member, "".join(";".join(str(v) for v in row) + "\r\n" for row in rows))
+        z.writestr("first.csv", header + "".join(body[:half]))
+        z.writestr("second.CSV", header + "".join(body[half:]))
     return buffer.getvalue()
 
 
 def packed_files(df: DataFrame, kind: str) -> DataFrame:
-    """``(path, content)``: each Arrow batch of rows becomes one workbook or archive."""
-    header = tuple(df.columns)
+    """Paths of files written below the shared folder: each Arrow batch of rows becomes one workbook or archive."""
+    header, folder, spark = tuple(df.columns), scratch_path(df.sparkSession, kind), df.sparkSession
     pack = workbook_bytes if kind == "xlsx" else archive_bytes
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                content = pack([header, *b.itertuples(index=False, name=None)])
-                first = str(b.iloc[0, 0])
-                yield pd.DataFrame({"path": [f"{first}.{kind}"], "content": [content]})
+                write_file(f"{folder}/{b.iloc[0, 0]}.{kind}", pack([header, *b.itertuples(index=False, name=None)]))
+                yield pd.DataFrame({"rows": [len(b)]})
 
-    return df.mapInPandas(build, "path string, content binary")
+    df.mapInPandas(build, "rows long").agg(F.sum("rows")).collect()
+    return listing(spark, folder, f"*.{kind}")

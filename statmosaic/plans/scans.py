@@ -19,22 +19,41 @@ def _comma(c):
     return F.translate(c.cast("string"), ".", ",")
 
 
+def _status_files(spark, d):
+    """Orders of each status under a header of its own; those of the rarest lack a column."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("Prioridade"), _comma(dec("o_totalprice")).alias("Valor Total"),
+        F.col("o_orderkey").cast("string").alias("Código do Pedido"), F.col("o_orderstatus").alias("Situação"))
+    orders_of = {"F": ["Prioridade", "Valor Total", "Código do Pedido", "Situação"], "O": ["Situação", "Código do Pedido", "Prioridade", "Valor Total"],
+                 "P": ["Código do Pedido", "Valor Total", "Situação", "Prioridade"]}
+    root = scratch_path(spark, "a01")
+    for status, columns in orders_of.items():
+        landing.export_csv(o.filter(F.col("Situação") == status), f"{root}/{status}", columns)
+    landing.export_csv(o.filter(F.col("Situação") == "P"), f"{root}/short", orders_of["P"][:3])
+    return root, list(orders_of)
+
+
+A01_LAYOUT = Layout(("codigodopedido", "valortotal", "situacao", "prioridade"))
+
+
 @query("a01_header_contract", """
 SELECT o_orderstatus AS situacao, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM orders GROUP BY 1""")
 def a01(spark, d):
-    path = scratch_path(spark, "a01")
-    o = table(spark, d, "orders")
-    landing.export_csv(
-        o.select(F.col("o_orderpriority").alias("Prioridade"), _comma(dec("o_totalprice")).alias("Valor Total"),
-                 F.col("o_orderkey").cast("string").alias("Código do Pedido"), F.col("o_orderstatus").alias("Situação")),
-        path, ["Prioridade", "Valor Total", "Código do Pedido", "Situação"])
-    layout = Layout(("codigodopedido", "valortotal", "situacao", "prioridade"))
+    root, parts = _status_files(spark, d)
     value = strict_number(F.col("valortotal"), comma=True, type_="decimal(18,2)")
-    return delimited.read_contract(spark, path, layout).groupBy("situacao").agg(
+    return delimited.read_contract(spark, [f"{root}/{p}" for p in parts], A01_LAYOUT).groupBy("situacao").agg(
         F.count(F.lit(1)).alias("n"), dbl(F.sum(value)).alias("total"))
 
 
+@query("a01_header_violations", """
+SELECT DISTINCT 'short' AS part, 'missing columns [''prioridade''], unexpected columns []' AS problem FROM orders WHERE o_orderstatus = 'P'""")
+def a01_violations(spark, d):
+    root, parts = _status_files(spark, d)
+    headers = delimited.file_headers(spark, [f"{root}/{p}" for p in (*parts, "short")], A01_LAYOUT)
+    return delimited.header_violations(headers).select(F.regexp_extract("key", r"/(\w+)/[^/]+$", 1).alias("part"), F.col("detail").alias("problem")).distinct()
+
+
 @query("a02_edition_layout", """
 SELECT CASE WHEN year(o_orderdate) < 1998 THEN '1997' ELSE '1998' END AS edition, o_orderpriority AS prioridade, count(*) AS n,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
@@ -140,7 +159,7 @@ def a06(spark, d):
 
 @query("a07_archive_rows", PART_SQL)
 def a07(spark, d):
-    return _by_brand(archives.named_rows(archives.archive_lines(packed_files(_part_rows(spark, d), "zip")), ["brand", "id", "price"]))
+    return _by_brand(archives.archive_rows(packed_files(_part_rows(spark, d), "zip"), ["brand", "id", "price"], members=2))
 
 
 @query("a08_merged_headers", f"""
@@ -320,6 +339,21 @@ def a14(spark, d):
         F.coalesce("moved", F.lit(0)).cast("bigint").alias("changed"))
 
 
+@query("a14_incremental_manifest", """
+SELECT CAST(c_custkey // 500 AS BIGINT) AS page, sha256(string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10)) AS sha256,
+  CAST(sum(length(c_name) + 1) AS BIGINT) AS size, CAST(1 + (c_custkey // 500) % 2 AS BIGINT) AS opened_in
+FROM customer GROUP BY c_custkey // 500""")
+def a14_incremental(spark, d):
+    """A folder that grows: the second run opens the files of odd pages only and takes the others from the manifest."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("value"), F.floor(F.col("c_custkey") / 500).alias("page"))
+    path, manifest = scratch_path(spark, "a14"), spark.createDataFrame([], f"{landing.MANIFEST}, opened_in long")
+    for run in (1, 2):
+        c.where(F.col("page") % 2 == run - 1).repartition("page").sortWithinPartitions("page", "c_custkey").select("page", "value").write.mode("append").partitionBy("page").text(path)
+        seen = landing.refreshed_manifest(spark, path, manifest, "*.txt").join(manifest.select("path", "opened_in"), "path", "left")
+        manifest = materialize(seen.withColumn("opened_in", F.when(F.col("opened"), F.lit(run)).otherwise(F.col("opened_in"))).drop("opened"), "a14")
+    return manifest.select(F.regexp_extract("path", r"page=(\d+)/", 1).cast("bigint").alias("page"), "sha256", "size", F.col("opened_in").cast("bigint").alias("opened_in"))
+
+
 @query("a15_tidy_export", f"""
 WITH {YEARLY_SQL}
 SELECT territory, year, CAST(price AS VARCHAR) AS value, state AS source_id, 'https://stats.example.org/' || state AS url, CAST(0 AS BIGINT) AS differences FROM yr""")

@@ -1,22 +1,26 @@
 """Delimited files under column contracts.
 
-A header is compared by normalised name, as a set; rows are bound by name.  The
-header of every file in a load is checked by the reader itself in its own task
-(``enforceSchema=false``), and a ragged row fails the scan (``FAILFAST`` with CSV
-column pruning off, which would otherwise skip the check).
+A header is compared by normalised name, as a set; rows are bound by name.  The first line of
+every file is read in tasks before the load, so files of one load may order their columns
+differently.  The reader checks each header again (``enforceSchema=false``), and a ragged row
+fails the scan (``FAILFAST`` with CSV column pruning off, which would otherwise skip the check).
 """
 
 from __future__ import annotations
 
+import csv
+import io
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fold, header_key
+from .opening import open_plain
 
 
 class ContractError(ValueError):
@@ -36,8 +40,6 @@ class Layout:
 
 
 def _reader(spark: SparkSession, layout: Layout):
-    if layout.encoding.lower() in ("cp1252", "windows-1252"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return (
         spark.read.option("sep", layout.sep)
         .option("encoding", layout.encoding)
@@ -47,12 +49,41 @@ def _reader(spark: SparkSession, layout: Layout):
     )
 
 
-def raw_header(spark: SparkSession, path: str | Sequence[str], layout: Layout) -> list[str]:
-    """First line of the load, split but not interpreted (duplicates stay visible)."""
-    first = _reader(spark, layout).option("header", "false").csv(path).limit(1).collect()
-    if not first:
-        raise ContractError(f"empty file: {path}")
-    return [v if v is not None else "" for v in first[0]]
+def file_headers(spark: SparkSession, path: str | Sequence[str], layout: Layout) -> DataFrame:
+    """``path, header, problem`` of every file of a load.
+
+    Files are listed by Spark without being read; tasks open each one and take its first line only.  ``header`` is split but not
+    interpreted, so duplicates stay visible; ``problem`` says why a file breaks the contract, and is null where it keeps it.
+    Files of no bytes have no place in a listing by Spark.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    unmarked = "utf-8-sig" if layout.encoding.lower() in ("utf-8", "utf8") else layout.encoding
+    escape = layout.options.get("quote", '"')
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers, problems = [], []
+            for name in batch.column("path").to_pylist():
+                header, problem = [], "empty file"
+                try:
+                    with open_plain(name) as raw, io.TextIOWrapper(raw, encoding=unmarked, newline="") as text:
+                        header = next(csv.reader(text, delimiter=layout.sep, quotechar=escape), [])
+                    if header:
+                        check_header(header, layout)
+                        problem = None
+                except (ContractError, UnicodeError) as e:
+                    problem = str(e)
+                headers.append(header)
+                problems.append(problem)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array(headers, pa.list_(pa.string())), pa.array(problems, pa.string())], names=["path", "header", "problem"])
+
+    return listed.mapInArrow(first_lines, "path string, header array<string>, problem string")
+
+
+def header_violations(headers: DataFrame) -> DataFrame:
+    """Gate over :func:`file_headers`: one violation for each file that breaks the contract, with its path."""
+    return headers.where("problem IS NOT NULL").select(F.lit("header").alias("gate"), F.col("path").alias("key"), F.col("problem").alias("detail"))
 
 
 def check_header(header: Sequence[str], layout: Layout) -> list[str]:
@@ -68,30 +99,43 @@ def check_header(header: Sequence[str], layout: Layout) -> list[str]:
     return names
 
 
+def _literal(path: str) -> str:
+    """A listed path as a pattern that means only itself."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_contract(
     spark: SparkSession, path: str | Sequence[str], layout: Layout, select: Sequence[str] | None = None,
     with_path: bool = False,
 ) -> DataFrame:
     """All columns as text, named by their normal form, in contract (or ``select``) order.
 
+    Files of one load may have their columns in any order: they are grouped by header, each header is one scan bound by
+    name, and the scans are stacked.  A file that breaks the contract fails the load and is named; to load
+    the others, pass the paths that :func:`file_headers` finds no problem with.
     ``with_path`` adds ``file_path``, from which publication and kind can be read.
     """
-    header = raw_header(spark, path, layout)
-    names = check_header(header, layout)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    df = (
-        _reader(spark, layout)
-        .schema(schema)
-        .option("header", "true")
-        .option("enforceSchema", "false")
-        .option("mode", "FAILFAST")
-        .option("columnPruning", "false")
-        .csv(path)
-    )
+    # one row for each way of writing the header, however many files have it; readers take their files by path
+    found = file_headers(spark, path, layout).groupBy("header", "problem").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    bad = sorted((p, r["problem"]) for r in found if r["problem"] is not None for p in r["paths"])
+    if bad or not found:
+        raise ContractError("; ".join(f"{p}: {why}" for p, why in bad[:5]) or f"no file: {path}")
     wanted = [header_key(c) for c in (select or layout.columns)]
-    at = dict(zip(names, header, strict=True))
     extra = [F.col("_metadata.file_path").alias("file_path")] if with_path else []
-    return df.select(*[F.col(f"`{at[w]}`").alias(w) for w in wanted], *extra)
+    scans = []
+    for header, paths in sorted((r["header"], r["paths"]) for r in found):
+        at = dict(zip(check_header(header, layout), header, strict=True))
+        df = (
+            _reader(spark, layout)
+            .schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
+            .option("header", "true")
+            .option("enforceSchema", "false")
+            .option("mode", "FAILFAST")
+            .option("columnPruning", "false")
+            .csv([_literal(p) for p in paths])
+        )
+        scans.append(df.select(*[F.col(f"`{at[w]}`").alias(w) for w in wanted], *extra))
+    return same_schema(scans)
 
 
 def read_edition(

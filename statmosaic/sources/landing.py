@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_markup
+from .opening import open_file
+
+# Bytes of a file that a task holds while it hashes it.
+HASHED_BYTES = 1 << 20
 
 LINK_PATTERN = r"""(?is)<a\s[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 
@@ -65,17 +71,35 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
-def hash_new_files(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
-    """Inventory of the files whose size or time is not in the manifest; the others are not opened.
+MANIFEST = "path string, size long, modified timestamp, sha256 string"
+
+
+def refreshed_manifest(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
+    """Inventory of a folder that opens only what the manifest does not know: ``path, size, modified, sha256, opened``.
 
-    Only the names of those files pass through the driver, as in any file listing.
+    Files are listed without being read and joined with the manifest.  A file of known path, size and time keeps its
+    hash; the others are opened by path inside the tasks of the same job and hashed piece by piece.
+    Files that have left the folder leave the inventory.
     """
-    known = manifest.select("path", "size", "modified")
-    fresh = [r["path"] for r in listing(spark, path, glob).join(known, ["path", "size", "modified"], "left_anti").select("path").collect()]
-    if not fresh:
-        return manifest.select("path", "size", "modified", "sha256").limit(0)
-    return spark.read.format("binaryFile").load(fresh).select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    known = manifest.select("path", "size", "modified", "sha256")
+    listed = listing(spark, path, glob).join(known, ["path", "size", "modified"], "left")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, opened = batch.column("sha256").to_pylist(), []
+            for i, name in enumerate(batch.column("path").to_pylist()):
+                opened.append(digests[i] is None)
+                if opened[i]:
+                    with open_file(name) as f:
+                        digest = hashlib.sha256()
+                        while piece := f.read(HASHED_BYTES):
+                            digest.update(piece)
+                    digests[i] = digest.hexdigest()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("path", "size", "modified")), pa.array(digests, pa.string()), pa.array(opened, pa.bool_())],
+                names=["path", "size", "modified", "sha256", "opened"])
+
+    return listed.mapInArrow(hashed, f"{MANIFEST}, opened boolean")
 
 
 def changed_files(current: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from statmosaic.domains import cubes, education, employment, environment, health
 from statmosaic.operators import mapping
 from statmosaic.plans.base import workbook_bytes
 from statmosaic.session import param_table
-from statmosaic.sources import archives, nested
+from statmosaic.sources import archives, landing, nested
 
 TERR = [("4100001", "A"), ("4100002", "B")]
 
@@ -69,10 +69,11 @@ def test_wrong_movement_files_are_named(spark, tmp_path):
     assert sorted(r["problem"] or "" for r in typed.collect()) == ["", "malformed", "not on time", "sign against movement type", "unknown section"]
 
 
-def test_stock_workbook_and_shares(spark, rows):
+def test_stock_workbook_and_shares(spark, rows, tmp_path):
     book = workbook_bytes([("Tabela 4",), ("Código", "UF", "Indústria", "", "Serviços", "", "Total", ""), ("", "", "2023", "2024", "2023", "2024", "2023", "2024"),
                            ("410000", "PR", "3", "4", "1", "1", "4", "6")])
-    cells = archives.workbook_cells(spark.createDataFrame([("r.xlsx", bytearray(book))], "path string, content binary")).cache()
+    (tmp_path / "r.xlsx").write_bytes(book)
+    cells = archives.workbook_cells(landing.listing(spark, str(tmp_path))).cache()
     t = employment.stock_table(archives.bind_headers(cells, ["Código", "UF"], 2), {"Indústria": "industry", "Serviços": "services", "Total": "total"})
     s = employment.stock_shares(t.withColumn("territory", F.col("source_code")))
     assert rows(s, "year", "sector", "value", "total", "percent", "balanced") == [

@@ -1,8 +1,12 @@
+import gzip
+import hashlib
 import io
 import json
 import os
 import zipfile
+from urllib.parse import unquote
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,11 +51,38 @@ def test_ragged_rows_fail_even_when_pruned(spark, tmp_path, line):
         df.count()
 
 
-def test_a_second_file_with_another_header_order_fails(spark, tmp_path):
+def test_files_of_one_load_may_order_their_columns_differently(spark, tmp_path, rows):
     put(tmp_path, "a.csv", "codigo;valor;uf\n1;2;3\n")
-    put(tmp_path, "b.csv", "valor;codigo;uf\n1;2;3\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        delimited.read_contract(spark, str(tmp_path), LAYOUT).collect()
+    put(tmp_path, "b {1}*.csv", "\ufeffVALOR;Código;UF\n20;10;30\n21;11;31\n")
+    put(tmp_path, "c d.csv", '"uf";"codigo";"valor"\n300;100;200\n')
+    put(tmp_path, "e.csv", "codigo;valor;uf\n4;5;6\n")
+    got = delimited.read_contract(spark, str(tmp_path), LAYOUT, with_path=True)
+    assert rows(got, "codigo", "valor", "uf") == sorted([("1", "2", "3"), ("10", "20", "30"), ("11", "21", "31"), ("100", "200", "300"), ("4", "5", "6")], key=repr)
+    assert {unquote(r["file_path"]).rsplit("/", 1)[1] for r in got.where("length(codigo) > 1").collect()} == {"b {1}*.csv", "c d.csv"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 3  # one scan for each way of writing the header
+
+
+def test_files_that_break_the_contract_are_named(spark, tmp_path, rows):
+    put(tmp_path, "a.csv", "codigo;valor;uf\n1;2;3\n")
+    put(tmp_path, "bad.csv", "codigo;valor\n1;2\n")
+    put(tmp_path, "none.csv", "\n")
+    headers = delimited.file_headers(spark, str(tmp_path), LAYOUT)
+    assert [(r["gate"], r["key"].rsplit("/", 1)[1], r["detail"]) for r in delimited.header_violations(headers).orderBy("key").collect()] == [
+        ("header", "bad.csv", "missing columns ['uf'], unexpected columns []"), ("header", "none.csv", "empty file")]
+    with pytest.raises(ContractError, match="bad.csv: missing"):
+        delimited.read_contract(spark, str(tmp_path), LAYOUT)
+    good = [r["path"] for r in headers.where("problem IS NULL").collect()]
+    assert rows(delimited.read_contract(spark, good, LAYOUT)) == [("1", "2", "3")]
+
+
+def test_only_first_lines_are_read_for_headers(spark, tmp_path):
+    """Bytes after the first lines are no text at all, and packed files are unpacked."""
+    (tmp_path / "a.csv").write_bytes(b"codigo;valor;uf\n" + b"1;2;3\n" * 100_000 + b"\xff\xff")
+    with gzip.open(tmp_path / "b.csv.gz", "wb") as f:
+        f.write(b"uf;valor;codigo\n3;2;1\n")
+    got = delimited.file_headers(spark, str(tmp_path), LAYOUT).orderBy("path").collect()
+    assert [(r["header"], r["problem"]) for r in got] == [(["codigo", "valor", "uf"], None), (["uf", "valor", "codigo"], None)]
 
 
 def test_cp1252_bytes(spark, tmp_path, rows):
@@ -114,11 +145,17 @@ def test_column_family(spark, rows):
         delimited.family_to_rows(df, ["id"], r"ABS_(\d)", ["x"])
 
 
-def frame(spark, files):
-    return spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()], "path string, content binary")
+@pytest.fixture
+def frame(tmp_path):
+    """Files written to a folder, as Spark lists them."""
+    def written(spark, files):
+        for name, content in files.items():
+            (tmp_path / name).write_bytes(content)
+        return landing.listing(spark, str(tmp_path))
+    return written
 
 
-def test_workbook_with_merged_headers(spark, rows):
+def test_workbook_with_merged_headers(spark, rows, frame):
     book = workbook_bytes([("Título",), ("Código", "UF", "Total", "", "Indústria", ""), ("", "", "2023", "2024", "2023", "2024"),
                            ("410940", "PR", "10", "11", "4", "5"), ("410001", "PR", "7", "8", "", "3")])
     cells = archives.workbook_cells(frame(spark, {"r.xlsx": book})).cache()
@@ -129,6 +166,28 @@ def test_workbook_with_merged_headers(spark, rows):
     assert archives.locate_header(cells, ["Código", "Absent"]).count() == 0
 
 
+def shared_workbook(sheets, texts):
+    """A workbook of several sheets whose cells point into one table of texts."""
+    b = io.BytesIO()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="/xl/worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><r><t>{t[:1]}</t></r><r><t>{t[1:]}</t></r></si>" for t in texts) + "</sst>")
+        for i, n in enumerate(sheets):
+            body = "".join(f'<row r="{r}"><c r="AB{r}" t="s"><v>{k}</v></c><c r="AC{r}"><v>{r}</v></c></row>' for r, k in enumerate(sheets[n], 1))
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+    return b.getvalue()
+
+
+def test_every_sheet_is_a_unit_of_work(spark, frame):
+    book = shared_workbook({"one": [0, 1], "two": [1] * 30_000, "none": []}, ["abc", "de"])
+    got = archives.workbook_cells(frame(spark, {"r.xlsx": book})).withColumn("task", F.spark_partition_id()).where("col = 28").collect()
+    assert sorted((r["sheet"], r["row"], r["text"]) for r in got if r["sheet"] == "one") == [("one", 1, "abc"), ("one", 2, "de")]
+    assert sum(r["sheet"] == "two" for r in got) == 30_000
+    assert len({(r["sheet"], r["task"]) for r in got}) == len({r["task"] for r in got}) == 2
+
+
 def zipped(**members):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
@@ -137,18 +196,48 @@ def zipped(**members):
     return b.getvalue()
 
 
-def test_archive_rows_bind_by_name(spark, rows):
-    a, b = zipped(a_csv="x;y\r\n1;2\r\n"), zipped(b_csv="﻿y;x\r\n4;\"3;3\"\r\n")
-    got = archives.named_rows(archives.archive_lines(frame(spark, {"a": a, "b": b})), ["x", "y"])
-    assert rows(got, "path", "x", "y") == [("a", "1", "2"), ("b", "3;3", "4")]
+def test_archive_rows_bind_by_name(spark, rows, frame):
+    a, b = zipped(a_csv="x;y\r\n1;2\r\n"), zipped(b_csv="\ufeffy;x\r\n4;\"3;3\"\r\n")
+    got = archives.archive_rows(frame(spark, {"a.zip": a, "b.zip": b}), ["x", "y"])
+    assert rows(got, F.substring_index("path", "/", -1), "line", "x", "y") == [("a.zip", 1, "1", "2"), ("b.zip", 1, "3;3", "4")]
 
 
 @pytest.mark.parametrize("content,why", [
-    (zipped(a_csv="x;y\r\n1;2\r\n", b_csv="x;y\r\n1;2\r\n"), "2 members"), (zipped(a_csv="x;z\r\n1;2\r\n"), "contract"), (zipped(a_csv="x;y\r\n1\r\n"), "ragged")])
-def test_bad_archives_fail(spark, content, why):
-    lines = archives.archive_lines(frame(spark, {"a": content}))
+    (zipped(a_csv="x;y\r\n1;2\r\n", b_csv="x;y\r\n1;2\r\n"), "2 members"), (zipped(a_txt="x;y"), "0 members"), (zipped(a_csv="x;z\r\n1;2\r\n"), "contract"),
+    (zipped(a_csv="x;y;x\r\n1;2;3\r\n"), "contract"), (zipped(a_csv="x;y\r\n1\r\n"), "ragged"), (zipped(a_csv=""), "empty")])
+def test_bad_archives_fail(spark, frame, content, why):
     with pytest.raises(Exception, match=why):
-        archives.named_rows(lines, ["x", "y"]).collect()
+        archives.archive_rows(frame(spark, {"a.zip": content}), ["x", "y"]).collect()
+
+
+def test_members_of_one_archive_are_read_by_several_tasks(spark, frame):
+    body = "x;y\r\n" + "".join(f"{i};ção\r\n" for i in range(5000))
+    archive = zipped(**{f"m{i}_csv": body.encode("cp1252") for i in range(4)})
+    got = archives.archive_rows(frame(spark, {"a.zip": archive}), ["x", "y"], encoding="cp1252", members=None).withColumn("task", F.spark_partition_id())
+    tasks = got.groupBy("member").agg(F.count(F.lit(1)).alias("n"), F.max("line").alias("last"), F.min("task").alias("task"), F.max("y").alias("y")).collect()
+    assert {(r["n"], r["last"], r["y"]) for r in tasks} == {(5000, 5000, "ção")} and len({r["task"] for r in tasks}) == 4
+
+
+def test_an_archive_above_two_gigabytes_opens(spark, tmp_path, rows):
+    """The archive starts behind a hole of 2.2 GB, which takes no disk; only its end is read."""
+    with open(tmp_path / "a.zip", "wb") as f:
+        f.truncate(2_200_000_000)
+    with zipfile.ZipFile(tmp_path / "a.zip", "a") as z:
+        z.writestr("a.csv", "x;y\r\n1;2\r\n")
+    assert rows(archives.archive_rows(landing.listing(spark, str(tmp_path)), ["y", "x"]), "y", "x") == [("2", "1")]
+
+
+def test_memory_for_a_member_does_not_grow_with_it(tmp_path):
+    peaks = []
+    for lines in (100_000, 1_000_000):
+        with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.csv", "x;y\r\n" + "some words;others\r\n" * lines)
+        most = seen = 0
+        for batch in archives.member_batches(str(tmp_path / "a.zip"), "a.csv", ["x", "y"], ";", "utf8"):
+            most, seen = max(most, pa.total_allocated_bytes()), seen + batch.num_rows
+        assert seen == lines
+        peaks.append(most)
+    assert peaks[1] < 2 * peaks[0] + 10_000_000
 
 
 CUBE = [{"id": "214", "variavel": "Produção", "unidade": "t", "resultados": [{
@@ -203,11 +292,33 @@ def test_inventory_lists_only_changed_files(spark, tmp_path, rows):
     before = landing.inventory(spark, str(tmp_path), "*.txt").collect()
     manifest = spark.createDataFrame(before)
     assert landing.changed_files(landing.inventory(spark, str(tmp_path), "*.txt"), manifest).isEmpty()
-    assert landing.hash_new_files(spark, str(tmp_path), manifest, "*.txt").isEmpty()
+    assert landing.refreshed_manifest(spark, str(tmp_path), manifest, "*.txt").where("opened").isEmpty()
     # a new time alone opens the file again, but equal content is no change
     os.utime(tmp_path / "a.txt", (1, 1))
-    again = landing.hash_new_files(spark, str(tmp_path), manifest, "*.txt")
+    again = landing.refreshed_manifest(spark, str(tmp_path), manifest, "*.txt").where("opened")
     assert again.count() == 1 and landing.changed_files(again, manifest).isEmpty()
     (tmp_path / "b.txt").write_text("B")
     changed = landing.changed_files(landing.inventory(spark, str(tmp_path), "*.txt"), manifest)
     assert [r["path"].rsplit("/", 1)[1] for r in changed.collect()] == ["b.txt"]
+
+
+def test_a_manifest_refresh_opens_new_files_only(spark, tmp_path):
+    """A known file whose bytes were exchanged under the same size and time keeps its hash: it was not opened."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in ("a", "b"):
+        (folder / f"{n}.txt").write_text(n * 3_000_000)
+    none = spark.createDataFrame([], landing.MANIFEST)
+    first = landing.refreshed_manifest(spark, str(folder), none).cache()
+    assert {(r["path"][-5:], r["sha256"], r["opened"]) for r in first.collect()} == {
+        (f"{n}.txt", hashlib.sha256(n.encode() * 3_000_000).hexdigest(), True) for n in "ab"}
+    at = os.stat(folder / "a.txt")
+    (folder / "a.txt").write_text("x" * 3_000_000)
+    os.utime(folder / "a.txt", ns=(at.st_atime_ns, at.st_mtime_ns))
+    (folder / "c d.txt").write_text("new")
+    (folder / "b.txt").unlink()
+    again = landing.refreshed_manifest(spark, str(folder), first)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan  # the listing reads no content, and no list of paths goes back to the driver
+    assert {(r["path"].rsplit("/", 1)[1], r["sha256"], r["opened"]) for r in again.collect()} == {
+        ("a.txt", hashlib.sha256(b"a" * 3_000_000).hexdigest(), False), ("c d.txt", hashlib.sha256(b"new").hexdigest(), True)}
