@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import map_batches
+from .tables import fresh, map_batches
 from .words import NOT_WORD, U, Words, words
 
 WIDTH = 13
@@ -299,9 +299,10 @@ def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Da
     """The documents, whole rows, less those that are contaminated; every row is judged for itself."""
     given, many = _dealt(items)
     if many > 1:
-        keyed = materialize(docs.withColumn("_place", F.monotonically_increasing_id()), "numbered-documents")
-        bad = _verdicts(keyed, given, many, width).where("contaminated").select("_place")
-        return keyed.join(bad, "_place", "left_anti").select(*docs.columns)
+        place = fresh(docs, "place")[0]
+        keyed = materialize(docs.withColumn(place, F.monotonically_increasing_id()), "numbered-documents")
+        bad = _verdicts(keyed.select("doc_id", "text", F.col(place).alias("_place")), given, many, width).where("contaminated").select(F.col("_place").alias(place))
+        return keyed.join(bad, place, "left_anti").select(*docs.columns)
 
     def step(batch: pa.RecordBatch, test: TestSet) -> pa.RecordBatch:
         n_words, hits, names = _found(batch.column("text"), test)

@@ -57,6 +57,8 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
     alone = listed.select("doc_id", "part", bits.alias("bits"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     marked = materialize(alone, "filter-masks")
     first = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # read from a table, both sides of the join below are plain exchanges, which are split where a text is very common
+    first = materialize(first, "first-copies")
     one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.when(F.col("quality") == 1, GOOD).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, TOXIC).otherwise(0)).alias("toxic"))
     again = F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)

@@ -153,7 +153,11 @@ def classes_and_chains(docs: DataFrame, width: int, percent: int, buckets: int)
                 sets = shingle_sets(part.column("text"), width)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 digests = [set_digest(s) if len(s) else None for s in sets]
-                yield rows(len(sets), bucket=pa.array(spread(pc.fill_null(part.column("doc_id"), 0).to_numpy(), buckets)),
+                # rows of documents pass through any bucket; those without a doc_id go by their class and place
+                ids, classes = pc.fill_null(part.column("doc_id"), 0).to_numpy(), np.array([d or 0 for d in digests], np.int64)
+                nameless = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                deal = np.where(nameless, classes ^ (np.arange(len(sets)) % 64), ids ^ classes)
+                yield rows(len(sets), bucket=pa.array(spread(deal, buckets)),
                            doc_id=part.column("doc_id"), n=pa.array(sizes), cls=pa.array(digests, pa.int64()))
                 new = []
                 for i, d in enumerate(digests):

@@ -6,8 +6,9 @@ a hash opens a document, and the openings add up over the salts.  A hash held by
 lines is thus spread over ``SALTS`` ranges and no group is ever brought together.
 
 Defined cases: a null or empty text is one empty line; a line whose key is shorter than
-``min_chars`` is never dropped; rows equal in doc_id and text count as one document and each is
-returned; an empty table gives an empty result; other columns are not read.
+``min_chars`` is never dropped; a document is a row, and rows equal in doc_id and text count as one
+document (rows that share a doc_id alone are documents each), though each is returned; an empty table
+gives an empty result; own columns of any name pass through, but for those the result's names replace.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import row_key, same_row
+from .tables import fresh, row_key
 
 SALTS = 32
 BLANKS = " \t\n\x0b\x0c\r"
@@ -75,23 +76,30 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     return per_word.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """The documents with ``kept_text``, ``n_lines`` and ``n_dropped`` beside their own columns."""
+RESULT = ("kept_text", "n_lines", "n_dropped")
+
+
+def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, names: tuple[str, str, str] = RESULT) -> DataFrame:
+    """The documents with their kept text, number of lines and of dropped lines beside their own columns.
+
+    The new columns are called ``names``; own columns of these names give way to them.
+    """
     # the bitmaps grow with the corpus, so they meet the texts by a merge at every size and are never broadcast
-    bitmaps = materialize(drop_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first), "line-bitmaps").toDF("_doc", "_row", "_drops")
-    marked = docs.withColumn("_own_row", row_key())
-    joined = marked.join(bitmaps.hint("merge"), marked["doc_id"].eqNullSafe(bitmaps["_doc"]) & (marked["_own_row"] == bitmaps["_row"]), "left")
+    doc, row, drops, own_row = fresh(docs, "doc", "row", "drops", "own_row")
+    bitmaps = materialize(drop_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars, keep_first), "line-bitmaps").toDF(doc, row, drops)
+    marked = docs.withColumn(own_row, row_key())
+    joined = marked.join(bitmaps.hint("merge"), marked["doc_id"].eqNullSafe(bitmaps[doc]) & (marked[own_row] == bitmaps[row]), "left")
     lines = lines_of(F.col("text"))
     zero = F.lit(0).cast("bigint")
 
     def stays(_: Column, i: Column) -> Column:
-        mask = F.coalesce(F.try_element_at(F.col("_drops"), F.floor(i / 64).cast("int")), zero)
+        mask = F.coalesce(F.try_element_at(F.col(drops), F.floor(i / 64).cast("int")), zero)
         return F.call_function("shiftright", mask, (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == zero
 
     kept = F.filter(lines, stays)
-    dropped = F.aggregate(F.map_values("_drops"), zero, lambda a, x: a + F.bit_count(x))
+    dropped = F.aggregate(F.map_values(drops), zero, lambda a, x: a + F.bit_count(x))
     return joined.select(
-        *[marked[c] for c in docs.columns],
-        F.when(F.col("_drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(dropped, zero).alias("n_dropped"))
+        *[marked[c] for c in docs.columns if c.lower() not in {n.lower() for n in names}],
+        F.when(F.col(drops).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias(names[0]),
+        F.size(lines).cast("bigint").alias(names[1]),
+        F.coalesce(dropped, zero).alias(names[2]))

@@ -17,6 +17,7 @@ other columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,21 +46,65 @@ LISTED = {
     PHONE: r"^(\+(1|33|34|44|49)|\(?[2-9])", SECRET: r"^([0-9a-f]{32,}|[0-9A-F]{32,}|(sk|pk|ghp|xox)[_-])"}
 LABELERS = 5
 CONTEXT = 24
+# Elements that are folded into one growing array.
+BLOCK = 512
 _SPAN = "struct<kind:int,start:int,end:int,match:string,left:string>"
 
 
-def spans(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of the pattern, leftmost and apart, with their places and what stands before them."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element what ``step`` makes of all elements before it, in order; ``items`` is a bound value.
+
+    Elements are folded by blocks of ``BLOCK``: an array that grows is copied only as long as a block, or as the
+    number of blocks, so many elements cost little more than each of them.
+    """
+    empty = F.array().cast("array<int>")
+
+    def scan(values: Column, first: Column, fold: Callable[[Column, Column], Column]) -> Column:
+        state = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(values, state, lambda a, x: F.struct(fold(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def folded(blocks: Column) -> Column:
+        firsts = scan(blocks, start, lambda a, block: F.aggregate(block, a, step))
+        return F.flatten(F.zip_with(blocks, firsts, lambda block, first: scan(block, first, step)))
+
+    blocks = F.transform(F.sequence(F.lit(1), F.size(items), F.lit(BLOCK)), lambda i: F.slice(items, i, F.lit(BLOCK)))
+    return F.when(F.size(items) > 0, let(blocks, folded)).otherwise(empty)
+
+
+def spans(text: Column, pattern: str, kind: int, holds: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of the pattern, leftmost and apart, that hold, with their places and what stands before them."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s, m: F.struct(s.alias("s"), m.alias("m")))
-    empty = F.array().cast(f"array<{_SPAN}>")
 
-    def add(seen: Column, x: Column) -> Column:
-        start = seen["pos"] + F.char_length(x["s"])
-        end = start + F.char_length(x["m"])
-        found = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("match"), F.right(x["s"], F.lit(CONTEXT)).alias("left"))
-        return F.when(x["m"].isNull(), seen).otherwise(F.struct(end.alias("pos"), F.concat(seen["out"], F.array(found)).alias("out")))
+    def placed(pieces: Column) -> Column:
+        # places are added up over all matches; only those that hold become spans
+        ends = running(pieces, F.lit(0), lambda a, x: a + F.char_length(x["s"]) + F.char_length(x["m"]))
+        return F.zip_with(pieces, ends, lambda x, at: F.struct(x["s"].alias("s"), x["m"].alias("m"), (at + F.char_length(x["s"])).alias("start")))
+
+    found = let(F.filter(pieces, lambda x: x["m"].isNotNull()), placed)
+    if holds is not None:
+        found = F.filter(found, lambda x: holds(x["m"]))
+    return F.transform(found, lambda x: F.struct(
+        F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.char_length(x["m"])).alias("end"), x["m"].alias("match"), F.right(x["s"], F.lit(CONTEXT)).alias("left")))
+
+
+def apart(found: Column, base: Column) -> Column:
+    """The spans of ``found`` that overlap none of ``base``: one merge by start, once from the left and once from the right."""
+    def mark(spans: Column, own: int) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x.alias("x")))
+
+    def free(merged: Column) -> Column:
+        reach = running(merged, F.lit(-1), lambda a, e: F.when(e["own"] == 0, F.greatest(a, e["end"])).otherwise(a))
+        later = let(F.reverse(merged), lambda m: F.reverse(running(m, F.lit(2**31 - 1), lambda a, e: F.when(e["own"] == 0, F.least(a, e["start"])).otherwise(a))))
+        past = F.zip_with(merged, reach, lambda e, r: F.struct(e["x"].alias("x"), ((e["own"] == 1) & (r <= e["start"])).alias("free")))
+        both = F.zip_with(past, later, lambda y, n: F.struct(y["x"].alias("x"), (y["free"] & (n >= y["x"]["end"])).alias("free")))
+        return F.transform(F.filter(both, lambda y: y["free"]), lambda y: y["x"])
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), empty.alias("out")), add)["out"]
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), let(F.sort_array(F.concat(mark(base, 0), mark(found, 1))), free)).otherwise(found)
 
 
 def _digits(match: Column) -> Column:
@@ -104,10 +149,10 @@ def _guard(kind: int, text: Column) -> Column:
 def base_spans(text: Column) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
 
-    def valid(kind: int):
-        return lambda x: _valid(kind, x["match"])
+    def valid(kind: int) -> Callable[[Column], Column]:
+        return lambda match: _valid(kind, match)
 
-    return F.concat(*[F.when(_guard(k, text), F.filter(spans(text, p, k), valid(k))).otherwise(none) for k, p in BASE.items()])
+    return F.concat(*[F.when(_guard(k, text), spans(text, p, k, valid(k))).otherwise(none) for k, p in BASE.items()])
 
 
 def loose_spans(text: Column) -> Column:
@@ -210,13 +255,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base spans, and further candidates with votes and features."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", text.alias("text")).select("doc_id", base_spans(F.col("text")).alias("base"), loose_spans(F.col("text")).alias("loose"))
-    apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    found = found.select("doc_id", "base", apart(F.col("loose"), F.col("base")).alias("loose"))
     lasting = lambda x, base: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), votes(x, base).alias("votes"), span_features(x).alias("features"))
-    return found.select("doc_id", F.transform("base", lambda x: lasting(x, True)).alias("base"), F.transform(apart, lambda x: lasting(x, False)).alias("added"))
+    return found.select("doc_id", F.transform("base", lambda x: lasting(x, True)).alias("base"), F.transform("loose", lambda x: lasting(x, False)).alias("added"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every document."""
     found = materialize(candidates(docs), "span-candidates")
     each = found.select(F.explode("base").alias("x"), F.lit(True).alias("base")).union(found.select(F.explode("added"), F.lit(False)))
     counted = each.groupBy("x.kind", "base", "x.votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds * 2 * 3^LABELERS rows
@@ -238,6 +283,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         return total + F.coalesce(F.try_element_at(table, x["kind"].cast("string")), F.lit(0.0)) > 0
 
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    every = F.concat("base", F.filter("added", holds))
     return found.select(
         "doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in BASE], F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
-        _listed(F.concat("base", F.filter("added", holds))).alias("spans"))
+        _listed(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))

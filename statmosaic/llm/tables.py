@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,10 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.lit(17), F.col(text))
 
 
-def same_row(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of the identity columns of two frames."""
-    test = F.lit(True)
-    for k in keys:
-        test = test & left[k].eqNullSafe(right[k])
-    return test
-
-
-def ints(values: np.ndarray, kind=pa.int64()) -> pa.Array:
-    return pa.array(values, type=kind)
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names that begin with the stems and that no column has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in count() if (n := f"{stem}_{k}" if k else stem).lower() not in taken) for stem in stems]
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from conftest import frame_of, got, words
+from pyspark.sql import functions as F
 
 from statmosaic.llm import perplexity, pii, quality_model
 
@@ -71,6 +73,34 @@ def test_personal_data_is_native_and_takes_empty_tables(nothing, awkward):
     assert pii.personal_data(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 7, 512])
+def test_running_values_and_overlaps(spark, monkeypatch, block):
+    """Values of all elements before each, and spans apart from others, whatever the blocks."""
+    monkeypatch.setattr(pii, "BLOCK", block)
+    rng = random.Random(3)
+    cases = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 2, 7, 8, 40)]
+    frame = spark.createDataFrame([(c,) for c in cases], "v array<int>")
+    got_ = [r.out for r in frame.select(pii.running(F.col("v"), F.lit(5), lambda a, x: a + x).alias("out")).collect()]
+    assert sorted(got_, key=len) == [[5 + sum(c[:i]) for i in range(len(c))] for c in cases]
+    span = lambda k: sorted((a, a + rng.randint(1, 6)) for a in rng.sample(range(200), k))
+    pairs = [(span(a), span(b)) for a, b in ((0, 5), (5, 0), (12, 12), (30, 50), (1, 1))] + [([(3, 9)], [(3, 9), (9, 10), (0, 3), (0, 10), (5, 6)])]
+    kind = "array<struct<kind:int,start:int,end:int,match:string,left:string>>"
+    full = [([(0, s, e, "m", "l") for s, e in a], [(4, s, e, "m", "l") for s, e in b]) for a, b in pairs]
+    out = spark.createDataFrame(full, f"base {kind}, loose {kind}").select("base", "loose", pii.apart(F.col("loose"), F.col("base")).alias("free")).collect()
+    for r in out:
+        want = [(c.start, c.end) for c in r.loose if not any(b.start < c.end and c.start < b.end for b in r.base)]
+        assert sorted((x.start, x.end) for x in r.free) == sorted(want)
+
+
+def test_texts_with_very_many_matches(spark):
+    """200,000 matches of one text take seconds: cost follows their number."""
+    text = " ".join(f"{i % 90 + 10};" for i in range(200_000)) + " token = 'b44e15e09fd311c3cf3163b66d5a9875b883d8c1' a@b.co"
+    began = time.time()
+    (row,) = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_email, row.n_card, row.spans.split(",")[-1]) == (1, 0, f"email:{len(text) - 6}:{len(text)}")
+    assert time.time() - began < 120
+
+
 def test_labelers_that_say_nothing_are_no_evidence():
     p = pii.labeler_posteriors([(0, True, "+-00+", 500), (4, False, "+++++", 10), (4, False, "0-0-0", 30), (4, False, "0+000", 1)])
     assert p[0, True, "+-00+"] == 1 and p[4, False, "+++++"] > 0.95 and p[4, False, "0-0-0"] < 0.05
