@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 from conftest import FOLD, frame_of, got
+from pyspark.sql import functions as F
 from test_copies import plain_contamination, plain_groups, plain_lines
 
 import corpus_pipeline
@@ -73,6 +74,28 @@ def test_stages_take_empty_tables(spark, nothing, tables):
         assert stage(spark, nothing, tables).count() == 0, name
 
 
+INNER = "kept_text n_lines n_dropped KEPT_TEXT_1 row own_row drops doc place _place stays again _row _again _own_row cls node label bucket n unit hits items key salt h1 h2".split()
+
+
+def test_stages_and_queries_take_columns_of_any_name(spark, tables, monkeypatch):
+    """Documents that have every inner and result name as a column, a third of them without doc_id, keep their columns."""
+    from statmosaic.llm import decontaminate, line_dedup
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    given_ = rows_of(spark.read.parquet(f"{tables}/documents.parquet"))
+    rows = [(d if i % 3 else None, t, g) for i, (d, t, g) in enumerate(given_)]
+    plain = frame_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = plain.select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in INNER])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.materialize(stage(spark, odd, tables), name)
+        assert after.columns == odd.columns
+        assert sorted(rows_of(after), key=repr) == sorted(rows_of(corpus_pipeline.materialize(stage(spark, plain, tables), name)), key=repr), name
+        for r in after.collect():
+            assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for n in INNER), name
+    names = ["doc_id", *line_dedup.RESULT]
+    assert got(line_dedup.drop_shared_lines(odd).select(names)) == got(line_dedup.drop_shared_lines(plain).select(names))
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
