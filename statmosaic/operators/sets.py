@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lit_array
+from .windows import top_per_key
 
 
 def with_peers(own: DataFrame, *peers: DataFrame) -> DataFrame:
@@ -62,14 +63,18 @@ def dedup(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Identical copies fold; a conflicting key keeps its smallest copy only to be reported
     (``filter("NOT conflict")`` is the clean table, ``filter("conflict")`` the violations).
-    Smallest and largest copy are compared, so a key with a third of all rows still
-    folds inside the tasks before the one shuffle.
+    Whole rows are grouping keys, so copies fold by hash inside the tasks, whatever their number; what is left
+    is counted by key, and only the copies of conflicting keys are ordered.
     """
     rest = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(
-        F.min(F.struct(*rest)).alias("_lo"), F.max(F.struct(*rest)).alias("_hi"), F.count(F.lit(1)).alias("copies")
-    )
-    return g.select(*keys, "_lo.*", "copies", (~F.col("_lo").eqNullSafe(F.col("_hi"))).alias("conflict"))
+    folded = df.groupBy(*keys, *rest).agg(F.count(F.lit(1)).alias("_n"))
+    # a struct is equal to another where its null fields are null in both; the counts share the rows' exchange
+    placed = folded.withColumn("_key", F.struct(*keys)).repartition("_key")
+    counts = placed.groupBy("_key").agg(F.sum("_n").alias("copies"), F.count(F.lit(1)).alias("_variants"))
+    each = placed.join(counts.hint("shuffle_hash"), "_key")
+    clean = each.where("_variants = 1")
+    smallest = top_per_key(each.where("_variants > 1"), keys, [F.col(c).asc_nulls_first() for c in rest])
+    return clean.unionByName(smallest).select(*keys, *rest, "copies", (F.col("_variants") > 1).alias("conflict"))
 
 
 def same_keys(a: Column, b: Column) -> Column:

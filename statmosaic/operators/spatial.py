@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import salted_join
+from ..session import materialize, salted_join
 from .ranking import smallest_k
 
 
@@ -21,40 +21,81 @@ def cell_of(x: Column, y: Column, size: float) -> Column:
     return F.struct(F.floor(x / size).cast("bigint").alias("cx"), F.floor(y / size).cast("bigint").alias("cy"))
 
 
-def shapes_by_cell(shapes: DataFrame, box: Column, size: float) -> DataFrame:
-    """One row per shape and grid cell its box touches; rows first, then columns, so no long arrays."""
-    lo_y, hi_y = F.floor(box["min_y"] / size), F.floor(box["max_y"] / size)
-    lo_x, hi_x = F.floor(box["min_x"] / size), F.floor(box["max_x"] / size)
-    return (
-        shapes.withColumns({"_lo": lo_x.cast("bigint"), "_hi": hi_x.cast("bigint"), "_cy": F.explode(F.sequence(lo_y.cast("bigint"), hi_y.cast("bigint")))})
-        .withColumn("_cx", F.explode(F.sequence("_lo", "_hi")))
-        .withColumn("cell", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")))
-        .drop("_lo", "_hi", "_cx", "_cy")
-    )
+def _ring_edges(keyed: DataFrame, geometry: str, size: float) -> DataFrame:
+    """Every edge of every ring as a row, with the first and last column of cells it touches and the next edge's first.
+
+    A ring that is left open is closed.  ``_uid, _p, _r`` name shape, polygon and ring (0 is the outer one).
+    """
+    slack = size * 1e-9  # an edge this close to a cell is tested there
+    column = lambda v: F.floor(v / size).cast("bigint")
+    rings = keyed.select("_uid", F.posexplode(geometry).alias("_p", "_polygon")).select("_uid", "_p", F.posexplode("_polygon").alias("_r", "_open"))
+    ring = F.when(F.element_at("_open", -1) == F.col("_open")[0], F.col("_open")).otherwise(F.concat("_open", F.slice("_open", 1, 1)))
+    closed = rings.filter(F.size("_open") > 1).select("_uid", "_p", "_r", ring.alias("_ring"))
+    at = lambda i: F.get("_ring", i)
+    last = F.size("_ring") - 1
+
+    def edge(i: Column) -> Column:
+        return F.struct(at(i).alias("a"), at(i + 1).alias("b"), F.when(i + 2 > last, at(F.lit(1))).otherwise(at(i + 2)).alias("c"))
+
+    rows = closed.select("_uid", "_p", "_r", F.explode(F.transform(F.sequence(F.lit(0), last - 1), edge)).alias("v"))
+    xs = {k: F.col(f"v.{k}")[0] for k in "abc"}
+    return rows.select(
+        "_uid", "_p", "_r", F.struct(xs["a"].alias("ax"), F.col("v.a")[1].alias("ay"), xs["b"].alias("bx"), F.col("v.b")[1].alias("by")).alias("_e"),
+        column(F.least(xs["a"], xs["b"]) - slack).alias("_first"), column(F.greatest(xs["a"], xs["b"]) + slack).alias("_last"),
+        column(F.least(xs["b"], xs["c"]) - slack).alias("_next"))
+
+
+def _ring_cells(edges: DataFrame, size: float) -> DataFrame:
+    """Cells that a ring's line touches, with the edges that touch them, and cells that lie wholly inside the ring.
+
+    Whether a point is inside depends on the edges of its own cell, tested one by one, and on how many edges further right
+    are level with it.  Of those only three things are kept: along the chain of edges each inner corner counts twice and
+    so not at all; corners where the chain passes from the cell's own edges to those further right count if they
+    are above the point (``ys``); ends above the row of cells always count (``odd``).
+    Cells between two touched ones of a row share one answer and are filled in.
+    """
+    slack = size * 1e-9
+    row = lambda v: F.floor(v / size).cast("bigint")
+    ay, by = F.col("_e.ay"), F.col("_e.by")
+    strips = edges.withColumn("_cy", F.explode(F.sequence(row(F.least(ay, by) - slack), row(F.greatest(ay, by) + slack))))
+    above = (row(ay) > F.col("_cy")).cast("long") + (row(by) > F.col("_cy")).cast("long")
+    keys = ["_uid", "_p", "_r", "_cy", "_cx"]
+    none = F.lit(None)
+    own = strips.withColumn("_cx", F.explode(F.sequence("_first", "_last"))).select(
+        *keys, "_e", F.when(F.col("_cx") == F.col("_first"), above).otherwise(0).alias("_up"), none.cast("double").alias("_y"))
+    turns = edges.filter("_first <> _next").withColumns({"_cy": row(by), "_cx": F.explode(F.sequence(
+        F.least("_first", "_next"), F.greatest("_first", "_next") - 1))}).select(*keys, F.lit(None).cast(edges.schema["_e"].dataType).alias("_e"), F.lit(0).cast("long").alias("_up"), by.alias("_y"))
+    touched = own.unionByName(turns).groupBy(*keys).agg(F.collect_list("_e").alias("edges"), F.collect_list("_y").alias("ys"), F.sum("_up").alias("_up"))
+    leftward = Window.partitionBy("_uid", "_p", "_r", "_cy").orderBy(F.desc("_cx"))
+    placed = touched.withColumns({
+        "_from": F.sum("_up").over(leftward.rowsBetween(Window.unboundedPreceding, 0)), "_left": F.lead("_cx").over(leftward)})
+    part = lambda whole, edges_, ys, odd: F.struct(
+        F.col("_p").alias("p"), F.col("_r").alias("r"), F.lit(whole).alias("whole"), edges_.alias("edges"), ys.alias("ys"), odd.alias("odd"))
+    line = placed.select("_uid", "_cx", "_cy", part(False, F.col("edges"), F.col("ys"), (F.col("_from") - F.col("_up")) % 2).alias("_ring"))
+    nothing = {c: F.array().cast(touched.schema[c].dataType) for c in ("edges", "ys")}
+    filled = placed.filter((F.col("_from") % 2 == 1) & (F.col("_left") < F.col("_cx") - 1)).select(
+        "_uid", F.explode(F.sequence(F.col("_left") + 1, F.col("_cx") - 1)).alias("_cx"), "_cy", part(True, nothing["edges"], nothing["ys"], F.lit(1).cast("long")).alias("_ring"))
+    return line.unionByName(filled)
+
+
+def _in_part(x: Column, y: Column, part: Column) -> Column:
+    crossed = F.size(F.filter(part["edges"], lambda e: geo.straddles(e, y) & (x < geo.crossing_x(e, y))))
+    return part["whole"] | ((crossed + F.size(F.filter(part["ys"], lambda v: v > y)) + part["odd"]) % 2 == 1)
 
 
 def _judged_cells(shapes: DataFrame, geometry: str, size: float) -> DataFrame:
-    """Shape cells, each judged once: dropped when outside, ``_whole`` when inside, else the edges that matter.
+    """Cells of shapes with the shapes' other columns: ``_whole`` when inside, else ``_rings``, the parts of rings that decide.
 
-    A cell that no edge's box touches lies wholly on one side, so its centre decides.  Where
-    the boundary runs, only edges level with the cell can be crossed by a ray from it.
+    Edges, rows of cells and cells are rows of their own, so a shape of very many edges is shared out, and a cell
+    holds the edges that touch it and no others.
     """
-    prepared = shapes.withColumns({"_box": geo.bbox(F.col(geometry)), "_edges": geo.edges(F.col(geometry))}).drop(geometry)
-    lo_x, lo_y = F.col("cell.cx") * size, F.col("cell.cy") * size
-    slack = size * 1e-9  # cell bounds are products, cell numbers quotients: allow for their rounding
-    level = lambda e: (F.least(e["ay"], e["by"]) <= lo_y + size + slack) & (F.greatest(e["ay"], e["by"]) >= lo_y - slack)
-    beside = lambda e: (F.least(e["ax"], e["bx"]) <= lo_x + size + slack) & (F.greatest(e["ax"], e["bx"]) >= lo_x - slack)
-    near = F.transform("_edges", lambda p: F.transform(p, lambda r: F.filter(r, level)))
-    cells = shapes_by_cell(prepared, F.col("_box"), size).withColumn("_edges", near)
-    mixed = F.exists("_edges", lambda p: F.exists(p, lambda r: F.exists(r, beside)))
-    inside = geo.in_edges(lo_x + size / 2, lo_y + size / 2, F.col("_edges"))
-    return (
-        cells.withColumn("_mixed", mixed)
-        .withColumn("_whole", ~F.col("_mixed") & inside)
-        .filter(F.col("_mixed") | F.col("_whole"))
-        .withColumn("_edges", F.when(F.col("_mixed"), F.col("_edges")))
-        .drop("_mixed", "_box")
-    )
+    keyed = materialize(shapes.withColumn("_uid", F.monotonically_increasing_id()), "shapes")
+    cells = _ring_cells(_ring_edges(keyed, geometry, size), size).groupBy("_uid", "_cx", "_cy").agg(F.collect_list("_ring").alias("_rings"))
+    hole = lambda o: lambda h: (h["p"] == o["p"]) & (h["r"] > 0)
+    whole = F.exists("_rings", lambda o: (o["r"] == 0) & o["whole"] & ~F.exists("_rings", hole(o)))
+    judged = cells.select("_uid", F.struct(F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).alias("cell"), whole.alias("_whole"), "_rings").filter(
+        F.col("_whole") | F.exists("_rings", lambda g: ~g["whole"]))
+    return judged.withColumn("_rings", F.when(~F.col("_whole"), F.col("_rings"))).join(keyed.drop(geometry), "_uid").drop("_uid")
 
 
 def points_in_shapes(
@@ -68,11 +109,15 @@ def points_in_shapes(
     """
     located = points.withColumn("cell", cell_of(F.col(x), F.col(y), size))
     candidates = salted_join(located, _judged_cells(shapes, geometry, size), [*on, "cell"], "inner", salts)
-    px, py, e = F.col(x), F.col(y), F.col("_edges")
-    hit = geo.in_edges(px, py, e)
+    px, py = F.col(x), F.col(y)
+
+    def inside(o: Column) -> Column:
+        return (o["r"] == 0) & _in_part(px, py, o) & ~F.exists("_rings", lambda h: (h["p"] == o["p"]) & (h["r"] > 0) & _in_part(px, py, h))
+
+    hit = F.exists("_rings", inside)
     if inclusive:
-        hit = hit | geo.on_edges(px, py, e)
-    return candidates.filter(F.col("_whole") | hit).drop("cell", "_whole", "_edges")
+        hit = hit | geo.on_edges(px, py, F.array(F.transform("_rings", lambda g: g["edges"])))
+    return candidates.filter(F.col("_whole") | hit).drop("cell", "_whole", "_rings")
 
 
 def within_radius(
@@ -135,23 +180,27 @@ def inside_then_nearest(inside: DataFrame, nearby: DataFrame, keys: Sequence[str
 def covered_cells(shapes: DataFrame, geometry: str, size: float) -> DataFrame:
     """Equal-area grid cells whose centre a (valid) shape covers.
 
-    Each row of cells is cut once by the shape's edges; between the first and second cut,
+    Every edge is a row and gives one row for each row of cells it cuts; the cuts of a shape's row of cells meet in a
+    window, wherever the shape's other rows are.  Between the first and second cut,
     the third and fourth and so on, every centre is inside.  A cell counts wholly or not at
     all: the area error per shape is at most its perimeter times the cell's diagonal.
     Coordinates must be in a projected, equal-area unit.
     """
-    box = geo.bbox(F.col(geometry))
-    rows = (
-        shapes.withColumns({"_edges": F.flatten(F.flatten(geo.edges(F.col(geometry)))), "_cy": F.explode(F.sequence(
-            F.floor(box["min_y"] / size).cast("bigint"), F.floor(box["max_y"] / size).cast("bigint")))})
-        .drop(geometry)
-        .withColumn("_y", (F.col("_cy") + 0.5) * size)
+    rest = [c for c in shapes.columns if c != geometry]
+    edges = shapes.withColumn("_uid", F.monotonically_increasing_id()).select(
+        *rest, "_uid", F.explode(F.flatten(F.flatten(geo.edges(F.col(geometry))))).alias("_e"))
+    level = lambda v: F.floor(v / size - 0.5).cast("bigint")
+    low, high = F.least("_e.ay", "_e.by"), F.greatest("_e.ay", "_e.by")
+    cuts = (
+        edges.withColumn("_cy", F.explode(F.sequence(level(low), level(high) + 1)))
+        .withColumn("_y", (F.col("_cy") + 0.5) * size).filter(geo.straddles(F.col("_e"), F.col("_y")))
+        .withColumn("_from", geo.crossing_x(F.col("_e"), F.col("_y"))).drop("_e", "_y")
     )
-    cuts = F.array_sort(F.transform(F.filter("_edges", lambda e: geo.straddles(e, F.col("_y"))), lambda e: geo.crossing_x(e, F.col("_y"))))
+    # one row of cells of one shape: its cuts from left to right, two by two
+    along = Window.partitionBy("_uid", "_cy").orderBy("_from")
     spans = (
-        rows.withColumn("_cuts", cuts).drop("_edges", "_y").filter(F.size("_cuts") > 1)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_cuts") - 2, F.lit(2))))
-        .withColumns({"_from": F.col("_cuts")[F.col("_i")], "_to": F.col("_cuts")[F.col("_i") + 1]}).drop("_cuts", "_i")
+        cuts.withColumns({"_to": F.lead("_from").over(along), "_i": F.row_number().over(along)})
+        .filter((F.col("_i") % 2 == 1) & F.col("_to").isNotNull()).drop("_i", "_uid")
     )
     centre = (F.col("_cx") + 0.5) * size
     return (

@@ -95,11 +95,36 @@ def last_published(df: DataFrame, keys: Sequence[str], period: str, n: int) -> D
     return df.join(recent, [*keys, period], "left_semi")
 
 
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key; every task keeps its own first before rows are sent, so no key is gathered."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_first", first).where("_first = 1").drop("_first")
+
+
+PERIOD_DIGITS = 17
+
+
+def period_number(df: DataFrame, period: str) -> Column:
+    """A period as one number that sorts like it: texts of digits and separators by their digits, dates and times by their count."""
+    kind = df.schema[period].dataType.typeName()
+    if kind == "string":
+        digits = F.regexp_replace(F.col(period), "[^0-9]", "")
+        return F.rpad(digits, PERIOD_DIGITS, "0").cast("long")
+    if kind == "date":
+        return F.unix_date(period).cast("long")
+    return F.unix_micros(F.col(period).cast("timestamp")) if kind.startswith("timestamp") else F.col(period)
+
+
 def latest_complete(
     df: DataFrame, keys: Sequence[str], period: str, required: Sequence[str], earliest: str | None = None,
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Latest record per entity with every required field; a maximum, not a sorted group."""
+    """Latest record per entity with every required field.
+
+    The period is packed into one number, whose maximum is reduced by hash inside the tasks; a semi-join then leaves the
+    records of that period, and only among these are ties resolved by ``tie`` and then by all other columns.
+    A null key is an entity, a null period the earliest.
+    """
     ok = F.lit(True)
     for c in required:
         ok = ok & F.col(c).isNotNull()
@@ -108,8 +133,12 @@ def latest_complete(
     rest = [c for c in df.columns if c not in keys]
     # every orderable column takes part, so equal periods resolve the same way in every run
     others = [c for c in rest if c not in (period, *tie) and df.schema[c].dataType.typeName() not in ("map", "variant")]
-    order = F.struct(F.col(period), *[F.col(c) for c in (*tie, *others)])
-    return df.filter(ok).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+    # a struct is equal to another where its null fields are null in both
+    numbered = df.filter(ok).withColumns({"_entity": F.struct(*keys), "_number": F.coalesce(period_number(df, period), F.lit(-(1 << 62)))})
+    newest = numbered.groupBy("_entity").agg(F.max("_number").alias("_number"))
+    last = numbered.join(newest, ["_entity", "_number"], "left_semi")
+    order = [F.col(period).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in (*tie, *others)]]
+    return top_per_key(last, keys, order).select(*keys, *rest)
 
 
 def latest_reference_rows(df: DataFrame, keys: Sequence[str], reference: str) -> DataFrame:

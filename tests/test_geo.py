@@ -151,6 +151,41 @@ def test_inclusive_grid_join_keeps_boundary_points(spark, rows):
     assert rows(got, "i") == [(1,), (2,), (3,), (5,)]
 
 
+def test_polygons_holes_and_lattice_points_equal_the_plain_test(spark, rows):
+    """Polygons of one shape that overlap, holes that touch, corners on cell borders, an open ring and repeated shapes."""
+    r = random.Random(4)
+    big = [[0.0, 0.0], [12.0, 0.0], [12.0, 12.0], [6.0, 6.0], [0.0, 12.0], [0.0, 0.0]]
+    holes = [[[2.0, 2.0], [4.0, 2.0], [4.0, 4.0], [2.0, 4.0], [2.0, 2.0]], [[4.0, 2.0], [6.0, 1.0], [6.0, 3.0], [4.0, 2.0]]]
+    zigzag = [[float(i), 8.0 + (i % 2) * 3 + r.random()] for i in range(-3, 15)] + [[14.0, -2.0], [-3.0, -2.0], [-3.0, 8.5]]
+    shapes = [("a", [[big, *holes], [SQUARE]]), ("b", [[zigzag + [zigzag[0]], holes[0]]]), ("open", [[zigzag]]), ("a", [[big, *holes], [SQUARE]]), ("none", None), ("empty", [])]
+    closed = {"open": [[zigzag + [zigzag[0]]]]}
+    pts = [(i, (i % 37) / 2 - 3, (i // 37) / 2 - 3) for i in range(37 * 37)] + [(5000 + i, r.uniform(-4, 16), r.uniform(-4, 16)) for i in range(500)]
+    sf, pf = spark.createDataFrame(shapes, f"s string, g {GEOM}"), spark.createDataFrame(pts, "i int, x double, y double")
+    for size in (0.5, 1.7):
+        got = spatial.points_in_shapes(pf, sf, "x", "y", "g", size)
+        assert rows(got, "i", "s") == sorted([(i, s) for i, x, y in pts for s, g in shapes if g and brute(x, y, closed.get(s, g))], key=repr)
+
+
+def test_a_shape_of_very_many_edges_is_shared_out(spark):
+    """The cells of one ring of 100,000 edges come from many tasks, and no cell holds more than the edges that touch it."""
+    n = 100_000
+    ring = [[100 * math.cos(2 * math.pi * i / n) * (1 + 0.01 * (i % 2)), 100 * math.sin(2 * math.pi * i / n) * (1 + 0.01 * (i % 2))] for i in range(n)]
+    df = spark.createDataFrame([(1, [[[*ring, ring[0]]]])], f"u int, g {GEOM}")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = spatial._judged_cells(df, "g", 2.0).withColumn("task", F.spark_partition_id()).cache()
+        most = cells.agg(F.max(F.aggregate("_rings", F.lit(0), lambda a, x: a + F.size(x["edges"]))).alias("n"), F.countDistinct("task").alias("tasks"), F.count_if("_whole").alias("whole")).first()
+        assert most["n"] < n / 20 and most["tasks"] == 4 and most["whole"] > 7000
+        area = spatial.covered_cells(df, "g", 0.5)
+        tasks = area.select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+        assert len(tasks) == 4 and abs(sum(r["count"] for r in tasks) * 0.25 - math.pi * 1e4 * 1.01) < 100
+        plan = area._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Window") < plan.index("Generate explode(flatten")  # edges leave their shape before they are paired
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_radius_search_is_whole_anywhere_on_the_globe(spark):
     """Poles, the date line and wide circles against every pair."""
     rng = random.Random(11)

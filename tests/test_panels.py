@@ -185,6 +185,23 @@ def test_dedup_folds_identical_and_reports_conflicts(spark, rows):
     assert rows(sets.dedup(df, ["id"]), "id", "copies", "conflict") == [(1, 2, False), (2, 2, True), (3, 1, False)]
 
 
+def test_dedup_and_latest_records_reduce_by_hash(spark, rows):
+    """Null keys are keys, ties and null fields keep their order, and no plan sorts facts to aggregate them."""
+    data = [(1, "x", "2024-01", 5), (1, "x", "2024-01", 5), (1, "x", "2024-01", None), (None, "x", "2024-02", 1), (None, "x", "2024-02", 1), (2, None, "2023-12", 7),
+            (2, None, "2024-03", 7), (2, None, "2024-03", 9), (3, "z", None, 4), (3, "z", "2022", 1), (4, "z", None, 2)]
+    df = spark.createDataFrame(data, "k int, name string, p string, v int")
+    one = sets.dedup(df, ["k", "name"])
+    assert rows(one) == sorted([(1, "x", "2024-01", None, 3, True), (None, "x", "2024-02", 1, 2, False), (2, None, "2023-12", 7, 3, True),
+                                (3, "z", None, 4, 2, True), (4, "z", None, 2, 1, False)], key=repr)
+    last = windows.latest_complete(df, ["k", "name"], "p", ["v"])
+    assert rows(last) == sorted([(1, "x", "2024-01", 5), (None, "x", "2024-02", 1), (2, None, "2024-03", 9), (3, "z", "2022", 1), (4, "z", None, 2)], key=repr)
+    dated = df.withColumn("p", F.make_date(F.lit(2024), F.col("v").cast("int"), F.lit(1)))
+    assert rows(windows.latest_complete(dated, ["k"], "p", ["v"]), "k", "v") == sorted([(1, 5), (None, 1), (2, 9), (3, 4), (4, 2)], key=repr)
+    for frame in (one, last):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "WindowGroupLimit" in plan
+
+
 def test_expected_seen_both_directions(spark, rows):
     e = sets.expected_cells(spark.createDataFrame([("a",)], "t string"), {"y": ["1", "2", "3"]})
     seen = spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "2"), ("b", "1")], "t string, y string")
