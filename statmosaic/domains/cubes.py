@@ -162,7 +162,8 @@ def typology_violations(cells: DataFrame, by: str, total: str, parts: Sequence[s
 
 
 def state_share(local: DataFrame, state: DataFrame) -> DataFrame:
-    """Share of the state where product, metric, unit and period agree."""
-    n = local.select("territory", "product", "metric", "unit", "period", F.col("value").alias("numerator"))
-    d = state.select("product", "metric", "unit", "period", F.col("value").alias("denominator"))
-    return joins.matched_ratio(n, d, ["product", "metric", "unit", "period"], 100.0)
+    """Share of each territory in its own state where state, product, metric, unit and period agree."""
+    keys = ["state", "product", "metric", "unit", "period"]
+    n = local.select("territory", *keys, F.col("value").alias("numerator"))
+    d = state.select(*keys, F.col("value").alias("denominator"))
+    return joins.matched_ratio(n, d, keys, 100.0)

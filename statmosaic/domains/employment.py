@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import strict_number
 from ..functions.text import pad_code
-from ..operators import aggregates, disclosure, joins, mapping, windows
-from ..sources.delimited import Layout, file_facts, read_contract
+from ..operators import aggregates, disclosure, joins, mapping, quality, windows
+from ..sources.delimited import Layout, file_facts, read_contract, read_edition
 
 # fixed values: columns of the movement files (late files have those of on-time files)
 _COMMON = (
@@ -25,6 +25,28 @@ LAYOUTS = {
     "FOR": Layout((*_COMMON, *_ON_TIME)),
     "EXC": Layout((*_COMMON, *_EXCLUSION, *_ON_TIME)),
 }
+# fixed values: columns of the stock microdata of 2025, as published
+_STOCK_2025 = (
+    "Bairros SP - Código", "Bairros Fortaleza - Código", "Bairros RJ - Código", "Causa Afastamento 1 - Código", "Causa Afastamento 2 - Código",
+    "Causa Afastamento 3 - Código", "Motivo Desligamento - Código", "CBO 2002 Ocupação - Código", "CNAE 2.0 Classe - Código",
+    "CNAE 95 Classe - Código", "Distritos SP - Código", "Ind Vínculo Ativo 31/12 - Código", "Faixa Etária - Código",
+    "Faixa Rem Média (SM) - Código", "Faixa Hora Contrat - Código", "Faixa Rem Dez (SM) - Código", "Faixa Tempo Emprego - Código",
+    "Escolaridade Após 2005 - Código", "Qtd Hora Contr", "Idade", "Ind CEI Vinculado - Código",
+    "Ind Estabelecimento Participante SIMPLES - Código", "Mês Admissão - Código", "Mês Desligamento - Código", "Município Trab - Código",
+    "Município - Código", "Nacionalidade - Código", "Natureza Jurídica - Código", "Ind Portador Defic - Código", "Qtd Dias Afastamento",
+    "Raça Cor - Código", "Região Adm DF - Código", "Vl Rem Dezembro Nom", "Vl Rem Dezembro (SM)", "Vl Rem Média Nom", "Vl Rem Média (SM)",
+    "CNAE 2.0 Subclasse - Codigo", "Sexo - Código", "Tamanho Estabelecimento - Código", "Tempo Emprego",
+    "Tipo Admissão Trabalhador - Código", "Tipo Estabelecimento - Código", "Tipo Estabelecimento - Nome", "Tipo Deficiência - Código",
+    "Tipo Vínculo - Código", "IBGE Subsetor - Código", "Vl Rem Janeiro SC", "Vl Rem Fevereiro SC", "Vl Rem Março SC", "Vl Rem Abril SC",
+    "Vl Rem Maio SC", "Vl Rem Junho SC", "Vl Rem Julho SC", "Vl Rem Agosto SC", "Vl Rem Setembro SC", "Vl Rem Outubro SC",
+    "Vl Rem Novembro SC", "Ano Chegada Brasil", "Ind Trabalho Intermitente - Código", "Ind Trabalho Parcial - Código",
+    "Ind Vínculo Abandonado - Código", "Categoria Trabalhador - Código",
+)
+STOCK_LAYOUTS = {"2025": Layout(_STOCK_2025, sep=",", encoding="cp1252")}
+_STOCK_FIELDS = {
+    "source_code": "municipiocodigo", "active": "indvinculoativo3112codigo", "abandoned": "indvinculoabandonadocodigo",
+    "wage": "vlremdezembronom", "class": "cnae20classecodigo",
+}
 # fixed values: movement types of each sign
 ADMISSIONS = ("10", "20", "25", "35", "70", "97")
 DISMISSALS = ("31", "32", "33", "40", "43", "45", "50", "60", "80", "90", "98")
@@ -66,7 +88,7 @@ def movements(
     sign, typ = F.col("saldomovimentacao").try_cast("int"), F.lpad("tipomovimentacao", 2, "0")
     wage = strict_number(F.col("salario"), comma=True, type_="decimal(18,2)")
     typed = raw.select(
-        F.col("municipio").alias("source_code"), F.col("uf").alias("state_code"), "kind", F.col("competenciamov").alias("month"),
+        F.col("municipio").alias("source_code"), F.col("uf").alias("state_code"), "kind", "publication", F.col("competenciamov").alias("month"),
         F.substring("competenciamov", 1, 4).alias("year"), sign.alias("sign"), F.when(F.col("kind") == "EXC", -1).otherwise(1).alias("weight"),
         mapping.classify(F.col("secao"), SECTION_SECTOR).alias("sector"), F.coalesce(pad_code(F.col("subclasse"), 7), "subclasse").alias("activity"),
         F.coalesce(pad_code(F.col("cbo2002ocupacao"), 6), "cbo2002ocupacao").alias("occupation"), wage.alias("salary"),
@@ -129,6 +151,29 @@ def stock_table(bound_cells: DataFrame, group_sector: Mapping[str, str], code_na
         F.col("text").try_cast("bigint").alias("stock"))
 
 
+def read_stock(spark: SparkSession, path: str | Sequence[str], edition: str, layouts: Mapping[str, Layout] = STOCK_LAYOUTS) -> DataFrame:
+    """Stock microdata of one edition; an edition without a layout fails before anything is read."""
+    raw = read_edition(spark, path, edition, layouts, list(_STOCK_FIELDS.values()))
+    return raw.select(*[F.trim(f).alias(n) for n, f in _STOCK_FIELDS.items()], "edition")
+
+
+def stock_records(raw: DataFrame) -> DataFrame:
+    """Typed stock records; ``problem`` names what refuses the edition."""
+    flag = lambda c: F.coalesce(F.col(c).isin("0", "1"), F.lit(False))
+    division = F.substring(pad_code(F.col("class"), 5), 1, 2).try_cast("int")
+    wage = strict_number(F.col("wage"), comma=True, type_="decimal(18,2)")
+    return raw.withColumns({"state_code": F.substring("source_code", 1, 2), "division": division, "wage": wage}).withColumn(
+        "problem",
+        F.when(~flag("active") | ~flag("abandoned"), "invalid flag").when(F.col("wage") < 0, "negative wage")
+        .when(mapping.classify_range(F.col("division"), DIVISION_SECTOR).isNull(), "unknown division"))
+
+
+def stock_disagreements(computed: DataFrame, official: DataFrame) -> DataFrame:
+    """Gate: territories and sectors whose stock by records is not the published one, to the unit."""
+    both = joins.reconcile(computed.withColumnRenamed("stock", "value"), official.withColumnRenamed("stock", "value"), ["territory", "sector"])
+    return quality.violations(both.filter("status <> 'matched'"), "stock", ["territory", "sector"], F.concat_ws(" ", "status", "computed", "official"))
+
+
 def stock_shares(stock: DataFrame) -> DataFrame:
     """Sector share of the published total, with whether the sectors add up to it."""
     keys = ["territory", "year"]

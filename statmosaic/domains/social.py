@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import ratio
 from ..functions.periods import month_ordinal
-from ..operators import aggregates, disclosure, mapping, quality, windows
+from ..operators import aggregates, disclosure, mapping, quality, sets, windows
 from ..session import attach_group
+from ..sources.delimited import ContractError
 
 # fixed values: measures of the monthly table, block by block: public name, source field, unit, kind
 REGISTRY_MEASURES = (
@@ -135,3 +136,42 @@ def service_months(forms: DataFrame, territories: DataFrame, year: str, measures
         F.count(F.lit(1)).alias("reporting_units"), *[aggregates.null_sum(F.col(m).try_cast("bigint")).alias(m) for m in measures])
     spine = windows.month_spine(territories.select("territory"), f"{year}01", f"{year}12")
     return spine.join(g, ["territory", "month"], "left").withColumn("reporting_units", F.coalesce("reporting_units", F.lit(0)))
+
+
+# fixed values: by edition and kind of unit, the question whose "Sim" says that the unit offers a service
+UNIT_SERVICES = {"2025": {"cras": ("q12_13", "PAIF"), "creas": ("q12_3", "PAEFI")}}
+
+
+def institutional_units(
+    rows: DataFrame, territories: DataFrame, kind: str, edition: str, services: Mapping[str, Mapping[str, tuple[str, str]]] = UNIT_SERVICES,
+) -> DataFrame:
+    """Units of one kind that answered the census of an edition: ``territory, unit, kind, name, address, services, reference, copies, problem``.
+
+    ``rows`` has the census columns in lower case, ``territories`` the columns ``territory`` (seven digits) and ``states`` (accepted ways of
+    writing its state).  Both codes of a row are its own and have to agree; six digits alone give no territory.  Identical answers fold,
+    differing ones under one identifier are a problem, and any problem refuses the edition (:func:`unit_violations`).
+    An edition without a dictionary of services fails.
+    """
+    if edition not in services:
+        raise ContractError(f"no dictionary of services for edition {edition}")
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    field, service = services[edition].get(kind, (None, None))
+    offered = F.when(text(field) == "Sim", F.array(F.lit(service))).otherwise(F.array().cast("array<string>")) if field else F.array().cast("array<string>")
+    parts = F.filter(F.array(*[text(c) for c in ("q0_2", "q0_3", "q0_4", "q0_6")]), lambda p: p != "")
+    read = rows.select(
+        text("ibge7").alias("territory"), text("ibge").alias("short"), text("uf").alias("state"), text("nu_identificador").alias("unit"),
+        F.lit(kind).alias("kind"), text("q0_1").alias("name"), F.array_join(parts, ", ").alias("address"), offered.alias("services"), F.lit(edition).alias("reference"))
+    own = territories.select("territory", "states")
+    here = read.join(own, "territory")
+    astray = read.join(own.select(F.substring("territory", 1, 6).alias("short")).distinct(), "short", "left_semi").join(own, "territory", "left_anti")
+    problem = (
+        F.when((F.col("short") != F.substring("territory", 1, 6)) | ~F.array_contains("states", F.col("state")), "codes or state disagree")
+        .when(~F.col("unit").rlike("^[0-9]+$"), "no identifier").when(F.col("name") == "", "no name"))
+    judged = here.withColumn("problem", problem).drop("states").unionByName(astray.withColumn("problem", F.lit("no confirmed code")))
+    one = sets.dedup(judged.drop("short", "state"), ["territory", "unit"])
+    return one.withColumn("problem", F.coalesce("problem", F.when(F.col("conflict"), "differing answers"))).drop("conflict")
+
+
+def unit_violations(units: DataFrame) -> DataFrame:
+    """Gate over :func:`institutional_units`."""
+    return quality.violations(units.filter("problem IS NOT NULL"), "unit", ["territory", "unit"], F.col("problem"))

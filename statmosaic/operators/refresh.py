@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,81 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(pointers.agg(F.max_by("path", "moved")).first()[0])
 
 
+GROUP_POINTER = "moved bigint, version string, tables map<string, string>"
+
+
+def group_paths(spark: SparkSession, root: str) -> dict[str, str]:
+    """Where the tables of the group's newest version lie; empty before the first one."""
+    try:
+        pointers = spark.read.schema(GROUP_POINTER).option("recursiveFileLookup", "true").json(f"{root}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    newest = pointers.agg(F.max("moved")).first()[0]  # one row a publication
+    return dict(pointers.where(F.col("moved") == newest).first()["tables"])
+
+
+def published_group(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the group's newest version."""
+    return {name: spark.read.parquet(path) for name, path in group_paths(spark, root).items()}
+
+
+def publish_group(
+    spark: SparkSession, tables: Mapping[str, DataFrame], root: str, version: str,
+    gates: Callable[[Mapping[str, DataFrame]], Sequence[DataFrame]],
+    derived: Callable[[dict[str, DataFrame]], Mapping[str, DataFrame]] | None = None,
+) -> dict[str, str]:
+    """Tables that must move together: all are staged and read back, then one manifest file names the version of each.
+
+    A gate that finds anything refuses the whole group, so every table stays at its last good version; so does a
+    publication that breaks off before the manifest.  A table whose contents did not move stays where it lies.
+    ``derived`` makes further tables of the group from the staged ones.
+    """
+    held = group_paths(spark, root)
+    paths = {}
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        paths[name] = f"{root}/{name}/version={version}"
+        df.write.mode("overwrite").parquet(paths[name])
+        staged = spark.read.parquet(paths[name])
+        if name in held and content_differences(staged, spark.read.parquet(held[name])).isEmpty():
+            paths[name] = held[name]
+        return staged
+
+    staged = {name: stage(name, df) for name, df in tables.items()}
+    require(*gates(staged))
+    for name, df in (derived(staged) if derived else {}).items():
+        stage(name, df)
+    moved = time.time_ns()
+    spark.createDataFrame([(moved, version, paths)], GROUP_POINTER).coalesce(1).write.json(f"{root}/pointers/{moved}")
+    return paths
+
+
+def refresh_group(
+    spark: SparkSession, root: str, version: str, tables: Mapping[str, DataFrame],
+    gates: Callable[[Mapping[str, DataFrame]], Sequence[DataFrame]], series: Mapping[str, tuple[Sequence[str], Sequence[str]]],
+    sources: DataFrame, identity: Sequence[str], now: Column,
+) -> dict[str, str]:
+    """One refresh of a module: stage, validate, publish together, log revisions, keep dates.
+
+    ``series`` gives key and figures of the tables whose past may be revised; what changed under a key that was
+    published before goes to ``revisions_<table>``, which keeps its earlier entries.  ``sources`` lists what was read;
+    one that did not move keeps its date of collection.  Every table is computed once, when it is staged.
+    """
+    held = published_group(spark, root)
+
+    def derived(staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        out = {"sources": retain_dates(sources, held["sources"], now, identity) if held else sources.withColumn("collected_at", now)}
+        for name, (keys, fields) in series.items():
+            log = f"revisions_{name}"
+            new = revision_log(held.get(name, staged[name].limit(0)), staged[name], keys, fields, now)
+            out[log] = held[log].unionByName(new) if log in held else new
+        return out
+
+    return publish_group(spark, tables, root, version, gates, derived)
+
+
 def isolate_failures(results: DataFrame, group: str, together: Sequence[str] = ()) -> DataFrame:
     """Usable source results.  A failed source drops alone, except in groups that move together."""
     bad = results.filter((F.col("status") != "ok") & F.col(group).isin(*together)).select(group).distinct()

@@ -51,14 +51,14 @@ def _products(spark, d):
 
 
 @query("agriculture_state_share", f"""
-WITH {ORDERS_SQL}, l AS (SELECT territory, priority AS product, year AS period, CAST(sum(price) AS DOUBLE) AS numerator FROM ord WHERE state = 'AFRICA' GROUP BY ALL),
-s AS (SELECT priority AS product, year AS period, CAST(sum(price) AS DOUBLE) AS denominator FROM ord WHERE state = 'AFRICA' GROUP BY ALL)
-SELECT territory, product, period, 'R$' AS unit, round(numerator / denominator * 100, 6) AS ratio FROM l JOIN s USING (product, period)""")
+WITH {ORDERS_SQL}, l AS (SELECT state, territory, priority AS product, year AS period, CAST(sum(price) AS DOUBLE) AS numerator FROM ord GROUP BY ALL),
+s AS (SELECT state, priority AS product, year AS period, CAST(sum(price) AS DOUBLE) AS denominator FROM ord GROUP BY ALL)
+SELECT state, territory, product, period, 'R$' AS unit, round(numerator / denominator * 100, 6) AS ratio FROM l JOIN s USING (state, product, period)""")
 def agriculture_state_share(spark, d):
-    """Share of one state, whose totals are published apart."""
-    local = _products(spark, d).filter("state = 'AFRICA'")
-    state = local.groupBy("product", "metric", "unit", "period").agg(F.sum("value").alias("value"))
-    return cubes.state_share(local, state).select("territory", "product", "period", "unit", F.round("ratio", 6).alias("ratio"))
+    """Share of every territory in its state, whose totals are published apart."""
+    local = _products(spark, d)
+    state = local.groupBy("state", "product", "metric", "unit", "period").agg(F.sum("value").alias("value"))
+    return cubes.state_share(local, state).select("state", "territory", "product", "period", "unit", F.round("ratio", 6).alias("ratio"))
 
 
 @query("agriculture_per_animal", f"""

@@ -149,10 +149,10 @@ SELECT {k}, CASE WHEN NOT bad THEN code END AS {c}, CASE WHEN NOT bad THEN admis
 FROM stat WHERE NOT bad OR code = 'other'"""
 
 
-@query("e11_absorb_smallest", f"WITH {MOVES_SQL}, base AS (SELECT territory, month, p_type, {FLOWS_SQL} FROM mov JOIN part ON l_partkey = p_partkey WHERE weight = 1 GROUP BY ALL),"
+@query("e11_absorb_smallest", f"WITH {MOVES_SQL}, base AS (SELECT territory, month, p_type, {FLOWS_SQL} FROM mov JOIN part ON l_partkey = p_partkey GROUP BY ALL),"
        + MERGE_SQL.format(k="territory, month", c="p_type"))
 def e11(spark, d):
-    m = movements(spark, d).filter("weight = 1").join(
+    m = movements(spark, d).join(
         table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     return disclosure.merge_small(agg.ledger(m, ["territory", "month", "p_type"]), ["territory", "month"], "p_type")
 

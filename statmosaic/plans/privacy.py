@@ -66,10 +66,10 @@ def j03(spark, d):
     ).select("territory", "month", "segment", "value", "money", "status")
 
 
-@query("j04_merge_small", f"WITH {MOVES_SQL}, base AS (SELECT state, month, p_brand, {FLOWS_SQL} FROM mov JOIN part ON l_partkey = p_partkey WHERE weight = 1 GROUP BY ALL),"
+@query("j04_merge_small", f"WITH {MOVES_SQL}, base AS (SELECT state, month, p_brand, {FLOWS_SQL} FROM mov JOIN part ON l_partkey = p_partkey GROUP BY ALL),"
        + MERGE_SQL.format(k="state, month", c="p_brand"))
 def j04(spark, d):
-    m = movements(spark, d).filter("weight = 1").join(
+    m = movements(spark, d).join(
         table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     return disclosure.merge_small(agg.ledger(m, ["state", "month", "p_brand"]), ["state", "month"], "p_brand")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..domains import cubes, education, employment, environment, health, social
-from ..operators import mapping
-from ..session import param_table
+from ..operators import mapping, quality, refresh
+from ..session import materialize, param_table, scratch_path
 from .base import FIRST_MONTH, LAST_MONTH, MONTHS_SQL, MOVES_SQL, ORDERS_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories
 from .panels import MERGE_SQL, TRAILING_SQL, W_SQL, Y_SQL, YTD_SQL
 from .registry import query
@@ -54,9 +54,9 @@ def employment_monthly(spark, d):
 @query("employment_protected_occupations", f"""
 WITH {MOVES_SQL}, base AS (SELECT territory, month, CASE WHEN priority = '5-LOW' THEN 'unknown' ELSE '00000' || substr(priority, 1, 1) END AS occupation,
   CAST(sum(CASE WHEN sign = 1 THEN weight ELSE 0 END) AS BIGINT) AS admissions, CAST(sum(CASE WHEN sign = -1 THEN weight ELSE 0 END) AS BIGINT) AS dismissals
-  FROM mov WHERE weight = 1 GROUP BY ALL),""" + MERGE_SQL.format(k="territory, month", c="occupation"))
+  FROM mov GROUP BY ALL),""" + MERGE_SQL.format(k="territory, month", c="occupation"))
 def employment_protected(spark, d):
-    return employment.protected_breakdown(_movements(spark, d).filter("weight = 1"), "occupation")
+    return employment.protected_breakdown(_movements(spark, d), "occupation")
 
 
 @query("education_network_series", """
@@ -215,3 +215,129 @@ def environment_land(spark, d):
     area = territories(spark, d).select(F.col("state").alias("territory"), F.lit(1.0).alias("km2")).distinct()
     h = environment.land_history(environment.land_cover(wide, legend, area))
     return h.select("territory", "year", *[dbl(c).alias(c) for c in ("native", "forest", "farming", "farming_without_plantation", "agriculture")])
+
+
+def _stock_file(spark, d):
+    """Customers as stock records in the layout of an edition: 62 columns, comma, Windows code page."""
+    k = F.col("c_custkey")
+    filled = {
+        "Município - Código": F.lpad(F.col("c_nationkey").cast("string"), 6, "0"), "Ind Vínculo Ativo 31/12 - Código": F.when(k % 10 == 0, "0").otherwise("1"),
+        "Ind Vínculo Abandonado - Código": F.when(k % 7 == 0, "1").otherwise("0"), "Vl Rem Dezembro Nom": F.translate(F.greatest(dec("c_acctbal"), F.lit(0).cast("decimal(18,2)")).cast("string"), ".", ","),
+        "CNAE 2.0 Classe - Código": F.element_at(F.array(*[F.lit(x) for x in ("02113", "10112", "41204", "46818", "60101")]), (k % 5 + 1).cast("int"))}
+    layout = employment.STOCK_LAYOUTS["2025"]
+    path = scratch_path(spark, "stock")
+    c = table(spark, d, "customer").select(*[filled.get(n, F.lit("")).alias(n) for n in layout.columns])
+    c.write.option("header", "true").option("sep", layout.sep).option("encoding", layout.encoding).csv(path)
+    return path
+
+
+STOCK_SQL = """s AS (SELECT n_name AS territory, CASE c_custkey % 5 WHEN 0 THEN 'agriculture' WHEN 1 THEN 'industry' WHEN 2 THEN 'construction' WHEN 3 THEN 'commerce' ELSE 'services' END AS sector,
+  greatest(CAST(c_acctbal AS DECIMAL(18,2)), 0) AS wage FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 <> 0 AND c_custkey % 7 <> 0)"""
+
+
+def _stock(spark, d):
+    walk = territories(spark, d).select(F.substring("code", 2, 6).alias("source_code"), "territory")
+    return employment.stock_records(employment.read_stock(spark, _stock_file(spark, d), "2025")).join(walk, "source_code")
+
+
+@query("employment_stock_edition", f"""
+WITH {STOCK_SQL} SELECT territory, coalesce(sector, 'total') AS sector, count(*) AS stock, CAST(CASE WHEN count(CASE WHEN wage > 0 THEN 1 END) >= 5 THEN count(CASE WHEN wage > 0 THEN 1 END) END AS BIGINT) AS sample,
+  CASE WHEN count(CASE WHEN wage > 0 THEN 1 END) >= 5 THEN round(CAST(sum(wage) AS DOUBLE) / count(CASE WHEN wage > 0 THEN 1 END), 4) END AS mean
+FROM s GROUP BY territory, ROLLUP (sector)""")
+def employment_stock(spark, d):
+    """Stock microdata of an edition: layout by edition, typed, refused where a record has a problem, then stock and mean."""
+    records = materialize(_stock(spark, d), "stock")
+    quality.require(quality.violations(records.filter("problem IS NOT NULL"), "record", ["source_code"], F.col("problem")))
+    out = employment.stock_remuneration(records, "active", "abandoned", F.col("division"), F.col("wage"))
+    return out.select("territory", F.lower("sector").alias("sector"), "stock", "sample", F.round("mean", 4).alias("mean"))
+
+
+@query("employment_stock_control", f"""
+WITH {STOCK_SQL}, c AS (SELECT territory, sector, count(*) AS n FROM s GROUP BY ALL)
+SELECT 'stock' AS gate, territory || '|' || sector AS key, 'mismatch ' || n || ' ' || (n + 1) AS detail FROM c WHERE n % 3 = 0""")
+def employment_stock_control(spark, d):
+    """Every sector's stock by records against a published table in which each third figure is one too high."""
+    records = _stock(spark, d)
+    kept = records.filter("active = '1' AND abandoned = '0'").withColumn("sector", mapping.classify_range(F.col("division"), employment.DIVISION_SECTOR))
+    computed = materialize(kept.groupBy("territory", "sector").agg(F.count(F.lit(1)).alias("stock")), "stock")
+    return employment.stock_disagreements(computed, computed.withColumn("stock", F.col("stock") + (F.col("stock") % 3 == 0).cast("int")))
+
+
+def _units(spark, d):
+    """Customers as answers: two share an identifier, some have none, some give another state or only six digits."""
+    k, code = F.col("c_custkey"), F.lpad(F.col("c_nationkey").cast("string"), 7, "0")
+    answers = table(spark, d, "customer").select(
+        F.when(k % 40 == 11, "").otherwise(code).alias("ibge7"), F.substring(code, 1, 6).alias("ibge"), F.when(k % 50 == 7, "XX").otherwise("PR").alias("uf"),
+        F.when(k % 6 == 0, "").otherwise(F.floor(k / 2).cast("string")).alias("nu_identificador"), F.col("c_name").alias("q0_1"), F.col("c_mktsegment").alias("q0_2"),
+        F.lit(" ").alias("q0_3"), F.lit(None).cast("string").alias("q0_4"), F.col("c_nationkey").cast("string").alias("q0_6"), F.when(k % 4 == 1, "Sim").otherwise("Não").alias("q12_13"))
+    places = territories(spark, d).select(F.col("code").alias("territory"), F.array(F.lit("PR"), F.lit("Paraná")).alias("states"))
+    return social.institutional_units(answers.unionByName(answers), places, "cras", "2025")
+
+
+UNITS_SQL = """u AS (SELECT CASE WHEN c_custkey % 40 = 11 THEN '' ELSE lpad(CAST(c_nationkey AS VARCHAR), 7, '0') END AS territory, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE CAST(c_custkey // 2 AS VARCHAR) END AS unit,
+  c_name AS name, c_mktsegment || ', ' || c_nationkey AS address, c_custkey % 4 = 1 AS offers,
+  CASE WHEN c_custkey % 40 = 11 THEN 'no confirmed code' WHEN c_custkey % 50 = 7 THEN 'codes or state disagree' WHEN c_custkey % 6 = 0 THEN 'no identifier' END AS problem FROM customer),
+v AS (SELECT *, count(*) OVER (PARTITION BY territory, unit) AS variants,
+  row_number() OVER (PARTITION BY territory, unit ORDER BY name, address, offers, problem NULLS FIRST) AS pos FROM u),
+one AS (SELECT territory, unit, name, address, offers, coalesce(problem, CASE WHEN variants > 1 THEN 'differing answers' END) AS problem FROM v WHERE pos = 1)"""
+
+
+@query("social_institutional_units", f"WITH {UNITS_SQL} SELECT territory, unit, name, address, CASE WHEN offers THEN 'PAIF' ELSE '' END AS services FROM one WHERE problem IS NULL")
+def social_units(spark, d):
+    return _units(spark, d).filter("problem IS NULL").select("territory", "unit", "name", "address", F.array_join("services", "|").alias("services"))
+
+
+@query("social_unit_violations", f"WITH {UNITS_SQL} SELECT 'unit' AS gate, territory || '|' || unit AS key, problem AS detail FROM one WHERE problem IS NOT NULL")
+def social_unit_violations(spark, d):
+    return social.unit_violations(_units(spark, d))
+
+
+def _movement_files(spark, d):
+    """The movement publication as files: one layout a kind, one folder a publication month."""
+    texts, paths = materialize(_movement_texts(spark, d), "movement-texts"), {}
+    for kind, layout in employment.LAYOUTS.items():
+        paths[kind] = scratch_path(spark, kind)
+        own = texts.filter(F.col("kind") == kind)
+        rows = own.select("publication", *[(F.col(c) if c in own.columns else F.lit("")).alias(c) for c in layout.columns])
+        rows.repartition("publication").write.partitionBy("publication").option("header", "true").option("sep", layout.sep).csv(paths[kind])
+    return paths
+
+
+@query("employment_refresh", f"""
+WITH {MOVES_SQL}, {MONTHS_SQL}, pub AS (SELECT *, CASE WHEN kind = 'MOV' THEN month ELSE declared END AS publication FROM mov),
+cur AS (SELECT territory, month, CAST(sum(CASE WHEN sign = 1 THEN weight ELSE 0 END) AS BIGINT) AS admissions, CAST(sum(CASE WHEN sign = -1 THEN weight ELSE 0 END) AS BIGINT) AS dismissals FROM pub GROUP BY ALL),
+prev AS (SELECT territory, month, CAST(sum(CASE WHEN sign = 1 THEN weight ELSE 0 END) AS BIGINT) AS admissions, CAST(sum(CASE WHEN sign = -1 THEN weight ELSE 0 END) AS BIGINT) AS dismissals FROM pub WHERE publication <= '199706' GROUP BY ALL),
+g AS (SELECT n_name AS territory, cal.month, coalesce(cur.admissions, 0) AS admissions, coalesce(cur.dismissals, 0) AS dismissals, coalesce(prev.admissions, 0) AS previous_admissions, coalesce(prev.dismissals, 0) AS previous_dismissals
+  FROM nation CROSS JOIN cal LEFT JOIN cur ON cur.territory = n_name AND cur.month = cal.month LEFT JOIN prev ON prev.territory = n_name AND prev.month = cal.month)
+SELECT *, '2' AS detected_at, 'FOR 1|MOV 1' AS dates FROM g WHERE admissions <> previous_admissions OR dismissals <> previous_dismissals""")
+def employment_refresh(spark, d):
+    """A whole module, three times: what was known in 1997, all of it, and a version whose gate refuses every table.
+
+    Contracted scan, typed records, gates, stage, publish together, revision log, kept dates.
+    """
+    acts = param_table(spark, [(f"{i:07}", f"Activity {i}") for i in range(1, 7)], "code string, label string")
+    jobs = param_table(spark, [(f"{i:06}", f"Job {i}") for i in range(1, 5)], "code string, label string")
+    wages = param_table(spark, [(y, 200.0) for y in YEARS], "year string, minimum double")
+    raw = employment.read_movements(spark, _movement_files(spark, d), r"publication=(\d{6})/")
+    typed = materialize(employment.movements(raw, acts, jobs, wages), "movements")
+    quality.require(quality.violations(typed.filter("problem IS NOT NULL"), "record", ["kind", "publication"], F.col("problem")))
+    walk = territories(spark, d).select(F.col("code").alias("source_code"), F.col("state").alias("state_code"), F.col("territory").alias("code"))
+    here = mapping.in_territory(typed, walk, "source_code", "state_code")
+    root, places = scratch_path(spark, "employment"), territories(spark, d).select("territory")
+    series = {"monthly": (["territory", "month"], ["admissions", "dismissals"])}
+
+    def gates(t):
+        return [quality.unique_keys(t["monthly"], ["territory", "month"]), quality.volume_floor(t["monthly"], 1), quality.unique_keys(t["sectors"], ["territory", "month", "sector"])]
+
+    for version, cutoff in (("1", "199706"), ("2", "999999"), ("3", "999999")):
+        known = refresh.as_of(here, "publication", cutoff)
+        monthly = employment.monthly(known, places, FIRST_MONTH, LAST_MONTH)
+        tables = {"monthly": monthly if version != "3" else monthly.unionByName(monthly), "sectors": employment.sector_series(known, places, FIRST_MONTH, LAST_MONTH)}
+        sources = param_table(spark, [("MOV", "a", "1"), ("FOR", "a", "1")], "source string, url string, hash string")
+        try:
+            refresh.refresh_group(spark, root, version, tables, gates, series, sources, ["source", "url", "hash"], F.lit(version))
+        except quality.GateFailure:
+            pass
+    now = refresh.published_group(spark, root)
+    dates = now["sources"].agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "source", "collected_at"))), "|").alias("dates"))
+    return now["revisions_monthly"].select("territory", "month", "admissions", "dismissals", "previous_admissions", "previous_dismissals", "detected_at", F.lit(dates.first()[0]).alias("dates"))

@@ -1,5 +1,6 @@
 """Subject areas on small authored inputs shaped like the publications."""
 
+import csv
 from decimal import Decimal as D
 
 import pytest
@@ -10,6 +11,7 @@ from statmosaic.operators import mapping
 from statmosaic.plans.base import workbook_bytes
 from statmosaic.session import param_table
 from statmosaic.sources import archives, landing, nested
+from statmosaic.sources.delimited import ContractError
 
 TERR = [("4100001", "A"), ("4100002", "B")]
 
@@ -207,8 +209,10 @@ def test_agriculture_blocks(spark, rows):
     assert rows(milk, "period", "ratio") == [("2022", 3000.0)]
     typ = cell(spark, *[("t", "183", "2017", {"829": k}, "Unidades", x) for k, x in (("T", 100.0), ("F", 70.0), ("N", 27.0))])
     assert rows(cubes.typology_violations(typ, "829", "T", ["F", "N"]), "key") == [("t|183|2017",)]
-    state = p.filter("product = '1'").select("product", "metric", F.lit("t").alias("unit"), "period", (F.col("value") * 2).alias("value"))
+    p = p.withColumn("state", F.lit("S"))
+    state = p.filter("product = '1'").select("state", "product", "metric", F.lit("t").alias("unit"), "period", (F.col("value") * 2).alias("value"))
     assert rows(cubes.state_share(p.filter("metric = 'quantity'"), state), "period", "ratio") == [("2022", 50.0)]
+    assert cubes.state_share(p.filter("metric = 'quantity'"), state.withColumn("state", F.lit("other"))).isEmpty()
 
 
 def test_cube_and_social_blocks_share_the_cell_shape(spark):
@@ -315,3 +319,69 @@ def test_environment_places(spark, rows):
     assert rows(union, "union_area", "sum_of_parts", "share") == [(12.0, 15.0, 75.0)]
     named = environment.listed_in(spark.createDataFrame([("Serra (PR) - Lagoa (PR)",), ("Novalagoa (PR)",)], "m string"), "m", "LAGOA", "PR")
     assert sorted(r["listed"] for r in named.collect()) == [False, True]
+
+
+def stock_file(tmp_path, records, reverse=False, rename=None):
+    """Stock microdata of 2025; columns that a record does not name are empty."""
+    cols = list(employment.STOCK_LAYOUTS["2025"].columns)
+    names = {"code": "Município - Código", "active": "Ind Vínculo Ativo 31/12 - Código", "gone": "Ind Vínculo Abandonado - Código", "wage": "Vl Rem Dezembro Nom", "cls": "CNAE 2.0 Classe - Código"}
+    lines = [[(rename or {}).get(c, c) for c in cols]] + [[{names[k]: v for k, v in r.items()}.get(c, "") for c in cols] for r in records]
+    with open(tmp_path / f"stock{reverse}{bool(rename)}.csv", "w", encoding="cp1252", newline="") as f:
+        csv.writer(f).writerows(x[::-1] if reverse else x for x in lines)
+    return str(tmp_path / f"stock{reverse}{bool(rename)}.csv")
+
+
+def bond(active="1", gone="0", wage="1000,50", cls="10112", code="410000"):
+    return {"code": code, "active": active, "gone": gone, "wage": wage, "cls": cls}
+
+
+def test_stock_microdata_by_edition(spark, tmp_path, rows):
+    kept = [bond() for _ in range(5)] + [bond(wage="0,00")]
+    left_out = [bond(active="0", wage="999999999,00"), bond(gone="1", wage="999999999,00")]
+    path = stock_file(tmp_path, kept + left_out)
+    records = employment.stock_records(employment.read_stock(spark, path, "2025")).withColumn("territory", F.lit("t"))
+    assert records.filter("problem IS NOT NULL").isEmpty()
+    out = employment.stock_remuneration(records, "active", "abandoned", F.col("division"), F.col("wage"))
+    assert rows(out.filter("sector = 'industry'"), "stock", "sample", "mean") == [(6, 5, 1000.5)]
+    # columns are bound by name, in any order; another edition or column fails before any value is read
+    turned = employment.read_stock(spark, stock_file(tmp_path, kept + left_out, reverse=True), "2025")
+    assert rows(turned) == rows(employment.read_stock(spark, path, "2025"))
+    with pytest.raises(ContractError, match="no layout for edition 2026"):
+        employment.read_stock(spark, path, "2026")
+    with pytest.raises(ContractError, match="vlremdezembronom"):
+        employment.read_stock(spark, stock_file(tmp_path, kept, rename={"Vl Rem Dezembro Nom": "Renda média"}), "2025")
+    computed = out.filter("sector <> 'Total'").select("territory", "sector", "stock")
+    assert employment.stock_disagreements(computed, computed).isEmpty()
+    assert rows(employment.stock_disagreements(computed, computed.withColumn("stock", F.col("stock") + 1)), "key", "detail") == [("t|industry", "mismatch 6 7")]
+
+
+@pytest.mark.parametrize("record,why", [
+    (bond(active="2"), "invalid flag"), (bond(gone=""), "invalid flag"), (bond(wage="-1,00"), "negative wage"), (bond(cls="44000"), "unknown division")])
+def test_stock_records_that_refuse_the_edition(spark, tmp_path, record, why):
+    records = employment.stock_records(employment.read_stock(spark, stock_file(tmp_path, [record]), "2025"))
+    assert [r["problem"] for r in records.collect()] == [why]
+
+
+def unit_frame(spark, *answers):
+    base = {"ibge7": "4100001", "ibge": "410000", "uf": "PR", "nu_identificador": "17", "q0_1": " House ", "q0_2": "Street", "q0_3": "5", "q0_4": " ", "q0_6": "Centre", "q12_13": "Sim", "q12_3": "Sim"}
+    return spark.createDataFrame([{**base, **a} for a in answers], ", ".join(f"{c} string" for c in base))
+
+
+def test_institutional_units(spark, rows):
+    places = spark.createDataFrame([("4100001", ["PR", "Paraná"])], "territory string, states array<string>")
+    units = social.institutional_units(unit_frame(spark, {}, {}, {"ibge7": "9900001", "ibge": "990000"}, {"nu_identificador": "9", "q12_13": "Não", "uf": "Paraná"}), places, "cras", "2025")
+    assert rows(units, "unit", "name", "address", "services", "copies", "problem") == sorted([
+        ("17", "House", "Street, 5, Centre", ["PAIF"], 2, None), ("9", "House", "Street, 5, Centre", [], 1, None)], key=repr)
+    assert social.unit_violations(units).isEmpty()
+    assert social.institutional_units(unit_frame(spark, {}), places, "creas", "2025").first()["services"] == ["PAEFI"]
+    assert social.institutional_units(unit_frame(spark, {}), places, "other", "2025").first()["services"] == []
+    with pytest.raises(ContractError, match="no dictionary of services for edition 2026"):
+        social.institutional_units(unit_frame(spark, {}), places, "cras", "2026")
+
+
+@pytest.mark.parametrize("answers,why", [
+    ([{}, {"q0_1": "Other"}], "differing answers"), ([{"uf": "SC"}], "codes or state disagree"), ([{"ibge": "410009"}], "codes or state disagree"),
+    ([{"ibge7": ""}], "no confirmed code"), ([{"nu_identificador": ""}], "no identifier"), ([{"nu_identificador": "1a"}], "no identifier"), ([{"q0_1": " "}], "no name")])
+def test_unit_answers_that_refuse_the_edition(spark, answers, why):
+    places = spark.createDataFrame([("4100001", ["PR", "Paraná"])], "territory string, states array<string>")
+    assert [r["detail"] for r in social.unit_violations(social.institutional_units(unit_frame(spark, *answers), places, "cras", "2025")).collect()] == [why]

@@ -22,6 +22,31 @@ def test_only_dates_changed_keeps_the_previous_snapshot(spark, rows):
     assert not refresh.content_differences(old.drop("n"), old).isEmpty()
 
 
+def test_a_group_moves_together_or_not_at_all(spark, tmp_path, rows):
+    """A refused member leaves every table at its version; unmoved tables stay, revisions add up and dates are kept."""
+    root = str(tmp_path / "group")
+    assert refresh.published_group(spark, root) == {}
+    series = {"figures": (["k"], ["n"])}
+
+    def run(version, figures, names, hashes):
+        tables = {"figures": spark.createDataFrame(figures, "k string, n int"), "names": spark.createDataFrame(names, "k string, name string")}
+        sources = spark.createDataFrame(hashes, "source string, hash string")
+        gates = lambda t: [quality.unique_keys(t["figures"], ["k"]), quality.unique_keys(t["names"], ["k"])]
+        return refresh.refresh_group(spark, root, version, tables, gates, series, sources, ["source", "hash"], F.lit(f"day {version}"))
+
+    first = run("1", [("a", 1), ("b", 2)], [("a", "A")], [("s", "h1"), ("t", "h1")])
+    second = run("2", [("a", 5), ("b", 2), ("c", 3)], [("a", "A")], [("s", "h2"), ("t", "h1")])
+    assert second["names"] == first["names"] and second["figures"] != first["figures"]
+    with pytest.raises(quality.GateFailure):
+        run("3", [("a", 9), ("b", 9), ("c", 9)], [("a", "A"), ("a", "B")], [("s", "h3"), ("t", "h3")])
+    now = refresh.published_group(spark, root)
+    assert rows(now["figures"]) == [("a", 5), ("b", 2), ("c", 3)] and rows(now["names"]) == [("a", "A")]
+    assert rows(now["sources"], "source", "hash", "collected_at") == [("s", "h2", "day 2"), ("t", "h1", "day 1")]
+    run("4", [("a", 5), ("b", 7), ("c", 3)], [("a", "A")], [("s", "h2"), ("t", "h1")])
+    log = refresh.published_group(spark, root)["revisions_figures"]
+    assert rows(log, "k", "previous_n", "n", "detected_at") == [("a", 1, 5, "day 2"), ("b", 2, 7, "day 4")]
+
+
 def test_dates_move_only_with_content(spark, rows):
     prev = spark.createDataFrame([("s1", "h1", "jan"), ("s2", "h2", "jan")], "source_id string, sha string, collected_at string")
     now = spark.createDataFrame([("s1", "h1"), ("s2", "h9"), ("s3", "h3")], "source_id string, sha string")
