@@ -128,8 +128,11 @@ def m01(spark, d):
         events.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
         led = live.daily_ledger(_marked(stream), "ts", LATE, ["territory"])
-        live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory"]).awaitTermination()
-    days = live.current_state(live.read_updates(spark, f"{root}/state"), ["territory", "day"])
+        run = live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory"])
+        run.awaitTermination()
+    # the batches after the last one with records only let days leave the state
+    last = max(p.batchId for p in run.recentProgress if p.numInputRows)
+    days = live.read_state(spark, f"{root}/state", ["territory"], last + 1)
     return live.by_period(days, ["territory"], F.date_format("day", "yyyyMM"))
 
 
@@ -145,19 +148,26 @@ def m02(spark, d):
     return agg.ledger(spark.read.parquet(f"{root}/rows").withColumn("period", _day()), ["territory", "period"])
 
 
+M03_SQL = FLOWS_SQL + """, sum(CASE WHEN sign = 1 AND value > 1.5 THEN CAST(value AS DECIMAL(18,2)) * weight END) AS ws, sum(CASE WHEN sign = 1 AND value > 1.5 THEN weight END) AS wn"""
+
+
 @query("m03_stream_revisions", f"""
 WITH {EVENT_SQL}, mark AS (SELECT max(ts) - INTERVAL 2 DAY AS m FROM events WHERE value >= 2),
-a AS (SELECT territory, period, {FLOWS_SQL} FROM ev WHERE value >= 2 GROUP BY ALL),
-b AS (SELECT territory, period, {FLOWS_SQL} FROM ev, mark WHERE value >= 2 OR CAST(period AS DATE) + INTERVAL 1 DAY > m GROUP BY ALL)
-SELECT b.*, a.admissions AS previous_admissions, a.dismissals AS previous_dismissals, a.balance AS previous_balance FROM a JOIN b USING (territory, period)
-WHERE (a.admissions, a.dismissals, a.balance) <> (b.admissions, b.dismissals, b.balance)""")
+a AS (SELECT territory, period, {M03_SQL} FROM ev WHERE value >= 2 GROUP BY ALL),
+b AS (SELECT territory, period, {M03_SQL} FROM ev, mark WHERE value >= 2 OR CAST(period AS DATE) + INTERVAL 1 DAY > m GROUP BY ALL),
+c AS (SELECT territory, period, b.admissions, b.dismissals, b.balance, CASE WHEN b.wn >= 5 THEN round(CAST(b.ws AS DOUBLE) / b.wn, 6) END AS admission_wage,
+  a.admissions AS previous_admissions, a.dismissals AS previous_dismissals, a.balance AS previous_balance, CASE WHEN a.wn >= 5 THEN round(CAST(a.ws AS DOUBLE) / a.wn, 6) END AS previous_admission_wage
+  FROM a JOIN b USING (territory, period))
+SELECT * FROM c WHERE (admissions, dismissals, balance) <> (previous_admissions, previous_dismissals, previous_balance) OR admission_wage IS DISTINCT FROM previous_admission_wage""")
 def m03(spark, d):
+    """Small events come in a second batch and revise counts and mean wages of the days that are still open."""
     root = scratch_path(spark, "m03")
     events = table(spark, d, "events")
     for part in ("value >= 2", "value < 2"):
         events.filter(part).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{root}/in")
-        led = live.daily_ledger(_marked(stream), "ts", LATE, ["territory"])
+        led = live.daily_ledger(_marked(stream), "ts", LATE, ["territory"], wage=F.col("value").cast("decimal(18,2)"), eligible=F.col("value") > 1.5)
         live.write_ledger(led, f"{root}/state", f"{root}/checkpoint", ["territory"], f"{root}/log").awaitTermination()
     log = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/log").drop("batch")
-    return log.withColumn("period", F.date_format("day", "yyyy-MM-dd")).drop("day")
+    return log.withColumns({
+        "period": F.date_format("day", "yyyy-MM-dd"), **{c: F.round(c, 6) for c in ("admission_wage", "previous_admission_wage")}}).drop("day")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_markup
+from ..operators.windows import top_per_key
 from .opening import open_file
 
 # Bytes of a file that a task holds while it hashes it.
@@ -49,9 +50,14 @@ def official_links(links: DataFrame, host_pattern: str, path_pattern: str, schem
 
 
 def newest_edition(links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Link with the newest edition per key; equal editions resolve to the smallest address."""
-    offered = links.groupBy(*keys, "edition").agg(F.min("url").alias("url"))
-    return offered.groupBy(*keys).agg(F.max("edition").alias("edition"), F.max_by("url", "edition").alias("url"))
+    """Link with the newest edition per key; equal editions resolve to the smallest address.
+
+    Links are reduced to distinct editions by hash before texts are compared, and only addresses of the newest are ordered.
+    """
+    keyed = links.withColumn("_key", F.struct(*keys))
+    newest = keyed.select("_key", "edition").distinct().groupBy("_key").agg(F.max("edition").alias("edition"))
+    last = keyed.join(newest, ["_key", "edition"], "left_semi")
+    return top_per_key(last, keys, [F.col("url")]).select(*keys, "edition", "url")
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

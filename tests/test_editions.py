@@ -187,3 +187,19 @@ def test_records_older_than_the_watermark_are_dropped_and_counted(spark, tmp_pat
     q = run()
     assert rows(spark.read.parquet(out), "id") == [("1",), ("3",)]
     assert live.dropped_rows(q) == 1
+
+
+def test_stream_logs_revised_wages_once(spark, tmp_path, rows):
+    """A late record that leaves the counts as they were, by way of a retraction, still revises the mean wage."""
+    src, state, cp, log = (str(tmp_path / n) for n in ("in", "state", "cp", "log"))
+    schema = "id int, territory string, ts timestamp, sign int, weight int, wage double"
+    day = dt.datetime(2024, 1, 5, 10)
+    batches = [[(i, "a", day, 1, 1, 100.0) for i in range(6)] + [(9, "b", day, 1, 1, 50.0)], [(10, "a", day, 1, -1, 100.0), (11, "a", day, 1, 1, 400.0), (12, "b", day, 1, -1, 50.0), (13, "b", day, 1, 1, 70.0)], []]
+    for batch in batches:
+        if batch:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        led = live.daily_ledger(spark.readStream.schema(schema).parquet(src), "ts", "800 days", ["territory"], wage=F.col("wage").cast("decimal(18,2)"))
+        live.write_ledger(led, state, cp, ["territory"], log).awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(log)
+    # five admissions make a sample: the mean of "a" is shown, that of "b" never is and so is no revision
+    assert rows(got, "territory", "admissions", "previous_admissions", "admission_wage", "previous_admission_wage") == [("a", 6, 6, 150.0, 100.0)]
