@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..domains import cubes, employment, environment, health
+from ..domains import cubes, employment, environment, health, social
 from ..session import materialize
 from .base import FIRST_MONTH, FLOWS_SQL, LAST_MONTH, MONTHS_SQL, MOVES_SQL, ORDERS_SQL, YEARS, dbl, orders_by_territory, table, territories
 from .registry import query
@@ -126,3 +126,100 @@ def health_bed_series(spark, d):
     walk = territories(spark, d).select(F.col("code").alias("source_code"), F.col("state").alias("state_code"), F.col("territory").alias("code"))
     rows = health.beds(raw, walk)
     return health.bed_series(rows, health.months_in(raw), territories(spark, d)).select("territory", "month", "existing", "sus", "units", "zero_confirmed")
+
+
+@query("economy_account_violations", f"""
+WITH {ORDERS_SQL}, g AS (SELECT territory, year, count(*) AS n, CAST(sum(price) AS DOUBLE) AS added, CAST(coalesce(sum(CASE WHEN segment = 'BUILDING' THEN price END), 0) AS DOUBLE) AS tax FROM ord GROUP BY ALL)
+SELECT 'product' AS gate, territory || '|' || year AS key FROM g WHERE n % 3 = 0
+UNION ALL SELECT 'value added', territory || '|' || year FROM g WHERE n % 5 = 0""")
+def economy_account_violations(spark, d):
+    """Accounts of every territory and year: each third product is 2,500 too high, each fifth sector sum 4,500."""
+    price, tax = F.sum("price"), F.coalesce(F.sum(F.when(F.col("segment") == "BUILDING", F.col("price"))), F.lit(0))
+    n = F.count(F.lit(1))
+    half = price * 0.5
+    cell = lambda name, v: F.struct(F.lit(name).alias("variable"), v.cast("double").alias("value"))
+    g = orders_by_territory(spark, d).groupBy("territory", F.col("year").alias("period")).agg(F.array(
+        cell("product", price + tax + F.when(n % 3 == 0, 2500).otherwise(0)), cell("added", price), cell("tax", tax),
+        cell("first", half), cell("second", price - half + F.when(n % 5 == 0, 4500).otherwise(0))).alias("cells"))
+    cells = g.select("territory", "period", F.explode("cells").alias("c")).select("territory", "period", "c.*")
+    return cubes.account_violations(cells, "product", "added", "tax", ["first", "second"]).select("gate", "key")
+
+
+@query("economy_compared", f"""
+WITH {ORDERS_SQL}, g AS (SELECT territory, year AS period, CASE WHEN year = '1998' THEN 't' ELSE 'R$' END AS unit, count(*) AS value FROM ord GROUP BY ALL),
+own AS (SELECT * FROM g WHERE territory = (SELECT min(territory) FROM g) AND period = (SELECT max(period) FROM g WHERE territory = (SELECT min(territory) FROM g)))
+SELECT g.territory, g.period, g.unit, g.value, own.value AS local_value, own.value IS NOT NULL AS comparable
+FROM g LEFT JOIN own ON g.period = own.period AND g.unit = own.unit WHERE g.territory <> (SELECT min(territory) FROM g)""")
+def economy_compared(spark, d):
+    """All territories beside the first one's latest figure; other years and units show nothing."""
+    o = orders_by_territory(spark, d)
+    series = materialize(o.groupBy("territory", F.col("year").alias("period")).agg(F.count(F.lit(1)).alias("value")).withColumns({
+        "indicator": F.lit("orders"), "methodology": F.lit("m"), "unit": F.when(F.col("period") == "1998", "t").otherwise("R$")}), "series")
+    first = series.agg(F.min("territory")).first()[0]
+    return cubes.compared(series, first).select("territory", "period", "unit", "value", "local_value", "comparable")
+
+
+@query("agriculture_typology_violations", f"""
+WITH {ORDERS_SQL}, g AS (SELECT territory, year, count(*) AS n, count(CASE WHEN segment = 'BUILDING' THEN 1 END) AS part FROM ord GROUP BY ALL)
+SELECT 'typology' AS gate, territory || '|183|' || year AS key FROM g WHERE n % 4 = 1""")
+def agriculture_typology(spark, d):
+    """Orders by builders and by others against all: each fourth total is three too high, the others one."""
+    n, part = F.count(F.lit(1)), F.count_if(F.col("segment") == "BUILDING")
+    cell = lambda c, v: F.struct(F.create_map(F.lit("829"), F.lit(c)).alias("dims"), v.cast("double").alias("value"))
+    g = orders_by_territory(spark, d).groupBy("territory", F.col("year").alias("period")).agg(F.array(
+        cell("T", n + F.when(n % 4 == 1, 3).otherwise(1)), cell("F", part), cell("N", n - part)).alias("cells"))
+    cells = g.select("territory", F.lit("183").alias("variable"), "period", F.explode("cells").alias("c")).select("territory", "variable", "period", "c.*")
+    return cubes.typology_violations(cells, "829", "T", ["F", "N"]).select("gate", "key")
+
+
+@query("employment_stock_shares", f"""
+WITH {ORDERS_SQL}, g AS (SELECT territory, year, segment AS sector, count(*) AS stock FROM ord GROUP BY ALL), t AS (SELECT territory, year, sum(stock) AS total FROM g GROUP BY ALL)
+SELECT territory, year, sector, stock, CAST(total + CASE WHEN year = '1996' THEN 1 ELSE 0 END AS BIGINT) AS total, round(CAST(stock AS DOUBLE) / CAST(total + CASE WHEN year = '1996' THEN 1 ELSE 0 END AS DOUBLE) * 100, 6) AS percent, year <> '1996' AS balanced FROM g JOIN t USING (territory, year)""")
+def employment_stock_shares(spark, d):
+    """Sectors of every year against its published total, which is one too high in 1996."""
+    g = orders_by_territory(spark, d).groupBy("territory", "year", F.col("segment").alias("sector")).agg(F.count(F.lit(1)).alias("stock"))
+    total = g.groupBy("territory", "year").agg((F.sum("stock") + F.when(F.col("year") == "1996", 1).otherwise(0)).alias("stock")).withColumn("sector", F.lit("total"))
+    shares = employment.stock_shares(g.unionByName(total))
+    return shares.select("territory", "year", "sector", F.col("value").alias("stock"), "total", F.round(F.col("percent").cast("double"), 6).alias("percent"), "balanced")
+
+
+@query("social_per_hundred", f"""
+WITH {ORDERS_SQL}, p AS (SELECT territory, month, count(*) AS value FROM ord GROUP BY ALL), y AS (SELECT territory, year, count(*) AS population FROM ord WHERE year <> '1997' GROUP BY ALL)
+SELECT p.territory, month, value, population, round(CAST(value AS DOUBLE) / population * 100, 6) AS per_100 FROM p LEFT JOIN y ON p.territory = y.territory AND substr(month, 1, 4) = y.year""")
+def social_per_hundred(spark, d):
+    """Orders of every month per hundred of the same year; one year has no estimate."""
+    o = orders_by_territory(spark, d)
+    people = o.groupBy("territory", "month").agg(F.count(F.lit(1)).alias("value"))
+    population = o.groupBy("territory", "year").agg(F.count(F.lit(1)).alias("population")).filter("year <> '1997'")
+    return social.per_hundred(people, population).select("territory", "month", "value", "population", F.round("per_100", 6).alias("per_100"))
+
+
+@query("social_service_months", f"""
+WITH {ORDERS_SQL}, f AS (SELECT territory, CAST(right(month, 2) AS INT) AS mes, CASE WHEN o_orderkey % 97 <> 0 THEN o_orderkey % 10 END AS a1, o_custkey % 5 AS a2, 1 AS c1 FROM ord),
+g AS (SELECT territory, '2025' || lpad(CAST(mes AS VARCHAR), 2, '0') AS month, count(*) AS reporting_units, CAST(CASE WHEN count(*) = count(a1) THEN sum(a1) END AS BIGINT) AS a1, CAST(sum(a2) AS BIGINT) AS a2, CAST(sum(c1) AS BIGINT) AS c1 FROM f GROUP BY ALL),
+s AS (SELECT n_name AS territory, '2025' || lpad(CAST(m AS VARCHAR), 2, '0') AS month FROM nation, range(1, 13) AS r(m))
+SELECT territory, month, coalesce(reporting_units, 0) AS reporting_units, a1, a2, c1 FROM s LEFT JOIN g USING (territory, month)""")
+def social_service_months(spark, d):
+    """Orders as forms of their calendar month; one unanswered form leaves its month without that total."""
+    text = lambda c: c.cast("string")
+    k = F.col("o_orderkey")
+    forms = orders_by_territory(spark, d).select(
+        "territory", F.substring("month", 5, 2).cast("int").cast("string").alias("mes"), F.when(k % 97 == 0, "").otherwise(text(k % 10)).alias("a1"),
+        text(F.col("o_custkey") % 5).alias("a2"), F.lit("1").alias("c1"))
+    return social.service_months(forms, territories(spark, d), "2025")
+
+
+@query("health_mappable", """
+WITH u AS (SELECT n_name AS territory, c_custkey AS unit, c_acctbal > 0 AS active, (c_nationkey % 5) * 4 + c_custkey % 6 + 0.5 AS x, (c_nationkey // 5) * 4 + c_custkey % 5 + 0.5 AS y, (c_nationkey % 5) * 4 AS x0, (c_nationkey // 5) * 4 AS y0
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT territory, unit FROM u WHERE active AND unit % 11 <> 0 AND x < x0 + 4 AND y < y0 + 4""")
+def health_mappable(spark, d):
+    """Active units inside their own territory's square; some lie beyond it, some have no place."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    units = table(spark, d, "customer").join(territories(spark, d), n == F.col("n_nationkey")).select(
+        "territory", k.alias("unit"), (F.col("c_acctbal") > 0).alias("active"), F.when(k % 11 != 0, F.floor(n / 5) * 4 + k % 5 + 0.5).cast("double").alias("latitude"),
+        (n % 5 * 4 + k % 6 + 0.5).cast("double").alias("longitude"))
+    x, y = F.col("n_nationkey") % 5 * 4.0, F.floor(F.col("n_nationkey") / 5) * 4.0
+    corners = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    square = F.array(F.array(F.array(*[F.array(x + float(a), y + float(b)) for a, b in corners])))
+    return health.mappable(units, territories(spark, d).select("territory", square.alias("geometry")), 1.0)
