@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import quality, refresh
-from ..session import scratch_path
+from ..operators import partitions, quality, refresh
+from ..session import materialize, scratch_path
 from ..streaming import ledger as live
 from .base import FLOWS_SQL, MOVES_SQL, ORDERS_SQL, YEARLY_SQL, dbl, movements, orders_by_territory, table, yearly_prices
 from .registry import query
@@ -23,6 +23,21 @@ def l01(spark, d):
     return count("dates only", dated).unionByName(count("revised", revised))
 
 
+@query("l01_partition_digests", """
+WITH y AS (SELECT year(o_orderdate) AS year, count(*) AS row_count FROM orders GROUP BY 1)
+SELECT year, row_count, CASE year WHEN 1996 THEN 'changed' WHEN 1998 THEN 'gone' WHEN 1992 THEN 'new' ELSE 'same' END AS status FROM y""")
+def l01_partitions(spark, d):
+    """All orders by year: one year is revised, one is withdrawn and one is added; the others are not written again."""
+    root = scratch_path(spark, "l01-partitions")
+    orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    gates = lambda df: [quality.volume_floor(df, 1)]
+    partitions.publish_partitions(orders.where("year <> 1992"), root, "1", ["year"], gates)
+    revised = orders.where("year <> 1998").withColumn("o_totalprice", F.when(F.col("year") == 1996, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    status = partitions.publish_partitions(revised, root, "2", ["year"], gates)
+    years = orders.groupBy("year").agg(F.count(F.lit(1)).alias("row_count")).withColumn("part", partitions.part_key(["year"]))
+    return years.join(status, "part").drop("part")
+
+
 @query("l02_date_retention", f"""
 WITH {YEARLY_SQL} SELECT territory || '-' || year AS source_id, sha256(CAST(CASE WHEN year = '2001' THEN n + 1 ELSE n END AS VARCHAR)) AS sha256, CASE WHEN year = '2001' OR year = '2000' THEN '2024-06-01' ELSE '2024-01-01' END AS collected_at FROM yr""")
 def l02(spark, d):
@@ -92,6 +107,19 @@ def l08(spark, d):
     return quality.revalidate(spark.read.parquet(path), ["territory", "year"], "value", "status")
 
 
+@query("l08_moved_partitions", f"""
+WITH {YEARLY_SQL} SELECT 'unique' AS gate, territory || '|' || year AS key, '2' AS detail, CAST(1 AS INTEGER) AS parts_read FROM yr WHERE state = 'EUROPE'""")
+def l08_partitions(spark, d):
+    """A publication found right is read again only where its digest moved: one state of all."""
+    root = scratch_path(spark, "l08-partitions")
+    y = materialize(yearly_prices(spark, d).select("territory", "state", "year", dbl("n").alias("value"), F.lit("real").alias("status")), "l08-panel")
+    gate = lambda t: quality.revalidate(t["panel"], ["territory", "year"], "value", "status")
+    for version, df in (("1", y), ("2", y.unionByName(y.filter("state = 'EUROPE'")))):
+        partitions.publish_partitions(df, f"{root}/panel", version, ["state"], lambda staged: [quality.volume_floor(staged, 1)])
+        found, read = partitions.judge_moved(spark, {"panel": f"{root}/panel"}, f"{root}/checked", gate)
+    return found.withColumn("parts_read", F.lit(len(read)))
+
+
 @query("l09_as_of", f"""
 WITH {MOVES_SQL} SELECT territory, month, {FLOWS_SQL} FROM mov WHERE declared <= '199906' AND month BETWEEN '199707' AND '199906' GROUP BY ALL""")
 def l09(spark, d):

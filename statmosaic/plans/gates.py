@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import quality, sets
+from ..operators import partitions, quality, sets
 from ..session import materialize, param_table, scratch_path
 from ..sources import delimited, landing, nested
 from .base import MONTHS_SQL, MOVES_SQL, ORDERS_SQL, PRIORITIES, YEARLY_SQL, YEARS, damaged_pages, dbl, movements, orders_by_territory, table, territories, yearly_prices
@@ -150,6 +150,25 @@ def i13(spark, d):
     return quality.recomputed(published, detail, ["territory", "year"], ["n", "price"])
 
 
+@query("i13_moved_partitions", f"""
+WITH {ORDERS_SQL} SELECT 'recompute' AS gate, territory || '|' || month AS key, 'summary differs from detail' AS detail, CAST(1 AS INTEGER) AS parts_read
+FROM ord WHERE state = 'AFRICA' GROUP BY territory, month""")
+def i13_partitions(spark, d):
+    """Summaries are recomputed from the detail of the one state whose orders were published anew."""
+    root = scratch_path(spark, "i13")
+    orders = materialize(orders_by_territory(spark, d), "i13-orders")
+    summed = lambda df: df.groupBy("state", "territory", "month").agg(F.count(F.lit(1)).alias("n"))
+    summary = materialize(summed(orders), "i13-summary")
+    gate = lambda t: quality.recomputed(t["summary"], summed(t["detail"]), ["territory", "month"], ["n"])
+    roots = {"summary": f"{root}/summary", "detail": f"{root}/detail"}
+    keep = lambda staged: [quality.volume_floor(staged, 1)]
+    for version, detail in (("1", orders), ("2", orders.unionByName(orders.where("state = 'AFRICA'")))):
+        partitions.publish_partitions(detail, roots["detail"], version, ["state"], keep)
+        partitions.publish_partitions(summary, roots["summary"], version, ["state"], keep)
+        found, read = partitions.judge_moved(spark, roots, f"{root}/checked", gate)
+    return found.withColumn("parts_read", F.lit(len(read)))
+
+
 @query("i14_yield_warnings", f"""
 WITH {MOVES_SQL}, g AS (SELECT territory, year, CAST(sum(quantity) AS DOUBLE) AS production, CAST(count(*) AS DOUBLE) AS area, CAST(sum(CASE WHEN sign = 1 THEN quantity END) AS DOUBLE) * 1000 / count(CASE WHEN sign = 1 THEN 1 END) AS y, CAST(count(CASE WHEN kind <> 'EXC' THEN 1 END) AS DOUBLE) AS planted FROM mov GROUP BY ALL)
 SELECT 'yield' AS gate, territory || '|' || year AS key, 'yield off production/area' AS detail FROM g WHERE abs(y - production * 1000 / area) > greatest(1.0, production * 1000 / area * 0.03)
