@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,15 +42,19 @@ def partition_digests(df: DataFrame, partition: Sequence[str], volatile: Sequenc
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("row_count"), *sums)
 
 
-def _pointer(spark: SparkSession, root: str):
+def _pointer(spark: SparkSession, root: str) -> Row | None:
+    """(manifest, columns) of the newest publication; one row a publication is read."""
     try:
         pointers = spark.read.schema(POINTER).option("recursiveFileLookup", "true").json(f"{root}/pointers")
-        newest = pointers.agg(F.max("moved")).first()[0]
-        return pointers.where(F.col("moved") == newest).first()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    return pointers.agg(F.max_by(F.struct("manifest", "columns"), "moved")).first()[0]
+
+
+def _entries(spark: SparkSession, at: Row | None) -> dict[str, Row]:
+    return {} if at is None else {r["part"]: r for r in spark.read.schema(MANIFEST).json(at["manifest"]).collect()}
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -59,14 +63,16 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return param_table(spark, [], MANIFEST) if at is None else spark.read.schema(MANIFEST).json(at["manifest"])
 
 
-def moved_partitions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(part, status): ``same``, ``changed``, ``new`` or ``gone``, by the digests of two manifests."""
-    a = after.select("part", F.struct(*_DIGEST).alias("_after"))
-    b = before.select("part", F.struct(*_DIGEST).alias("_before"))
-    status = (
-        F.when(F.col("_before").isNull(), "new").when(F.col("_after").isNull(), "gone")
-        .when(F.col("_before") == F.col("_after"), "same").otherwise("changed"))
-    return a.join(b, "part", "full_outer").select("part", status.alias("status"))
+def _digest(row: Row) -> tuple:
+    return tuple(row[c] for c in _DIGEST)
+
+
+def moved_partitions(before: Mapping[str, Row], after: Mapping[str, Row]) -> dict[str, str]:
+    """``same``, ``changed``, ``new`` or ``gone`` for every partition of two manifests, by their digests."""
+    out = {p: "gone" for p in before if p not in after}
+    for p, row in after.items():
+        out[p] = "new" if p not in before else "same" if _digest(row) == _digest(before[p]) else "changed"
+    return out
 
 
 def publish_partitions(
@@ -81,36 +87,40 @@ def publish_partitions(
     """
     spark = df.sparkSession
     at = _pointer(spark, root)
-    held = param_table(spark, [], MANIFEST) if at is None or at["columns"] != df.schema.json() else manifest(spark, root)
-    digests = {r["part"]: r for r in partition_digests(df, partition, volatile).collect()}
-    now = param_table(spark, [(p, version, *(r[c] for c in _DIGEST)) for p, r in digests.items()], MANIFEST)
-    status = [(r["part"], r["status"]) for r in moved_partitions(held, now).collect()]
-    moved = [p for p, s in status if s in ("new", "changed")]
+    held = _entries(spark, at) if at is not None and at["columns"] == df.schema.json() else {}
+    now = {r["part"]: r for r in partition_digests(df, partition, volatile).collect()}
+    status = moved_partitions(held, now)
+    moved = [p for p, s in status.items() if s in ("new", "changed")]
     base = f"{root}/data/version={version}"
     if moved:
         staged = df.withColumn(_PART, part_key(partition)).where(F.col(_PART).isin(moved))
         staged.write.mode("overwrite").partitionBy(_PART).parquet(base)
         require(*gates(spark.read.schema(df.schema).parquet(base)))
-    changed = F.col("part").isin(moved)
-    whole = now.where(changed).unionByName(held.where(~changed & F.col("part").isin(list(digests))))
     stamp = time.time_ns()
     path = f"{root}/manifests/{stamp}"
-    whole.coalesce(1).write.json(path)
+    whole = [(p, version if status[p] != "same" else held[p]["version"], *_digest(r)) for p, r in now.items()]
+    param_table(spark, whole, MANIFEST).coalesce(1).write.json(path)
     param_table(spark, [(stamp, path, df.schema.json())], POINTER).coalesce(1).write.json(f"{root}/pointers/{stamp}")
-    return param_table(spark, status, "part string, status string")
+    return param_table(spark, list(status.items()), "part string, status string")
 
 
-def read_partitions(spark: SparkSession, root: str, parts: Sequence[str] | None = None) -> DataFrame:
-    """The published table, or the named partitions of it; files of no other partition are listed or opened."""
+def _read(spark: SparkSession, root: str, at: Row, entries: Mapping[str, Row], parts: Sequence[str]) -> DataFrame:
+    schema = StructType.fromJson(json.loads(at["columns"]))
+    paths = [f"{root}/data/version={entries[p]['version']}/{_PART}={p}" for p in parts if p in entries]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _published(spark: SparkSession, root: str) -> tuple[Row, dict[str, Row]]:
     at = _pointer(spark, root)
     if at is None:
         raise ValueError(f"nothing is published below {root}")
-    schema = StructType.fromJson(json.loads(at["columns"]))
-    rows = spark.read.schema(MANIFEST).json(at["manifest"])
-    if parts is not None:
-        rows = rows.where(F.col("part").isin(list(parts)))
-    paths = [f"{root}/data/version={r['version']}/{_PART}={r['part']}" for r in rows.select("version", "part").collect()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return at, _entries(spark, at)
+
+
+def read_partitions(spark: SparkSession, root: str, parts: Sequence[str] | None = None) -> DataFrame:
+    """The published table, or the named partitions of it; files of no other partition are listed or opened."""
+    at, entries = _published(spark, root)
+    return _read(spark, root, at, entries, list(entries) if parts is None else parts)
 
 
 def judge_moved(
@@ -122,21 +132,21 @@ def judge_moved(
     its detail, say).  Digests of partitions without findings of their run are kept below ``record``; a run with
     findings keeps none of its own, so its partitions are judged again.  Returns (findings, parts read).
     """
-    tables = [manifest(spark, root).select("part", F.concat_ws(":", F.lit(n), *_DIGEST).alias("mark")) for n, root in sorted(roots.items())]
-    marks = tables[0]
-    for t in tables[1:]:
-        marks = marks.unionByName(t)
-    now = {r["part"]: r["marks"] for r in marks.groupBy("part").agg(F.concat_ws("|", F.sort_array(F.collect_list("mark"))).alias("marks")).collect()}
+    tables = {n: _published(spark, root) for n, root in sorted(roots.items())}
+    now: dict[str, str] = {}
+    for n, (_, entries) in tables.items():
+        for p, row in entries.items():
+            now[p] = f"{now.get(p, '')}|{n}:{_digest(row)}"
     schema = "moved bigint, checked map<string, string>"
     try:
         kept = spark.read.schema(schema).option("recursiveFileLookup", "true").json(record)
-        checked = dict(kept.where(F.col("moved") == kept.agg(F.max("moved")).first()[0]).first()["checked"])
+        checked = kept.agg(F.max_by("checked", "moved")).first()[0]
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         checked = {}
     moved = sorted(p for p, m in now.items() if checked.get(p) != m)
-    found = gate({n: read_partitions(spark, root, moved) for n, root in roots.items()})
+    found = gate({n: _read(spark, roots[n], at, entries, moved) for n, (at, entries) in tables.items()})
     if moved and found.isEmpty():
         stamp = time.time_ns()
         param_table(spark, [(stamp, list(now.items()))], schema).coalesce(1).write.json(f"{record}/{stamp}")
