@@ -2,8 +2,8 @@
 
 Each task builds suffix arrays of its shards of training words (sorted as far as ``width`` words need:
 three words packed into one key, then ranks of 9 and 27 words) and binary-searches every test suffix
-in them.  A range of the array is all occurrences of a window; matches are extended word by word to
-the longest verbatim match.  The corpus is never shuffled.
+in them.  A range of the array is all occurrences of a window, and occurrences that follow each other are the
+longest verbatim matches; hit words, items and verdicts are those of the matches.  The corpus is never shuffled.
 
 The test set is reduced to distinct items and dealt by their hash to blocks of about ``BLOCK_BYTES`` of
 text.  The driver holds one block at a time: each is a pass of its own that writes its marks, and the
@@ -151,30 +151,19 @@ def occurrences(found: Words, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
 
 
 def longest(found: Words, test: TestSet, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal verbatim matches (training word, test word, length) that contain the given occurrences."""
-    here, there = at.copy(), test.start[window].copy()
-    firsts = found.firsts()
-    low, high = firsts[found.row[at]], firsts[found.row[at] + 1]
-    items = np.flatnonzero(np.concatenate(([True], test.row[1:] != test.row[:-1]))) if len(test.row) else np.zeros(0, np.int64)
-    item_low = items[np.searchsorted(items, there, side="right") - 1] if len(there) else there
-    item_high = test.last[there]
-    size = test.length[window].copy()
-    moving = np.arange(len(at))
-    while len(moving):
-        ok = (here[moving] > low[moving]) & (there[moving] > item_low[moving])
-        moving = moving[ok]
-        moving = moving[found.code[here[moving] - 1] == test.code[there[moving] - 1]]
-        here[moving] -= 1
-        there[moving] -= 1
-        size[moving] += 1
-    moving = np.arange(len(at))
-    while len(moving):
-        ok = (here[moving] + size[moving] < high[moving]) & (there[moving] + size[moving] < item_high[moving])
-        moving = moving[ok]
-        moving = moving[found.code[here[moving] + size[moving]] == test.code[there[moving] + size[moving]]]
-        size[moving] += 1
-    found_all = np.unique(np.stack([here, there, size]), axis=1)
-    return found_all[0], found_all[1], found_all[2]
+    """Maximal verbatim matches (training word, test word, length) that contain the given occurrences.
+
+    All occurrences of all windows are given, so a match is a run of them that moves on by one word on either side.
+    """
+    there = test.start[window]
+    order = np.lexsort((at, at - there))
+    here, there, size = at[order], there[order], test.length[window[order]]
+    if not len(here):
+        return here, there, size
+    goes_on = (np.diff(here) == 1) & (np.diff(there) == 1) & (np.diff(found.row[here]) == 0) & (np.diff(test.row[there]) == 0)
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.concatenate((first[1:], [len(here)])) - 1
+    return here[first], there[first], last - first + size[last]
 
 
 def _dealt(items: DataFrame) -> tuple[DataFrame, int]:
@@ -220,17 +209,17 @@ def longest_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Da
 
 
 def _found(texts: pa.Array, test: TestSet) -> tuple[np.ndarray, list[bytes], list[list[str]]]:
-    """Of every text: its number of words, a bit for each word that is hit (empty: none), the items found."""
+    """Of every text: its number of words, a bit for each word in a longest match (empty: none), the items matched."""
     found = words(texts, NOT_WORD, fold=True)
-    at, window = occurrences(found, test)
+    here, there, size = longest(found, test, *occurrences(found, test))
     change = np.zeros(len(found.code) + 1, np.int64)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + test.length[window], -1)
+    np.add.at(change, here, 1)
+    np.add.at(change, here + size, -1)
     hit = np.cumsum(change[:-1]) > 0
     firsts = found.firsts()
     items: list[list[str]] = [[] for _ in range(found.rows)]
-    if len(at):
-        for r, i in np.unique(np.stack([found.row[at], test.row[test.start[window]]]), axis=1).T:
+    if len(here):
+        for r, i in np.unique(np.stack([found.row[here], test.row[there]]), axis=1).T:
             if test.ids[i] is not None:
                 items[r].append(test.ids[i])
     touched = np.bincount(found.row[hit], minlength=found.rows)

@@ -1,6 +1,7 @@
 """Lines, repeats, similar groups and benchmark windows against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -299,3 +300,31 @@ def test_word_codes_tell_words_apart(awkward_rows):
     for c, w in zip(found.code.tolist(), plain):
         by_code[c].add(w)
     assert all(len(v) == 1 for v in by_code.values()) and len(by_code) == len(set(plain))
+
+
+def plain_matches(text, item, width):
+    """Maximal verbatim matches (document word, item word, length) by comparing every pair of places."""
+    w, v = (ITEM_WORD.findall(t.translate(FOLD)) for t in (text, item))
+    out = set()
+    for i in range(len(w)):
+        for j in range(len(v)):
+            if w[i] == v[j] and (i == 0 or j == 0 or w[i - 1] != v[j - 1]):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= min(width, len(v)):
+                    out.add((i, j, n))
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 3, 13])
+@pytest.mark.parametrize("block_bytes", [32 << 20, 40])
+def test_longest_matches_by_brute_force(spark, monkeypatch, width, block_bytes):
+    """Repeats within a text and an item, matches at both ends, neighbours that match across the border of two texts."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(width)
+    texts = [" ".join(rng.choice("ab") for _ in range(60)) for _ in range(4)] + ["x a b", "a b a", "", "q " * 30]
+    tests = [" ".join(rng.choice("ab") for _ in range(40)), "a b", texts[0][10:70], "q " * 20, "none of it"]
+    docs, bench = frame_of(spark, [(i, t, "en") for i, t in enumerate(texts)], 1), spark.createDataFrame(list(enumerate(tests)), "item_id long, text string")
+    found = Counter((r.doc_id, int(r.item_id), r.doc_word, r.item_word, r.length) for r in decontaminate.longest_matches(docs, bench, width).collect())
+    assert found == Counter((d, i, *m) for d, t in enumerate(texts) for i, v in enumerate(tests) for m in plain_matches(t, v, width))
