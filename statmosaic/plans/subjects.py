@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..domains import cubes, education, employment, environment, health, social
 from ..operators import mapping, quality, refresh
 from ..session import materialize, param_table, scratch_path
+from ..sources.delimited import write_contract
 from .base import FIRST_MONTH, LAST_MONTH, MONTHS_SQL, MOVES_SQL, ORDERS_SQL, YEARS, dbl, dec, movements, orders_by_territory, table, territories
 from .panels import MERGE_SQL, TRAILING_SQL, W_SQL, Y_SQL, YTD_SQL
 from .registry import query
@@ -227,7 +228,7 @@ def _stock_file(spark, d):
     layout = employment.STOCK_LAYOUTS["2025"]
     path = scratch_path(spark, "stock")
     c = table(spark, d, "customer").select(*[filled.get(n, F.lit("")).alias(n) for n in layout.columns])
-    c.write.option("header", "true").option("sep", layout.sep).option("encoding", layout.encoding).csv(path)
+    write_contract(c, path, layout)
     return path
 
 
@@ -249,7 +250,8 @@ def employment_stock(spark, d):
     records = materialize(_stock(spark, d), "stock")
     quality.require(quality.violations(records.filter("problem IS NOT NULL"), "record", ["source_code"], F.col("problem")))
     out = employment.stock_remuneration(records, "active", "abandoned", F.col("division"), F.col("wage"))
-    return out.select("territory", F.lower("sector").alias("sector"), "stock", "sample", F.round("mean", 4).alias("mean"))
+    # rounded on the binary value as the SQL does, not on its shortest decimal writing (4411.20775 is below the half)
+    return out.select("territory", F.lower("sector").alias("sector"), "stock", "sample", (F.round(F.col("mean") * 10000) / 10000).alias("mean"))
 
 
 @query("employment_stock_control", f"""

@@ -9,6 +9,7 @@ fails the scan (``FAILFAST`` with CSV column pruning off, which would otherwise
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import re
 from collections.abc import Iterator, Mapping, Sequence
@@ -39,14 +40,63 @@ class Layout:
     options: Mapping[str, str] = field(default_factory=dict)
 
 
+# fixed values: what Spark's reader and writer take in any session
+_SPARK_CHARSETS = ("iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8")
+_BYTES = "ISO-8859-1"
+
+
+@functools.cache
+def code_page(encoding: str) -> str | None:
+    """Characters of the 256 bytes of a code page over ASCII that Spark does not take itself (a byte without one: U+FFFD); else null.
+
+    Files of such a page are read and written as ISO-8859-1, which keeps every byte, and their texts are translated.
+    """
+    if encoding.lower() in _SPARK_CHARSETS:
+        return None
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    if len(plane.encode(encoding, "ignore")) > 256:  # more than one byte a character
+        return None
+    page = bytes(range(256)).decode(encoding, "replace")
+    return page if page[:128] == "".join(map(chr, range(128))) else None
+
+
+def _bytes_of(text: str, layout: Layout) -> str:
+    """A text of the layout as the reader sees its bytes."""
+    return text if code_page(layout.encoding) is None else text.encode(layout.encoding).decode(_BYTES)
+
+
+def _decoded(c: Column, layout: Layout) -> Column:
+    page = code_page(layout.encoding)
+    if page is None:
+        return c
+    own = [b for b in range(128, 256) if page[b] != chr(b)]
+    return F.translate(c, "".join(map(chr, own)), "".join(page[b] for b in own))
+
+
+def _encoded(c: Column, layout: Layout) -> Column:
+    """Texts whose ISO-8859-1 bytes are those of the layout; what its page lacks is a question mark."""
+    page = code_page(layout.encoding)
+    if page is None:
+        return c
+    moved = {page[b]: chr(b) for b in range(128, 256) if page[b] not in (chr(b), "\ufffd")}
+    moved |= {chr(b): "?" for b in range(128, 256) if chr(b) not in page}
+    return F.translate(c, "".join(moved), "".join(moved.values()))
+
+
+def _dialect(layout: Layout) -> dict[str, str]:
+    given = {"sep": layout.sep, "escape": '"', **layout.options}  # a doubled quote is a quote
+    encoding = layout.encoding if code_page(layout.encoding) is None else _BYTES
+    return {"encoding": encoding, **{k: _bytes_of(v, layout) for k, v in given.items()}}
+
+
 def _reader(spark: SparkSession, layout: Layout):
-    return (
-        spark.read.option("sep", layout.sep)
-        .option("encoding", layout.encoding)
-        .option("nullValue", layout.null_value)
-        .option("escape", '"')  # a doubled quote is a quote
-        .options(**layout.options)
-    )
+    return spark.read.option("nullValue", _bytes_of(layout.null_value, layout)).options(**_dialect(layout))
+
+
+def write_contract(df: DataFrame, path: str, layout: Layout) -> None:
+    """Text columns named by a layout as files of its dialect."""
+    named = df.select(*[_encoded(F.col(f"`{c}`"), layout).alias(_bytes_of(c, layout)) for c in layout.columns])
+    named.write.option("header", "true").options(**_dialect(layout)).csv(path)
 
 
 def file_headers(spark: SparkSession, path: str | Sequence[str], layout: Layout) -> DataFrame:
@@ -124,17 +174,18 @@ def read_contract(
     extra = [F.col("_metadata.file_path").alias("file_path")] if with_path else []
     scans = []
     for header, paths in sorted((r["header"], r["paths"]) for r in found):
-        at = dict(zip(check_header(header, layout), header, strict=True))
+        names = [_bytes_of(h, layout) for h in header]
+        at = dict(zip(check_header(header, layout), names, strict=True))
         df = (
             _reader(spark, layout)
-            .schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
+            .schema(T.StructType([T.StructField(h, T.StringType()) for h in names]))
             .option("header", "true")
             .option("enforceSchema", "false")
             .option("mode", "FAILFAST")
             .option("columnPruning", "false")
             .csv([_literal(p) for p in paths])
         )
-        scans.append(df.select(*[F.col(f"`{at[w]}`").alias(w) for w in wanted], *extra))
+        scans.append(df.select(*[_decoded(F.col(f"`{at[w]}`"), layout).alias(w) for w in wanted], *extra))
     return same_schema(scans)
 
 

@@ -91,6 +91,43 @@ def test_cp1252_bytes(spark, tmp_path, rows):
     assert rows(got) == [("1", "R€ – ção", "3")]
 
 
+@pytest.fixture
+def default_charsets(spark):
+    """A session as Spark starts it, which takes no code page by itself."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    yield
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
+def test_code_pages_need_no_session_setting(spark, tmp_path, rows, default_charsets):
+    (tmp_path / "a.csv").write_bytes("Código€;Valor;UF\n1;R€ – ção;3\n2;".encode("cp1252") + b"\xff\x85 x;4\n")
+    layout = Layout(("código€", "valor", "uf"), encoding="cp1252")
+    assert rows(delimited.read_contract(spark, str(tmp_path), layout), "valor") == [("R€ – ção",), ("ÿ… x",)]
+    for encoding, text in (("cp1252", "R€ – ção"), ("iso-8859-15", "€uro Ž"), ("cp1251", "Я Россия")):
+        own = Layout(("id", text.split(" ")[0]), sep=",", encoding=encoding)
+        df = spark.createDataFrame([("1", text), ("2", "a,\"b\""), ("3", "\x80中")], own.columns)
+        delimited.write_contract(df, str(tmp_path / encoding), own)
+        assert b"".join(p.read_bytes() for p in (tmp_path / encoding).glob("*.csv")).decode(encoding).count(f"1,{text}") == 1
+        lost = "\x80?" if encoding == "iso-8859-15" else "??"
+        read = delimited.read_contract(spark, str(tmp_path / encoding), own)
+        assert rows(read) == [("1", text), ("2", "a,\"b\""), ("3", lost)]
+
+
+def test_stock_queries_need_no_session_setting(spark, tmp_path, rows, default_charsets):
+    from statmosaic.plans import QUERIES
+
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    spark.createDataFrame([(3, "Território", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    # kept: 1 (industry), 2 (construction), 3 (commerce) and 11, 16 (industry); not active: 10; abandoned: 7
+    spark.createDataFrame([(k, 3, 10.0 * k) for k in (1, 2, 3, 7, 10, 11, 16)], "c_custkey int, c_nationkey int, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    edition = QUERIES["employment_stock_edition"](spark, str(tmp_path))
+    assert rows(edition, "territory", "sector", "stock", "sample", "mean") == sorted([
+        ("Território", "industry", 3, None, None), ("Território", "construction", 1, None, None), ("Território", "commerce", 1, None, None),
+        ("Território", "total", 5, 5, 66.0)], key=repr)
+    control = QUERIES["employment_stock_control"](spark, str(tmp_path))
+    assert rows(control) == [("stock", "Território|industry", "mismatch 3 4")]
+
+
 def test_unknown_edition_fails(spark, tmp_path):
     with pytest.raises(ContractError, match="no layout"):
         delimited.read_edition(spark, str(tmp_path), "2031", {"2025": LAYOUT})
