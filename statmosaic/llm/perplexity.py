@@ -1,10 +1,9 @@
 """Quality rules: word and line counts, and perplexity under a modified Kneser-Ney model of the corpus itself.
 
-Symbols are ``CLASSES`` classes of bytes, so an order of n has CLASSES^n n-grams a language at most.  Tasks count the
-n-grams of their texts and send sums; Spark derives continuation counts, discounts, context weights and
-probabilities order by order with joins on n-grams.  Scorers hold the model of some languages as sorted arrays of
-64-bit hashes with log values; languages are scored in blocks of ``MODEL_ROWS`` entries, so what is
-broadcast is bounded (one language is a block of its own at worst).
+Symbols are the bytes of the texts, each one for itself.  Tasks count the n-grams of their texts and send sums; Spark
+derives continuation counts, discounts, context weights and probabilities order by order with joins on n-grams.
+Scorers hold the model of some languages as sorted arrays of 64-bit hashes with log values; languages are scored in
+blocks of ``MODEL_ROWS`` entries (one language is a block of its own at worst, which is as large as its n-grams are many).
 
 A document is rejected if its log perplexity leaves its language's band: ``FENCE`` interquartile ranges
 below the first or above the third quartile of all its language's documents that pass the base rules.
@@ -28,30 +27,14 @@ from .tables import map_batches, small_batches, steps
 from .words import U, WHITE, Words, chained, covered, mix, text_buffers, words
 
 ORDER = 4
-BITS = 6
+BITS = 8
 CLASSES = 1 << BITS
 FENCE = 4.0
 MODEL_ROWS = 8_000_000
 HELD = 2_000_000
 PER_BIN = 200  # histogram bins for one unit of log perplexity
 
-
-def _symbol_classes() -> np.ndarray:
-    """Letters apart, everything else in few classes."""
-    out = np.full(256, 58, np.uint8)
-    out[0x61:0x7B] = np.arange(26)
-    out[0x41:0x5B] = np.arange(26, 52)
-    out[[0x20, 0x09, 0x0D, 0x0B, 0x0C]] = 52
-    out[0x0A] = 53
-    out[0x30:0x3A] = 54
-    for i, chars in enumerate((".!?", ",;:", "#*$%&|<>")):
-        out[[ord(c) for c in chars]] = 55 + i
-    out[0xC0:] = 59
-    out[0x80:0xC0] = 60 + np.arange(64) % 4
-    return out
-
-
-_CLASS = _symbol_classes()
+_CLASS = np.arange(CLASSES)  # every byte is a symbol of its own
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 _CONTINUED = np.zeros(256, bool)
@@ -289,7 +272,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     counts = materialize(gram_counts(docs), "gram-counts")
     model = materialize(kneser_ney(counts), "kneser-ney")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rows = materialize(measured(docs, model).withColumn("base_failed", failed), "perplexities")
+    seen = model.where(F.col("kind") == ORDER)  # these very texts were counted, so no n-gram of theirs takes a shorter one
+    rows = materialize(measured(docs, seen).withColumn("base_failed", failed), "perplexities")
     limits = bands(rows.where(~F.col("base_failed")))
     inside = (F.col("log_ppl") >= F.col("low")) & (F.col("log_ppl") <= F.col("high"))
     return rows.join(limits, "lang", "left").select("doc_id", *COUNTS, "base_failed", F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept"), "log_ppl")

@@ -203,6 +203,18 @@ def test_perplexity_follows_the_definition(spark):
         assert found[i] == pytest.approx(want, rel=1e-4)
 
 
+def test_every_byte_is_a_symbol_of_its_own(spark):
+    """Digits, signs and letters of other scripts are told apart: the definition on the bytes themselves."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("0123456789éèàñ日本語Яж#*%@~") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["7" * 60, "0123456789" * 6]
+    docs = frame_of(spark, [(i, t, "q") for i, t in enumerate(texts)])
+    found = {r.doc_id: r.log_ppl for r in perplexity.quality_rules(docs).collect()}
+    streams, p = plain_kneser_ney(texts, 4, list(range(256)))
+    for i, s in enumerate(streams):
+        assert found[i] == pytest.approx(-sum(math.log(p(tuple(s[k : k + 4]))) for k in range(len(s) - 3)) / (len(s) - 3), rel=1e-4)
+    assert abs(found[60] - found[61]) > 0.1
+
+
 def test_bands_and_blocks_of_languages(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(80)), "en" if i % 2 else "fr") for i in range(120)]
