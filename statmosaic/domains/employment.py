@@ -104,13 +104,24 @@ def movements(
     )).drop("activity_problem", "occupation_problem", "intermittent")
 
 
-def monthly(rows: DataFrame, territories: DataFrame, start: str, latest: str) -> DataFrame:
+def additive_ledger(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Movements reduced to figures that add up, so that several ledgers over parts of ``keys`` need one pass over them."""
+    n, total = aggregates.sample_sums(F.col("salary"), F.col("weight"), F.col("wage_eligible"))
+    return rows.groupBy(*keys).agg(*aggregates.flow_counts(), n.alias("wage_sample"), total.alias("wage_total"))
+
+
+def _flows(additive: bool) -> list[Column]:
+    return [F.sum(m).cast("bigint").alias(m) for m in MEASURES] if additive else aggregates.flow_counts()
+
+
+def monthly(rows: DataFrame, territories: DataFrame, start: str, latest: str, additive: bool = False) -> DataFrame:
     """Dense months with counts, mean admission wage, year-to-date and 12-month sums.
 
-    The window was read from complete publications, so a month without movements is a zero.
+    The window was read from complete publications, so a month without movements is a zero.  ``rows`` are movements, or
+    with ``additive`` those of an :func:`additive_ledger`.
     """
-    led = rows.groupBy("territory", "month").agg(
-        *aggregates.flow_counts(), *aggregates.mean_with_sample(F.col("salary"), F.col("weight"), F.col("wage_eligible")))
+    sums = [F.sum("wage_sample"), F.sum("wage_total")] if additive else aggregates.sample_sums(F.col("salary"), F.col("weight"), F.col("wage_eligible"))
+    led = rows.groupBy("territory", "month").agg(*_flows(additive), *aggregates.mean_of_sums(*sums))
     spine = windows.month_spine(territories.select("territory"), start, latest)
     led = led.withColumnsRenamed({"mean": "admission_salary", "sample": "salary_sample"})
     dense = windows.densify(spine, led, ["territory", "month"], MEASURES, F.lit(True), ["admission_salary", "salary_sample"])
@@ -124,9 +135,10 @@ def finalization_problems(rows: DataFrame, axes: Sequence[str] = ("sector", "act
     return g.filter((F.col("admissions") < 0) | (F.col("dismissals") < 0))
 
 
-def sector_series(rows: DataFrame, territories: DataFrame, start: str, latest: str) -> DataFrame:
+def sector_series(rows: DataFrame, territories: DataFrame, start: str, latest: str, additive: bool = False) -> DataFrame:
+    """Dense months by sector, from movements or (``additive``) from an :func:`additive_ledger`."""
     spine = windows.month_spine(territories.select("territory"), start, latest, categories=SECTORS, category="sector")
-    led = aggregates.ledger(rows, ["territory", "month", "sector"])
+    led = rows.groupBy("territory", "month", "sector").agg(*_flows(additive))
     return windows.densify(spine, led, ["territory", "month", "sector"], MEASURES, F.lit(True))
 
 

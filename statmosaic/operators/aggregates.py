@@ -50,8 +50,16 @@ def breakdowns(moves: DataFrame, keys: Sequence[str], dims: Sequence[str]) -> Da
 
 def mean_with_sample(value: Column, weight: Column, eligible: Column, minimum: int = 5) -> list[Column]:
     """Weighted mean published only from ``minimum`` net observations; retractions reduce both parts."""
-    n = F.sum(F.when(eligible, weight))
-    total = F.sum(F.when(eligible, value * weight))
+    return mean_of_sums(*sample_sums(value, weight, eligible), minimum)
+
+
+def sample_sums(value: Column, weight: Column, eligible: Column) -> tuple[Column, Column]:
+    """Net observations and their weighted total, which add up over any split of the rows."""
+    return F.sum(F.when(eligible, weight)), F.sum(F.when(eligible, value * weight))
+
+
+def mean_of_sums(n: Column, total: Column, minimum: int = 5) -> list[Column]:
+    """The mean of :func:`mean_with_sample` from its two sums."""
     ok = n >= minimum
     return [
         F.when(ok, total.cast("double") / n.cast("double")).alias("mean"),

@@ -299,9 +299,10 @@ def _movement_files(spark, d):
     texts, paths = materialize(_movement_texts(spark, d), "movement-texts"), {}
     for kind, layout in employment.LAYOUTS.items():
         paths[kind] = scratch_path(spark, kind)
-        own = texts.filter(F.col("kind") == kind)
-        rows = own.select("publication", *[(F.col(c) if c in own.columns else F.lit("")).alias(c) for c in layout.columns])
-        rows.repartition("publication").write.partitionBy("publication").option("header", "true").option("sep", layout.sep).csv(paths[kind])
+        # rows meet by file before they are widened; fields without a value are empty, not quoted
+        own = texts.filter(F.col("kind") == kind).select("publication", *[c for c in layout.columns if c in texts.columns]).repartition("publication")
+        rows = own.select("publication", *[(F.col(c) if c in own.columns else F.lit(None).cast("string")).alias(c) for c in layout.columns])
+        rows.write.partitionBy("publication").option("header", "true").option("sep", layout.sep).csv(paths[kind])
     return paths
 
 
@@ -321,10 +322,12 @@ def employment_refresh(spark, d):
     jobs = param_table(spark, [(f"{i:06}", f"Job {i}") for i in range(1, 5)], "code string, label string")
     wages = param_table(spark, [(y, 200.0) for y in YEARS], "year string, minimum double")
     raw = employment.read_movements(spark, _movement_files(spark, d), r"publication=(\d{6})/")
-    typed = materialize(employment.movements(raw, acts, jobs, wages), "movements")
-    quality.require(quality.violations(typed.filter("problem IS NOT NULL"), "record", ["kind", "publication"], F.col("problem")))
+    typed = employment.movements(raw, acts, jobs, wages)
+    # records are read once: gates and every version are sums over these keys
+    ledger = materialize(employment.additive_ledger(typed, ["source_code", "state_code", "kind", "publication", "month", "sector", "problem"]), "movements")
+    quality.require(quality.violations(ledger.filter("problem IS NOT NULL"), "record", ["kind", "publication"], F.col("problem")))
     walk = territories(spark, d).select(F.col("code").alias("source_code"), F.col("state").alias("state_code"), F.col("territory").alias("code"))
-    here = mapping.in_territory(typed, walk, "source_code", "state_code")
+    here = mapping.in_territory(ledger, walk, "source_code", "state_code")
     root, places = scratch_path(spark, "employment"), territories(spark, d).select("territory")
     series = {"monthly": (["territory", "month"], ["admissions", "dismissals"])}
 
@@ -333,8 +336,8 @@ def employment_refresh(spark, d):
 
     for version, cutoff in (("1", "199706"), ("2", "999999"), ("3", "999999")):
         known = refresh.as_of(here, "publication", cutoff)
-        monthly = employment.monthly(known, places, FIRST_MONTH, LAST_MONTH)
-        tables = {"monthly": monthly if version != "3" else monthly.unionByName(monthly), "sectors": employment.sector_series(known, places, FIRST_MONTH, LAST_MONTH)}
+        monthly = employment.monthly(known, places, FIRST_MONTH, LAST_MONTH, additive=True)
+        tables = {"monthly": monthly if version != "3" else monthly.unionByName(monthly), "sectors": employment.sector_series(known, places, FIRST_MONTH, LAST_MONTH, additive=True)}
         sources = param_table(spark, [("MOV", "a", "1"), ("FOR", "a", "1")], "source string, url string, hash string")
         try:
             refresh.refresh_group(spark, root, version, tables, gates, series, sources, ["source", "url", "hash"], F.lit(version))

@@ -62,6 +62,54 @@ def test_employment_publication(spark, tmp_path, terr, rows):
     assert employment.sector_series(here, terr, "202312", "202401").count() == 2 * 2 * 5
 
 
+def test_series_from_an_additive_ledger_are_those_of_the_movements(spark, terr, rows):
+    schema = "territory string, month string, publication string, sector string, sign int, weight int, salary decimal(18,2), wage_eligible boolean"
+    moves = spark.createDataFrame([
+        (f"410000{1 + i % 2}", "202312" if i % 3 else "202401", "202401" if i % 5 else "202402", ["industry", "commerce", None][i % 3], 1 if i % 4 else -1,
+         -1 if i % 7 == 0 else 1, D(i) / 3 if i % 6 else None, i % 4 > 1) for i in range(90)], schema)
+    ledger = employment.additive_ledger(moves, ["publication", "territory", "month", "sector"])
+    for known in ("publication <= '202401'", "publication IS NOT NULL"):
+        for series in (employment.monthly, employment.sector_series):
+            assert rows(series(ledger.where(known), terr, "202312", "202402", additive=True)) == rows(series(moves.where(known), terr, "202312", "202402"))
+
+
+def test_refresh_keeps_sums_of_the_records_not_the_records(spark, tmp_path, rows, monkeypatch):
+    from datetime import datetime
+
+    from statmosaic.operators.quality import GateFailure
+    from statmosaic.plans import subjects
+
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("region", [(0, "R")], "r_regionkey long, r_name string")
+    put("nation", [(3, "N", 0)], "n_nationkey long, n_name string, n_regionkey long")
+    put("customer", [(1, 3, "BUILDING")], "c_custkey long, c_nationkey long, c_mktsegment string")
+    orders = [(k, 1, datetime(1997, m, 10), "F", "1-URGENT", 10.0) for k, m in ((1, 5), (2, 8))]
+    put("orders", orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double"
+    may = datetime(1997, 5, 20)
+    # on time in May, one of them taken back; late ones that became known in August
+    lines = [(1, 2, 1, 1, "F", "N", may, 100.0 + i, 1.0) for i in range(100)] + [(1, 1, 1, 1, "F", "A", may, 100.0, 1.0)]
+    lines += [(2, 2, 1, 1, "O", "N", may, 100.0, 1.0) for _ in range(50)]
+    put("lineitem", lines, line)
+    kept = {}
+
+    def spy(df, name, own=subjects.materialize):
+        out = own(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(subjects, "materialize", spy)
+    out = subjects.employment_refresh(spark, str(tmp_path))
+    assert rows(out) == [("N", "199705", 149, 0, 99, 0, "2", "FOR 1|MOV 1")]
+    assert kept == {"movement-texts": 151, "movements": 3}
+    # a record that breaks a rule still refuses the whole refresh
+    put("lineitem", [*lines, (1, 2, 1, 1, "F", None, None, 100.0, 1.0)], line)
+    with pytest.raises(GateFailure, match="record .*unreadable month"):
+        subjects.employment_refresh(spark, str(tmp_path))
+
+
 def test_wrong_movement_files_are_named(spark, tmp_path):
     raw = employment.read_movements(spark, {"MOV": movement_file(tmp_path, "MOV", "202401", [
         rec(month="202312"), rec(sign="-1", typ="10"), rec(secao="Z"), rec(subclasse="x"), rec()])})
